@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, jaccard, quality, secrets
-from .common import documents, table
+from . import bpe, decontaminate, jaccard, quality, secrets, tokenfiles
+from .common import documents, fresh_path, table
 
 
 def tokenizer(name: str) -> str:
@@ -30,6 +30,12 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score_documents(docs, quality.trained(docs, table(spark, sf_dir, "labels")))
 
 
+def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = fresh_path(spark, "token-files")
+    tokenfiles.write_token_files(documents(spark, sf_dir), tokenizer("byte_bpe_50k.json"), path, end=0)
+    return tokenfiles.read_token_files(spark, path)
+
+
 def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan_documents(documents(spark, sf_dir))
 
@@ -42,6 +48,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontaminate": op1_decontaminate,
     "op2_bpe": op2_bpe,
     "op3_quality": op3_quality,
+    "op6_token_files": op6_token_files,
     "op8_secret_scan": op8_secret_scan,
     "op9_jaccard_join": op9_jaccard_join,
 }
