@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, jaccard, quality, secrets, tokenfiles
+from . import bpe, decontaminate, jaccard, media, quality, secrets, tokenfiles
 from .common import documents, fresh_path, table
 
 
@@ -36,6 +36,12 @@ def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenfiles.read_token_files(spark, path)
 
 
+def op7_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = fresh_path(spark, "archives")
+    media.write_archives(documents(spark, sf_dir), path)
+    return media.read_features(spark, path)
+
+
 def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan_documents(documents(spark, sf_dir))
 
@@ -49,6 +55,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_bpe": op2_bpe,
     "op3_quality": op3_quality,
     "op6_token_files": op6_token_files,
+    "op7_media": op7_media,
     "op8_secret_scan": op8_secret_scan,
     "op9_jaccard_join": op9_jaccard_join,
 }
