@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, jaccard, media, quality, secrets, tokenfiles
+from . import bpe, decontaminate, jaccard, media, quality, secrets, tokenfiles, toxicity
 from .common import documents, fresh_path, table
 
 
@@ -30,6 +30,11 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score_documents(docs, quality.trained(docs, table(spark, sf_dir, "labels")))
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    return toxicity.score_documents(docs, toxicity.trained(docs, table(spark, sf_dir, "labels")))
+
+
 def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = fresh_path(spark, "token-files")
     tokenfiles.write_token_files(documents(spark, sf_dir), tokenizer("byte_bpe_50k.json"), path, end=0)
@@ -54,6 +59,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontaminate": op1_decontaminate,
     "op2_bpe": op2_bpe,
     "op3_quality": op3_quality,
+    "op5_toxicity": op5_toxicity,
     "op6_token_files": op6_token_files,
     "op7_media": op7_media,
     "op8_secret_scan": op8_secret_scan,
