@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, jaccard, media, quality, secrets, tokenfiles, toxicity
+from . import bpe, decontaminate, jaccard, media, quality, secrets, suffixes, tokenfiles, toxicity
 from .common import documents, fresh_path, table
 
 
@@ -30,6 +30,10 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score_documents(docs, quality.trained(docs, table(spark, sf_dir, "labels")))
 
 
+def op4_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.repeated_passages(documents(spark, sf_dir))
+
+
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     return toxicity.score_documents(docs, toxicity.trained(docs, table(spark, sf_dir, "labels")))
@@ -59,6 +63,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontaminate": op1_decontaminate,
     "op2_bpe": op2_bpe,
     "op3_quality": op3_quality,
+    "op4_repeated_passages": op4_repeated_passages,
     "op5_toxicity": op5_toxicity,
     "op6_token_files": op6_token_files,
     "op7_media": op7_media,
