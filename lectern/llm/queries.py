@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, jaccard, media, quality, secrets, suffixes, tokenfiles, toxicity
+from . import bpe, chat, decontaminate, jaccard, media, quality, secrets, suffixes, tokenfiles, toxicity
 from .common import documents, fresh_path, table
 
 
@@ -59,6 +59,10 @@ def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.similar_documents(documents(spark, sf_dir), k=3, num=90, den=100)
 
 
+def op10_chat_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.recovered_turns(table(spark, sf_dir, "conversations"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontaminate": op1_decontaminate,
     "op2_bpe": op2_bpe,
@@ -69,6 +73,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_media": op7_media,
     "op8_secret_scan": op8_secret_scan,
     "op9_jaccard_join": op9_jaccard_join,
+    "op10_chat_turns": op10_chat_turns,
 }
 
 ORACLES: dict[str, str] = {}
