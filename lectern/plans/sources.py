@@ -1 +1,151 @@
-"""Queries."""
+"""Queries on sources and sinks."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from lectern.functions import text as T
+from lectern.plans.registry import query
+from lectern.session import load
+from lectern.sources import files as S
+
+NAMED = "n as (select doc_id, text, 'doc_' || doc_id || list_extract(['.csv', '.DOCX', '.md', '.Pdf', '.txt', '.xyz', ''], doc_id % 7 + 1) as file_name from documents)"
+KNOWN = "('.csv', '.docx', '.md', '.pdf', '.txt')"
+
+
+@query("src_format_dispatch", f"with {NAMED}, e as (select doc_id, file_name, lower(regexp_extract(file_name, '(\\.[^./]+)$', 1)) as ext from n) select *, ext in {KNOWN} as supported, case when ext not in {KNOWN} then 'Unsupported format ''' || ext || '''. Supported: .csv, .docx, .md, .pdf, .txt' end as error from e")
+def src_format_dispatch(spark, sf_dir):
+    return S.dispatched(S.named_files(load(spark, sf_dir, "documents"))).select("doc_id", "file_name", "ext", "supported", "error")
+
+
+@query("src_supported_formats", "select unnest(['.csv', '.docx', '.md', '.pdf', '.txt']) as format")
+def src_supported_formats(spark, sf_dir):
+    return spark.createDataFrame([(f,) for f in sorted(S.FORMATS)], "format string").orderBy("format")
+
+
+@query("src_text_pages", "select doc_id, 1 as page, md5(text) as digest from documents")
+def src_text_pages(spark, sf_dir):
+    valid = F.expr("make_valid_utf8(cast(cast(text as binary) as string))")
+    return load(spark, sf_dir, "documents").select("doc_id", F.lit(1).alias("page"), F.md5(valid.cast("binary")).alias("digest"))
+
+
+@query("src_csv_markdown", "select 'n_nationkey | n_name | n_regionkey' || chr(10) || '---' || chr(10) || string_agg(n_nationkey || ' | ' || n_name || ' | ' || n_regionkey, chr(10) order by n_nationkey) as text, count(*) as row_count, 'n_nationkey, n_name, n_regionkey' as columns from nation")
+def src_csv_markdown(spark, sf_dir):
+    return S.csv_markdown(load(spark, sf_dir, "nation"), ["n_nationkey", "n_name", "n_regionkey"], "n_nationkey")
+
+
+@query("src_csv_pages", "select 1 as page, 'n_name | n_regionkey' as text union all select n_nationkey + 2, n_name || ' | ' || n_regionkey from nation")
+def src_csv_pages(spark, sf_dir):
+    return S.csv_pages(load(spark, sf_dir, "nation"), ["n_name", "n_regionkey"], "n_nationkey")
+
+
+@query(
+    "src_docx_blocks",
+    "select r_regionkey, r_name || chr(10) || chr(10) || '| n_nationkey | n_name |' || chr(10) || '| --- | --- |' || chr(10) || string_agg('| ' || n_nationkey || ' | ' || n_name || ' |', chr(10) order by n_nationkey) as text from region join nation on r_regionkey = n_regionkey group by r_regionkey, r_name",
+)
+def src_docx_blocks(spark, sf_dir):
+    from lectern.sources.office import blocks
+
+    rows = F.array_sort(F.collect_list(F.array(F.lpad(F.col("n_nationkey").cast("string"), 4, "0"), F.col("n_nationkey").cast("string"), "n_name")))
+    tables = load(spark, sf_dir, "nation").groupBy("n_regionkey").agg(F.transform(rows, lambda r: F.slice(r, 2, 2)).alias("rows"))
+    r = load(spark, sf_dir, "region").join(tables, F.col("r_regionkey") == F.col("n_regionkey"))
+    table = F.concat(F.array(F.array(F.lit("n_nationkey"), F.lit("n_name"))), F.col("rows"))
+    return r.select("r_regionkey", blocks(F.array("r_name", F.lit("  ")), F.array(table)).alias("text"))
+
+
+OCR = "select doc_id // 20 as file_id, doc_id % 5 as page_idx, doc_id, left(text, 40) as text, 'img/' || doc_id || '.png' as img_path from documents"
+
+
+def ocr(spark, sf_dir):
+    """OCR answers as JSON text: a list of items for each file."""
+    d = load(spark, sf_dir, "documents")
+    item = F.struct("doc_id", (F.col("doc_id") % 5).cast("int").alias("page_idx"), F.left("text", F.lit(40)).alias("text"), F.concat(F.lit("img/"), F.col("doc_id").cast("string"), F.lit(".png")).alias("img_path"))
+    return d.groupBy(F.expr("doc_id div 20").alias("file_id")).agg(F.to_json(F.array_sort(F.collect_list(item))).alias("content"))
+
+
+def ocr_items(spark, sf_dir):
+    from lectern.sources.office import ocr_content
+
+    return ocr_content(ocr(spark, sf_dir), "file_id", "content")
+
+
+@query("src_ocr_pages", f"with o as ({OCR}) select file_id, page_idx + 1 as page, string_agg(regexp_replace(text, '^\\s+|\\s+$', '', 'g'), chr(10) order by doc_id) as text from o where regexp_replace(text, '^\\s+|\\s+$', '', 'g') <> '' group by 1, 2")
+def src_ocr_pages(spark, sf_dir):
+    from lectern.sources.office import item_text
+
+    made = ocr_items(spark, sf_dir).withColumn("t", T.strip(item_text())).where("t <> ''")
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "t"))), lambda x: x["t"]), "\n")
+    return made.groupBy("file_id", "page").agg(text.alias("text"))
+
+
+@query("src_ocr_images", f"with o as ({OCR}) select file_id, doc_id || '.png' as name, page_idx + 1 as page from o where doc_id % 3 = 0 union all select distinct file_id, 'ohne.png', 1 from o")
+def src_ocr_images(spark, sf_dir):
+    items = ocr_items(spark, sf_dir)
+    named = items.where("cast(substring_index(substring_index(img_path, '/', -1), '.', 1) as long) % 3 = 0").select("file_id", F.substring_index("img_path", "/", -1).alias("name"))
+    images = named.unionByName(items.select("file_id", F.lit("ohne.png").alias("name")).distinct())
+    pages = items.select("file_id", F.substring_index("img_path", "/", -1).alias("name"), "page")
+    return images.join(pages, ["file_id", "name"], "left").select("file_id", "name", F.coalesce("page", F.lit(1)).alias("page"))
+
+
+@query("src_ocr_item_text", "select n_nationkey, n_name || chr(10) || 'Bild ' || n_nationkey || chr(10) || '| ' || n_regionkey || ' |' as text from nation")
+def src_ocr_item_text(spark, sf_dir):
+    from lectern.sources.office import item_text
+
+    n = load(spark, sf_dir, "nation").select("n_nationkey", F.col("n_name").alias("text"), F.array().cast("array<string>").alias("table_caption"), F.array(F.concat(F.lit("Bild "), F.col("n_nationkey").cast("string")), F.lit("")).alias("img_caption"), F.lit(None).cast("array<string>").alias("image_caption"), F.concat(F.lit("<table><tr><td>"), F.col("n_regionkey").cast("string"), F.lit("</td></tr></table>")).alias("table_body"))
+    return n.select("n_nationkey", item_text().alias("text"))
+
+
+@query("src_csv_dual_delim", "select n_nationkey, n_name as a, 'x;\"y' as b, n_regionkey::varchar as c, '' as d from nation")
+def src_csv_dual_delim(spark, sf_dir):
+    line = F.concat("n_name", F.lit(',"x;""y";'), F.col("n_regionkey").cast("string"), F.lit(","))
+    f = S.dual_delimiter_fields(line)
+    return load(spark, sf_dir, "nation").select("n_nationkey", *[F.get(f, i).alias(c) for i, c in enumerate("abcd")])
+
+
+@query("src_table_headers", "select r_regionkey, list_extract([r_name, 'Spalte 2', 'Spalte 3'], 1) as h1, 'Spalte 2' as h2, 'Spalte 3' as h3 from region")
+def src_table_headers(spark, sf_dir):
+    h = S.table_headers(F.array("r_name", F.lit("")), F.lit(3))
+    return load(spark, sf_dir, "region").select("r_regionkey", *[F.get(h, i).alias(f"h{i + 1}") for i in range(3)])
+
+
+@query(
+    "src_document_display",
+    f"with {NAMED} select doc_id, file_name as display_name, case lower(regexp_extract(file_name, '(\\.[^./]+)$', 1)) when '.pdf' then 'application/pdf' when '.txt' then 'text/plain' when '.md' then 'text/markdown' when '.csv' then 'text/csv' end as media_type from n",
+)
+def src_document_display(spark, sf_dir):
+    path = T.stored_path(F.sha2("text", 256), F.lit("uc"), F.col("file_name"))
+    shown = S.display_name(path)
+    return S.named_files(load(spark, sf_dir, "documents")).select("doc_id", shown.alias("display_name"), S.media_type(shown).alias("media_type"))
+
+
+@query("sink_content_address", "select doc_id, sha256(text) as file_hash, 'uc/' || sha256(text)[1:2] || '/' || sha256(text)[1:12] || '_a_b_' || doc_id || '.txt' as path from documents")
+def sink_content_address(spark, sf_dir):
+    digest = F.sha2("text", 256)
+    name = F.concat(F.lit("a/b\\"), F.col("doc_id").cast("string"), F.lit(".txt"))
+    return load(spark, sf_dir, "documents").select("doc_id", digest.alias("file_hash"), T.stored_path(digest, F.lit("uc"), name).alias("path"))
+
+
+@query("sink_csv_quote", "select doc_id, case when regexp_matches(left(text, 80), '[\",\\n\\r]') then '\"' || replace(left(text, 80), '\"', '\"\"') || '\"' else left(text, 80) end as field from documents")
+def sink_csv_quote(spark, sf_dir):
+    return load(spark, sf_dir, "documents").select("doc_id", T.csv_field(F.left("text", F.lit(80))).alias("field"))
+
+
+@query("sink_release_name", "select n_nationkey, n_name || '.x' || case when n_nationkey % 2 = 0 then '.released-anon' else '.released' end || '.csv' as name from nation")
+def sink_release_name(spark, sf_dir):
+    name = F.concat("n_name", F.lit(".x.xlsx"))
+    suffix = F.when(F.col("n_nationkey") % 2 == 0, ".released-anon").otherwise(".released")
+    return load(spark, sf_dir, "nation").select("n_nationkey", F.concat(F.regexp_replace(name, r"\.[^.]+$", ""), suffix, F.lit(".csv")).alias("name"))
+
+
+@query("sink_protocol_export", """select conv_id, turn, '{"role":"' || role || '"' || case when turn % 2 = 0 then ',"turn":' || turn else '' end || '}' as line from conversations""")
+def sink_protocol_export(spark, sf_dir):
+    # null fields are left out
+    row = F.struct("role", F.when(F.col("turn") % 2 == 0, F.col("turn")).alias("turn"), F.nullif(F.lit(""), F.lit("")).alias("empty"))
+    return load(spark, sf_dir, "conversations").select("conv_id", "turn", F.to_json(row).alias("line"))
+
+
+@query("cat_use_cases", "select * from (values ('gw_stpoelten', 'gw_cnc_steps', 1), ('neumann', 'neumann_machines', 1), ('ustp', 'ustp_default', 1), ('wiener_linien', 'wl_default', 2)) t(use_case, default_collection, roles)")
+def cat_use_cases(spark, sf_dir):
+    from lectern.operators.agents import USE_CASES
+
+    return spark.createDataFrame([(k, v["default_collection"], len(v["roles"])) for k, v in USE_CASES.items()], "use_case string, default_collection string, roles int")
