@@ -1 +1,186 @@
-"""Queries."""
+"""Queries on ranking, retrieval and citations."""
+
+from __future__ import annotations
+
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
+
+from lectern import providers
+from lectern.operators import ranking as R
+from lectern.operators.search import search
+from lectern.plans.registry import query
+from lectern.session import load
+
+WORDS = "regexp_extract_all(lower({}), '([\\p{{L}}\\p{{N}}_]+)', 1)"
+#: Pools of the test data: the benchmark item with the number of a document's hundred asks for that hundred.
+POOL = "d as (select doc_id // 25 as query_id, doc_id, text, doc_id % 25 as pos, 1.0 / (1 + doc_id % 7) as score from documents), q as (select item_id as query_id, text as query from benchmark), p as (select d.* from d join q using (query_id))"
+
+
+def pool(spark, sf_dir):
+    d = load(spark, sf_dir, "documents").select(F.expr("doc_id div 25").alias("query_id"), "doc_id", "text", (F.col("doc_id") % 25).alias("pos"), (F.lit(1.0) / (1 + F.col("doc_id") % 7)).alias("score"))
+    q = load(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
+    return d.join(q.select("query_id"), "query_id", "left_semi"), q
+
+
+BM25 = f"""{POOL}, t as (select query_id, doc_id, {WORDS.format('text')} as t from p), l as (select query_id, doc_id, len(t) as dl from t),
+    st as (select query_id, count(*) as n, avg(dl) as avgdl from l group by 1),
+    tf as (select query_id, doc_id, word, count(*) as tf from (select query_id, doc_id, unnest(t) as word from t) group by all),
+    df as (select query_id, word, count(*) as df from tf group by all),
+    i as (select query_id, word, avgdl, ln(n - df + 0.5) - ln(df + 0.5) as idf from df join st using (query_id)),
+    fl as (select query_id, avg(idf) * 0.25 as fl from i group by 1),
+    w as (select query_id, word, count(*) as times from (select query_id, unnest({WORDS.format('query')}) as word from q) group by all),
+    s as (select tf.query_id, tf.doc_id, sum(times * case when idf < 0 then fl else idf end * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))) as b from tf join i using (query_id, word) join fl using (query_id) join w using (query_id, word) join l using (query_id, doc_id) group by all),
+    b as (select l.query_id, l.doc_id, round(coalesce(s.b, 0), 6) as bm25 from l left join s using (query_id, doc_id))"""
+FUSED = f"""{BM25}, r as (select p.*, bm25, row_number() over (partition by query_id order by score desc, pos) as dense_rank, row_number() over (partition by query_id order by bm25 desc, pos) as sparse_rank from p join b using (query_id, doc_id)),
+    f as (select *, round(1.0 / (60 + dense_rank) + 1.0 / (60 + sparse_rank), 9) as rrf from r), h as (select *, row_number() over (partition by query_id order by rrf desc, dense_rank) as fused_rank from f)"""
+
+
+@query("rnk_tokenize", f"select doc_id, len({WORDS.format('text')})::int as n_tokens, array_to_string({WORDS.format('left(text, 60)')}, ' ') as head from documents")
+def rnk_tokenize(spark, sf_dir):
+    return load(spark, sf_dir, "documents").select("doc_id", F.size(R.tokens(F.col("text"))).alias("n_tokens"), F.array_join(R.tokens(F.left("text", F.lit(60))), " ").alias("head"))
+
+
+@query("rnk_bm25", f"with {BM25} select query_id, doc_id, round(bm25, 4) as bm25 from b")
+def rnk_bm25(spark, sf_dir):
+    p, q = pool(spark, sf_dir)
+    return R.bm25(p, q).withColumn("bm25", F.round("bm25", 4))
+
+
+@query("rnk_rrf", f"with {POOL}, r as (select query_id, doc_id, row_number() over (partition by query_id order by score desc, pos) as rank from p union all select query_id, doc_id, row_number() over (partition by query_id order by length(text) desc, pos) from p) select query_id, doc_id, round(sum(1.0 / (60 + rank)), 9) as rrf from r group by all")
+def rnk_rrf(spark, sf_dir):
+    p, _ = pool(spark, sf_dir)
+    rank = lambda *o: p.select("query_id", "doc_id", F.row_number().over(W.partitionBy("query_id").orderBy(*o, "pos")).alias("rank"))
+    return R.rrf(rank(F.desc("score")).unionByName(rank(F.desc(F.length("text")))))
+
+
+@query("rnk_hybrid_fuse", f"with {FUSED} select query_id, doc_id, dense_rank, sparse_rank, rrf, fused_rank from h")
+def rnk_hybrid_fuse(spark, sf_dir):
+    return R.hybrid_fuse(*pool(spark, sf_dir)).select("query_id", "doc_id", "dense_rank", "sparse_rank", "rrf", "fused_rank")
+
+
+@query("rnk_rerank_fallback", f"with {FUSED} select query_id, doc_id, fused_rank as rank, score as rerank_score, 'unranked' as relevance_label from h where fused_rank <= 15")
+def rnk_rerank_fallback(spark, sf_dir):
+    r = R.rerank(R.hybrid_fuse(*pool(spark, sf_dir)), None)
+    return r.select("query_id", "doc_id", F.col("rerank_rank").alias("rank"), "rerank_score", "relevance_label")
+
+
+@query(
+    "rnk_rerank_scored",
+    f"with {FUSED}, z as (select *, row_number() over (partition by query_id order by bm25 desc, fused_rank) as rank from h where fused_rank <= 25) select query_id, doc_id, rank, case when bm25 >= 3 then 'highly_relevant' when bm25 >= 0 then 'relevant' when bm25 >= -3 then 'marginally_relevant' else 'not_relevant' end as relevance_label from z where rank <= 15",
+)
+def rnk_rerank_scored(spark, sf_dir):
+    r = R.rerank(R.hybrid_fuse(*pool(spark, sf_dir)), lambda df: F.col("bm25"))
+    return r.select("query_id", "doc_id", F.col("rerank_rank").alias("rank"), "relevance_label")
+
+
+@query("rnk_label", "select c_custkey, case when c_acctbal / 1000 >= 3 then 'highly_relevant' when c_acctbal / 1000 >= 0 then 'relevant' when c_acctbal / 1000 >= -3 then 'marginally_relevant' else 'not_relevant' end as label from customer")
+def rnk_label(spark, sf_dir):
+    return load(spark, sf_dir, "customer").select("c_custkey", R.relevance(F.col("c_acctbal") / 1000).alias("label"))
+
+
+@query("rnk_threshold_split", f"with {POOL} select query_id, count(*) filter (score >= 0.3) as above, count(*) filter (score < 0.3) as below, bool_or(score >= 0.3) as passed from p group by 1")
+def rnk_threshold_split(spark, sf_dir):
+    good = F.col("score") >= 0.3
+    return pool(spark, sf_dir)[0].groupBy("query_id").agg(F.count_if(good).alias("above"), F.count_if(~good).alias("below"), F.bool_or(good).alias("passed"))
+
+
+@query("rnk_dedup_prefix", "with k as (select doc_id, regexp_replace(left(text, 150), '^\\s+|\\s+$', '', 'g') as k, 0 as query_id from documents), r as (select *, row_number() over (partition by k order by doc_id) as n from k) select doc_id from r where n = 1 or k = ''")
+def rnk_dedup_prefix(spark, sf_dir):
+    d = load(spark, sf_dir, "documents").select("doc_id", "text", F.lit(0).alias("query_id"))
+    return R.dedup_prefix(d, rank="doc_id").select("doc_id")
+
+
+@query("rnk_observation", "select doc_id, '[' || doc_id || '] (' || source || case when doc_id % 4 > 0 then ', S. ' || doc_id % 4 else '' end || ') ' || left(text, 300) as line from documents")
+def rnk_observation(spark, sf_dir):
+    return load(spark, sf_dir, "documents").select("doc_id", R.observation(F.col("doc_id"), F.col("source"), F.col("doc_id") % 4, F.col("text")).alias("line"))
+
+
+@query("rnk_pool_format", "select doc_id, '[' || doc_id || '] (' || source || ') ' || left(text, 400) as line from documents")
+def rnk_pool_format(spark, sf_dir):
+    return load(spark, sf_dir, "documents").select("doc_id", R.observation(F.col("doc_id"), F.col("source"), F.lit(None).cast("int"), F.col("text"), 400).alias("line"))
+
+
+@query("rnk_sufficiency", f"with {POOL}, n as (select query_id, count(*) filter (score >= 0.5) as n from p where pos % 25 < query_id % 9 group by 1) select query_id, n >= 2 as sufficient, case when n >= 2 then n || ' Chunks über Threshold 0.5' else 'Nur ' || n || case when n = 1 then ' Chunk' else ' Chunks' end || ' über Threshold 0.5, mindestens 2 benötigt' end as reason, case when n >= 2 then 'proceed' else 'refine_query' end as recommended_action from n")
+def rnk_sufficiency(spark, sf_dir):
+    return R.sufficiency(pool(spark, sf_dir)[0].where("pos % 25 < query_id % 9"), "query_id")
+
+
+@query("rnk_refine_hint", "with t as (select doc_id, list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> '')[1:5] as w, source from documents) select doc_id, array_to_string(w, ' ') || ' ' || source || ' bohren' as hint from t where not list_contains(w, source) and not list_contains(w, 'bohren') and len(w) > 0")
+def rnk_refine_hint(spark, sf_dir):
+    w = F.slice(F.filter(F.split("text", r"\s+"), lambda x: x != ""), 1, 5)
+    d = load(spark, sf_dir, "documents").where(~F.array_contains(w, F.col("source")) & ~F.array_contains(w, F.lit("bohren")) & (F.size(w) > 0))
+    values = F.array("source", F.lit(None).cast("string"), F.lit("bohren"), "source")
+    return d.select("doc_id", R.refine_hint(F.col("text"), values).alias("hint"))
+
+
+@query(
+    "rnk_merge_chunks",
+    "with d as (select doc_id // 50 as key, doc_id, regexp_replace(text, '^\\s+|\\s+$', '', 'g') as t, (doc_id * 7 % 11) / 10.0 as score from documents), g as (select key, left(t, 200) as k, min(doc_id) as pos, max(score) as score from d where t <> '' group by 1, 2) select key, pos, score, row_number() over (partition by key order by pos) as rank from g",
+)
+def rnk_merge_chunks(spark, sf_dir):
+    d = load(spark, sf_dir, "documents").select(F.expr("doc_id div 50").alias("key"), F.col("doc_id").alias("pos"), "text", ((F.col("doc_id") * 7 % 11) / 10).alias("score"))
+    return R.merged_pool(d, "key").select("key", "pos", "score", "rank")
+
+
+@query("cit_map", "with a as (select conv_id, turn, text, turn + 1 as rank from conversations), s as (select conv_id, max(turn) + 1 as n from conversations group by 1) select s.conv_id, o as \"order\", '[' || (o + 1) || ']' as ref, left(a.text, 200) as excerpt from s, unnest([0, 1, 2]) t(o) join a on a.conv_id = s.conv_id and a.rank = o + 1 and o + 1 <= 2")
+def cit_map(spark, sf_dir):
+    c = load(spark, sf_dir, "conversations")
+    answers = c.select("conv_id").distinct().withColumn("answer", F.lit("Erst [1], dann [02] und [2], nie [0] oder [9999]."))
+    return R.citations(answers, c.select("conv_id", (F.col("turn") + 1).alias("rank"), F.left("text", F.lit(200)).alias("excerpt")), "conv_id").select("conv_id", "order", "ref", "excerpt")
+
+
+@query("cit_strip_unresolved", "select conv_id, turn, case when turn % 2 = 0 then 'Laut [1] gilt das. Ende' else 'Laut [1] gilt [2] das (Quelle ).' end as answer from conversations")
+def cit_strip_unresolved(spark, sf_dir):
+    answer = F.when(F.col("turn") % 2 == 0, "Laut [1] gilt  [7] das (siehe [8]). Ende [99]").otherwise("Laut [1] gilt [2] das (Quelle ).")
+    return load(spark, sf_dir, "conversations").select("conv_id", "turn", R.strip_unresolved(answer, F.array(F.lit(1), F.lit(2)).cast("array<long>")).alias("answer"))
+
+
+@query("cit_badges", "select conv_id, turn, regexp_replace(left(text, 30) || ' [' || (turn + 1) || ']', '\\[(\\d+)\\]', '<span class=\"cite\">\\1</span>', 'g') as html from conversations")
+def cit_badges(spark, sf_dir):
+    t = F.concat(F.left("text", F.lit(30)), F.format_string(" [%d]", F.col("turn") + 1))
+    return load(spark, sf_dir, "conversations").select("conv_id", "turn", F.regexp_replace(t, r"\[(\d+)\]", '<span class="cite">$1</span>').alias("html"))
+
+
+@query("diag_file_counts", "select source, count(*) as hits from documents group by 1")
+def diag_file_counts(spark, sf_dir):
+    return load(spark, sf_dir, "documents").groupBy("source").agg(F.count("*").alias("hits"))
+
+
+@query(
+    "diag_retrieval",
+    "with f as (select file_id, min(r) filter (lower(text) like '%the%' and lower(text) like '%that%') as rank from (select file_id, text, row_number() over (partition by doc_id // 50 order by doc_id) as r from (select *, doc_id // 50 as file_id from documents)) group by 1) select file_id, rank, case when rank is null then 'extraction' when rank > 7 then 'borderline' else 'ok' end as verdict from f",
+)
+def diag_retrieval(spark, sf_dir):
+    low = F.lower("text")
+    d = load(spark, sf_dir, "documents").withColumn("file_id", F.expr("doc_id div 50")).withColumn("r", F.row_number().over(W.partitionBy("file_id").orderBy("doc_id")))
+    rank = d.groupBy("file_id").agg(F.min(F.when(low.contains("the") & low.contains("that"), F.col("r"))).alias("rank"))
+    return rank.withColumn("verdict", F.when(F.col("rank").isNull(), "extraction").when(F.col("rank") > 7, "borderline").otherwise("ok"))
+
+
+@query("diag_extraction", "select doc_id, length(text) as chars, (length(text) - length(replace(lower(text), 'the', ''))) // 3 as keyword_hits, case when length(text) < 2000 then 'nothing_extracted' when lower(text) not like '%the%' then 'content_missing' else 'chunker_drops_it' end as verdict from documents where length(lower(text)) = length(text)")
+def diag_extraction(spark, sf_dir):
+    n = F.regexp_count(F.lower("text"), F.lit("the"))
+    d = load(spark, sf_dir, "documents").where("length(lower(text)) = length(text)")
+    return d.select("doc_id", F.length("text").cast("long").alias("chars"), n.cast("long").alias("keyword_hits"), F.when(F.length("text") < 2000, "nothing_extracted").when(n == 0, "content_missing").otherwise("chunker_drops_it").alias("verdict"))
+
+
+@query("diag_similarity", "select item_id, gap > 0.2 and near > 0.5 as healthy from (select item_id, 1.0 as near, 1.0 as gap from benchmark)")
+def diag_similarity(spark, sf_dir):
+    from lectern.operators.vectors import cosine
+
+    b = load(spark, sf_dir, "benchmark")
+    near = cosine(providers.embed(F.col("text")), providers.embed(F.concat(F.lit(" "), "text")))
+    far = cosine(providers.embed(F.col("text")), providers.embed(F.lit("0")))
+    return b.select("item_id", ((near > 0.5) & (near - far > 0.2)).alias("healthy"))
+
+
+def search_points(spark, sf_dir):
+    """Documents as points of a collection for each language, with the default embedder."""
+    d = load(spark, sf_dir, "documents")
+    return d.select(F.concat(F.lit("wl_"), "lang").alias("collection"), "doc_id", F.col("source").alias("file_name"), (F.col("doc_id") % 5).alias("page"), "text", providers.embed(F.col("text")).alias("vector"))
+
+
+@query("search_pipeline")
+def search_pipeline(spark, sf_dir):
+    queries = load(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
+    return search(search_points(spark, sf_dir), queries)
