@@ -53,20 +53,27 @@ def forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             size = 0
     if held:
         a, b = shrunk()
+        if not len(a):
+            return
         yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], schema=PAIR)
 
 
+#: So many edges are contracted by one task (16 bytes each); more go through rounds of star contractions.
+TASK_EDGES = 1_000_000
+
+
 def connected_components(edges: DataFrame) -> DataFrame:
     """(node, component) for every node of ``edges`` (a, b: long) that is not the smallest of its component.
 
-    Each partition first shrinks to a spanning forest; then large-star and small-star
-    steps run until the edges stay the same.  Sums and minima are combined before the
+    Each partition first shrinks to a spanning forest.  While more than TASK_EDGES edges
+    are left, large-star and small-star steps run, until the edges stay the same; what
+    one task can hold is finished by one task.  Sums and minima are combined before the
     shuffle, and joins may be split by Spark, so a hub of any degree does no harm.
     """
     spark = edges.sparkSession
-    now, path = written(edges.where("a <> b").mapInArrow(forest, "a long, b long").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
-    mark = _mark(now)
-    while mark[0]:
+    now, path = written(edges.where("a <> b").mapInArrow(forest, "a long, b long").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")), "edges")
+    mark: tuple = ()
+    while (size := now.count()) > TASK_EDGES:
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
         large = both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
@@ -76,12 +83,11 @@ def connected_components(edges: DataFrame) -> DataFrame:
         new, new_path = written(small, "edges")
         removed(spark, mid_path)
         removed(spark, path)
-        now, path, before, mark = new, new_path, mark, _mark(new)
+        now, path, before, mark = new, new_path, mark, tuple(new.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b"))).first())
         if mark == before:
             break
+    if size <= TASK_EDGES:
+        done, _ = written(now.coalesce(1).mapInArrow(forest, "a long, b long"), "components")
+        removed(spark, path)
+        now = done
     return now.select(F.col("a").alias("node"), F.col("b").alias("component"))
-
-
-def _mark(edges: DataFrame) -> tuple:
-    got = edges.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b"))).first()
-    return got[0], got[1]
