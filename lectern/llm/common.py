@@ -10,6 +10,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 MASK = (1 << 64) - 1
 
@@ -109,3 +110,34 @@ def shingle_hashes(words: np.ndarray, k: int) -> np.ndarray:
 #: ASCII whitespace is what bytes.split() splits at: \x20 and \x09-\x0D; bytes.lower() changes A-Z only.
 def lower_words(text: str) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").lower().split()
+
+
+#: A bitmap has 16 bits for each entry, but not more than 2**BITMAP bits (32 MB); beyond that it lets more rows pass.
+BITMAP = 28
+
+
+def bitmap_of(hashes: DataFrame) -> np.ndarray:
+    """Bits of the low bits of hashes (one long column). It is built in pieces on the executors; its size is bounded."""
+    bits = int(np.clip(np.ceil(np.log2(16 * max(1, hashes.count()))), 18, BITMAP))
+    mask = np.uint64((1 << bits) - 1)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pieces: dict[int, np.ndarray] = {}
+        for batch in batches:
+            at = batch.column(0).to_numpy().view(np.uint64) & mask
+            for piece in np.unique(at >> np.uint64(15)).tolist():
+                of = (at[at >> np.uint64(15) == piece] & np.uint64(32767)).astype(np.int64)
+                pieces.setdefault(piece, np.zeros(32768, bool))[of] = True
+        yield pa.RecordBatch.from_arrays([pa.array(list(pieces), pa.int64()), pa.array([np.packbits(x).tobytes() for x in pieces.values()], pa.binary())], names=["piece", "bits"])
+
+    piece = F.shiftright(F.col(hashes.columns[0]).bitwiseAND(F.lit(int(mask))), 15)
+    got = hashes.repartition(partitions(hashes.sparkSession), piece).mapInArrow(run, "piece long, bits binary").toArrow()
+    out = np.zeros((1 << bits) // 8, np.uint8)
+    for p, b in zip(got.column("piece").to_pylist(), got.column("bits").to_pylist(), strict=True):
+        out[p * 4096 : (p + 1) * 4096] |= np.frombuffer(b, np.uint8)
+    return out
+
+
+def in_bitmap(bitmap: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    at = hashes.view(np.uint64) & np.uint64(len(bitmap) * 8 - 1)
+    return (bitmap[at >> np.uint64(3)] >> (np.uint64(7) - (at & np.uint64(7))).astype(np.uint8) & 1).astype(bool)

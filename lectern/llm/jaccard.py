@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import lower_words, mixed, partitions, removed, shingle_hashes, word_hashes, written
+from .common import bitmap_of, in_bitmap, lower_words, mixed, partitions, removed, shingle_hashes, word_hashes, written
 from .components import connected_components, roots
 
 #: Empty parts that a set may have before it needs a key of its own.
@@ -199,6 +199,17 @@ def _chained(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
 
+def _in_some_cluster(docs: DataFrame, bitmap: np.ndarray) -> DataFrame:
+    shared = docs.sparkSession.sparkContext.broadcast(bitmap)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = pa.array(in_bitmap(shared.value, batch.column(0).to_numpy()))
+            yield pa.RecordBatch.from_arrays([batch.column(1).filter(keep), batch.column(2).filter(keep)], names=["rep", "text"])
+
+    return docs.mapInArrow(run, "rep long, text string")
+
+
 class Tree:
     """Levels of nodes over documents in the given order; level 0 is the documents themselves."""
 
@@ -385,7 +396,9 @@ def similar_documents(docs: DataFrame, k: int = 3, num: int = 90, den: int = 100
     counted = member.groupBy("cluster").agg(F.count("*").alias("docs"), F.sum("n").alias("tokens")).where("docs > 1")
     counted = counted.select("cluster", F.greatest(F.ceil(F.col("docs") / BLOCK_DOCS), F.ceil(F.col("tokens") / BLOCK_TOKENS), F.lit(1)).cast("long").alias("blocks"))
     placed = member.join(counted, "cluster").select("rep", "s1", "s2", "copies", "cluster", "blocks", F.pmod(F.xxhash64("s1", "s2"), F.col("blocks")).alias("block"))
-    shipped = docs.select(F.col("doc_id").cast("long").alias("rep"), "text").join(placed, "rep").mapInArrow(_shipper(k), "cluster long, bi long, bj long, block long, rep long, s1 long, s2 long, copies long, tokens binary")
+    # texts of other documents are not shuffled; both sides grow with the data, so neither is broadcast
+    some = _in_some_cluster(docs.select(F.xxhash64(F.col("doc_id").cast("long")).alias("h"), F.col("doc_id").cast("long").alias("rep"), "text"), bitmap_of(member.select(F.xxhash64("rep"))))
+    shipped = some.join(placed.hint("merge"), "rep").mapInArrow(_shipper(k), "cluster long, bi long, bj long, block long, rep long, s1 long, s2 long, copies long, tokens binary")
     links, links_path = written(shipped.repartition(wide, "cluster", "bi", "bj").sortWithinPartitions("cluster", "bi", "bj").mapInArrow(_joiner(num, den), "rep long, root long, links long"), "links")
     component = connected_components(links.select(F.col("rep").alias("a"), F.col("root").alias("b")))
     removed(spark, member_path)

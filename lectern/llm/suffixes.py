@@ -6,7 +6,7 @@ positions in all of its copies.  Inside a stretch that repeats itself every few
 the ends are kept, and positions at fixed steps from its begin.  The suffix array
 is sparse: it has the suffixes that start at minimisers, each with the words before it.
 Suffixes whose first KGRAM words occur once have no neighbour to match; a bitmap of the
-grams that occur again, of at most 2**BITMAP bits, leaves most of them out.
+grams that occur again, of bounded size, leaves most of them out.
 
 Suffixes are sorted by their words, then by the words before them in reverse, over
 range partitions, so equal suffixes may fill any number of partitions.  Each is compared
@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mixed, partitions, removed, shingle_hashes, word_hashes, written
+from .common import bitmap_of, in_bitmap, mixed, partitions, removed, shingle_hashes, word_hashes, written
 
 #: Words of a passage, of a gram, and grams in a window: LEAST = WINDOW + KGRAM - 1.
 LEAST, KGRAM = 50, 19
@@ -42,8 +42,6 @@ BEFORE, AFTER = WINDOW - 1, LEAST
 REACH = 4
 #: Periods, in words, of stretches inside which positions are kept at fixed steps.
 PERIODS = range(1, 9)
-#: A bitmap has 16 bits for each entry, but not more than 2**BITMAP bits (32 MB); beyond that it lets more rows pass.
-BITMAP = 28
 
 
 def minimisers(grams: np.ndarray) -> np.ndarray:
@@ -108,34 +106,6 @@ def _starts(docs: DataFrame) -> DataFrame:
     return docs.select("text").mapInArrow(run, "start long, n long").groupBy("start").agg(F.sum("n").alias("n")).where("n > 1").select("start")
 
 
-def _bitmap(starts: DataFrame) -> np.ndarray:
-    """Bits of the starts' low bits. It is built in pieces on the executors; its size is bounded."""
-    bits = int(np.clip(np.ceil(np.log2(16 * max(1, starts.count()))), 18, BITMAP))
-    mask = np.uint64((1 << bits) - 1)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces: dict[int, np.ndarray] = {}
-        for batch in batches:
-            at = batch.column(0).to_numpy().view(np.uint64) & mask
-            for piece in np.unique(at >> np.uint64(15)).tolist():
-                of = (at[at >> np.uint64(15) == piece] & np.uint64(32767)).astype(np.int64)
-                held = pieces.setdefault(piece, np.zeros(32768, bool))
-                held[of] = True
-        yield pa.RecordBatch.from_arrays([pa.array(list(pieces), pa.int64()), pa.array([np.packbits(x).tobytes() for x in pieces.values()], pa.binary())], names=["piece", "bits"])
-
-    piece = F.shiftright(F.col("start").bitwiseAND(F.lit(int(mask))), 15)
-    got = starts.repartition(partitions(starts.sparkSession), piece).mapInArrow(run, "piece long, bits binary").toArrow()
-    out = np.zeros((1 << bits) // 8, np.uint8)
-    for p, b in zip(got.column("piece").to_pylist(), got.column("bits").to_pylist(), strict=True):
-        out[p * 4096 : (p + 1) * 4096] |= np.frombuffer(b, np.uint8)
-    return out
-
-
-def _in_bitmap(bitmap: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    at = starts.view(np.uint64) & np.uint64(len(bitmap) * 8 - 1)
-    return (bitmap[at >> np.uint64(3)] >> (np.uint64(7) - (at & np.uint64(7))).astype(np.uint8) & 1).astype(bool)
-
-
 SUFFIX = "start long, right binary, left binary, doc_id long, pos long"
 MATCH = "start long, doc_id long, first long, last long, other long"
 
@@ -156,7 +126,7 @@ def _array(docs: DataFrame, bitmap: np.ndarray) -> DataFrame:
                 part = batch.slice(lo, 200)
                 for doc, t in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
                     words, start, at = _suffixes(t or "")
-                    keep = _in_bitmap(shared.value, start)
+                    keep = in_bitmap(shared.value, start)
                     if keep.any():
                         around = _context(words, at[keep])
                         yield pa.RecordBatch.from_arrays([pa.array(start[keep].view(np.int64)), _rows(around[:, BEFORE:]), _rows(around[:, :BEFORE][:, ::-1]), pa.array(np.full(keep.sum(), doc, np.int64)), pa.array(at[keep])], names=[x.split()[0] for x in SUFFIX.split(", ")])
@@ -226,7 +196,7 @@ def _windows(suffixes: DataFrame, bitmap: np.ndarray) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = _in_bitmap(shared.value, batch.column(0).to_numpy())
+            keep = in_bitmap(shared.value, batch.column(0).to_numpy())
             part = batch.filter(pa.array(keep))
             if not part.num_rows:
                 continue
@@ -278,11 +248,11 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     wide = partitions(spark)
     starts, starts_path = written(_starts(docs), "starts")
-    suffixes, suffixes_path = written(_array(docs, _bitmap(starts)), "suffixes")
+    suffixes, suffixes_path = written(_array(docs, bitmap_of(starts)), "suffixes")
     removed(spark, starts_path)
     order = ["start", "right", "left", "doc_id", "pos"]
     matches, _ = written(suffixes.repartitionByRange(wide, *order).sortWithinPartitions(*order).mapInArrow(_neighbours, MATCH), "matches")
-    windows, _ = written(_windows(suffixes, _bitmap(matches.where("first is null").select("start").distinct())), "windows")
+    windows, _ = written(_windows(suffixes, bitmap_of(matches.where("first is null").select("start").distinct())), "windows")
     removed(spark, suffixes_path)
     shared = windows.groupBy("window").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a <> b")
     exact = windows.join(shared, "window").select("doc_id", "first", (F.col("first") + LEAST).alias("last"), F.when(F.col("doc_id") == F.col("a"), F.col("b")).otherwise(F.col("a")).alias("other"))
