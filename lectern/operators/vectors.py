@@ -7,8 +7,11 @@ go by id, so that results are the same on any plan.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -63,20 +66,59 @@ def top_k(points: DataFrame, query: list[float], k: int = 5, id_column: str = "v
     return found.orderBy(F.desc("score"), id_column).limit(k)
 
 
-def top_k_batch(points: DataFrame, queries: DataFrame, k: int, query_id: str, query_vector: str, id_column: str = "vec_id", vector: str = "embedding", per: list[str] | None = None) -> DataFrame:
-    """The k most similar points for each query (and each value of ``per``), with their rank.
+def top_k_batch(points: DataFrame, queries: DataFrame, k: int, query_id: str, query_vector: str, id_column: str = "vec_id", vector: str = "embedding", per: list[str] | None = None, keep: list[str] | None = None) -> DataFrame:
+    """query_id, id, score, rank (and the ``per`` and ``keep`` columns) of the k most similar points for each query and each value of ``per``.
 
-    Queries go to all points in blocks of QUERY_BLOCK rows, by number; each task keeps k
-    rows of a query before the shuffle.
+    Queries are sent to all points in blocks of QUERY_BLOCK rows.  A batch of points is
+    scored by one matrix product, and only its best k (and ties) for each query go on to
+    the shuffle.  Vectors without length score 0.
     """
-    n = queries.count()
-    out = None
-    numbered = queries.select(query_id, F.col(query_vector).alias("_q")).withColumn("_block", F.pmod(F.xxhash64(query_id), F.lit(max(1, -(-n // QUERY_BLOCK)))))
-    for block in range(max(1, -(-n // QUERY_BLOCK))):
-        part = numbered.where(F.col("_block") == block).drop("_block")
-        scored = points.crossJoin(F.broadcast(part)).withColumn("score", F.round(cosine(F.col(vector), F.col("_q")), 6)).drop("_q", vector)
-        rank = F.row_number().over(W.partitionBy(query_id, *(per or [])).orderBy(F.desc("score"), id_column))
-        found = scored.withColumn("rank", rank).where(F.col("rank") <= k)
+    group, more = per or [], keep or []
+    types = {f.name: f.dataType.simpleString() for f in points.schema} | {query_id: queries.schema[query_id].dataType.simpleString()}
+    names = [query_id, id_column, *group, *more]
+    schema = ", ".join(f"{n} {types[n]}" for n in names) + ", score double"
+    kind = pa.int64() if types[query_id] in ("int", "bigint") else pa.string()
+    schema = schema.replace(f"{query_id} int,", f"{query_id} bigint,")
+    out, ids, held = None, [], []
+
+    def searched() -> DataFrame:
+        wanted = np.array(held, np.float64)
+        wanted /= np.maximum(np.linalg.norm(wanted, axis=1, keepdims=True), 1e-300)
+        shared = points.sparkSession.sparkContext.broadcast((list(ids), wanted))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            of, matrix = shared.value
+            for batch in batches:
+                for lo in range(0, batch.num_rows, 2000):
+                    part = batch.slice(lo, 2000)
+                    rows = np.array(part.column(part.num_columns - 1).to_pylist(), np.float64)
+                    rows /= np.maximum(np.linalg.norm(rows, axis=1, keepdims=True), 1e-300)
+                    score = np.round(rows @ matrix.T, 6)
+                    columns = [part.column(1 + i).to_pylist() for i in range(len(group))]
+                    members: dict[tuple, list[int]] = {}
+                    for i, g in enumerate(zip(*columns, strict=True) if group else [()] * part.num_rows):
+                        members.setdefault(g, []).append(i)
+                    for at in members.values():
+                        s = score[at]
+                        least = np.partition(s, -k, axis=0)[-k] if len(at) > k else np.full(len(of), -np.inf)
+                        r, q = np.nonzero(s >= least)
+                        take = pa.array(np.array(at)[r])
+                        yield pa.RecordBatch.from_arrays([pa.array([of[i] for i in q], kind), *(part.column(i).take(take) for i in range(part.num_columns - 1)), pa.array(s[r, q])], names=[*names, "score"])
+
+        found = points.select(id_column, *group, *more, vector).mapInArrow(run, schema)
+        rank = F.row_number().over(W.partitionBy(query_id, *group).orderBy(F.desc("score"), id_column))
+        return found.withColumn("rank", rank).where(F.col("rank") <= k)
+
+    for row in queries.select(query_id, query_vector).toLocalIterator():
+        ids.append(row[0])
+        held.append(row[1])
+        if len(ids) == QUERY_BLOCK:
+            found = searched()
+            out, ids, held = found if out is None else out.unionByName(found), [], []
+    if ids or out is None:
+        if not ids:
+            return points.sparkSession.createDataFrame([], schema + ", rank int")
+        found = searched()
         out = found if out is None else out.unionByName(found)
     return out
 

@@ -1 +1,203 @@
-"""Queries."""
+"""Queries on agent text, plans and histories."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from lectern.functions.text import strip
+from lectern.operators import agents as A
+from lectern.plans.registry import query
+from lectern.session import load
+
+TEXT = F.col("text")
+STRIP = r"regexp_replace({}, '^\s+|\s+$', '', 'g')"
+
+
+def messages(spark, sf_dir):
+    return load(spark, sf_dir, "conversations")
+
+
+def sql_text(s: str) -> str:
+    return "'" + s.replace("'", "''").replace("\n", "' || chr(10) || '") + "'"
+
+
+@query(
+    "agt_enrich_query",
+    f"""with u as (select conv_id, string_agg('- ' || text, chr(10) order by turn) as lines from conversations where role = 'user' group by 1), c as (select distinct conv_id from conversations)
+    select conv_id, case when conv_id % 3 = 0 or lines is null then 'und bei Modell ' || conv_id || case when conv_id % 3 = 0 then ' und den anderen sieben neueren Modellen dieser Reihe' else '' end else {sql_text(A.CONTEXT_HEAD)} || lines || chr(10) || '- und bei Modell ' || conv_id || {sql_text(A.CONTEXT_TAIL)} end as query from c left join u using (conv_id)""",
+)
+def agt_enrich_query(spark, sf_dir):
+    m = messages(spark, sf_dir)
+    said = F.transform(F.array_sort(F.collect_list(F.when(F.col("role") == "user", F.struct("turn", "text")))), lambda x: x["text"])
+    q = F.concat(F.lit("und bei Modell "), F.col("conv_id").cast("string"), F.when(F.col("conv_id") % 3 == 0, " und den anderen sieben neueren Modellen dieser Reihe").otherwise(""))
+    return m.groupBy("conv_id").agg(said.alias("said")).select("conv_id", A.enrich_query(q, F.col("said")).alias("query"))
+
+
+@query("agt_history_window", "with r as (select conv_id, turn, role, row_number() over (partition by conv_id order by turn desc) as n from conversations) select conv_id, turn, role from r where n <= 6")
+def agt_history_window(spark, sf_dir):
+    return A.history_window(messages(spark, sf_dir), "conv_id", "turn").select("conv_id", "turn", "role")
+
+
+@query("agt_prior_user", "with r as (select conv_id, text, turn, row_number() over (partition by conv_id order by turn desc) as n from conversations where role = 'user') select conv_id, string_agg('- ' || text, chr(10) order by turn) as prior from r where n <= 2 group by 1")
+def agt_prior_user(spark, sf_dir):
+    last = A.history_window(messages(spark, sf_dir).where("role = 'user'"), "conv_id", "turn", 2)
+    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", "text"))), lambda x: F.concat(F.lit("- "), x["text"])), "\n")
+    return last.groupBy("conv_id").agg(joined.alias("prior"))
+
+
+RESPONSE = F.when(F.col("turn") % 3 == 0, F.concat(F.lit("THOUGHT: denke "), F.col("turn").cast("string"), F.lit('\nACTION: SEARCH({"query": "a } b", "f": {"x": '), F.col("conv_id").cast("string"), F.lit("}}) rest"))).when(F.col("turn") % 3 == 1, F.lit("ACTION: CLARIFY()")).otherwise(F.concat(F.lit("Antwort "), F.col("conv_id").cast("string")))
+
+
+@query(
+    "agt_parse_action",
+    """select conv_id, turn, case turn % 3 when 0 then 'denke ' || turn when 1 then '' else 'Antwort ' || conv_id end as thought, case turn % 3 when 0 then 'SEARCH' when 1 then 'CLARIFY' else 'FINAL_ANSWER' end as action,
+    case turn % 3 when 0 then '{"query": "a } b", "f": {"x": ' || conv_id || '}}' when 1 then '{}' else '{"answer":"Antwort ' || conv_id || '"}' end as args from conversations""",
+)
+def agt_parse_action(spark, sf_dir):
+    return messages(spark, sf_dir).select("conv_id", "turn", A.parse_action(RESPONSE).alias("p")).select("conv_id", "turn", "p.thought", "p.action", "p.args")
+
+
+@query("agt_extract_json", """select conv_id, turn, '{"a": "' || turn || ' \\" {", "b": [{}]}' as found from conversations""")
+def agt_extract_json(spark, sf_dir):
+    text = F.concat(F.lit('vor {"a": "'), F.col("turn").cast("string"), F.lit(' \\" {", "b": [{}]} nach }'))
+    return messages(spark, sf_dir).select("conv_id", "turn", A.balanced_json(text, F.lit(1)).alias("found"))
+
+
+@query(
+    "agt_normalise_plan",
+    f"""select conv_id, turn, case when turn % 3 < 2 then 'weil' else {sql_text(A.FALLBACK_RATIONALE)} end as rationale, case turn % 3 when 0 then 'comparative' when 1 then 'complementary' else 'fallback' end as merge_strategy,
+    case turn % 3 when 0 then 2 when 1 then 1 else 1 end as n, case turn % 3 when 0 then 'procedure' else 'facts' end as first_role, case turn % 3 when 2 then 'frage ' || conv_id else 'q1' end as first_query from conversations""",
+)
+def agt_normalise_plan(spark, sf_dir):
+    plan = F.when(F.col("turn") % 3 == 0, F.lit('{"rationale": " weil ", "merge_strategy": "comparative", "subtasks": [{"role": "procedure", "sub_query": " q1"}, {"role": "x", "sub_query": ""}, {"role": "context", "sub_query": "q3"}, {"role": "facts", "sub_query": "q4"}]}'))
+    plan = plan.when(F.col("turn") % 3 == 1, F.lit('{"rationale": "weil", "merge_strategy": "?", "subtasks": [{"role": "x", "sub_query": "q1"}]}')).otherwise("kein json")
+    p = A.normalise_plan(plan, F.concat(F.lit("frage "), F.col("conv_id").cast("string")))
+    made = messages(spark, sf_dir).select("conv_id", "turn", p.alias("p"))
+    return made.select("conv_id", "turn", "p.rationale", "p.merge_strategy", F.size("p.subtasks").alias("n"), F.col("p.subtasks")[0]["role"].alias("first_role"), F.col("p.subtasks")[0]["sub_query"].alias("first_query"))
+
+
+@query("agt_no_info", "select conv_id, turn, turn % 4 <> 3 as no_info from conversations where lower(left(text, 40)) not like '%keine%' and lower(left(text, 40)) not like '%nicht%'")
+def agt_no_info(spark, sf_dir):
+    said = F.element_at(F.array(F.lit("  "), F.lit("Es liegen keine Daten zu Modell 3 vor."), F.lit("Das ist nicht dokumentiert."), F.left("text", F.lit(40))), (F.col("turn") % 4 + 1).cast("int"))
+    m = messages(spark, sf_dir).where("lower(left(text, 40)) not like '%keine%' and lower(left(text, 40)) not like '%nicht%'")
+    return m.select("conv_id", "turn", (A.no_info(said) | (strip(said) == "")).alias("no_info"))
+
+
+@query("agt_broaden_query", "select conv_id, turn, 'Druck im Ventil ' || turn || ' (hoch) neu' as query from conversations")
+def agt_broaden_query(spark, sf_dir):
+    q = F.concat(F.lit("Druck im Ventil "), F.col("turn").cast("string"))
+    return messages(spark, sf_dir).select("conv_id", "turn", A.broaden(q, F.lit('druck, "ventil" (hoch) !! HOCH neu')).alias("query"))
+
+
+@query(
+    "agt_guard_decision",
+    """with c as (select conv_id, turn, list_extract(['SEARCH', 'FINAL_ANSWER', 'CLARIFY', 'FINAL_ANSWER'], turn % 4 + 1) as a, turn % 4 = 3 as empty, turn > 1 as searched, conv_id % 2 = 0 as retried from conversations)
+    select conv_id, turn, case when not searched and a in ('FINAL_ANSWER', 'CLARIFY') then 'SEARCH' when a = 'FINAL_ANSWER' and not retried and empty then 'REFINE_QUERY' else a end as action from c""",
+)
+def agt_guard_decision(spark, sf_dir):
+    a = F.element_at(F.array(*[F.lit(x) for x in ("SEARCH", "FINAL_ANSWER", "CLARIFY", "FINAL_ANSWER")]), (F.col("turn") % 4 + 1).cast("int"))
+    answer = F.when(F.col("turn") % 4 == 3, "").otherwise("Ja.")
+    return messages(spark, sf_dir).select("conv_id", "turn", A.guard(a, answer, F.col("turn") > 1, F.col("conv_id") % 2 == 0).alias("action"))
+
+
+ENABLED = "u(use_case, actions) as (values " + ", ".join(f"('{k}', {list(v['actions'])!r})" for k, v in A.USE_CASES.items()) + ")"
+
+
+def use_cases(spark):
+    return spark.createDataFrame([(k, list(v["actions"])) for k, v in A.USE_CASES.items()], "use_case string, actions array<string>")
+
+
+@query("agt_filter_actions", f"with {ENABLED} select use_case, 'SEARCH,REFINE_QUERY,FINAL_ANSWER' as actions from u")
+def agt_filter_actions(spark, sf_dir):
+    return use_cases(spark).select("use_case", F.array_join(A.filter_actions(F.filter("actions", lambda a: a != "FINAL_ANSWER")), ",").alias("actions"))
+
+
+@query("cat_actions_enabled", f"with {ENABLED} select use_case, unnest(actions) as action from u")
+def cat_actions_enabled(spark, sf_dir):
+    return use_cases(spark).select("use_case", F.explode("actions").alias("action"))
+
+
+@query("agt_system_prompt", f"with {ENABLED} select use_case, 'Prompt ' || use_case || chr(10) || chr(10) || '- ' || array_to_string(actions, '(...)' || chr(10) || '- ') || '(...)' as prompt from u")
+def agt_system_prompt(spark, sf_dir):
+    lines = F.array_join(F.transform("actions", lambda a: F.concat(F.lit("- "), a, F.lit("(...)"))), "\n")
+    return use_cases(spark).select("use_case", F.concat(F.lit("Prompt "), "use_case", F.lit("\n\n"), lines).alias("prompt"))
+
+
+@query(
+    "agt_fallback_answer",
+    "with r as (select conv_id, turn, text, row_number() over (partition by conv_id order by turn) as i from conversations where conv_id % 5 > 0), a as (select conv_id, 'Basierend auf den gefundenen Dokumenten:' || chr(10) || chr(10) || string_agg('[' || i || '] (conv, S. ' || (turn + 1) || ') ' || left(text, 200), chr(10) order by i) as answer, true as sufficient from r where i <= 5 group by 1) select * from a union all select distinct conv_id, " + sql_text(A.NOTHING_FOUND) + ", false from conversations where conv_id % 5 = 0",
+)
+def agt_fallback_answer(spark, sf_dir):
+    from lectern.operators.ranking import observation
+
+    m = messages(spark, sf_dir)
+    from pyspark.sql import Window as W
+
+    i = F.row_number().over(W.partitionBy("conv_id").orderBy("turn"))
+    lines = m.where("conv_id % 5 > 0").withColumn("i", i).where("i <= 5").select("conv_id", "i", observation(F.col("i"), F.lit("conv"), F.col("turn") + 1, TEXT, 200).alias("line"))
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", "line"))), lambda x: x["line"]), "\n")
+    made = lines.groupBy("conv_id").agg(F.concat(F.lit("Basierend auf den gefundenen Dokumenten:\n\n"), text).alias("answer"))
+    return m.select("conv_id").distinct().join(made, "conv_id", "left").select("conv_id", F.coalesce("answer", F.lit(A.NOTHING_FOUND)).alias("answer"), F.col("answer").isNotNull().alias("sufficient"))
+
+
+@query("agt_concat_fragments", "with f as (select conv_id, string_agg('**' || case turn % 3 when 0 then 'Fakten' when 1 then 'Prozedur' else 'Kontext' end || ':** ' || left(text, 50), chr(10) || chr(10) order by turn) as answer from conversations where turn < 3 and text <> '' group by 1) select * from f")
+def agt_concat_fragments(spark, sf_dir):
+    label = F.element_at(F.array(*[F.lit(x) for x in A.ROLE_LABELS.values()]), (F.col("turn") % 3 + 1).cast("int"))
+    part = F.concat(F.lit("**"), label, F.lit(":** "), F.left("text", F.lit(50)))
+    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", part.alias("p")))), lambda x: x["p"]), "\n\n")
+    return messages(spark, sf_dir).where("turn < 3 and text <> ''").groupBy("conv_id").agg(joined.alias("answer"))
+
+
+@query("agt_compliance", "select conv_id, turn, list_extract(['OK', 'REFUSE', 'OK', 'REWRITE'], turn % 4 + 1) as verdict, case turn % 4 when 1 then false else true end as sufficient from conversations")
+def agt_compliance(spark, sf_dir):
+    raw = F.element_at(F.array(F.lit("kein json"), F.lit('{"verdict": "REFUSE", "issues": []}'), F.lit('{"verdict": "??"}'), F.lit('{"verdict": "REWRITE"}')), (F.col("turn") % 4 + 1).cast("int"))
+    v = A.verdict(raw)
+    return messages(spark, sf_dir).select("conv_id", "turn", v.alias("verdict"), (v != "REFUSE").alias("sufficient"))
+
+
+@query("agt_final_flags", "select conv_id, bool_or(role = 'assistant') as sufficient, string_agg(distinct role, ',' order by role) as searched from conversations group by 1")
+def agt_final_flags(spark, sf_dir):
+    return messages(spark, sf_dir).groupBy("conv_id").agg(F.bool_or(F.col("role") == "assistant").alias("sufficient"), F.array_join(F.array_sort(F.collect_set("role")), ",").alias("searched"))
+
+
+@query(
+    "agt_flatten_steps",
+    "with c as (select conv_id, count(*) as n from conversations group by 1) select conv_id, 0 as step, 'MANAGER_PLAN' as action from c union all select conv_id, row_number() over (partition by conv_id order by turn), upper(role) from conversations union all select conv_id, n + 1, 'SYNTHESIZE' from c",
+)
+def agt_flatten_steps(spark, sf_dir):
+    from pyspark.sql import Window as W
+
+    m = messages(spark, sf_dir)
+    size = m.groupBy("conv_id").agg(F.count("*").alias("n"))
+    steps = m.select("conv_id", F.row_number().over(W.partitionBy("conv_id").orderBy("turn")).cast("long").alias("step"), F.upper("role").alias("action"))
+    return size.select("conv_id", F.lit(0).cast("long").alias("step"), F.lit("MANAGER_PLAN").alias("action")).unionByName(steps).unionByName(size.select("conv_id", (F.col("n") + 1).alias("step"), F.lit("SYNTHESIZE").alias("action")))
+
+
+@query("agt_fanout")
+def agt_fanout(spark, sf_dir):
+    """Subtasks of all questions searched together: a row for each hit of each (question, subtask)."""
+    from lectern.operators.search import search
+    from lectern.plans.ranking import search_points
+
+    b = load(spark, sf_dir, "benchmark")
+    part = lambda n: F.expr(f"substring(text, 1 + {n} * length(text) div 3, length(text) div 3)")
+    tasks = F.array(*[F.struct(F.lit(r).alias("role"), part(i).alias("query")) for i, r in enumerate(A.ROLE_LABELS)])
+    sub = b.select("item_id", F.posexplode(tasks).alias("n", "t")).select((F.col("item_id") * 3 + F.col("n")).alias("query_id"), "t.query")
+    hits = search(search_points(spark, sf_dir), sub)
+    return hits.select((F.col("query_id").cast("long") / 3).cast("long").alias("item_id"), (F.col("query_id") % 3).alias("subtask"), "rank", "doc_id", "score")
+
+
+MEMORY = "with e as (select conv_id, turn, 'Q: ' || role || chr(10) || 'A: ' || left(text, 500) as e from conversations) "
+
+
+@query("mem_append_truncate", MEMORY + "select conv_id, left(string_agg(e, chr(10) || '---' || chr(10) order by turn), 4000) as memory, count(*) as version from e where turn < 4 group by 1")
+def mem_append_truncate(spark, sf_dir):
+    return A.memory(messages(spark, sf_dir).where("turn < 4"), "conv_id", "turn", F.col("role"), TEXT)
+
+
+@query("agt_recall_memory", MEMORY + "select c.conv_id, case when m.memory is null then 'Kein gespeicherter Kontext für diese Session.' else 'Gespeicherter Kontext:' || chr(10) || m.memory end as observation from (select distinct conv_id from conversations) c left join (select conv_id, left(string_agg(e, chr(10) || '---' || chr(10) order by turn), 4000) as memory from e where turn < 2 and conv_id % 3 = 0 group by 1) m using (conv_id)")
+def agt_recall_memory(spark, sf_dir):
+    m = messages(spark, sf_dir)
+    known = A.memory(m.where("turn < 2 and conv_id % 3 = 0"), "conv_id", "turn", F.col("role"), TEXT)
+    out = F.coalesce(F.concat(F.lit("Gespeicherter Kontext:\n"), "memory"), F.lit("Kein gespeicherter Kontext für diese Session."))
+    return m.select("conv_id").distinct().join(known, "conv_id", "left").select("conv_id", out.alias("observation"))

@@ -93,7 +93,7 @@ def vec_missing_collection(spark, sf_dir):
 def vec_model_guard(spark, sf_dir):
     p = points(spark, sf_dir)
     q = p.where("vec_id = 0").select(F.lit(0).alias("query_id"), F.col("embedding").alias("qv"))
-    best = V.top_k_batch(p.select("collection", "vec_id", "embedding", "embed_model"), q, 1, "query_id", "qv", per=["collection"])
+    best = V.top_k_batch(p.select("collection", "vec_id", "embedding", "embed_model"), q, 1, "query_id", "qv", per=["collection"], keep=["embed_model"])
     return best.select("collection", F.col("embed_model").alias("index_model"), (F.col("embed_model") != "m1").alias("mismatch"))
 
 
