@@ -22,7 +22,8 @@ def search(points: DataFrame, queries: DataFrame, collection: Column | None = No
     vectors = queries.select("query_id", providers.embed(F.col("query")).alias("qv"))
     found = V.top_k_batch(own.select("collection", "doc_id", "vector"), vectors, R.SEARCH_K, "query_id", "qv", "doc_id", "vector", per=["collection"])
     placed = found.withColumn("pos", F.row_number().over(W.partitionBy("query_id").orderBy(F.col("collection"), F.col("rank")))).drop("rank")
-    pool = placed.join(own.select("doc_id", "file_name", "page", "text"), "doc_id")
+    # at most 40 rows for each query and collection, read several times below
+    pool = placed.join(own.select("doc_id", "file_name", "page", "text"), "doc_id").persist()
     kept = R.dedup_prefix(R.rerank(R.hybrid_fuse(pool, queries), None))
     shown = kept.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy("rerank_rank"))).where(F.col("rank") <= R.SHOWN)
     return shown.select("query_id", "rank", "doc_id", "score", "bm25", "rrf", R.observation(F.col("rank"), F.col("file_name"), F.col("page"), F.col("text")).alias("observation"))

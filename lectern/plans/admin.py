@@ -1 +1,119 @@
-"""Queries."""
+"""Queries on logs, configuration, prompts and skills."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from lectern.functions.text import redact_secret
+from lectern.operators import admin as A
+from lectern.plans.registry import query
+from lectern.session import load
+
+USE = "list_extract(['neumann', 'gw_stpoelten', 'wiener_linien', 'ustp'], ({} % 4)::int + 1)"
+
+
+def use_case(c):
+    return F.element_at(F.array(*[F.lit(x) for x in ("neumann", "gw_stpoelten", "wiener_linien", "ustp")]), (c % 4 + 1).cast("int"))
+
+
+def log(spark, sf_dir):
+    return load(spark, sf_dir, "events").withColumn("use_case", use_case(F.col("user_id")))
+
+
+@query("adm_query_history", f"select event_id, ts as created_at, event_type from events where {USE.format('user_id')} = 'neumann' order by ts desc, event_id limit 50 offset 10")
+def adm_query_history(spark, sf_dir):
+    rows = log(spark, sf_dir).where("use_case = 'neumann'").select("event_id", F.col("ts").alias("created_at"), "event_type")
+    return A.page_of(rows, [F.desc("created_at"), "event_id"], 50, 10)
+
+
+@query("adm_documents", f"select event_id, ts as created_at, {USE.format('user_id')} as use_case from events where event_type = 'error'")
+def adm_documents(spark, sf_dir):
+    return log(spark, sf_dir).where("event_type = 'error'").select("event_id", F.col("ts").alias("created_at"), "use_case").orderBy(F.desc("created_at"), "event_id")
+
+
+@query("log_ingest_upsert", f"select user_id::varchar as file_hash, arg_min(event_type, event_id) as file_name, arg_min({USE.format('event_id')}, event_id) as use_case, min(ts) as created_at, arg_max(event_id % 100, event_id) as chunk_count, arg_max('p/' || event_id, event_id) as stored_path from events group by 1")
+def log_ingest_upsert(spark, sf_dir):
+    e = load(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("file_hash"), F.col("event_id").alias("seq"), F.col("event_type").alias("file_name"), use_case(F.col("event_id")).alias("use_case"), F.col("ts").alias("created_at"), (F.col("event_id") % 100).alias("chunk_count"), F.concat(F.lit("p/"), F.col("event_id").cast("string")).alias("stored_path"))
+    return A.ingestion_log(e)
+
+
+@query("adm_feedback_validate", "select event_type in ('signup', 'purchase') as valid, count(*) as n from events group by 1")
+def adm_feedback_validate(spark, sf_dir):
+    rating = F.when(F.col("event_type") == "signup", "positive").when(F.col("event_type") == "purchase", "negative").otherwise(F.col("event_type"))
+    return load(spark, sf_dir, "events").groupBy(rating.isin(*A.RATINGS).alias("valid")).agg(F.count("*").alias("n"))
+
+
+@query("adm_use_case_totals", f"select {USE.format('user_id')} as use_case, count(*) as queries, count(distinct user_id) as users from events group by 1")
+def adm_use_case_totals(spark, sf_dir):
+    return log(spark, sf_dir).groupBy("use_case").agg(F.count("*").alias("queries"), F.countDistinct("user_id").alias("users"))
+
+
+@query("adm_redact_secret", "select n_nationkey, case when n_nationkey % 4 = 0 then '' when n_nationkey % 4 = 1 then '****' else '****' || right(n_name || n_nationkey, 4) end as shown from nation")
+def adm_redact_secret(spark, sf_dir):
+    key = F.when(F.col("n_nationkey") % 4 == 0, F.lit(None)).when(F.col("n_nationkey") % 4 == 1, "abcd").otherwise(F.concat("n_name", F.col("n_nationkey").cast("string")))
+    return load(spark, sf_dir, "nation").select("n_nationkey", redact_secret(key).alias("shown"))
+
+
+CONFIG = [("neumann", "openai", None, "", "http://a", "", None, "k1"), ("ustp", "", "ollama", "x", None, None, "k2", "")]
+
+
+def config(spark):
+    return spark.createDataFrame(CONFIG, "use_case string, " + ", ".join(f"{c} string" for c in A.MERGED))
+
+
+def values(rows, names):
+    show = lambda v: "null" if v is None else repr(v) if isinstance(v, str) else str(v).lower()
+    return "(values " + ", ".join("(" + ", ".join(show(v) for v in r) + ")" for r in rows) + f") t({', '.join(names)})"
+
+
+@query("cfg_resolve", f"select use_case, {', '.join(f'''coalesce(nullif({c}, ''), 'env_{c}') as {c}''' for c in A.MERGED)} from {values(CONFIG, ['use_case', *A.MERGED])}")
+def cfg_resolve(spark, sf_dir):
+    base = spark.createDataFrame([tuple(f"env_{c}" for c in A.MERGED)], ", ".join(f"{c} string" for c in A.MERGED))
+    return A.resolved(base, config(spark))
+
+
+@query("cfg_upsert", "select * from (values ('neumann', 'neu', null), ('ustp', '', 'k2'), ('wiener_linien', 'w', 'k3')) t(use_case, chat_provider, chat_key)")
+def cfg_upsert(spark, sf_dir):
+    rows = spark.createDataFrame([("neumann", "openai", "k1"), ("ustp", "", "k2")], "use_case string, chat_provider string, chat_key string")
+    patch = spark.createDataFrame([("neumann", "neu", ""), ("wiener_linien", "w", "k3")], "use_case string, chat_provider string, chat_key string")
+    return A.patched(rows, patch, "use_case", ("chat_key",))
+
+
+PROMPTS = [("neumann", "synth", "eigener"), ("*", "synth", "für alle"), ("*", "plan", "plan für alle"), ("ustp", "plan", "anderer"), ("neumann", "check", "")]
+DEFAULTS = [("synth", "d1"), ("plan", "d2"), ("check", "d3")]
+
+
+@query("cfg_prompt_resolve", "select * from (values ('synth', 'eigener'), ('plan', 'plan für alle'), ('check', 'd3')) t(prompt_key, content)")
+def cfg_prompt_resolve(spark, sf_dir):
+    return cfg_prompt_overrides(spark, sf_dir).select("prompt_key", "content")
+
+
+@query("cfg_prompt_overrides", "select * from (values ('synth', 'eigener', true), ('plan', 'plan für alle', true), ('check', 'd3', false)) t(prompt_key, content, is_override)")
+def cfg_prompt_overrides(spark, sf_dir):
+    return A.prompt(spark.createDataFrame(PROMPTS, "use_case string, prompt_key string, content string"), "neumann", spark.createDataFrame(DEFAULTS, "prompt_key string, content string"))
+
+
+@query("cfg_prompt_upsert", "with c as (select user_id as u, event_type as k, case when event_id % 5 = 0 then '' else 'c' || event_id end as content, event_id from events) select u::varchar as use_case, k as prompt_key, arg_max(content, event_id) as content from c group by u, k having arg_max(content, event_id) <> ''")
+def cfg_prompt_upsert(spark, sf_dir):
+    c = load(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("use_case"), F.col("event_type").alias("prompt_key"), F.when(F.col("event_id") % 5 == 0, "").otherwise(F.concat(F.lit("c"), F.col("event_id").cast("string"))).alias("content"), F.col("event_id").alias("seq"))
+    return A.last_prompts(c)
+
+
+@query("cfg_skills", "select n_regionkey::varchar as use_case, n_name as name, n_nationkey % 3 as position from nation where n_nationkey % 4 <> 0")
+def cfg_skills(spark, sf_dir):
+    n = load(spark, sf_dir, "nation").select(F.col("n_regionkey").cast("string").alias("use_case"), F.col("n_name").alias("name"), (F.col("n_nationkey") % 3).alias("position"), (F.col("n_nationkey") % 4 != 0).alias("enabled"))
+    return A.skills(n).drop("enabled")
+
+
+@query("cfg_skill_patch", "select n_nationkey as id, case when n_nationkey % 2 = 0 then 'neu ' || n_nationkey else n_name end as name, n_regionkey as position from nation where n_nationkey % 7 <> 0")
+def cfg_skill_patch(spark, sf_dir):
+    n = load(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("id"), F.col("n_name").alias("name"), F.col("n_regionkey").alias("position"))
+    patch = n.where("id % 2 = 0").select("id", F.concat(F.lit("neu "), F.col("id").cast("string")).alias("name"), F.lit(None).cast("int").alias("position"))
+    return A.patched(n, patch, "id").join(n.where("id % 7 = 0").select("id"), "id", "left_anti")
+
+
+@query("cfg_role_prompt", "select * from (values ('neumann', 'default', 'P1'), ('wiener_linien', 'trainee', 'P3'), ('wiener_linien', 'fremd', 'P2')) t(use_case, role, prompt)")
+def cfg_role_prompt(spark, sf_dir):
+    prompts = spark.createDataFrame([("neumann", {"default": "P1"}), ("wiener_linien", {"default": "P2", "trainee": "P3"})], "use_case string, prompts map<string,string>")
+    asked = spark.createDataFrame([("neumann", "default"), ("wiener_linien", "trainee"), ("wiener_linien", "fremd")], "use_case string, role string")
+    return asked.join(prompts, "use_case").select("use_case", "role", F.coalesce(F.try_element_at("prompts", F.col("role")), F.try_element_at("prompts", F.lit("default"))).alias("prompt"))

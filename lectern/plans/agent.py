@@ -9,10 +9,13 @@ from lectern.operators import agents as A
 from lectern.plans.registry import query
 from lectern.session import load
 
-TEXT = F.col("text")
 STRIP = r"regexp_replace({}, '^\s+|\s+$', '', 'g')"
 
 
+def _text():
+    return F.col("text")
+
+
 def messages(spark, sf_dir):
     return load(spark, sf_dir, "conversations")
 
@@ -45,7 +48,8 @@ def agt_prior_user(spark, sf_dir):
     return last.groupBy("conv_id").agg(joined.alias("prior"))
 
 
-RESPONSE = F.when(F.col("turn") % 3 == 0, F.concat(F.lit("THOUGHT: denke "), F.col("turn").cast("string"), F.lit('\nACTION: SEARCH({"query": "a } b", "f": {"x": '), F.col("conv_id").cast("string"), F.lit("}}) rest"))).when(F.col("turn") % 3 == 1, F.lit("ACTION: CLARIFY()")).otherwise(F.concat(F.lit("Antwort "), F.col("conv_id").cast("string")))
+def response():
+    return F.when(F.col("turn") % 3 == 0, F.concat(F.lit("THOUGHT: denke "), F.col("turn").cast("string"), F.lit('\nACTION: SEARCH({"query": "a } b", "f": {"x": '), F.col("conv_id").cast("string"), F.lit("}}) rest"))).when(F.col("turn") % 3 == 1, F.lit("ACTION: CLARIFY()")).otherwise(F.concat(F.lit("Antwort "), F.col("conv_id").cast("string")))
 
 
 @query(
@@ -54,7 +58,7 @@ RESPONSE = F.when(F.col("turn") % 3 == 0, F.concat(F.lit("THOUGHT: denke "), F.c
     case turn % 3 when 0 then '{"query": "a } b", "f": {"x": ' || conv_id || '}}' when 1 then '{}' else '{"answer":"Antwort ' || conv_id || '"}' end as args from conversations""",
 )
 def agt_parse_action(spark, sf_dir):
-    return messages(spark, sf_dir).select("conv_id", "turn", A.parse_action(RESPONSE).alias("p")).select("conv_id", "turn", "p.thought", "p.action", "p.args")
+    return messages(spark, sf_dir).select("conv_id", "turn", A.parse_action(response()).alias("p")).select("conv_id", "turn", "p.thought", "p.action", "p.args")
 
 
 @query("agt_extract_json", """select conv_id, turn, '{"a": "' || turn || ' \\" {", "b": [{}]}' as found from conversations""")
@@ -134,7 +138,7 @@ def agt_fallback_answer(spark, sf_dir):
     from pyspark.sql import Window as W
 
     i = F.row_number().over(W.partitionBy("conv_id").orderBy("turn"))
-    lines = m.where("conv_id % 5 > 0").withColumn("i", i).where("i <= 5").select("conv_id", "i", observation(F.col("i"), F.lit("conv"), F.col("turn") + 1, TEXT, 200).alias("line"))
+    lines = m.where("conv_id % 5 > 0").withColumn("i", i).where("i <= 5").select("conv_id", "i", observation(F.col("i"), F.lit("conv"), F.col("turn") + 1, _text(), 200).alias("line"))
     text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", "line"))), lambda x: x["line"]), "\n")
     made = lines.groupBy("conv_id").agg(F.concat(F.lit("Basierend auf den gefundenen Dokumenten:\n\n"), text).alias("answer"))
     return m.select("conv_id").distinct().join(made, "conv_id", "left").select("conv_id", F.coalesce("answer", F.lit(A.NOTHING_FOUND)).alias("answer"), F.col("answer").isNotNull().alias("sufficient"))
@@ -192,12 +196,12 @@ MEMORY = "with e as (select conv_id, turn, 'Q: ' || role || chr(10) || 'A: ' ||
 
 @query("mem_append_truncate", MEMORY + "select conv_id, left(string_agg(e, chr(10) || '---' || chr(10) order by turn), 4000) as memory, count(*) as version from e where turn < 4 group by 1")
 def mem_append_truncate(spark, sf_dir):
-    return A.memory(messages(spark, sf_dir).where("turn < 4"), "conv_id", "turn", F.col("role"), TEXT)
+    return A.memory(messages(spark, sf_dir).where("turn < 4"), "conv_id", "turn", F.col("role"), _text())
 
 
 @query("agt_recall_memory", MEMORY + "select c.conv_id, case when m.memory is null then 'Kein gespeicherter Kontext für diese Session.' else 'Gespeicherter Kontext:' || chr(10) || m.memory end as observation from (select distinct conv_id from conversations) c left join (select conv_id, left(string_agg(e, chr(10) || '---' || chr(10) order by turn), 4000) as memory from e where turn < 2 and conv_id % 3 = 0 group by 1) m using (conv_id)")
 def agt_recall_memory(spark, sf_dir):
     m = messages(spark, sf_dir)
-    known = A.memory(m.where("turn < 2 and conv_id % 3 = 0"), "conv_id", "turn", F.col("role"), TEXT)
+    known = A.memory(m.where("turn < 2 and conv_id % 3 = 0"), "conv_id", "turn", F.col("role"), _text())
     out = F.coalesce(F.concat(F.lit("Gespeicherter Kontext:\n"), "memory"), F.lit("Kein gespeicherter Kontext für diese Session."))
     return m.select("conv_id").distinct().join(known, "conv_id", "left").select("conv_id", out.alias("observation"))

@@ -8,7 +8,10 @@ from lectern.operators import enrich as E
 from lectern.plans.registry import query
 from lectern.session import load
 
-TEXT = F.col("text")
+
+
+def _text():
+    return F.col("text")
 
 
 def docs(spark, sf_dir):
@@ -22,7 +25,7 @@ def sql_label(labels, default):
 @query("enr_area_topic", f"select doc_id, coalesce(nullif(case when doc_id % 5 = 0 then 'vorgabe' when doc_id % 5 = 1 then '' end, ''), {sql_label(E.AREAS, 'allgemein')}) as area, {sql_label(E.TOPICS, 'allgemein')} as topic from documents")
 def enr_area_topic(spark, sf_dir):
     given = F.when(F.col("doc_id") % 5 == 0, "vorgabe").when(F.col("doc_id") % 5 == 1, "")
-    return docs(spark, sf_dir).select("doc_id", E.area(TEXT, given).alias("area"), E.first_label(TEXT, E.TOPICS).alias("topic"))
+    return docs(spark, sf_dir).select("doc_id", E.area(_text(), given).alias("area"), E.first_label(_text(), E.TOPICS).alias("topic"))
 
 
 @query("enr_route_machine", "select doc_id, 'neumann_' || replace(lower(coalesce(case when doc_id % 3 > 0 then 'M-' || doc_id || '-X' end, 'unknown')), '-', '_') as collection from documents")
@@ -36,7 +39,7 @@ CNC = E.CNC.replace("'", "''")
 
 @query("enr_cnc_block", f"select doc_id, len(regexp_extract_all(text, '{CNC}')) >= 3 as is_cnc from documents")
 def enr_cnc_block(spark, sf_dir):
-    return docs(spark, sf_dir).select("doc_id", E.is_cnc(TEXT).alias("is_cnc"))
+    return docs(spark, sf_dir).select("doc_id", E.is_cnc(_text()).alias("is_cnc"))
 
 
 OP = "case regexp_extract(text, '(?i)G\\s*0?([1-3]|81|83)\\b', 1) " + " ".join(f"when '{k}' then '{v}'" for k, v in E.OPERATIONS.items()) + " else 'unbekannt' end"
@@ -50,7 +53,7 @@ def enr_cnc_operation(spark, sf_dir):
 
 @query("enr_cnc_speed", "select doc_id, try_cast(nullif(regexp_extract(text, '(?i)S\\s*(\\d+)', 1), '') as bigint) as cutting_speed from documents")
 def enr_cnc_speed(spark, sf_dir):
-    return docs(spark, sf_dir).select("doc_id", E.cutting_speed(TEXT).alias("cutting_speed"))
+    return docs(spark, sf_dir).select("doc_id", E.cutting_speed(_text()).alias("cutting_speed"))
 
 
 ROUTE = f"case when len(regexp_extract_all(text, '{CNC}')) >= 3 then 'gw_cnc_steps' when lower(text) like '%material%' then 'gw_material_info' else 'gw_ruest_data' end"
@@ -58,7 +61,7 @@ ROUTE = f"case when len(regexp_extract_all(text, '{CNC}')) >= 3 then 'gw_cnc_ste
 
 @query("enr_cnc_route", f"select doc_id, {ROUTE} as collection from documents")
 def enr_cnc_route(spark, sf_dir):
-    return docs(spark, sf_dir).select("doc_id", E.cnc_collection(TEXT).alias("collection"))
+    return docs(spark, sf_dir).select("doc_id", E.cnc_collection(_text()).alias("collection"))
 
 
 @query("enr_cnc_split", f"select collection, count(*) as chunks, count(cutting_speed) as with_speed from (select {ROUTE} as collection, case when {ROUTE} = 'gw_cnc_steps' then try_cast(nullif(regexp_extract(text, '(?i)S\\s*(\\d+)', 1), '') as bigint) end as cutting_speed from documents) group by 1")
@@ -71,7 +74,7 @@ LAW = "regexp_replace(regexp_extract(text, '§\\s*\\d+\\s*(Abs\\.\\s*\\d+)?\\s*[
 
 
 def law_docs(spark, sf_dir):
-    return docs(spark, sf_dir).withColumn("text", F.when(F.col("doc_id") % 4 == 0, F.concat(F.lit("Gemäß § "), F.col("doc_id").cast("string"), F.lit(" Abs. 2 EisbG "), "text")).when(F.col("doc_id") % 4 == 1, F.concat("text", F.lit(" § 7 StVO"))).otherwise(TEXT))
+    return docs(spark, sf_dir).withColumn("text", F.when(F.col("doc_id") % 4 == 0, F.concat(F.lit("Gemäß § "), F.col("doc_id").cast("string"), F.lit(" Abs. 2 EisbG "), "text")).when(F.col("doc_id") % 4 == 1, F.concat("text", F.lit(" § 7 StVO"))).otherwise(_text()))
 
 
 @query("enr_law_ref", f"select doc_id, {LAW} as law_ref, case when {LAW} <> '' then 'high' else 'medium' end as criticality from (select doc_id, {LAWTEXT} as text from documents)")
@@ -85,7 +88,7 @@ def enr_law_ref(spark, sf_dir):
     select doc_id, least(1 + (n > 200)::int + (n > 400)::int + ({LAW} <> '')::int + regexp_matches(lower(text), 'frequenz|impedanz|nennspannung')::int, 5) as difficulty from t""",
 )
 def enr_difficulty(spark, sf_dir):
-    return law_docs(spark, sf_dir).select("doc_id", E.difficulty(TEXT).alias("difficulty"))
+    return law_docs(spark, sf_dir).select("doc_id", E.difficulty(_text()).alias("difficulty"))
 
 
 @query("enr_audience", "select doc_id, coalesce(case when doc_id % 2 = 0 then 'trainee' end, 'both') as audience from documents")
@@ -96,7 +99,7 @@ def enr_audience(spark, sf_dir):
 
 @query("enr_warning_flag", "select doc_id, contains(text, 'ACHTUNG') or contains(text, 'WARNUNG') as ist_wichtig from (select doc_id, case when doc_id % 9 = 0 then text || ' ACHTUNG' else text end as text from documents)")
 def enr_warning_flag(spark, sf_dir):
-    d = docs(spark, sf_dir).withColumn("text", F.when(F.col("doc_id") % 9 == 0, F.concat("text", F.lit(" ACHTUNG"))).otherwise(TEXT))
+    d = docs(spark, sf_dir).withColumn("text", F.when(F.col("doc_id") % 9 == 0, F.concat("text", F.lit(" ACHTUNG"))).otherwise(_text()))
     return E.enriched(d, "beispiel").select("doc_id", "ist_wichtig")
 
 
@@ -124,7 +127,7 @@ def ingest_group_collections(spark, sf_dir):
 def ingest_payload(spark, sf_dir):
     from lectern.functions.text import stored_path
 
-    digest = F.sha2(TEXT, 256)
+    digest = F.sha2(_text(), 256)
     path = stored_path(digest, F.lit("uc"), F.concat(F.lit("doc_"), F.col("doc_id").cast("string")))
     return docs(spark, sf_dir).select("doc_id", F.left("text", F.lit(500)).alias("text"), digest.alias("file_hash"), path.alias("stored_path"), "source")
 

@@ -1 +1,44 @@
-"""Queries."""
+"""Queries on trace events."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from lectern.plans.registry import query
+from lectern.session import load
+from lectern.streaming import trace as Z
+
+#: Events of the test data: a user is a request, an event type a sub-agent.
+ROWS = "e as (select user_id::varchar as request_id, event_type as subagent_id, event_id as seq, list_extract(['started', 'step', 'thinking', 'final'], (event_id % 4)::int + 1) as type, case when event_id % 4 = 1 then event_id % 7 end as step, case when event_id % 3 = 0 then 't' || event_id end as text from events)"
+
+
+def events(spark, sf_dir):
+    kind = F.element_at(F.array(*[F.lit(t) for t in ("started", "step", "thinking", "final")]), (F.col("event_id") % 4 + 1).cast("int"))
+    return load(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("request_id"), F.col("event_type").alias("subagent_id"), F.col("event_id").alias("seq"), kind.alias("type"), F.when(F.col("event_id") % 4 == 1, F.col("event_id") % 7).alias("step"), F.when(F.col("event_id") % 3 == 0, F.concat(F.lit("t"), F.col("event_id").cast("string"))).alias("text"))
+
+
+@query("trc_fold_subagents", f"with {ROWS} select request_id, subagent_id, arg_max(type, seq) as status, max(seq) as last_seq, count(distinct step) as steps, arg_max(text, seq) filter (text is not null) as last_text from e group by 1, 2")
+def trc_fold_subagents(spark, sf_dir):
+    return Z.folded(events(spark, sf_dir))
+
+
+@query("trc_parse_ndjson", f"with {ROWS} select request_id, subagent_id, seq, type, step, text from e where seq % 10 <> 9")
+def trc_parse_ndjson(spark, sf_dir):
+    e = events(spark, sf_dir)
+    line = F.when(F.col("seq") % 10 == 9, F.lit('{"request_id": "abgebrochen')).otherwise(F.to_json(F.struct(*e.columns)))
+    return Z.parsed(e.select(line.alias("value"))).select("request_id", "subagent_id", "seq", "type", "step", "text")
+
+
+@query("trc_tag_filter", f"with {ROWS} select request_id, 'sub_' || subagent_id as subagent_id, seq, type from e where type not in ('started', 'final')")
+def trc_tag_filter(spark, sf_dir):
+    return Z.tagged(events(spark, sf_dir), F.concat(F.lit("sub_"), "subagent_id")).select("request_id", "subagent_id", "seq", "type")
+
+
+@query("trc_last_final", f"with {ROWS} select request_id, max(seq) as seq, arg_max(subagent_id, seq) as subagent_id from e where type = 'final' group by 1")
+def trc_last_final(spark, sf_dir):
+    return events(spark, sf_dir).where("type = 'final'").groupBy("request_id").agg(F.max("seq").alias("seq"), F.max_by("subagent_id", "seq").alias("subagent_id"))
+
+
+@query("trc_durations", "select user_id, min(ts) as started, max(ts) as finished, epoch_ms(max(ts)) - epoch_ms(min(ts)) as duration_ms, count(*) as events from events group by 1")
+def trc_durations(spark, sf_dir):
+    return Z.durations(load(spark, sf_dir, "events"), "user_id", "ts")
