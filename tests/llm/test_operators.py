@@ -423,7 +423,7 @@ def test_roles(spark, sf_dir):
 
 
 def test_segments_make_no_difference(spark, sf_dir, monkeypatch):
-    conv = table(spark, sf_dir, "conversations").withColumn("conv_id", F.col("conv_id") % 2).withColumn("turn", F.col("turn") + 10 * F.xxhash64("text") % 1000)
+    conv = table(spark, sf_dir, "conversations").withColumn("conv_id", F.col("conv_id") % 2).withColumn("turn", F.col("turn") + 10 * (F.xxhash64("text") % 1000))
     messages = [(r.conv_id, r.turn, r.text, r.role) for r in conv.collect()]
     want = sorted((r.conv_id, r.turn, r.role, r.piece_sha256) for r in chat.recovered_turns(conv).collect())
     model = chat._counted(chat._sorted(conv))
