@@ -26,16 +26,17 @@ def bm25(pool: DataFrame, queries: DataFrame, pool_key: str = "query_id", id_col
     values become EPSILON times the mean idf of the pool; query words count as often
     as they occur. Everything is grouped by (pool, word), so pools of any number work.
     """
-    terms = pool.select(pool_key, id_column, tokens(F.col(text)).alias("_t"))
-    lengths = terms.select(pool_key, id_column, F.size("_t").alias("dl"))
+    terms = pool.select(pool_key, id_column, tokens(F.col(text)).alias("_t")).withColumn("dl", F.size("_t"))
+    lengths = terms.select(pool_key, id_column, "dl")
     stats = lengths.groupBy(pool_key).agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
-    tf = terms.select(pool_key, id_column, F.explode("_t").alias("word")).groupBy(pool_key, id_column, "word").agg(F.count("*").alias("tf"))
-    df = tf.groupBy(pool_key, "word").agg(F.count("*").alias("df"))
+    df = terms.select(pool_key, F.explode(F.array_distinct("_t")).alias("word")).groupBy(pool_key, "word").agg(F.count("*").alias("df"))
     raw = df.join(stats, pool_key).withColumn("idf", F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
     mean = raw.groupBy(pool_key).agg((F.avg("idf") * EPSILON).alias("floor"))
     words = queries.select(pool_key, F.explode(tokens(F.col(query_text))).alias("word")).groupBy(pool_key, "word").agg(F.count("*").alias("times"))
     idf = raw.join(words, [pool_key, "word"]).join(mean, pool_key).select(pool_key, "word", "times", "avgdl", F.when(F.col("idf") < 0, F.col("floor")).otherwise(F.col("idf")).alias("idf"))
-    part = tf.join(idf, [pool_key, "word"]).join(lengths, [pool_key, id_column])
+    # only words of the queries are counted by document
+    every = terms.select(pool_key, id_column, "dl", F.explode("_t").alias("word")).join(idf, [pool_key, "word"])
+    part = every.groupBy(pool_key, id_column, "word").agg(F.count("*").alias("tf"), *[F.first(c).alias(c) for c in ("dl", "times", "avgdl", "idf")])
     score = F.col("times") * F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
     found = part.groupBy(pool_key, id_column).agg(F.sum(score).alias("bm25"))
     return lengths.select(pool_key, id_column).join(found, [pool_key, id_column], "left").withColumn("bm25", F.round(F.coalesce("bm25", F.lit(0.0)), 6))

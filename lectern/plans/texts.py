@@ -176,7 +176,7 @@ ANSWERS = """select conv_id, turn, case turn % 4 when 0 then 'FINAL_ANSWER({"ans
     "ans_cleanup",
     r"""with a as (select conv_id, turn, left(text, 60) as t, case turn % 4 when 0 then left(text, 60) when 1 then left(text, 60) || chr(10) || chr(10) || 'Ende' when 2 then '' else left(text, 60) end as raw from conversations),
     b as (select conv_id, turn, regexp_replace(regexp_replace(raw, '^\s+|\s+$', '', 'g'), '^[" \n]+|[" \n]+$', '', 'g') as x from a)
-    select conv_id, turn, case when x = '' then 'Die Anfrage konnte nicht vollständig beantwortet werden. Bitte präzisieren Sie Ihre Frage.' else x end as answer from b""",
+    select conv_id, turn, case when x = '' then 'Die Anfrage konnte nicht vollständig beantwortet werden. Bitte präzisieren Sie Ihre Frage.' else regexp_replace(x, '\n{3,}', chr(10) || chr(10), 'g') end as answer from b""",
 )
 def ans_cleanup(spark, sf_dir):
     raw = F.expr(ANSWERS.split("conv_id, turn, ", 1)[1].split(" as raw")[0].replace("chr(10)", "'\\n'"))

@@ -39,6 +39,6 @@ def trc_last_final(spark, sf_dir):
     return events(spark, sf_dir).where("type = 'final'").groupBy("request_id").agg(F.max("seq").alias("seq"), F.max_by("subagent_id", "seq").alias("subagent_id"))
 
 
-@query("trc_durations", "select user_id, min(ts) as started, max(ts) as finished, epoch_ms(max(ts)) - epoch_ms(min(ts)) as duration_ms, count(*) as events from events group by 1")
+@query("trc_durations", "select user_id, min(ts) as started, max(ts) as finished, (epoch_us(max(ts)) - epoch_us(min(ts))) // 1000 as duration_ms, count(*) as events from events group by 1")
 def trc_durations(spark, sf_dir):
     return Z.durations(load(spark, sf_dir, "events"), "user_id", "ts")

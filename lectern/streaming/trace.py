@@ -36,7 +36,7 @@ def folded(events: DataFrame) -> DataFrame:
 
 def durations(events: DataFrame, key: str, time: str) -> DataFrame:
     """Begin, end and milliseconds of each request."""
-    return events.groupBy(key).agg(F.min(time).alias("started"), F.max(time).alias("finished"), (F.unix_millis(F.max(time).cast("timestamp")) - F.unix_millis(F.min(time).cast("timestamp"))).alias("duration_ms"), F.count("*").alias("events"))
+    return events.groupBy(key).agg(F.min(time).alias("started"), F.max(time).alias("finished"), F.floor((F.unix_micros(F.max(time).cast("timestamp")) - F.unix_micros(F.min(time).cast("timestamp"))) / 1000).alias("duration_ms"), F.count("*").alias("events"))
 
 
 def _fold(key: tuple, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
