@@ -2,13 +2,13 @@
 
 Which documents can be linked at all is found without loss by partition signatures:
 two sets of Jaccard similarity t or more differ in at most D = s(1-t)/t tokens, s being
-the smaller size.  Tokens are dealt by hash into D + 1 + SPARE parts, so at least
-1 + SPARE parts are equal; equal non-empty parts give equal keys.  A set with more than
-SPARE empty parts gets one key for that.  Sizes are cut into ranges, and a set gives
+the smaller size.  Tokens are dealt by hash into D + 1 parts and some spare ones, so
+one more part than there are spare ones is equal in both; equal non-empty parts give
+equal keys.  A set with more empty parts than spare ones gets a key for that.  Sizes are cut into ranges, and a set gives
 keys for every range in which a possible partner could be the smaller one.  Shingles
 that very many documents share are left out of the parts (taking the same tokens from
 two sets cannot make them differ more), so that a common line does not tie documents
-together.  Documents that share keys form clusters.
+together; a set that is left with too many empty parts gets the keys of all of it too.  Documents that share keys form clusters.
 
 Inside a cluster, signature trees do the join: documents sorted by size are leaves,
 nodes hold OR-combined token bitmaps and size ranges, and a dual traversal from the
@@ -38,14 +38,16 @@ from pyspark.sql import functions as F
 from .common import bitmap_of, in_bitmap, lower_words, mixed, partitions, removed, shingle_hashes, word_hashes, written
 from .components import connected_components, roots
 
-#: Empty parts that a set may have before it needs a key of its own.
+#: Parts beyond those that a difference can touch; more are added where many parts of a set are empty by chance.
 SPARE = 2
 #: Steps of the size ranges.
 STEP = 1.25
 #: A shingle is common if in a slice of documents at least this share, and number, of distinct sets has it ...
-COMMON_SHARE, COMMON_LEAST = 0.005, 8
+COMMON_SLICE, COMMON_SHARE, COMMON_LEAST = 10_000, 0.0008, 8
+#: Tokens of a slice, at most (8 bytes each, sorted once).
+COMMON_TOKENS = 6_000_000
 #: ... and if it is among so many with the highest counts. The choice affects cost alone.
-COMMON_MOST = 50_000
+COMMON_MOST = 200_000
 #: Documents, and tokens, in a block of a cluster.
 BLOCK_DOCS, BLOCK_TOKENS = 256, 1_000_000
 #: Bits of a node's bitmap, and children of a node.
@@ -69,53 +71,77 @@ def size_steps() -> list[int]:
     return out
 
 
-def ranges_of(n: int, num: int, den: int) -> list[tuple[int, int]]:
-    """(range, greatest difference in tokens) for each size range that holds a possible smaller partner of a set of n."""
+def ranges_of(n: int, num: int, den: int) -> list[tuple[int, int, int]]:
+    """(range, greatest difference in tokens, spare parts) for each size range that holds a possible smaller partner of a set of n."""
     steps, least, out = size_steps(), -(-n * num // den), []
     i = int(np.searchsorted(steps, n, "right")) - 1
     while i >= 0 and steps[i + 1] - 1 >= least:
-        out.append((i, (steps[i + 1] - 1) * (den - num) // num))
+        differ = (steps[i + 1] - 1) * (den - num) // num
+        # twice as many as are empty in the mean, for the smallest sets of the range
+        out.append((i, differ, SPARE + int(np.ceil(2 * differ * np.exp(-steps[i] / differ))) if differ else SPARE))
         i -= 1
     return out
 
 
 def keys_of(tokens: np.ndarray, common: np.ndarray, num: int, den: int) -> np.ndarray:
-    """Partition-signature keys of a token set."""
+    """Partition-signature keys of a token set.
+
+    A range in which more than its spare parts of the set without its common shingles
+    are empty gets the keys of the whole set besides: if the equal parts of two sets
+    are all empty, that is so for both.
+    """
     rest = tokens
     if len(common) and len(tokens):
         at = np.minimum(np.searchsorted(common, tokens), len(common) - 1)
         rest = tokens[common[at] != tokens]
     out = []
-    with np.errstate(over="ignore"):
-        for i, differ in ranges_of(len(tokens), num, den):
-            if not differ:
-                continue  # only equal sets are this similar
-            parts = differ + 1 + SPARE
-            seed = np.uint64(i * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF)
-            h = mixed(rest ^ seed)
-            part = (h % np.uint64(parts)).astype(np.int64)
-            total = np.zeros(parts, np.uint64)
-            np.add.at(total, part, mixed(h))
-            full = np.flatnonzero(np.bincount(part, minlength=parts))
-            out.append(mixed(total[full] + mixed(full.astype(np.uint64) + seed)))
-            if parts - len(full) > SPARE:
-                out.append(mixed(np.array([seed ^ np.uint64(0x5DEECE66D)])))
+    for i, differ, spare in ranges_of(len(tokens), num, den):
+        if not differ:
+            continue  # only equal sets are this similar
+        for scheme, of in enumerate((rest, tokens)):
+            seed = np.uint64((2 * i + scheme) * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF)
+            found, empty = _part_keys(of, differ + 1 + spare, seed)
+            out.append(found)
+            if empty <= spare:
+                break
+        else:
+            out.append(mixed(np.array([seed ^ np.uint64(0x5DEECE66D)])))
     return np.concatenate(out) if out else np.zeros(0, np.uint64)
 
 
+def _part_keys(tokens: np.ndarray, parts: int, seed: np.uint64) -> tuple[np.ndarray, int]:
+    """Keys of the parts that tokens are dealt into, and how many parts are empty."""
+    with np.errstate(over="ignore"):
+        h = mixed(tokens ^ seed)
+        part = (h % np.uint64(parts)).astype(np.int64)
+        total = np.zeros(parts, np.uint64)
+        np.add.at(total, part, mixed(h))
+        full = np.flatnonzero(np.bincount(part, minlength=parts))
+        return mixed(total[full] + mixed(full.astype(np.uint64) + seed)), parts - len(full)
+
+
 def common_shingles(docs: DataFrame, k: int) -> np.ndarray:
     """Shingles that many documents have, counted over all documents; at most COMMON_MOST of them."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[tuple[int, int], np.ndarray] = {}
+        size = 0
+
+        def counted() -> pa.RecordBatch:
+            tokens, n = np.unique(np.concatenate(list(held.values())), return_counts=True)
+            keep = n >= max(COMMON_LEAST, len(held) * COMMON_SHARE)
+            return pa.RecordBatch.from_arrays([pa.array(tokens[keep].view(np.int64)), pa.array(n[keep])], names=["token", "n"])
+
         for batch in batches:
-            for lo in range(0, batch.num_rows, 2000):
-                sets = {}
-                for t in batch.column(0).slice(lo, 2000).to_pylist():
-                    s = token_set(t or "", k)
-                    sets[digest(s)] = s
-                tokens, n = np.unique(np.concatenate(list(sets.values())), return_counts=True)
-                keep = n >= max(COMMON_LEAST, len(sets) * COMMON_SHARE)
-                yield pa.RecordBatch.from_arrays([pa.array(tokens[keep].view(np.int64)), pa.array(n[keep])], names=["token", "n"])
+            for t in batch.column(0).to_pylist():
+                s = token_set(t or "", k)
+                held[digest(s)] = s
+                size += len(s)
+                if len(held) >= COMMON_SLICE or size >= COMMON_TOKENS:
+                    yield counted()
+                    held, size = {}, 0
+        if held:
+            yield counted()
 
     got = docs.select("text").mapInArrow(count, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "token").limit(COMMON_MOST).select("token").toArrow()
     return np.sort(got.column(0).to_numpy().view(np.uint64))
