@@ -2,10 +2,11 @@
 
 Ids are counted over all documents; package-merge gives the best code lengths of at
 most LIMIT bits, and the canonical code follows from the lengths.  Documents in
-ascending doc_id order are cut into blocks of whole documents.  A block row holds the
-bit stream, the bit offset of every STEP-th id, and the documents' ids and lengths, so
-blocks are decoded apart from each other, and all checkpoints of a block in lockstep,
-LIMIT bits at a time through a table.
+ascending doc_id order are cut into blocks of whole documents, each of which begins at
+a whole byte.  A block row holds the bit stream, the bit offset of every STEP-th id of
+each document, and the documents' ids and lengths, so blocks are decoded apart from
+each other, and all checkpoints of a block in lockstep, LIMIT bits at a time through a
+table.
 
 Files: ``<path>/codes`` (id, count, bits) and ``<path>/blocks``, both Parquet.
 
@@ -16,31 +17,41 @@ empty files; other columns are not written.
 
 from __future__ import annotations
 
+import array
+import gc
 import os
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
-from .common import partitions, removed, written
+from .bpe import byte_symbols
+from .common import fresh_path, partitions, removed
 
 #: Longest code in bits; ids in a block; ids between checkpoints.
 LIMIT, BLOCK, STEP = 18, 1 << 18, 128
 #: Words that a worker's cache holds before it starts anew.
-KEEP = 700_000
+KEEP = 400_000
+
+
+# How byte-level BPE cuts text into pieces, and up to where alphabets are the same in all tables.
+PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
+LATIN = "\u024f"
 
 
 class Encoder:
-    """Ids as the tokenizers library gives them, asked once for each chunk between single spaces.
+    """Ids as the tokenizers library gives them, asked once for each piece.
 
     A space with other characters on both sides always begins a new piece of byte-level
     BPE, so what lies between such spaces can be encoded alone; texts in which a chunk
-    is empty or has white space at an edge are encoded in one.
+    is empty or has white space at an edge, and chunks with special tokens or letters
+    beyond Latin, are encoded by the library as they are.
     """
 
     def __init__(self, path: str):
@@ -48,32 +59,55 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
+        self.model = self.tok.model
         self.kind = np.uint16 if self.tok.get_vocab_size() <= 1 << 16 else np.uint32
+        self.code = "H" if self.kind is np.uint16 else "I"
+        self.special = [t.content for t in self.tok.get_added_tokens_decoder().values()]
+        self.symbols = {b: s for b, s in enumerate(byte_symbols())}
+        self.pieces: dict[str, bytes] = {}
         self.first: dict[str, bytes | None] = {}
         self.rest: dict[str, bytes | None] = {}
 
+    def _whole(self, text: str) -> bytes:
+        return array.array(self.code, self.tok.encode(text, add_special_tokens=False).ids).tobytes()
+
+    def _piece(self, p: str) -> bytes:
+        got = self.pieces.get(p)
+        if got is None:
+            symbols = self.symbols
+            got = self.pieces[p] = array.array(self.code, [t.id for t in self.model.tokenize("".join([symbols[b] for b in p.encode()]))]).tobytes()
+        return got
+
     def _learn(self, known: dict[str, bytes | None], new: set[str], lead: str) -> None:
-        clean = []
+        piece = self._piece
         for c in new:
             if not c or c[0].isspace() or c[-1].isspace():
                 known[c] = None
+            elif not c.isascii() and max(c) > LATIN or any(s in c for s in self.special):
+                known[c] = self._whole(lead + c)
+            elif c.isalpha():
+                known[c] = piece(lead + c)
             else:
-                clean.append(c)
-        for lo in range(0, len(clean), 20_000):
-            part = clean[lo : lo + 20_000]
-            for c, e in zip(part, self.tok.encode_batch_fast([lead + c for c in part], add_special_tokens=False), strict=True):
-                known[c] = np.array(e.ids, self.kind).tobytes()
+                known[c] = b"".join([piece(p) for p in PIECES.findall(lead + c)])
 
     def ids(self, texts: list[str]) -> list[bytes]:
         cut = [t.split(" ") for t in texts]
-        for known, found, lead in ((self.first, {c[0] for c in cut}, ""), (self.rest, {x for c in cut for x in c[1:]}, " ")):
-            if len(known) + len(found) > KEEP:
-                known.clear()
-            self._learn(known, {x for x in found if x not in known}, lead)
+        running = gc.isenabled()
+        gc.disable()  # nothing here has cycles
+        try:
+            for known, found, lead in ((self.first, {c[0] for c in cut}, ""), (self.rest, {x for c in cut for x in c[1:]}, " ")):
+                if len(known) + len(found) > KEEP:
+                    known.clear()
+                if len(self.pieces) > KEEP:
+                    self.pieces.clear()
+                self._learn(known, {x for x in found if x not in known}, lead)
+        finally:
+            if running:
+                gc.enable()
         out = []
         for t, c in zip(texts, cut, strict=True):
             got = [self.first[c[0]], *map(self.rest.__getitem__, c[1:])]
-            out.append(np.array(self.tok.encode(t, add_special_tokens=False).ids, self.kind).tobytes() if None in got else b"".join(got))
+            out.append(self._whole(t) if None in got else b"".join(got))
         return out
 
 
@@ -132,20 +166,29 @@ def canonical(bits: np.ndarray) -> np.ndarray:
     return out
 
 
-def pack(ids: np.ndarray, codes: np.ndarray, bits: np.ndarray) -> tuple[bytes, np.ndarray]:
-    """The bit stream of ids, high bits first, and the bit offset of every STEP-th id."""
+def pack(ids: np.ndarray, lengths: np.ndarray, codes: np.ndarray, bits: np.ndarray) -> tuple[list[bytes], list[bytes]]:
+    """For each document (``lengths`` ids) its bit stream, high bits first, and the bit offsets of every STEP-th id."""
     size = bits[ids]
-    end = np.cumsum(size)
-    at = end - size
+    total = np.concatenate([[0], np.cumsum(size)])
+    end = np.cumsum(lengths)
+    first = end - lengths
+    wide = total[end] - total[first]
+    taken = (wide + 7) // 8
+    begin = np.cumsum(taken) - taken
+    # documents begin at whole bytes
+    within = total[:-1] - np.repeat(total[first], lengths)
+    at = within + np.repeat(begin * 8, lengths)
     code = codes[ids] << (64 - size).astype(np.uint64)
     word, off = at >> 6, (at & 63).astype(np.uint64)
-    buffer = np.zeros((int(end[-1]) + 63) // 64 + 1 if len(ids) else 1, np.uint64)
+    buffer = np.zeros(int(taken.sum()) // 8 + 2, np.uint64)
     if len(ids):
-        first = np.flatnonzero(np.concatenate([[True], word[1:] != word[:-1]]))
-        buffer[word[first]] = np.bitwise_or.reduceat(code >> off, first)
+        start = np.flatnonzero(np.concatenate([[True], word[1:] != word[:-1]]))
+        buffer[word[start]] = np.bitwise_or.reduceat(code >> off, start)
         over = np.flatnonzero((at & 63) + size > 64)
         buffer[word[over] + 1] |= code[over] << (np.uint64(64) - off[over])
-    return buffer.astype(">u8").tobytes(), at[::STEP]
+    raw = buffer.astype(">u8").tobytes()
+    streams = [raw[b : b + n] for b, n in zip(begin.tolist(), taken.tolist(), strict=True)]
+    return streams, [within[f:e:STEP].astype("<u4").tobytes() for f, e in zip(first.tolist(), end.tolist(), strict=True)]
 
 
 class Table:
@@ -164,16 +207,22 @@ class Table:
         self.bits[:full] = np.repeat(bits[used], share)
         self.codes = codes
 
-    def unpack(self, stream: bytes, checkpoints: np.ndarray, n: int) -> np.ndarray:
+    def unpack(self, stream: bytes, checkpoints: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+        """Ids of documents that lie one after the other: all checkpoints (bit offsets in the stream) in lockstep."""
         raw = np.frombuffer(stream + bytes(8), np.uint8).astype(np.uint32)
         window = raw[:-3] << 24 | raw[1:-2] << 16 | raw[2:-1] << 8 | raw[3:]
         at, out = checkpoints.astype(np.int64), np.zeros((len(checkpoints), STEP), np.uint32)
         last, mask = len(window) - 1, np.uint32((1 << self.wide) - 1)
-        for i in range(min(STEP, n)):
+        lanes = -(-lengths // STEP)
+        # the last stretch of a document is shorter
+        ends = np.cumsum(lanes) - 1
+        held = np.full(len(checkpoints), STEP)
+        held[ends[lanes > 0]] = (lengths - (lanes - 1) * STEP)[lanes > 0]
+        for i in range(int(held.max(initial=0))):
             seen = window[np.minimum(at >> 3, last)] >> (32 - self.wide - (at & 7)).astype(np.uint32) & mask
             out[:, i] = self.id[seen]
             at += self.bits[seen]
-        return out.ravel()[:n]
+        return out[np.arange(STEP) < held[:, None]]
 
 
 # files
@@ -201,7 +250,9 @@ def write_token_files(docs: DataFrame, tokenizer: str, path: str, end: int = 0)
     """Encode every text, append ``end``, and write codes and blocks under ``path``."""
     spark = docs.sparkSession
     kind = encoder(tokenizer).kind
-    tokens, tokens_path = written(tokenized(docs, tokenizer, end), "tokens")
+    tokens_path = fresh_path(spark, "tokens")
+    tokenized(docs, tokenizer, end).write.option("compression", "zstd").parquet(tokens_path)
+    tokens = spark.read.schema("doc_id long, ids binary").parquet(tokens_path)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(0, np.int64)
@@ -226,32 +277,44 @@ def write_token_files(docs: DataFrame, tokenizer: str, path: str, end: int = 0)
     spark.createDataFrame([(int(i), int(counts[i]), int(bits[i])) for i in np.flatnonzero(bits)], "id long, count long, bits int").coalesce(1).write.parquet(f"{path}/codes")
     shared = spark.sparkContext.broadcast((bits, canonical(bits)))
 
+    def coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 500):
+                part = batch.slice(lo, 500)
+                each = [np.frombuffer(x, kind) for x in part.column(1).to_pylist()]
+                lengths = np.array([len(x) for x in each], np.int64)
+                streams, marks = pack(np.concatenate(each), lengths, shared.value[1], shared.value[0])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(lengths), pa.array(streams, pa.binary()), pa.array(marks, pa.binary())], names=["doc_id", "n", "stream", "marks"])
+
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard, block, first = TaskContext.get().partitionId(), 0, 0
-        names: list[int | None] = []
-        parts: list[np.ndarray] = []
+        rows: list[tuple] = []
         held = 0
 
         def made() -> pa.RecordBatch:
-            ids = np.concatenate(parts)
-            stream, marks = pack(ids, shared.value[1], shared.value[0])
-            row = [[shard], [block], [first], [len(ids)], [stream], [marks.astype("<u8").tobytes()], [names], [[len(p) for p in parts]]]
+            names, lengths, streams, marks = zip(*rows, strict=True)
+            begin = 0
+            places = []
+            for s, m in zip(streams, marks, strict=True):
+                places.append(np.frombuffer(m, "<u4").astype("<u8") + 8 * begin)
+                begin += len(s)
+            row = [shard, block, first, held, b"".join(streams), np.concatenate(places).tobytes(), list(names), list(lengths)]
             kinds = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int64())]
-            return pa.RecordBatch.from_arrays([pa.array(r, k) for r, k in zip(row, kinds, strict=True)], names=[x.split()[0] for x in BLOCKS.split(", ")])
+            return pa.RecordBatch.from_arrays([pa.array([r], k) for r, k in zip(row, kinds, strict=True)], names=[x.split()[0] for x in BLOCKS.split(", ")])
 
         for batch in batches:
-            for d, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                ids = np.frombuffer(x, kind)
-                if held and held + len(ids) > BLOCK:
+            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if held and held + row[1] > BLOCK:
                     yield made()
-                    block, first, names, parts, held = block + 1, first + held, [], [], 0
-                names.append(d)
-                parts.append(ids)
-                held += len(ids)
+                    block, first, rows, held = block + 1, first + held, [], 0
+                rows.append(row)
+                held += row[1]
         if held:
             yield made()
 
-    tokens.repartitionByRange(partitions(spark), "doc_id").sortWithinPartitions("doc_id").mapInArrow(blocks, BLOCKS).write.parquet(f"{path}/blocks")
+    # what is shuffled is coded already
+    streams = tokens.mapInArrow(coded, "doc_id long, n long, stream binary, marks binary")
+    streams.repartitionByRange(partitions(spark), "doc_id").sortWithinPartitions("doc_id").mapInArrow(blocks, BLOCKS).write.parquet(f"{path}/blocks")
     removed(spark, tokens_path)
 
 
@@ -271,8 +334,8 @@ def read_token_files(spark: SparkSession, path: str, keep_ids: bool = False) ->
         table = Table(shared.value)
         for batch in batches:
             for r in range(batch.num_rows):
-                base, first, n, stream, marks, names, lengths = (c[r].as_py() for c in batch.columns)
-                ids = table.unpack(stream, np.frombuffer(marks, "<u8"), n).astype("<u4")
+                base, first, stream, marks, names, lengths = (c[r].as_py() for c in batch.columns)
+                ids = table.unpack(stream, np.frombuffer(marks, "<u8"), np.array(lengths, np.int64)).astype("<u4")
                 ends = np.cumsum(lengths)
                 starts = ends - lengths
                 cols = [names, (starts + base + first).tolist(), lengths, [zlib.crc32(ids[s:e].tobytes()) for s, e in zip(starts, ends, strict=True)]]
@@ -281,4 +344,4 @@ def read_token_files(spark: SparkSession, path: str, keep_ids: bool = False) ->
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, (_, k) in zip(cols, fields, strict=True)], names=[f for f, _ in fields])
 
     ddl = "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids array<long>" * keep_ids
-    return blocks.join(F.broadcast(shards), "shard").select("base", "first", "n_ids", "stream", "checkpoints", "docs", "lengths").mapInArrow(run, ddl)
+    return blocks.join(F.broadcast(shards), "shard").select("base", "first", "stream", "checkpoints", "docs", "lengths").mapInArrow(run, ddl)
