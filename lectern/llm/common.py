@@ -15,7 +15,12 @@ from pyspark.sql import functions as F
 MASK = (1 << 64) - 1
 
 
+#: Rows of an Arrow batch: some 7 MB of documents.
+BATCH_ROWS = "2000"
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
@@ -44,6 +49,7 @@ def fresh_path(spark: SparkSession, name: str) -> str:
 def written(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     """Write ``df`` to the shared folder and read it back: lineage ends, lost executors cost nothing."""
     spark = df.sparkSession
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
     path = fresh_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path), path

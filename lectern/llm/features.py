@@ -34,7 +34,7 @@ def shape(chunk: str) -> str:
 class NGrams:
     """Indicators of words, pairs of words, and one to three shapes in a row."""
 
-    KEEP = 400_000
+    KEEP = 200_000
 
     def __init__(self):
         self.known: dict[str, tuple[int, int]] = {}

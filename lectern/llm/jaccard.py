@@ -45,7 +45,7 @@ STEP = 1.25
 #: A shingle is common if in a slice of documents at least this share, and number, of distinct sets has it ...
 COMMON_SLICE, COMMON_SHARE, COMMON_LEAST = 10_000, 0.0008, 8
 #: Tokens of a slice, at most (8 bytes each, sorted once).
-COMMON_TOKENS = 6_000_000
+COMMON_TOKENS = 2_000_000
 #: ... and if it is among so many with the highest counts. The choice affects cost alone.
 COMMON_MOST = 200_000
 #: Documents, and tokens, in a block of a cluster.

@@ -39,7 +39,7 @@ WORD = re.compile(r"[^\W\d_]+")
 
 
 class Words:
-    KEEP = 400_000
+    KEEP = 300_000
 
     def __init__(self):
         self.known: dict[str, int] = {}
