@@ -54,7 +54,11 @@ def vec_multi_collection(spark, sf_dir):
     return V.top_k_batch(own, q, 40, "query_id", "qv", per=["collection"]).select("collection", "vec_id", "score", "rank")
 
 
-@query("vec_uuid5")
+@query(
+    "vec_uuid5",
+    f"""with h as (select doc_id, sha1(unhex('{V.DNS}') || encode('chunk_' || doc_id)) as h from documents)
+    select doc_id, h[1:8] || '-' || h[9:12] || '-5' || h[14:16] || '-' || list_extract(['8', '9', 'a', 'b'], (strpos('0123456789abcdef', h[17:17]) - 1) % 4 + 1) || h[18:20] || '-' || h[21:32] as point_id from h""",
+)
 def vec_uuid5(spark, sf_dir):
     return load(spark, sf_dir, "documents").select("doc_id", V.point_id(F.concat(F.lit("chunk_"), F.col("doc_id").cast("string"))).alias("point_id"))
 
