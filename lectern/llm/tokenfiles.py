@@ -37,7 +37,7 @@ from .common import fresh_path, partitions, removed
 #: Longest code in bits; ids in a block; ids between checkpoints.
 LIMIT, BLOCK, STEP = 18, 1 << 18, 128
 #: Words that a worker's cache holds before it starts anew.
-KEEP = 400_000
+KEEP = 600_000
 
 
 # How byte-level BPE cuts text into pieces, and up to where alphabets are the same in all tables.
@@ -78,12 +78,12 @@ class Encoder:
             got = self.pieces[p] = array.array(self.code, [t.id for t in self.model.tokenize("".join([symbols[b] for b in p.encode()]))]).tobytes()
         return got
 
-    def _learn(self, known: dict[str, bytes | None], new: set[str], lead: str) -> None:
+    def _learn(self, known: dict[str, bytes | None], new: set[str], lead: str, special: list[str]) -> None:
         piece = self._piece
         for c in new:
             if not c or c[0].isspace() or c[-1].isspace():
                 known[c] = None
-            elif not c.isascii() and max(c) > LATIN or any(s in c for s in self.special):
+            elif not c.isascii() and max(c) > LATIN or special and any(s in c for s in special):
                 known[c] = self._whole(lead + c)
             elif c.isalpha():
                 known[c] = piece(lead + c)
@@ -92,6 +92,7 @@ class Encoder:
 
     def ids(self, texts: list[str]) -> list[bytes]:
         cut = [t.split(" ") for t in texts]
+        special = [s for s in self.special if any(s in t for t in texts)]
         running = gc.isenabled()
         gc.disable()  # nothing here has cycles
         try:
@@ -100,7 +101,7 @@ class Encoder:
                     known.clear()
                 if len(self.pieces) > KEEP:
                     self.pieces.clear()
-                self._learn(known, {x for x in found if x not in known}, lead)
+                self._learn(known, {x for x in found if x not in known}, lead, special)
         finally:
             if running:
                 gc.enable()
@@ -277,44 +278,36 @@ def write_token_files(docs: DataFrame, tokenizer: str, path: str, end: int = 0)
     spark.createDataFrame([(int(i), int(counts[i]), int(bits[i])) for i in np.flatnonzero(bits)], "id long, count long, bits int").coalesce(1).write.parquet(f"{path}/codes")
     shared = spark.sparkContext.broadcast((bits, canonical(bits)))
 
-    def coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for lo in range(0, batch.num_rows, 500):
-                part = batch.slice(lo, 500)
-                each = [np.frombuffer(x, kind) for x in part.column(1).to_pylist()]
-                lengths = np.array([len(x) for x in each], np.int64)
-                streams, marks = pack(np.concatenate(each), lengths, shared.value[1], shared.value[0])
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(lengths), pa.array(streams, pa.binary()), pa.array(marks, pa.binary())], names=["doc_id", "n", "stream", "marks"])
-
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard, block, first = TaskContext.get().partitionId(), 0, 0
         rows: list[tuple] = []
         held = 0
 
         def made() -> pa.RecordBatch:
-            names, lengths, streams, marks = zip(*rows, strict=True)
-            begin = 0
-            places = []
-            for s, m in zip(streams, marks, strict=True):
+            names, each = zip(*rows, strict=True)
+            lengths = np.array([len(x) for x in each], np.int64)
+            streams, marks = pack(np.concatenate(each), lengths, shared.value[1], shared.value[0])
+            begin, places = 0, []
+            for stream, m in zip(streams, marks, strict=True):
                 places.append(np.frombuffer(m, "<u4").astype("<u8") + 8 * begin)
-                begin += len(s)
-            row = [shard, block, first, held, b"".join(streams), np.concatenate(places).tobytes(), list(names), list(lengths)]
+                begin += len(stream)
+            row = [shard, block, first, held, b"".join(streams), np.concatenate(places).tobytes(), list(names), lengths.tolist()]
             kinds = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int64())]
             return pa.RecordBatch.from_arrays([pa.array([r], k) for r, k in zip(row, kinds, strict=True)], names=[x.split()[0] for x in BLOCKS.split(", ")])
 
         for batch in batches:
-            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if held and held + row[1] > BLOCK:
+            for doc, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                ids = np.frombuffer(x, kind)
+                if held and held + len(ids) > BLOCK:
                     yield made()
                     block, first, rows, held = block + 1, first + held, [], 0
-                rows.append(row)
-                held += row[1]
+                rows.append((doc, ids))
+                held += len(ids)
         if held:
             yield made()
 
-    # what is shuffled is coded already
-    streams = tokens.mapInArrow(coded, "doc_id long, n long, stream binary, marks binary")
-    streams.repartitionByRange(partitions(spark), "doc_id").sortWithinPartitions("doc_id").mapInArrow(blocks, BLOCKS).write.parquet(f"{path}/blocks")
+    # ranges are sampled from the written table
+    tokens.repartitionByRange(partitions(spark), "doc_id").sortWithinPartitions("doc_id").mapInArrow(blocks, BLOCKS).write.parquet(f"{path}/blocks")
     removed(spark, tokens_path)
 
 
