@@ -124,12 +124,16 @@ def chunked(markdown: DataFrame, doc: str, file_name: Column, text: str = "text"
     """
     from lectern.operators.pages import split_pages
 
-    base = markdown.select(doc, F.col(text).alias("_md"), file_name.alias("_file"), headings(F.col(text)).alias("_heads"))
-    sections = split_pages(markdown, doc, text)
-    made = sentence_chunks(sections, [doc, "pos", "page"])
+    base = markdown.select(doc, file_name.alias("_file"), headings(F.col(text)).alias("_heads"))
+    # only a section's first chunk begins behind white space: sentences end with what follows them
+    lead = F.length(F.regexp_extract("text", r"^[\s\p{Z}\x1c-\x1f\x85]*", 0))
+    sections = split_pages(markdown, doc, text).withColumn("lead", lead)
+    made = sentence_chunks(sections, [doc, "pos", "page", "base", "lead"])
     kept = made.where(~boilerplate(F.col("chunk")))
-    joined = kept.join(base, doc)
-    crumb = breadcrumb(F.col("_heads"), F.position("chunk", "_md") - 1)
+    # columns of their own, or a lambda works them out for each heading
+    at = F.col("base") + F.col("offset") + F.when(F.col("offset") == 0, F.col("lead")).otherwise(0)
+    joined = kept.join(base, doc).withColumn("_at", at).withColumn("_crumb", breadcrumb(F.col("_heads"), F.col("_at")))
+    crumb = F.col("_crumb")
     return joined.select(
         F.sha2(F.concat_ws("|", F.col(doc).cast("string"), F.coalesce(F.col("page").cast("string"), F.lit("")), "pos", "seq", "chunk"), 256).alias("chunk_id"),
         doc, "page", "pos", "seq", crumb.alias("breadcrumb"), chunk_text(F.col("_file"), crumb, F.col("chunk")).alias("text"), "tokens",

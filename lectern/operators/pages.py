@@ -45,11 +45,15 @@ def degenerate(total_pages: Column, text_pages: Column, text_chars: Column) -> C
 
 
 def split_pages(markdown: DataFrame, doc: str, text: str = "text") -> DataFrame:
-    """(doc, pos, page, text): sections between page anchors; text before the first has no page; blank ones are dropped."""
-    parts = F.split(F.regexp_replace(text, PAGE_ANCHOR, f"{MARK}$1{MARK}{MARK}"), MARK)
+    """(doc, pos, page, base, text): sections between page anchors and where they begin; text before the first has no page; blank ones are dropped."""
+    cut = markdown.select(doc, F.split(F.regexp_replace(text, PAGE_ANCHOR, f"{MARK}$1{MARK}{MARK}"), MARK).alias("_parts"), F.regexp_extract_all(text, F.lit(PAGE_ANCHOR), F.lit(0)).alias("_anchors"))
     # parts: preamble, then for each anchor its number, an empty one, and the section
-    sections = F.transform(F.sequence(F.lit(0), F.floor((F.size(parts) - 1) / 3).cast("int")), lambda i: F.struct(i.alias("pos"), F.when(i > 0, F.get(parts, 3 * i - 2).cast("int")).alias("page"), F.get(parts, 3 * i).alias("text")))
-    made = markdown.select(doc, F.explode(sections).alias("s"), (F.size(parts) > 1).alias("_any")).select(doc, "s.pos", "s.page", "s.text", "_any")
+    parts = F.col("_parts")
+    sizes = F.transform("_anchors", lambda a, i: F.length(F.get(parts, 3 * i)) + F.length(a))
+    cut = cut.select(doc, "_parts", sizes.alias("_sizes"))
+    base = lambda i: F.aggregate(F.slice("_sizes", F.lit(1), i), F.lit(0), lambda n, x: n + x)
+    sections = F.transform(F.sequence(F.lit(0), F.floor((F.size(parts) - 1) / 3).cast("int")), lambda i: F.struct(i.alias("pos"), F.when(i > 0, F.get(parts, 3 * i - 2).cast("int")).alias("page"), base(i).alias("base"), F.get(parts, 3 * i).alias("text")))
+    made = cut.select(doc, F.explode(sections).alias("s"), (F.size(parts) > 1).alias("_any")).select(doc, "s.pos", "s.page", "s.base", "s.text", "_any")
     return made.where((strip(F.col("text")) != "") | ~F.col("_any")).drop("_any")
 
 

@@ -14,8 +14,10 @@ from lectern.session import load
 MARKDOWN = "with p as (select doc_id // 10 as file_id, doc_id, '<!-- page:' || (doc_id % 10 + 1) || ' -->' || chr(10) || '## doc ' || doc_id || chr(10) || left(text, 400) as t from documents), m as (select file_id, '# file ' || file_id || chr(10) || string_agg(t, chr(10) order by doc_id) as md from p group by 1)"
 
 
-def markdown(spark, sf_dir):
-    part = F.concat(F.lit("<!-- page:"), (F.col("doc_id") % 10 + 1).cast("string"), F.lit(" -->\n## doc "), F.col("doc_id").cast("string"), F.lit("\n"), F.left("text", F.lit(400)))
+def markdown(spark, sf_dir, whole=False):
+    """The files; queries with SQL take as much of each text as MARKDOWN does."""
+    text = F.col("text") if whole else F.left("text", F.lit(400))
+    part = F.concat(F.lit("<!-- page:"), (F.col("doc_id") % 10 + 1).cast("string"), F.lit(" -->\n## doc "), F.col("doc_id").cast("string"), F.lit("\n"), text)
     rows = load(spark, sf_dir, "documents").select(F.expr("doc_id div 10").alias("file_id"), "doc_id", part.alias("t"))
     joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("doc_id", "t"))), lambda x: x["t"]), "\n")
     return rows.groupBy("file_id").agg(F.concat(F.lit("# file "), F.col("file_id").cast("string"), F.lit("\n"), joined).alias("md"))
@@ -79,7 +81,7 @@ def chk_sentence_pack(spark, sf_dir):
 
 @query("chk_pipeline")
 def chk_pipeline(spark, sf_dir):
-    made = C.chunked(markdown(spark, sf_dir), "file_id", F.concat(F.lit("file_"), F.col("file_id").cast("string"), F.lit(".md")), "md")
+    made = C.chunked(markdown(spark, sf_dir, whole=True), "file_id", F.concat(F.lit("file_"), F.col("file_id").cast("string"), F.lit(".md")), "md")
     return made.select("chunk_id", "file_id", "page", "seq", "breadcrumb", "tokens", F.md5(F.col("text").cast("binary")).alias("digest"))
 
 

@@ -107,6 +107,20 @@ def test_packing():
     assert chunking.packed("") == []
 
 
+def test_chunks_have_their_own_headings(spark):
+    same = "Dieser Satz steht auf zwei Seiten gleich."
+    md = f"# T\n<!-- page:1 -->\n## eins\n\n{same}\n<!-- page:2 -->\n{'Vor. ' * 300}\n\n## zwei\n\n{same}\n<!-- page:3 -->\n{same}"
+    rows = chunking.chunked(spark.createDataFrame([(1, md)], "doc int, text string"), "doc", F.lit("f")).collect()
+    assert {(r.page, r.breadcrumb) for r in rows if r.text.endswith(f"]\n\n{same}")} == {(3, "T > zwei")}
+
+
+def test_whole_documents_are_chunked(spark, tmp_path):
+    from lectern.plans.chunks import chk_pipeline
+
+    spark.createDataFrame([(0, "Ein Satz mit einigen Worten. " * 400)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    assert sum(r.tokens for r in chk_pipeline(spark, str(tmp_path)).collect()) >= 400 * 6
+
+
 def test_agent_text(spark):
     r = one(spark, agents.parse_action, 'THOUGHT: …\nACTION: SEARCH({"query": "Hydraulik", "collection": "neumann_machines"})')
     assert (r.action, r.args) == ("SEARCH", '{"query": "Hydraulik", "collection": "neumann_machines"}')
