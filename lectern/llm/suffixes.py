@@ -10,10 +10,11 @@ grams that occur again, of bounded size, leaves most of them out.
 
 Suffixes are sorted by their words, then by the words before them in reverse, over
 range partitions, so equal suffixes may fill any number of partitions.  Each is compared
-with REACH neighbours on either side, and matches are extended right and left.  A
-suffix that shares its start with neighbours of other documents but finds no match of
-LEAST words among them, or that lies at the edge of a partition, may have one further
-away.  For the starts of such suffixes the LEAST-word windows around all their suffixes
+with REACH neighbours on either side, and matches are extended right and left; what all
+matches of LEAST words or more cover is kept.  A suffix whose start reaches further than
+its neighbours, or that lies at the edge of a partition, may have other matches further
+away, unless what is covered already is all of its words that any window can touch.  For
+the starts of such suffixes the LEAST-word windows around all their suffixes
 are compared by hash, which leaves no case out.  Overlapping matches of a document are
 joined to passages.
 
@@ -107,7 +108,7 @@ def _starts(docs: DataFrame) -> DataFrame:
 
 
 SUFFIX = "start long, right binary, left binary, doc_id long, pos long"
-MATCH = "start long, doc_id long, first long, last long, other long"
+MATCH = "start long, doc_id long, first long, last long, other long, open boolean"
 
 
 def _rows(values: np.ndarray) -> pa.Array:
@@ -145,48 +146,54 @@ def _common(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Matches of sorted suffixes; undecided ones come with a null place."""
+    """What the matches of sorted suffixes cover; open ones may have more matches than those."""
     held: dict[str, np.ndarray] | None = None
     edge = True  # no row has been given out yet
+    own = ("l", "r", "other", "far")
 
     def rows(h: dict[str, np.ndarray], lo: int, hi: int) -> pa.RecordBatch:
-        found = h["total"][lo:hi] >= LEAST
-        given = found | h["open"][lo:hi]
-        cols = [h["start"], h["doc"], h["first"], h["last"], h["other"]]
-        return pa.RecordBatch.from_arrays([pa.array(c[lo:hi][given], mask=~found[given] if i > 1 else None) for i, c in enumerate(cols)], names=[x.split()[0] for x in MATCH.split(", ")])
+        h = {k: v[lo:hi] for k, v in h.items()}
+        found = h["r"] > 0
+        # all matches hold the start, so what they cover has no gaps
+        whole = (h["l"] >= (h["left"] != 0).sum(1)) & (h["r"] >= (h["right"] != 0).sum(1))
+        open_ = h["far"] & ~whole
+        given = found | open_
+        cols = [h["start"], h["doc"], h["pos"] - h["l"], h["pos"] + h["r"], h["other"]]
+        out = [pa.array(c[given], mask=~found[given] if i > 1 else None) for i, c in enumerate(cols)]
+        return pa.RecordBatch.from_arrays([*out, pa.array(open_[given])], names=[x.split()[0] for x in MATCH.split(", ")])
 
     for batch in batches:
         n = batch.num_rows
         if not n:
             continue
         zero = np.zeros(n, np.int64)
-        new = {"start": batch.column(0).to_numpy(), "right": _words_of(batch.column(1), AFTER), "left": _words_of(batch.column(2), BEFORE), "doc": batch.column(3).to_numpy(), "pos": batch.column(4).to_numpy(), "total": zero, "first": zero, "last": zero, "other": zero, "open": np.zeros(n, bool)}
+        new = {"start": batch.column(0).to_numpy(), "right": _words_of(batch.column(1), AFTER), "left": _words_of(batch.column(2), BEFORE), "doc": batch.column(3).to_numpy(), "pos": batch.column(4).to_numpy(), "l": zero, "r": zero, "other": np.full(n, np.iinfo(np.int64).max), "far": np.zeros(n, bool)}
         fresh = 0 if held is None else len(held["start"])
         h = new if held is None else {k: np.concatenate([held[k], new[k]]) for k in new}
-        h = {k: v.copy() if k in ("total", "first", "last", "other", "open") else v for k, v in h.items()}
+        h = {k: v.copy() if k in own else v for k, v in h.items()}
         for lag in range(1, min(REACH, len(h["start"]) - 1) + 1):
             y = np.arange(max(fresh, lag), len(h["start"]))
             x = y - lag
             same = h["start"][x] == h["start"][y]
             x, y = x[same], y[same]
-            h["open"][x] = h["open"][y] = True
+            if lag == REACH:
+                h["far"][x] = h["far"][y] = True
             other = h["doc"][x] != h["doc"][y]
             x, y = x[other], y[other]
             r, l = _common(h["right"][x], h["right"][y]), _common(h["left"][x], h["left"][y])
+            long = r + l >= LEAST
+            x, y, r, l = x[long], y[long], r[long], l[long]
             for a, b in ((x, y), (y, x)):
-                better = r + l > h["total"][a]
-                i = a[better]
-                h["total"][i] = (r + l)[better]
-                h["first"][i], h["last"][i] = (h["pos"][a] - l)[better], (h["pos"][a] + r)[better]
-                h["other"][i] = h["doc"][b][better]
+                h["l"][a], h["r"][a] = np.maximum(h["l"][a], l), np.maximum(h["r"][a], r)
+                h["other"][a] = np.minimum(h["other"][a], h["doc"][b])
         if edge:
-            h["open"][:REACH] = True
+            h["far"][:REACH] = True
             edge = False
         done = max(0, len(h["start"]) - REACH)
         yield rows(h, 0, done)
         held = {k: v[done:] for k, v in h.items()}
     if held is not None:
-        held["open"][:] = True
+        held["far"][:] = True
         yield rows(held, 0, len(held["start"]))
 
 
@@ -252,7 +259,7 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
     removed(spark, starts_path)
     order = ["start", "right", "left", "doc_id", "pos"]
     matches, _ = written(suffixes.repartitionByRange(wide, *order).sortWithinPartitions(*order).mapInArrow(_neighbours, MATCH), "matches")
-    windows, _ = written(_windows(suffixes, bitmap_of(matches.where("first is null").select("start").distinct())), "windows")
+    windows, _ = written(_windows(suffixes, bitmap_of(matches.where("open").select("start").distinct())), "windows")
     removed(spark, suffixes_path)
     shared = windows.groupBy("window").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a <> b")
     exact = windows.join(shared, "window").select("doc_id", "first", (F.col("first") + LEAST).alias("last"), F.when(F.col("doc_id") == F.col("a"), F.col("b")).otherwise(F.col("a")).alias("other"))

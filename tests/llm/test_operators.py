@@ -222,6 +222,24 @@ def test_repeats_of_every_length(spark):
     assert covered(suffixes.repeated_passages(df)) == repeats_by_hand(rows)
 
 
+def test_repeats_with_other_extents(spark):
+    rng = np.random.default_rng(7)
+    some = lambda n: [f"y{rng.integers(10**9)}" for _ in range(n)]
+    rows = []
+    # X begins like Y and, from its word 19 on, goes on like Z for longer
+    for i in range(12):
+        x = some(100)
+        rows += [(10 * i, x), (10 * i + 1, some(5) + x[:50] + some(20)), (10 * i + 2, some(5) + x[19:] + some(20))]
+    # a passage that many documents share, the words before it in pairs
+    passage = some(50)
+    for i in range(20):
+        before = some(11)
+        rows += [(1000 + 2 * i + j, some(20) + before + passage + some(60)) for j in range(2)]
+    rows = [(d, " ".join(w)) for d, w in rows]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert covered(suffixes.repeated_passages(df)) == repeats_by_hand(rows)
+
+
 def test_repeats_on_odd_rows(odd, none):
     got = covered(suffixes.repeated_passages(odd))
     assert {d: len(w) for d, w in got.items()} == {1: 120, 2: 120, 3: 120}
