@@ -1,6 +1,7 @@
 """The corpus operators against brute force, round trips and held-out labels, and on odd rows."""
 
 import base64
+import gzip
 import hashlib
 import re
 import zlib
@@ -362,6 +363,21 @@ def test_layers():
     assert secrets.scan("%41%" * 50 + "\\u00zz") == ([], [])
 
 
+def test_layers_are_unfolded_whole(monkeypatch):
+    secret = b'password = "abcdefghijklmnop12"'
+    b64 = lambda raw: base64.b64encode(raw).decode()
+    twice, members = gzip.compress(gzip.compress(secret)), gzip.compress(b"nichts, ") + gzip.compress(secret)
+    apart = r"\u0022password\u0022: \u0022abcdef123456\u0022"
+    for wrapped in ("password%3D hunter2hunter2", apart, b64(twice), b64(members), *(b64(x.encode() + b" " + secret) for x in ("\u00a0", "\0", "\f")), b64(b"\xff " + secret)):
+        text = f"davor {wrapped} danach"
+        every = [x for x in secrets.scan(text)[1] if x[1] == 0]
+        assert every and all(6 <= s < e <= 6 + len(wrapped) for s, _, e in every), wrapped
+        assert "hunter2" not in secrets.redact(text) and not [x for x in secrets.scan(secrets.redact(text))[1] if x[1] == 0]
+    monkeypatch.setattr(secrets, "UNFOLD", 1000)
+    for n in range(900, 1100, 7):  # over a limit, wherever the secret lies
+        assert [x for x in secrets.scan(b64(zlib.compress(b"zu lang\n" * (n // 8) + b"." * (n % 8) + b"\n" + secret + b"\nund weiter" * 300)))[1] if x[1] == 0]
+
+
 # 9
 
 
