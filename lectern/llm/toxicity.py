@@ -69,8 +69,8 @@ def words() -> Words:
 def bag(text: str) -> tuple[list[list[int]], list[tuple[int, int]]]:
     """Features (places of distinct words) and span of each sentence that has words."""
     places, spans = [], []
-    for m in SENTENCE.finditer(text.lower() if len(text.lower()) == len(text) else text):
-        found = WORD.findall(m[0])
+    for m in SENTENCE.finditer(text):
+        found = [w.lower() for w in WORD.findall(m[0])]
         if found:
             places.append(sorted(set(words().of(found))))
             spans.append(m.span())

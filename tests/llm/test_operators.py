@@ -172,6 +172,11 @@ def test_offending_sentence(spark, sf_dir):
     assert np.mean([any(w in h for w in ("idiot", "moron", "stupid", "clown", "loser", "pathetic", "worthless", "disgusting", "scum")) for h in hits]) > 0.8
 
 
+def test_capitals_beside_a_letter_that_grows():
+    places, spans = toxicity.bag("\u0130zmir ist weit. You IDIOT.")
+    assert places[-1] == toxicity.bag("you idiot.")[0][0] and spans[-1][1] == len("\u0130zmir ist weit. You IDIOT.")
+
+
 # 4
 
 
