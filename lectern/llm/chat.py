@@ -40,7 +40,7 @@ MARKERS = {
     "user": ("user", "human", "customer", "question", "q", "me"),
     "assistant": ("assistant", "ai", "bot", "agent", "answer", "a", "model"),
 }
-MARKER = re.compile(r"^\s*[\[<(*#]*\s*(?:<\|)?(" + "|".join(sorted((w for m in MARKERS.values() for w in m), key=len, reverse=True)) + r")(?:\|>)?\s*[\])>*]*\s*[:>\-]\s*", re.I)
+MARKER = re.compile(r"^\s*[\[<(*#]*\s*(?:<\|)?(" + "|".join(sorted((w for m in MARKERS.values() for w in m), key=len, reverse=True)) + r")(?:\|>)?\s*[\])>*]*(?:\s*[:>]|\s*-(?!\S))\s*", re.I)
 KIND = {w: i + 1 for i, r in enumerate(ROLES) for w in MARKERS[r]}
 #: Values of each feature: marker, length, end of a line; lines of a message.
 SIZES = (4, 16, 5, 8)

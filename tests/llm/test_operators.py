@@ -483,6 +483,12 @@ def test_render_and_parse():
     assert chat.parse_transcript(" \n", model) == [] and chat.render([]) == ""
 
 
+def test_words_with_hyphens_are_no_markers():
+    for text in ("AI-generated pictures", "A-level exams", "User-friendly tools"):
+        assert chat.render([("user", text)]) == f"<|user|>\n{text}\n<|end|>\n" and chat.observed(text)[0] == 1
+    assert chat.render([("user", "User - Hallo")]) == "<|user|>\nHallo\n<|end|>\n"
+
+
 def test_roles_on_odd_rows(spark):
     rows = [(1, 0, "user", "a"), (1, 0, "user", "a"), (1, None, None, None), (None, 1, "assistant", "b"), (None, 0, "x", ""), (2, 0, None, "Q: was?\nA: das")]
     df = spark.createDataFrame([(*r, "t") for r in rows], "conv_id long, turn long, role string, text string, segment string")
