@@ -1,6 +1,6 @@
 """The pipeline against the same stages worked out by hand."""
 
-from test_operators import links_by_hand, windows_by_hand
+from test_corpus_operators import links_by_hand, windows_by_hand
 
 import corpus_pipeline
 from lectern.llm import bpe, quality, secrets
