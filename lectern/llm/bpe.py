@@ -7,26 +7,32 @@ forms with it a pair that byte-pair merging leaves apart.  The encoding of a wor
 read back along these last tokens, so what words share as prefixes is worked out once.
 
 Rows: null and empty texts have no ids; long texts and long words are linear in their
-length; repeated rows give equal results; other columns pass through untouched.
+length, and a long text is worked off by itself; an empty table gives no rows; repeated
+rows give equal results, each its own; there are no ties (a pair's rank is its own);
+other columns, whatever their names, are not read.
 """
 
 from __future__ import annotations
 
+import array
 import gc
 import hashlib
 import json
 import unicodedata
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from .common import by_text
+from .common import by_text, kept
 
-#: The word cache of a Python worker holds at most so many chunks, then starts anew.
-CACHE_WORDS = 400_000
-#: Likewise the memo of token pairs.
-CACHE_PAIRS = 500_000
+#: Chunks of a generation of the word cache; a Python worker keeps two, the older one goes when the newer is full.
+CACHE_WORDS = 180_000
+#: Entries of the memo of token pairs, which starts anew when it is full.
+CACHE_PAIRS = 300_000
+#: Words of a trie: sorted words come in tries of so many, which bounds memory and splits few prefixes.
+TRIE_WORDS = 8192
 
 
 def byte_symbols() -> list[str]:
@@ -62,8 +68,14 @@ class TrieBpe:
             raise ValueError("a vocabulary with a suffix at the end of words, of under 2**20 ids, is needed")
         self.final = {s.removesuffix(self.suffix): i for s, i in self.vocab.items() if s.endswith(self.suffix) and s != self.suffix}
         self.inner = {s: i for s, i in self.vocab.items() if not s.endswith(self.suffix)}
-        self.shown = {i: str(i) for i in self.names}
-        self.longest = max(map(len, [*self.final, *self.inner]))
+        top = max(self.names) + 1
+        self.shown = [str(i) for i in range(top)]
+        self.listed = [self.names.get(i, "") for i in range(top)]
+        self.code = "H" if top <= 1 << 16 else "I"
+        # how long the tokens are that end in three given symbols, longest first, and what the walk has asked for
+        self.inner_ends, self.final_ends = self.endings(self.inner), self.endings(self.final)
+        self.inner_asked: dict[str, tuple[int, ...]] = {}
+        self.final_asked: dict[str, tuple[int, ...]] = {}
         self.bytes = byte_symbols()
         self.odd = regex.compile(r"[^!-~]").search  # no byte symbols of their own: control characters and the like
         self.separators = regex.compile(r"[\x1c-\x1f]").search
@@ -72,7 +84,10 @@ class TrieBpe:
         self.cut = regex.compile(spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"])
         self.apart = regex.compile("(" + "|".join(regex.escape(s) for s in self.special) + ")") if self.special else None
         self.pairs: dict[int, bool] = {}
-        self.words: dict[str, tuple[int, str, str]] = {}
+        # generations of the cache: chunk to its ids as bytes
+        self.new: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+        self.letters_whole = self.cut.findall("abcé日") == ["abcé日"]
 
     # text to words
 
@@ -91,11 +106,27 @@ class TrieBpe:
         return out
 
     def chunks(self, text: str) -> list[str]:
-        # str.split() also splits at the four separators that are no white space to the pattern
-        return text.split() if not self.separators(text) else self.spaces.split(text.strip())
+        # str.split() and str.strip() also take the four separators, which are no white space to the pattern
+        return text.split() if not self.separators(text) else [c for c in self.spaces.split(text) if c]
 
     # words to ids
 
+    @staticmethod
+    def endings(tokens: dict[str, int]) -> dict[str, tuple[int, ...]]:
+        found: dict[str, set[int]] = {}
+        for t in tokens:
+            if len(t) >= 3:
+                found.setdefault(t[-3:], set()).add(len(t))
+        return {k: tuple(sorted(v, reverse=True)) for k, v in found.items()}
+
+    def lengths(self, end: str, tokens: dict[str, int], long: dict[str, tuple[int, ...]], asked: dict[str, tuple[int, ...]]) -> tuple[int, ...]:
+        """Lengths, longest first, of the tokens that may end where the last (up to three) symbols are ``end``."""
+        if len(asked) >= CACHE_PAIRS:
+            asked.clear()
+        short = tuple(n for n in (2, 1) if len(end) >= n and end[-n:] in tokens)
+        asked[end] = got = (long.get(end, ()) if len(end) == 3 else ()) + short
+        return got
+
     def stays_apart(self, a: int, b: int, key: int) -> bool:
         """Whether merging the symbols of token a and token b ends with just (a, b).
 
@@ -151,7 +182,8 @@ class TrieBpe:
     def encode_words(self, words: list[str]) -> dict[str, list[int]]:
         """Ids of distinct non-empty words, by a depth-first walk of their trie."""
         out: dict[str, list[int]] = {}
-        inner, final, longest, pairs, apart = self.inner.get, self.final.get, self.longest, self.pairs, self.stays_apart
+        inner, final, pairs, apart = self.inner.get, self.final.get, self.pairs, self.stays_apart
+        inner_asked, final_asked = self.inner_asked.get, self.final_asked.get
         last: list[int] = []  # the last token at each depth of the walk, and where it starts
         start: list[int] = []
         stack: list[tuple[str, dict]] = [("", self.trie(words))]
@@ -160,7 +192,13 @@ class TrieBpe:
             depth = len(s)
             if depth:
                 del last[depth - 1 :], start[depth - 1 :]
-                for at in range(depth - longest if depth > longest else 0, depth):
+                ways = inner_asked(s[-3:])
+                if ways is None:
+                    ways = self.lengths(s[-3:], self.inner, self.inner_ends, self.inner_asked)
+                for n in ways:
+                    at = depth - n
+                    if at < 0:
+                        continue
                     t = inner(s[at:])
                     if t is not None:
                         if not at:
@@ -170,7 +208,7 @@ class TrieBpe:
                         if apart(last[at - 1], t, key) if ok is None else ok:
                             break
                 else:
-                    raise ValueError(f"no token ends {s[-longest:]!r}")
+                    raise ValueError(f"no token ends {s!r}")
                 last.append(t)
                 start.append(at)
             for c, child in node.items():
@@ -179,7 +217,13 @@ class TrieBpe:
                     continue
                 for end, word in child:  # the end of a word: its last symbol has the suffix
                     whole = s + end
-                    for at in range(depth + 1 - longest if depth >= longest else 0, depth + 1):
+                    ways = final_asked(whole[-3:])
+                    if ways is None:
+                        ways = self.lengths(whole[-3:], self.final, self.final_ends, self.final_asked)
+                    for n in ways:
+                        at = depth + 1 - n
+                        if at < 0:
+                            continue
                         t = final(whole[at:])
                         if t is not None:
                             if not at:
@@ -189,7 +233,7 @@ class TrieBpe:
                             if apart(last[at - 1], t, key) if ok is None else ok:
                                 break
                     else:
-                        raise ValueError(f"no token ends {whole[-longest:]!r}")
+                        raise ValueError(f"no token ends {whole!r}")
                     ids = [t]
                     at -= 1
                     while at >= 0:
@@ -201,40 +245,44 @@ class TrieBpe:
                 pairs.clear()
         return out
 
-    def ids_of(self, texts: list[list[str]]) -> None:
-        """Fill the cache with all chunks of these split texts."""
-        known = self.words
-        new = {w for words in texts for w in words if w not in known}
-        if not new:
-            return
-        if len(known) + len(new) > CACHE_WORDS:
-            known.clear()
-            new = {w for words in texts for w in words}
-        cut = {w: [w] if w in self.special else self.cut.findall(w) for w in new}
-        pieces = {x for xs in cut.values() for x in xs if x not in known and x not in self.special}
+    def known(self, texts: list[list[str]]) -> dict[str, bytes]:
+        """For all chunks of these split texts: their ids."""
+        out: dict[str, bytes] = {}
+        fresh = []
+        new, old = self.new, self.old
+        for w in set().union(*texts):
+            got = new.get(w)
+            if got is None:
+                got = old.get(w)
+                if got is None:
+                    fresh.append(w)
+                    continue
+                new[w] = got
+            out[w] = got
+        special, code = self.special, self.code
+        made = {s: array.array(code, [i]).tobytes() for s, i in special.items()}
+        cut = {w: self.cut.findall(w) for w in fresh if not (self.letters_whole and w.isalpha()) and w not in special}
+        pieces = sorted({x for w in fresh for x in cut.get(w, (w,)) if x not in special})
         running = gc.isenabled()
         gc.disable()  # a trie is many small dicts without cycles
         try:
-            made = self.encode_words(list(pieces))
+            for lo in range(0, len(pieces), TRIE_WORDS):
+                for w, ids in self.encode_words(pieces[lo : lo + TRIE_WORDS]).items():
+                    made[w] = array.array(code, ids).tobytes()
         finally:
             if running:
                 gc.enable()
-        shown, names = self.shown, self.names
-        for w, ids in made.items():
-            known[w] = (len(ids), " ".join([shown[i] for i in ids]), " ".join([names[i] for i in ids]))
-        for s, i in self.special.items():
-            known[s] = (1, str(i), s)
-        for w, xs in cut.items():
-            if len(xs) == 1:
-                known[w] = known[xs[0]]
-            else:
-                got = [known[x] for x in xs]
-                known[w] = (sum([g[0] for g in got]), " ".join([g[1] for g in got]), " ".join([g[2] for g in got]))
+        for w in fresh:
+            xs = cut.get(w)
+            out[w] = new[w] = made[w] if xs is None else b"".join([made[x] for x in xs])
+        if len(new) > CACHE_WORDS:
+            self.old, self.new = new, {}
+        return out
 
     def encode(self, text: str) -> list[int]:
         words = self.split(text)
-        self.ids_of([words])
-        return [int(x) for w in words for x in self.words[w][1].split()]
+        known = self.known([words])
+        return array.array(self.code, b"".join(map(known.__getitem__, words))).tolist()
 
     def decode(self, ids: list[int]) -> str:
         """Without a decoder in the file, tokens are joined by a space; ids unknown to it are left out."""
@@ -243,14 +291,9 @@ class TrieBpe:
         return " ".join(self.names[i] for i in ids if i in self.names)
 
 
-_loaded: dict[str, TrieBpe] = {}
-
-
 def coder(path: str) -> TrieBpe:
     """One coder per worker process and file."""
-    if path not in _loaded:
-        _loaded[path] = TrieBpe(path)
-    return _loaded[path]
+    return kept(("bpe", path), lambda: TrieBpe(path))
 
 
 def encode_documents(docs: DataFrame, path: str, keep_ids: bool = False) -> DataFrame:
@@ -261,18 +304,16 @@ def encode_documents(docs: DataFrame, path: str, keep_ids: bool = False) -> Data
 
     def make(texts: list[str]) -> dict[str, list]:
         tok = coder(path)
-        split = [tok.split(t) for t in texts]
         out: dict[str, list] = {"n_tokens": [], "ids_sha256": [], "decoded_sha256": [], "ids": []}
-        for lo in range(0, len(split), 1000):
-            part = split[lo : lo + 1000]
-            tok.ids_of(part)
-            for words in part:
-                got = list(map(tok.words.__getitem__, words))
-                ids = " ".join([g[1] for g in got if g[0]])
-                out["n_tokens"].append(sum([g[0] for g in got]))
-                out["ids_sha256"].append(hashlib.sha256(ids.encode()).hexdigest())
-                out["decoded_sha256"].append(hashlib.sha256(" ".join([g[2] for g in got if g[0]]).encode("utf-8", "surrogatepass")).hexdigest())
-                out["ids"].append([int(x) for x in ids.split()] if keep_ids else None)
+        split = [tok.split(t) for t in texts]
+        known = tok.known(split).__getitem__
+        shown, names = tok.shown.__getitem__, tok.listed.__getitem__
+        for words in split:
+            ids = array.array(tok.code, b"".join(map(known, words)))
+            out["n_tokens"].append(len(ids))
+            out["ids_sha256"].append(hashlib.sha256(" ".join(map(shown, ids)).encode()).hexdigest())
+            out["decoded_sha256"].append(hashlib.sha256(" ".join(map(names, ids)).encode("utf-8", "surrogatepass")).hexdigest())
+            out["ids"].append(np.array(ids, np.int32) if keep_ids else None)
         return out
 
     schema = pa.schema(fields)

@@ -8,6 +8,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -61,11 +62,60 @@ def removed(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """A column name that ``df`` does not have."""
+    taken = {c.lower() for c in df.columns}
+    while name in taken:
+        name += "_"
+    return name
+
+
 def partitions(spark: SparkSession, factor: int = 1) -> int:
     """Shuffle partitions of the session, for explicit repartitions."""
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions", "200")) * factor)
 
 
+#: Rows, and bytes of text, that an operator works on at a time; a longer text is a slice of its own.
+SLICE_ROWS, SLICE_BYTES = 1000, 4 << 20
+
+
+def slices(batch: pa.RecordBatch, column: str | int = "text", rows: int = SLICE_ROWS) -> Iterator[pa.RecordBatch]:
+    """A batch in slices, so that memory follows a slice and not how long the texts of a batch are."""
+    if not batch.num_rows:
+        return
+    size = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    lo = 0
+    while lo < len(size):
+        before = int(size[lo - 1]) if lo else 0
+        hi = max(lo + 1, min(lo + rows, int(np.searchsorted(size, before + SLICE_BYTES, "right"))))
+        yield batch.slice(lo, hi - lo)
+        lo = hi
+
+
+def filtered(keep: Callable[[str], bool]) -> Callable:
+    """An Arrow batch function that keeps the rows whose text (null: empty) ``keep`` accepts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = batch.schema.get_field_index("text")
+            for part in slices(batch, at):
+                yield part.filter(pa.array([keep(t or "") for t in part.column(at).to_pylist()], pa.bool_()))
+
+    return run
+
+
+_kept: dict[tuple, object] = {}
+
+
+def kept(key: tuple, make: Callable[[], object]) -> object:
+    """What a Python worker keeps from task to task: the things of one operator (key[0]), so that caches of several do not add up."""
+    if key not in _kept:
+        for k in [k for k in _kept if k[0] != key[0]]:
+            del _kept[k]
+        _kept[key] = make()
+    return _kept[key]
+
+
 def by_text(make: Callable[[list[str]], dict[str, list]], schema: pa.Schema, column: str = "text") -> Callable:
     """An Arrow batch function: ``make`` gets the texts of a batch (null: empty) and returns new columns.
 
@@ -74,9 +124,7 @@ def by_text(make: Callable[[list[str]], dict[str, list]], schema: pa.Schema, col
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            # long texts: a batch is worked off in slices, so that memory follows a slice
-            for lo in range(0, batch.num_rows, 1000):
-                part = batch.slice(lo, 1000)
+            for part in slices(batch, column):
                 made = make([t or "" for t in part.column(column).to_pylist()])
                 cols = [pa.array(made[f.name], f.type) if f.name in made else part.column(f.name).cast(f.type) for f in schema]
                 yield pa.RecordBatch.from_arrays(cols, schema=schema)
