@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import shingle_hashes, word_hashes
+from .common import filtered, shingle_hashes, slices, word_hashes
 
 WIDTH, LEAST = 5, 0.8
 RADIUS, BLOCKS = 23, 8
@@ -158,8 +158,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
         def run(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                for lo in range(0, batch.num_rows, 1000):
-                    part = batch.slice(lo, 1000)
+                for part in slices(batch, 1):
                     rows = [(d, *x) for d, t in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True) if t for x in index.value.search(t)]
                     cols = list(zip(*rows, strict=True)) or [[]] * 5
                     kinds = [pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64()]
@@ -177,10 +176,5 @@ def without_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     for items in _blocks(benchmark):
         index = spark.sparkContext.broadcast(Index(items))
 
-        def run(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                at = batch.schema.get_field_index("text")
-                yield batch.filter(pa.array([not t or not index.value.search(t) for t in batch.column(at).to_pylist()], pa.bool_()))
-
-        out = out.mapInArrow(run, docs.schema)
+        out = out.mapInArrow(filtered(lambda t, index=index: not t or not index.value.search(t)), docs.schema)
     return out

@@ -72,17 +72,23 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, fold: int, but: int |
     Only rows count whose crc32 of the doc_id as text, modulo ``fold``, is (but < 0: is not) as asked:
     ``but`` = r leaves remainder r out, ``but`` = ~r takes all remainders other than r. Rows are taken in
     the order of a hash of the doc_id, so the sample is the same in every run; its size bounds the broadcast.
+    A doc_id with contradicting labels is left out, and of several texts of a doc_id the smallest by hash is taken,
+    so repeated rows on either side change nothing.
     """
     remainder = F.crc32(F.col("doc_id").cast("string")) % fold
     chosen = labels.where(F.col("doc_id").isNotNull() & F.col(label).isin(0, 1)).where(remainder != but)
-    chosen = chosen.select("doc_id", F.col(label).cast("int").alias("y")).dropDuplicates(["doc_id"]).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
+    chosen = chosen.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min(label).cast("int").alias("y"), F.max(label).cast("int").alias("top")).where("y = top")
+    chosen = chosen.select("doc_id", "y").orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             made = [make(t or "") for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.binary()), batch.column(2)], names=["doc_id", "made", "y"])
 
-    got = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "y").mapInArrow(run, "doc_id long, made binary, y int").toArrow()
+    text = F.coalesce("text", F.lit(""))
+    found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text")).join(F.broadcast(chosen), "doc_id")
+    one = found.groupBy("doc_id").agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text", "y")).alias("m")).select("doc_id", "m.text", "m.y")
+    got = one.mapInArrow(run, "doc_id long, made binary, y int").toArrow()
     order = np.argsort(got.column("doc_id").to_numpy(), kind="stable")
     made = got.column("made").to_pylist()
     return [made[i] for i in order], got.column("y").to_numpy()[order]

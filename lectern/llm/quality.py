@@ -7,8 +7,12 @@ descent on the hinge loss.  A logistic curve fitted to the margins gives scores.
 The fit reads at most SAMPLE_ROWS labelled rows; every text is scored whole.
 
 Rows: null and empty texts have no features and get the score of the bias; texts of
-any length are one vector; repeated rows get equal scores; without labels of both
-classes the score is the share of label 1 (0.5 without any); other columns are not read.
+any length are one vector; repeated rows get equal scores, each its own; a score of
+exactly 0.5 is predicted as 1; a doc_id whose labels contradict each other is not
+learned from, repeated equal labels count once, and of the texts of one labelled doc_id
+the smallest by hash is read; without labels of both classes the score is the share of
+label 1 (0.5 without any); an empty table gives no rows; other columns, whatever their
+names, are not read.
 """
 
 from __future__ import annotations
@@ -20,6 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import filtered, kept, slices
 from .features import SPACE, NGrams, held_out, sample
 
 #: Labelled rows that the model is fitted on, at most.
@@ -98,13 +103,8 @@ def logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return float(max(a, 1e-3)), float(b)
 
 
-_grams: list[NGrams] = []
-
-
 def grams() -> NGrams:
-    if not _grams:
-        _grams.append(NGrams())
-    return _grams[0]
+    return kept(("quality",), NGrams)
 
 
 def trained(docs: DataFrame, labels: DataFrame) -> Model:
@@ -118,8 +118,7 @@ def score_documents(docs: DataFrame, model: Model) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo in range(0, batch.num_rows, 1000):
-                part = batch.slice(lo, 1000)
+            for part in slices(batch, 1):
                 scores = [shared.value.score(grams().of(t or "")) for t in part.column(1).to_pylist()]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(scores, pa.float64())], names=["doc_id", "score"])
 
@@ -131,9 +130,4 @@ def good_documents(docs: DataFrame, model: Model) -> DataFrame:
     """The rows of ``docs``, columns as they were, with a score of 0.5 or more."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            at = batch.schema.get_field_index("text")
-            yield batch.filter(pa.array([shared.value.score(grams().of(t or "")) >= 0.5 for t in batch.column(at).to_pylist()], pa.bool_()))
-
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(filtered(lambda t: shared.value.score(grams().of(t)) >= 0.5), docs.schema)

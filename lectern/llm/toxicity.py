@@ -10,8 +10,12 @@ different sentences, and in those of positive documents by CLEAR deviations more
 chance gives.  Every text is scored whole, sentence by sentence.
 
 Rows: null and empty texts have no sentences and get the score of an empty bag; long
-texts are many sentences; repeated rows get equal scores; without labels of both
-classes all scores are the share of label 1 (0.5 without any); other columns are not read.
+texts are many sentences; repeated rows get equal scores, each its own; a score of
+exactly 0.5 is predicted as 1; a doc_id whose labels contradict each other is not
+learned from, repeated equal labels count once, and of the texts of one labelled doc_id
+the smallest by hash is read; without labels of both classes all scores are the share of
+label 1 (0.5 without any); an empty table gives no rows; other columns, whatever their
+names, are not read.
 """
 
 from __future__ import annotations
@@ -25,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mixed
+from .common import kept, mixed, slices
 from .features import SPACE, held_out, sample
 from .quality import logistic
 
@@ -57,13 +61,8 @@ class Words:
         return out
 
 
-_words: list[Words] = []
-
-
 def words() -> Words:
-    if not _words:
-        _words.append(Words())
-    return _words[0]
+    return kept(("toxicity",), Words)
 
 
 def bag(text: str) -> tuple[list[list[int]], list[tuple[int, int]]]:
@@ -175,8 +174,7 @@ def score_documents(docs: DataFrame, model: Model) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo in range(0, batch.num_rows, 1000):
-                part = batch.slice(lo, 1000)
+            for part in slices(batch, 1):
                 rows = []
                 for doc, t in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
                     places, spans = bag(t or "")
