@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 from .common import removed, written
 
+#: Edges that a task holds before it shrinks them to a forest.
+HELD = 500_000
 PAIR = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
 
@@ -48,7 +50,7 @@ def forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a, b = batch.column(0).to_numpy(), batch.column(1).to_numpy()
         held.append((a, b))
         size += len(a)
-        if size > 2_000_000:
+        if size > HELD:
             held = [shrunk()]
             size = 0
     if held:

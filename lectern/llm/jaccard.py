@@ -19,9 +19,11 @@ task's tree pair of its own, so no task holds more than two blocks.
 Equal sets are one class before all this; copies cost one row each.
 
 Rows: null and empty texts have no shingles and are linked with nothing; ties have no
-meaning (links are decided exactly); repeated rows are copies, each returned; a row
-whose doc_id is null gets the component of equal sets that have an id, else null.
-Other columns, whatever their names, are not read.
+meaning (links are decided exactly); repeated rows are copies, each returned; rows of
+one doc_id with different texts are one document with several sets; a row whose doc_id
+is null gets the component of equal sets that have an id, else null; long texts are
+worked off by themselves; an empty table gives no rows.  Other columns, whatever their
+names, are not read.
 """
 
 from __future__ import annotations
@@ -35,7 +37,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bitmap_of, in_bitmap, lower_words, mixed, partitions, removed, shingle_hashes, word_hashes, written
+from .common import bitmap_of, free_name, in_bitmap, lower_words, mixed, partitions, removed, shingle_hashes, slices, word_hashes, written
 from .components import connected_components, roots
 
 #: Parts beyond those that a difference can touch; more are added where many parts of a set are empty by chance.
@@ -50,6 +52,8 @@ COMMON_TOKENS = 2_000_000
 COMMON_MOST = 200_000
 #: Documents, and tokens, in a block of a cluster.
 BLOCK_DOCS, BLOCK_TOKENS = 256, 1_000_000
+#: Keys, and edges, that a task holds before it sends them on or shrinks them to a forest.
+HELD_KEYS, HELD_EDGES = 600_000, 400_000
 #: Bits of a node's bitmap, and children of a node.
 BITS, FAN = 1024, 8
 
@@ -133,13 +137,14 @@ def common_shingles(docs: DataFrame, k: int) -> np.ndarray:
             return pa.RecordBatch.from_arrays([pa.array(tokens[keep].view(np.int64)), pa.array(n[keep])], names=["token", "n"])
 
         for batch in batches:
-            for t in batch.column(0).to_pylist():
-                s = token_set(t or "", k)
-                held[digest(s)] = s
-                size += len(s)
-                if len(held) >= COMMON_SLICE or size >= COMMON_TOKENS:
-                    yield counted()
-                    held, size = {}, 0
+            for part in slices(batch, 0):
+                for t in part.column(0).to_pylist():
+                    s = token_set(t or "", k)
+                    held[digest(s)] = s
+                    size += len(s)
+                    if len(held) >= COMMON_SLICE or size >= COMMON_TOKENS:
+                        yield counted()
+                        held, size = {}, 0
         if held:
             yield counted()
 
@@ -147,23 +152,24 @@ def common_shingles(docs: DataFrame, k: int) -> np.ndarray:
     return np.sort(got.column(0).to_numpy().view(np.uint64))
 
 
+SIGNED = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("n", pa.int64()), ("s1", pa.int64()), ("s2", pa.int64()), ("keys", pa.binary())])
+
+
 def _signed(docs: DataFrame, k: int, num: int, den: int, common: np.ndarray) -> DataFrame:
-    """doc_id, n, the two halves of the set's digest, keys."""
+    """doc_id, a hash of the text, n, the two halves of the set's digest, keys."""
     shared = docs.sparkSession.sparkContext.broadcast(common)
-    schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("s1", pa.int64()), ("s2", pa.int64()), ("keys", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo in range(0, batch.num_rows, 1000):
-                part = batch.slice(lo, 1000)
+            for part in slices(batch, 2):
                 rows = []
-                for t in part.column(1).to_pylist():
+                for t in part.column(2).to_pylist():
                     s = token_set(t or "", k)
                     rows.append((len(s), *digest(s), keys_of(s, shared.value, num, den).tobytes()))
-                cols = list(zip(*rows, strict=True)) or [[]] * 4
-                yield pa.RecordBatch.from_arrays([part.column(0).cast(pa.int64()), *(pa.array(c, f.type) for c, f in zip(cols, list(schema)[1:], strict=True))], schema=schema)
+                cols = zip(*rows, strict=True)
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *(pa.array(c, f.type) for c, f in zip(cols, list(SIGNED)[2:], strict=True))], schema=SIGNED)
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, s1 long, s2 long, keys binary")
+    return docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("text_hash"), "text").mapInArrow(run, "doc_id long, text_hash long, n long, s1 long, s2 long, keys binary")
 
 
 KEYED = pa.schema([("key", pa.int64()), ("node", pa.int64())])
@@ -196,7 +202,7 @@ def _keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 keys.append(np.frombuffer(raw, np.uint64))
                 nodes.append(np.full(len(raw) // 8, node, np.int64))
                 size += len(raw) // 8
-        if size > 1_500_000:
+        if size > HELD_KEYS:
             yield flushed()
             keys, nodes, size = [], [], 0
     if size:
@@ -216,7 +222,7 @@ def _chained(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a, b = np.concatenate([a, node[same]]), np.concatenate([b, node[same + 1]])
         if len(key):
             carry = int(key[-1]), int(node[-1])
-        if len(a) > 1_000_000:
+        if len(a) > HELD_EDGES:
             nodes, root = roots(a, b)
             a, b = nodes[nodes != root], root[nodes != root]
     if len(a):
@@ -338,8 +344,8 @@ def _similar(a: np.ndarray, b: np.ndarray, num: int, den: int) -> bool:
     return den * both >= num * (len(a) + len(b) - both)
 
 
-SHIPPED = pa.schema([("cluster", pa.int64()), ("bi", pa.int64()), ("bj", pa.int64()), ("block", pa.int64()), ("rep", pa.int64()), ("s1", pa.int64()), ("s2", pa.int64()), ("copies", pa.int64()), ("tokens", pa.binary())])
-JOINED = pa.schema([("rep", pa.int64()), ("root", pa.int64()), ("links", pa.int64())])
+SHIPPED = pa.schema([("cluster", pa.int64()), ("bi", pa.int64()), ("bj", pa.int64()), ("block", pa.int64()), ("node", pa.int64()), ("s1", pa.int64()), ("s2", pa.int64()), ("copies", pa.int64()), ("tokens", pa.binary())])
+JOINED = pa.schema([("node", pa.int64()), ("root", pa.int64()), ("links", pa.int64())])
 
 
 def _shipper(k: int):
@@ -347,14 +353,14 @@ def _shipper(k: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo in range(0, batch.num_rows, 200):
+            for part in slices(batch, "text", 200):
                 rows = []
-                for r in batch.slice(lo, 200).to_pylist():
+                for r in part.to_pylist():
                     s = token_set(r["text"] or "", k)
                     if digest(s) != (r["s1"], r["s2"]):
                         continue  # another row with this doc_id
                     raw = s.tobytes()
-                    rows += [(r["cluster"], min(r["block"], j), max(r["block"], j), r["block"], r["rep"], r["s1"], r["s2"], r["copies"], raw) for j in range(r["blocks"])]
+                    rows += [(r["cluster"], min(r["block"], j), max(r["block"], j), r["block"], r["node"], r["s1"], r["s2"], r["copies"], raw) for j in range(r["blocks"])]
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), SHIPPED, strict=True)], schema=SHIPPED)
 
@@ -377,8 +383,8 @@ def _joiner(num: int, den: int):
         links = np.zeros(len(rows), np.int64)
         np.add.at(links, x, copies[y])
         np.add.at(links, y, copies[x])
-        rep = np.array([r[4] for r in rows], np.int64)
-        nodes, root = roots(rep[x], rep[y])
+        node = np.array([r[4] for r in rows], np.int64)
+        nodes, root = roots(node[x], node[y])
         of = dict(zip(nodes.tolist(), root.tolist(), strict=True))
         return [(r[4], of[r[4]], int(n)) for r, n in zip(rows, links, strict=True) if r[4] in of]
 
@@ -403,11 +409,12 @@ def _joiner(num: int, den: int):
     return run
 
 
-def similar_documents(docs: DataFrame, k: int = 3, num: int = 90, den: int = 100) -> DataFrame:
-    """doc_id, n_shingles, component_id, n_links for every row of ``docs``.
+def _linked(docs: DataFrame, k: int, num: int, den: int, apart: bool) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Signed rows, classes of equal sets, and (node, component, links) of the classes that are linked with others.
 
-    Two documents are linked if den * |both| >= num * |either| for their sets of k-word
-    shingles; component_id is the smallest doc_id reachable over links.
+    A class is a node of the graph: the smallest doc_id that has the set.  With ``apart``, a doc_id that is
+    the smallest of several classes (rows of one doc_id with different texts) does not tie these together:
+    each gets a node of its own, a negative hash of what it is.
     """
     spark = docs.sparkSession
     wide = partitions(spark)
@@ -416,20 +423,35 @@ def similar_documents(docs: DataFrame, k: int = 3, num: int = 90, den: int = 100
     coarse = connected_components(edges)
     removed(spark, edges_path)
     # both ends of a contracted edge belong to the cluster of the smaller
-    cluster = coarse.select("node", F.col("component").alias("cluster")).unionByName(coarse.select(F.col("component").alias("node"), F.col("component").alias("cluster")).distinct())
-    classes, classes_path = written(signed.groupBy("s1", "s2", "n").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")), "classes")
-    member, member_path = written(classes.where("rep is not null").join(cluster, F.col("s1") == F.col("node")).drop("node"), "members")
+    cluster = coarse.select("node", F.col("component").alias("cluster")).unionByName(coarse.select(F.col("component").alias("node"), F.col("component").alias("cluster")).distinct()).withColumnRenamed("node", "s1")
+    classes = signed.groupBy("s1", "s2", "n").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"))
+    node = F.col("rep")
+    if apart:
+        several = classes.where("rep is not null and n > 0").groupBy("rep").agg(F.count("*").alias("sets")).where("sets > 1")
+        classes = classes.join(several, "rep", "left")
+        node = F.when(F.col("sets").isNull(), node).otherwise(F.xxhash64("rep", "s1", "s2").bitwiseOR(F.lit(-(1 << 63))))
+    classes, _ = written(classes.select("s1", "s2", "n", "rep", "copies", node.alias("node")), "classes")
+    member, member_path = written(classes.where("rep is not null").join(cluster, "s1"), "members")
     counted = member.groupBy("cluster").agg(F.count("*").alias("docs"), F.sum("n").alias("tokens")).where("docs > 1")
     counted = counted.select("cluster", F.greatest(F.ceil(F.col("docs") / BLOCK_DOCS), F.ceil(F.col("tokens") / BLOCK_TOKENS), F.lit(1)).cast("long").alias("blocks"))
-    placed = member.join(counted, "cluster").select("rep", "s1", "s2", "copies", "cluster", "blocks", F.pmod(F.xxhash64("s1", "s2"), F.col("blocks")).alias("block"))
+    placed = member.join(counted, "cluster").select("rep", "node", "s1", "s2", "copies", "cluster", "blocks", F.pmod(F.xxhash64("s1", "s2"), F.col("blocks")).alias("block"))
     # texts of other documents are not shuffled; both sides grow with the data, so neither is broadcast
     some = _in_some_cluster(docs.select(F.xxhash64(F.col("doc_id").cast("long")).alias("h"), F.col("doc_id").cast("long").alias("rep"), "text"), bitmap_of(member.select(F.xxhash64("rep"))))
-    shipped = some.join(placed.hint("merge"), "rep").mapInArrow(_shipper(k), "cluster long, bi long, bj long, block long, rep long, s1 long, s2 long, copies long, tokens binary")
-    links, links_path = written(shipped.repartition(wide, "cluster", "bi", "bj").sortWithinPartitions("cluster", "bi", "bj").mapInArrow(_joiner(num, den), "rep long, root long, links long"), "links")
-    component = connected_components(links.select(F.col("rep").alias("a"), F.col("root").alias("b")))
+    shipped = some.join(placed.hint("merge"), "rep").mapInArrow(_shipper(k), "cluster long, bi long, bj long, block long, node long, s1 long, s2 long, copies long, tokens binary")
+    links, _ = written(shipped.repartition(wide, "cluster", "bi", "bj").sortWithinPartitions("cluster", "bi", "bj").mapInArrow(_joiner(num, den), "node long, root long, links long"), "links")
+    component = connected_components(links.select(F.col("node").alias("a"), F.col("root").alias("b")))
     removed(spark, member_path)
-    linked = links.groupBy("rep").agg(F.sum("links").alias("links")).join(component.withColumnRenamed("node", "rep"), "rep", "left")
-    known = classes.join(linked, "rep", "left").select("s1", "s2", "n", F.coalesce("component", "rep").alias("component_id"), (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
+    return signed, classes, links.groupBy("node").agg(F.sum("links").alias("links")).join(component, "node", "left")
+
+
+def similar_documents(docs: DataFrame, k: int = 3, num: int = 90, den: int = 100) -> DataFrame:
+    """doc_id, n_shingles, component_id, n_links for every row of ``docs``.
+
+    Two documents are linked if den * |both| >= num * |either| for their sets of k-word
+    shingles; component_id is the smallest doc_id reachable over links.
+    """
+    signed, classes, linked = _linked(docs, k, num, den, apart=False)
+    known = classes.join(linked, "node", "left").select("s1", "s2", "n", F.coalesce("component", "rep").alias("component_id"), (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
     some = F.col("n") > 0
     return (
         signed.select("doc_id", "n", "s1", "s2")
@@ -439,10 +461,20 @@ def similar_documents(docs: DataFrame, k: int = 3, num: int = 90, den: int = 100
 
 
 def one_of_each_group(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
-    """The rows of ``docs`` whose doc_id is the smallest of their component, one row for each; columns as they were.
+    """Of each group of linked rows the one with the smallest doc_id (of those, the smallest hash of the text); columns as they were.
 
-    Rows without a doc_id are not judged and stay.
+    Groups are of texts: rows of one doc_id with unlike texts are judged apart, so a text like no other always
+    stays. Rows that are equal in doc_id and text stay once. Rows without a doc_id are not judged and stay, null
+    and empty texts are like nothing. An empty table gives no rows; other columns may have any names.
     """
-    keep = similar_documents(docs, k, num, den).where("doc_id = component_id").select(F.col("doc_id").alias("_kept")).distinct()
-    stay = docs.join(keep, docs["doc_id"] == keep["_kept"]).drop("_kept").dropDuplicates(["doc_id"])
-    return stay.unionByName(docs.where("doc_id is null"))
+    signed, classes, linked = _linked(docs, k, num, den, apart=True)
+    group = classes.where("rep is not null and n > 0").join(linked, "node", "left").select("s1", "s2", "n", "rep", F.coalesce("component", "node").alias("group"))
+    # of each group the least document, of its texts there the least hash; hashes are longs, so both fold before they are shuffled
+    least = group.groupBy("group").agg(F.min("rep").alias("doc_id"))
+    chosen = group.join(least, "group").where("rep = doc_id").select("s1", "s2", "n", "group", "doc_id")
+    keep = signed.join(chosen, ["s1", "s2", "n", "doc_id"]).groupBy("group").agg(F.min("doc_id").alias("doc_id"), F.min("text_hash").alias("text_hash")).drop("group")
+    keep = keep.unionByName(signed.where("doc_id is not null and n = 0").select("doc_id", "text_hash").distinct())
+    doc, text = free_name(docs, "kept_doc"), free_name(docs, "kept_text")
+    keep = keep.select(F.col("doc_id").alias(doc), F.col("text_hash").alias(text))
+    stay = docs.join(keep, (F.col("doc_id").cast("long") == F.col(doc)) & (F.xxhash64("text") == F.col(text)))
+    return stay.dropDuplicates([doc, text]).select(*docs.columns).unionByName(docs.where("doc_id is null"))

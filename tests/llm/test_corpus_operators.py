@@ -118,7 +118,7 @@ def test_bpe_is_the_librarys(docs):
 
     path = tokenizer("word_bpe_49k.json")
     lib, own = Tokenizer.from_file(path), bpe.TrieBpe(path)
-    texts = [t for _, t in texts_of(docs)] + ["", "it's <|endoftext|> x<|startoftext|>Y", "ΑΣ ΣΑΣ İx ﬁ é ", "a" * 5000, "日本語 😀😀 123", "word</w> </w>", "a\x1cb\x1f c \x85 d​x", "\x00 \x7f"]
+    texts = [t for _, t in texts_of(docs)] + ["", "it's <|endoftext|> x<|startoftext|>Y", "ΑΣ ΣΑΣ İx ﬁ é ", "a" * 5000, "日本語 😀😀 123", "word</w> </w>", "a\x1cb\x1f c \x85 d​x", "\x00 \x7f", "a\x1c", "\x1dx\x1e", "\x1f", " \x1c \x1e a\x1f\n"]
     for t in texts:
         want = lib.encode(t, add_special_tokens=False).ids
         assert own.encode(t) == want
@@ -448,10 +448,22 @@ def test_links_on_odd_rows(odd, none):
     long = max(r[1] for r in got)
     assert got == sorted([(1, 118, 1, 4), (2, 118, 1, 4), (2, 118, 1, 4), (3, 119, 1, 4), (4, 0, 4, 0), (5, 0, 5, 0), (6, 0, 6, 0), (7, long, 7, 0), (8, 1, 8, 0), (8, 1, 8, 0), (-1, 118, 1, 4), (-1, 0, -1, 0), (9, 1, 9, 1), (10, 1, 9, 1), (11, 1, 11, 0)])
     kept = jaccard.one_of_each_group(odd)
-    assert kept.columns == odd.columns and sorted(r.doc_id for r in kept.collect() if r.doc_id) == [1, 4, 5, 6, 7, 8, 9, 11]
+    # two unlike texts of one doc_id are no group
+    assert kept.columns == odd.columns and sorted(r.doc_id for r in kept.collect() if r.doc_id) == [1, 4, 5, 6, 7, 8, 8, 9, 11]
     assert jaccard.similar_documents(none).count() == 0
 
 
+def test_rows_of_one_document_are_judged_by_their_texts(spark):
+    some = lambda tag, n=60: " ".join(f"{tag}{i}" for i in range(n))
+    near = some("a").replace("a30", "anders")
+    rows = [(8, "kurz"), (8, some("b")), (8, near), (8, some("b")), (3, some("a")), (9, some("b") + " mehr"), (7, some("c")), (7, some("c").upper()), (5, None), (5, ""), (5, None), (None, some("a")), (None, None)]
+    df = spark.createDataFrame([(*r, 1, "x") for r in rows], "doc_id long, text string, kept_doc int, kept_text string").repartition(3)
+    kept = jaccard.one_of_each_group(df)
+    assert kept.columns == df.columns
+    got = Counter((r.doc_id, (r.text or "").lower()) for r in kept.collect())
+    assert got == Counter({(8, "kurz"): 1, (8, some("b")): 1, (3, some("a")): 1, (7, some("c")): 1, (5, ""): 2, (None, some("a")): 1, (None, ""): 1})
+
+
 # 10
 
 
