@@ -11,8 +11,9 @@ table.
 Files: ``<path>/codes`` (id, count, bits) and ``<path>/blocks``, both Parquet.
 
 Rows: null and empty texts are just the end id; a long text is a block of its own;
-repeated rows are written each; rows without doc_id come first; an empty table gives
-empty files; other columns are not written.
+repeated rows are written each; rows without doc_id come first; rows of one doc_id, or
+of none, are in the order of a hash of their ids, so every run writes the same; an
+empty table gives empty files; other columns, whatever their names, are not written.
 """
 
 from __future__ import annotations
@@ -32,7 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
 from .bpe import byte_symbols
-from .common import fresh_path, partitions, removed
+from .common import fresh_path, kept, partitions, removed, slices
 
 #: Longest code in bits; ids in a block; ids between checkpoints.
 LIMIT, BLOCK, STEP = 18, 1 << 18, 128
@@ -43,6 +44,7 @@ KEEP = 600_000
 # How byte-level BPE cuts text into pieces, and up to where alphabets are the same in all tables.
 PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
 LATIN = "\u024f"
+PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 
 
 class Encoder:
@@ -63,62 +65,87 @@ class Encoder:
         self.kind = np.uint16 if self.tok.get_vocab_size() <= 1 << 16 else np.uint32
         self.code = "H" if self.kind is np.uint16 else "I"
         self.special = [t.content for t in self.tok.get_added_tokens_decoder().values()]
-        self.symbols = {b: s for b, s in enumerate(byte_symbols())}
+        self.symbols = byte_symbols()
+        self.raw = [np.array([i], self.kind).tobytes() for i in range(self.tok.get_vocab_size())]
         self.pieces: dict[str, bytes] = {}
-        self.first: dict[str, bytes | None] = {}
-        self.rest: dict[str, bytes | None] = {}
+        self.first, self.rest = Chunks(self, ""), Chunks(self, " ")
+        # with such tokens a text could not be cut at spaces, or letters with punctuation behind them could hold one
+        if any(" " in s or s.rstrip(PUNCTUATION).isalpha() for s in self.special):
+            raise ValueError("added tokens with spaces or of letters alone are not supported")
 
-    def _whole(self, text: str) -> bytes:
+    def whole(self, text: str) -> bytes:
         return array.array(self.code, self.tok.encode(text, add_special_tokens=False).ids).tobytes()
 
-    def _piece(self, p: str) -> bytes:
+    def tokens(self, symbols: str) -> bytes:
+        got, raw = self.model.tokenize(symbols), self.raw
+        return raw[got[0].id] if len(got) == 1 else b"".join([raw[t.id] for t in got])
+
+    def piece(self, p: str) -> bytes:
         got = self.pieces.get(p)
         if got is None:
             symbols = self.symbols
-            got = self.pieces[p] = array.array(self.code, [t.id for t in self.model.tokenize("".join([symbols[b] for b in p.encode()]))]).tobytes()
+            got = self.pieces[p] = self.tokens("".join([symbols[b] for b in p.encode()]))
         return got
 
-    def _learn(self, known: dict[str, bytes | None], new: set[str], lead: str, special: list[str]) -> None:
-        piece = self._piece
-        for c in new:
-            if not c or c[0].isspace() or c[-1].isspace():
-                known[c] = None
-            elif not c.isascii() and max(c) > LATIN or special and any(s in c for s in special):
-                known[c] = self._whole(lead + c)
-            elif c.isalpha():
-                known[c] = piece(lead + c)
-            else:
-                known[c] = b"".join([piece(p) for p in PIECES.findall(lead + c)])
-
     def ids(self, texts: list[str]) -> list[bytes]:
-        cut = [t.split(" ") for t in texts]
-        special = [s for s in self.special if any(s in t for t in texts)]
+        for known in (self.first, self.rest, self.pieces):
+            if len(known) > KEEP:
+                known.clear()
         running = gc.isenabled()
         gc.disable()  # nothing here has cycles
         try:
-            for known, found, lead in ((self.first, {c[0] for c in cut}, ""), (self.rest, {x for c in cut for x in c[1:]}, " ")):
-                if len(known) + len(found) > KEEP:
-                    known.clear()
-                if len(self.pieces) > KEEP:
-                    self.pieces.clear()
-                self._learn(known, {x for x in found if x not in known}, lead, special)
+            return [self._ids(t) for t in texts]
         finally:
             if running:
                 gc.enable()
-        out = []
-        for t, c in zip(texts, cut, strict=True):
-            got = [self.first[c[0]], *map(self.rest.__getitem__, c[1:])]
-            out.append(self._whole(t) if None in got else b"".join(got))
-        return out
 
-
-_encoders: dict[str, Encoder] = {}
+    def _ids(self, text: str) -> bytes:
+        chunks = text.split(" ")
+        head = chunks.pop(0)
+        try:
+            return self.first[head] + b"".join(map(self.rest.__getitem__, chunks))
+        except TypeError:  # a chunk that can't be encoded alone
+            return self.whole(text)
+
+
+class Chunks(dict):
+    """Ids of chunks that ``lead`` comes before, learned when they are asked for; None for what can't be encoded alone."""
+
+    def __init__(self, encoder: Encoder, lead: str):
+        super().__init__()
+        self.encoder, self.lead = encoder, lead
+        self.front = "".join([encoder.symbols[b] for b in lead.encode()])
+
+    def __missing__(self, c: str) -> bytes | None:
+        e = self.encoder
+        core = c.rstrip(PUNCTUATION)
+        if core.isalpha():  # letters, and perhaps one piece of punctuation behind them
+            got = self.get(core)
+            if got is None:
+                if core.isascii():  # their own symbols
+                    got = e.tokens(self.front + core)
+                elif max(core) > LATIN:
+                    got = e.whole(self.lead + c)
+                    core = c
+                else:
+                    got = e.tokens("".join([e.symbols[b] for b in (self.lead + core).encode()]))
+                self[core] = got
+            if len(core) < len(c):
+                got = self[c] = got + e.piece(c[len(core) :])
+            return got
+        if not c or c[0].isspace() or c[-1].isspace():
+            got = None
+        elif not c.isascii() and max(c) > LATIN or any(s in c for s in e.special):
+            got = e.whole(self.lead + c)
+        else:
+            got = b"".join([e.piece(p) for p in PIECES.findall(self.lead + c)])
+        self[c] = got
+        return got
 
 
 def encoder(path: str) -> Encoder:
-    if path not in _encoders:
-        _encoders[path] = Encoder(path)
-    return _encoders[path]
+    """One encoder per worker process and file."""
+    return kept(("tokens", path), lambda: Encoder(path))
 
 
 # codes
@@ -229,19 +256,33 @@ class Table:
 # files
 
 
+TOKENS = "doc_id long, ids binary, counts binary"
+
+
 def tokenized(docs: DataFrame, path: str, end: int) -> DataFrame:
-    """doc_id and ids (little-endian bytes of the encoder's kind, with the end id) of every text."""
+    """doc_id and ids (little-endian bytes of the encoder's kind, with the end id) of every text.
+
+    The last row of a task has no ids; its ``counts`` say how often the task has met each id.
+    """
+    kinds = {"doc_id": pa.int64(), "ids": pa.binary(), "counts": pa.binary()}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tok = encoder(path)
+        tail = np.array([end], tok.kind).tobytes()
+        total = np.zeros(0, np.int64)
         for batch in batches:
-            tok = encoder(path)
-            tail = np.array([end], tok.kind).tobytes()
-            for lo in range(0, batch.num_rows, 1000):
-                part = batch.slice(lo, 1000)
-                ids = tok.ids([t or "" for t in part.column(1).to_pylist()])
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([x + tail for x in ids], pa.binary())], names=["doc_id", "ids"])
+            for part in slices(batch, 1):
+                ids = [x + tail for x in tok.ids([t or "" for t in part.column(1).to_pylist()])]
+                n = np.bincount(np.frombuffer(b"".join(ids), tok.kind))
+                if len(n) > len(total):
+                    n[: len(total)] += total
+                    total = n
+                else:
+                    total[: len(n)] += n
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(ids, pa.binary()), pa.nulls(len(ids), pa.binary())], names=list(kinds))
+        yield pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip((None, None, total.astype("<i8").tobytes()), kinds.values(), strict=True)], names=list(kinds))
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, ids binary")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, TOKENS)
 
 
 BLOCKS = "shard int, block long, first long, n_ids long, stream binary, checkpoints binary, docs array<long>, lengths array<long>"
@@ -253,23 +294,17 @@ def write_token_files(docs: DataFrame, tokenizer: str, path: str, end: int = 0)
     kind = encoder(tokenizer).kind
     tokens_path = fresh_path(spark, "tokens")
     tokenized(docs, tokenizer, end).write.option("compression", "zstd").parquet(tokens_path)
-    tokens = spark.read.schema("doc_id long, ids binary").parquet(tokens_path)
+    tokens = spark.read.schema(TOKENS).parquet(tokens_path)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(0, np.int64)
         for batch in batches:
             for x in batch.column(0).to_pylist():
-                n = np.bincount(np.frombuffer(x, kind))
-                if len(n) > len(total):
-                    n[: len(total)] += total
-                    total = n
-                else:
-                    total[: len(n)] += n
-        at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["id", "n"])
+                n = np.frombuffer(x, "<i8")
+                at = np.flatnonzero(n)
+                yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(n[at])], names=["id", "n"])
 
     # as many rows as the vocabulary has ids at most
-    got = tokens.select("ids").mapInArrow(count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).toArrow()
+    got = tokens.select("counts").where("counts is not null").mapInArrow(count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).toArrow()
     at, n = got.column("id").to_numpy(), got.column("n").to_numpy()
     counts = np.zeros(int(at.max(initial=end)) + 1, np.int64)
     counts[at] = n
@@ -306,8 +341,9 @@ def write_token_files(docs: DataFrame, tokenizer: str, path: str, end: int = 0)
         if held:
             yield made()
 
-    # ranges are sampled from the written table
-    tokens.repartitionByRange(partitions(spark), "doc_id").sortWithinPartitions("doc_id").mapInArrow(blocks, BLOCKS).write.parquet(f"{path}/blocks")
+    # ranges are sampled from the written table; what the ids are orders rows of one doc_id, and spreads them
+    order = ["doc_id", "tie"]
+    tokens.where("ids is not null").select("doc_id", "ids", F.xxhash64("ids").alias("tie")).repartitionByRange(partitions(spark), *order).sortWithinPartitions(*order).mapInArrow(blocks, BLOCKS).write.parquet(f"{path}/blocks")
     removed(spark, tokens_path)
 
 
