@@ -170,6 +170,11 @@ def lower_words(text: str) -> list[bytes]:
 BITMAP = 28
 
 
+def fits_bitmap(n: int) -> bool:
+    """Whether a bitmap of the greatest size still tells n entries from others."""
+    return 16 * n <= 1 << BITMAP
+
+
 def bitmap_of(hashes: DataFrame) -> np.ndarray:
     """Bits of the low bits of hashes (one long column). It is built in pieces on the executors; its size is bounded."""
     bits = int(np.clip(np.ceil(np.log2(16 * max(1, hashes.count()))), 18, BITMAP))
