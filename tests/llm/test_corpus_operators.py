@@ -1,9 +1,12 @@
 """The corpus operators against brute force, round trips and held-out labels, and on odd rows."""
 
 import base64
+import bz2
 import gzip
 import hashlib
+import lzma
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -437,6 +440,44 @@ def test_layers_are_unfolded_whole(monkeypatch):
         assert [x for x in secrets.scan(b64(zlib.compress(b"zu lang\n" * (n // 8) + b"." * (n % 8) + b"\n" + secret + b"\nund weiter" * 300)))[1] if x[1] == 0]
 
 
+def wrappers(rng):
+    b64 = lambda raw: base64.b64encode(raw).decode()
+    return {
+        "url": lambda t: "".join(f"%{b:02x}" if rng.random() < 0.5 or b in b"%= " else chr(b) for b in t.encode()),
+        "unicode": lambda t: "".join(f"\\u{ord(c):04X}" for c in t),
+        "base64": lambda t: b64(t.encode()),
+        "urlsafe": lambda t: base64.urlsafe_b64encode(t.encode()).decode().rstrip("="),
+        "lines": lambda t: "\n".join(b64(t.encode())[i : i + 24] for i in range(0, len(b64(t.encode())), 24)),
+        **{n: lambda t, f=f: b64(f(t.encode())) for n, f in {"zlib": zlib.compress, "gzip": gzip.compress, "bz2": bz2.compress, "xz": lzma.compress}.items()},
+        "twice": lambda t: b64(gzip.compress(zlib.compress(t.encode()))),
+    }
+
+
+def test_nested_layers(spark):
+    """Whatever wraps a secret, up to three layers deep, its span lies in the outermost code; what goes before the code does not hide it."""
+    rng = np.random.default_rng(17)
+    ways = wrappers(rng)
+    for _ in range(300):
+        text, names = f"x password = \"{''.join(rng.choice(list('abcdefghij123')) for _ in range(16))}\" y", []
+        for n in rng.choice(list(ways), int(rng.integers(1, 4))):
+            text = ways[n](text)
+            names.append(str(n))
+        before = str(rng.choice(["", "davor ", "x/", "id_", "abc+", "q"])) if names[-1] not in ("url", "unicode", "lines") else "davor\n"
+        whole = f"{before}{text} danach"
+        base, every = secrets.scan(whole)
+        found = [x for x in every if x[1] == 0]
+        assert found, (names, before)
+        assert set(base) <= set(every) and any(len(before) - 4 < s and e <= len(before) + len(text) for s, _, e in found), (names, before)
+        assert not [x for x in secrets.scan(secrets.redact(whole))[1] if x[1] == 0]
+
+
+def test_scan_takes_time_in_proportion():
+    for text in ("a" * 1_000_000 + "% x", "\u4e2d" * 1_000_000 + "50%", "a" * 1_000_000 + "\\", "%41" * 300_000, "ab/" * 300_000, "YWFh" * 250_000 + "\nb"):
+        begin = time.process_time()
+        secrets.scan(text)
+        assert time.process_time() - begin < 5
+
+
 # 9
 
 
