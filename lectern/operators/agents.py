@@ -130,9 +130,14 @@ def history_window(messages: DataFrame, key: str, turn: str, n: int = HISTORY) -
 
 
 def memory(entries: DataFrame, key: str, order: str, question: Column, answer: Column, limit: int = MEMORY_CHARS) -> DataFrame:
-    """key, memory, version: entries joined in order and cut to the limit from the front, one version for each entry."""
+    """key, memory, version: entries joined in order and cut to the limit from the front, one version for each entry.
+
+    What is full takes nothing more, so entries that begin beyond the limit are counted but not collected.
+    """
     entry = F.concat(F.lit("Q: "), question, F.lit("\nA: "), F.left(answer, F.lit(500)))
-    made = entries.select(key, order, entry.alias("_e")).groupBy(key).agg(F.array_sort(F.collect_list(F.struct(order, "_e"))).alias("_all"), F.count("*").alias("version"))
-    # as much is kept after each write; what is full takes nothing more
-    text = F.aggregate("_all", F.lit(""), lambda s, x: F.left(F.when(s == "", x["_e"]).otherwise(F.concat(s, F.lit("\n---\n"), x["_e"])), F.lit(limit)))
-    return made.select(key, text.alias("memory"), "version")
+    joint = "\n---\n"
+    before = F.sum(F.length("_e") + len(joint)).over(W.partitionBy(key).orderBy(order, "_e").rowsBetween(W.unboundedPreceding, -1))
+    placed = entries.select(key, order, entry.alias("_e")).withColumn("_at", F.coalesce(before, F.lit(0)))
+    head = F.array_sort(F.collect_list(F.when(F.col("_at") < limit, F.struct(order, "_e"))))
+    made = placed.groupBy(key).agg(head.alias("_all"), F.count("*").alias("version"))
+    return made.select(key, F.left(F.array_join(F.transform("_all", lambda x: x["_e"]), joint), F.lit(limit)).alias("memory"), "version")

@@ -80,11 +80,9 @@ def agt_normalise_plan(spark, sf_dir):
     return made.select("conv_id", "turn", "p.rationale", "p.merge_strategy", F.size("p.subtasks").alias("n"), F.col("p.subtasks")[0]["role"].alias("first_role"), F.col("p.subtasks")[0]["sub_query"].alias("first_query"))
 
 
-@query("agt_no_info", "select conv_id, turn, turn % 4 <> 3 as no_info from conversations where lower(left(text, 40)) not like '%keine%' and lower(left(text, 40)) not like '%nicht%'")
+@query("agt_no_info", f"select conv_id, turn, regexp_replace(coalesce(text, ''), '^\\s+|\\s+$', '', 'g') = '' or regexp_matches(text, {sql_text(A.NO_INFO)}) as no_info from conversations")
 def agt_no_info(spark, sf_dir):
-    said = F.element_at(F.array(F.lit("  "), F.lit("Es liegen keine Daten zu Modell 3 vor."), F.lit("Das ist nicht dokumentiert."), F.left("text", F.lit(40))), (F.col("turn") % 4 + 1).cast("int"))
-    m = messages(spark, sf_dir).where("lower(left(text, 40)) not like '%keine%' and lower(left(text, 40)) not like '%nicht%'")
-    return m.select("conv_id", "turn", (A.no_info(said) | (strip(said) == "")).alias("no_info"))
+    return messages(spark, sf_dir).select("conv_id", "turn", A.no_info(F.col("text")).alias("no_info"))
 
 
 @query("agt_broaden_query", "select conv_id, turn, 'Druck im Ventil ' || turn || ' (hoch) neu' as query from conversations")
@@ -129,7 +127,7 @@ def agt_system_prompt(spark, sf_dir):
 
 @query(
     "agt_fallback_answer",
-    "with r as (select conv_id, turn, text, row_number() over (partition by conv_id order by turn) as i from conversations where conv_id % 5 > 0), a as (select conv_id, 'Basierend auf den gefundenen Dokumenten:' || chr(10) || chr(10) || string_agg('[' || i || '] (conv, S. ' || (turn + 1) || ') ' || left(text, 200), chr(10) order by i) as answer, true as sufficient from r where i <= 5 group by 1) select * from a union all select distinct conv_id, " + sql_text(A.NOTHING_FOUND) + ", false from conversations where conv_id % 5 = 0",
+    "with r as (select conv_id, turn, text, row_number() over (partition by conv_id order by turn) as i from conversations where role = 'assistant'), a as (select conv_id, 'Basierend auf den gefundenen Dokumenten:' || chr(10) || chr(10) || string_agg('[' || i || '] (conv, S. ' || (turn + 1) || ') ' || left(text, 200), chr(10) order by i) as answer, true as sufficient from r where i <= 5 group by 1) select * from a union all select distinct conv_id, " + sql_text(A.NOTHING_FOUND) + ", false from conversations where conv_id not in (select conv_id from a)",
 )
 def agt_fallback_answer(spark, sf_dir):
     from lectern.operators.ranking import observation
@@ -138,18 +136,18 @@ def agt_fallback_answer(spark, sf_dir):
     from pyspark.sql import Window as W
 
     i = F.row_number().over(W.partitionBy("conv_id").orderBy("turn"))
-    lines = m.where("conv_id % 5 > 0").withColumn("i", i).where("i <= 5").select("conv_id", "i", observation(F.col("i"), F.lit("conv"), F.col("turn") + 1, _text(), 200).alias("line"))
+    lines = m.where("role = 'assistant'").withColumn("i", i).where("i <= 5").select("conv_id", "i", observation(F.col("i"), F.lit("conv"), F.col("turn") + 1, _text(), 200).alias("line"))
     text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", "line"))), lambda x: x["line"]), "\n")
     made = lines.groupBy("conv_id").agg(F.concat(F.lit("Basierend auf den gefundenen Dokumenten:\n\n"), text).alias("answer"))
     return m.select("conv_id").distinct().join(made, "conv_id", "left").select("conv_id", F.coalesce("answer", F.lit(A.NOTHING_FOUND)).alias("answer"), F.col("answer").isNotNull().alias("sufficient"))
 
 
-@query("agt_concat_fragments", "with f as (select conv_id, string_agg('**' || case turn % 3 when 0 then 'Fakten' when 1 then 'Prozedur' else 'Kontext' end || ':** ' || left(text, 50), chr(10) || chr(10) order by turn) as answer from conversations where turn < 3 and text <> '' group by 1) select * from f")
+@query("agt_concat_fragments", "with f as (select conv_id, string_agg('**' || case turn % 3 when 0 then 'Fakten' when 1 then 'Prozedur' else 'Kontext' end || ':** ' || text, chr(10) || chr(10) order by turn) as answer from conversations where text <> '' group by 1) select * from f")
 def agt_concat_fragments(spark, sf_dir):
     label = F.element_at(F.array(*[F.lit(x) for x in A.ROLE_LABELS.values()]), (F.col("turn") % 3 + 1).cast("int"))
-    part = F.concat(F.lit("**"), label, F.lit(":** "), F.left("text", F.lit(50)))
+    part = F.concat(F.lit("**"), label, F.lit(":** "), "text")
     joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", part.alias("p")))), lambda x: x["p"]), "\n\n")
-    return messages(spark, sf_dir).where("turn < 3 and text <> ''").groupBy("conv_id").agg(joined.alias("answer"))
+    return messages(spark, sf_dir).where("text <> ''").groupBy("conv_id").agg(joined.alias("answer"))
 
 
 @query("agt_compliance", "select conv_id, turn, list_extract(['OK', 'REFUSE', 'OK', 'REWRITE'], turn % 4 + 1) as verdict, case turn % 4 when 1 then false else true end as sufficient from conversations")
@@ -191,17 +189,17 @@ def agt_fanout(spark, sf_dir):
     return hits.select((F.col("query_id").cast("long") / 3).cast("long").alias("item_id"), (F.col("query_id") % 3).alias("subtask"), "rank", "doc_id", "score")
 
 
-MEMORY = "with e as (select conv_id, turn, 'Q: ' || role || chr(10) || 'A: ' || left(text, 500) as e from conversations) "
+MEMORY = "with e as (select conv_id, turn, role as q, 'Q: ' || role || chr(10) || 'A: ' || left(text, 500) as e from conversations) "
 
 
-@query("mem_append_truncate", MEMORY + "select conv_id, left(string_agg(e, chr(10) || '---' || chr(10) order by turn), 4000) as memory, count(*) as version from e where turn < 4 group by 1")
+@query("mem_append_truncate", MEMORY + "select conv_id, left(string_agg(e, chr(10) || '---' || chr(10) order by turn), 4000) as memory, count(*) as version from e group by 1")
 def mem_append_truncate(spark, sf_dir):
-    return A.memory(messages(spark, sf_dir).where("turn < 4"), "conv_id", "turn", F.col("role"), _text())
+    return A.memory(messages(spark, sf_dir), "conv_id", "turn", F.col("role"), _text())
 
 
-@query("agt_recall_memory", MEMORY + "select c.conv_id, case when m.memory is null then 'Kein gespeicherter Kontext für diese Session.' else 'Gespeicherter Kontext:' || chr(10) || m.memory end as observation from (select distinct conv_id from conversations) c left join (select conv_id, left(string_agg(e, chr(10) || '---' || chr(10) order by turn), 4000) as memory from e where turn < 2 and conv_id % 3 = 0 group by 1) m using (conv_id)")
+@query("agt_recall_memory", MEMORY + "select c.conv_id, case when m.memory is null then 'Kein gespeicherter Kontext für diese Session.' else 'Gespeicherter Kontext:' || chr(10) || m.memory end as observation from (select distinct conv_id from conversations) c left join (select conv_id, left(string_agg(e, chr(10) || '---' || chr(10) order by turn), 4000) as memory from e where q = 'user' group by 1) m using (conv_id)")
 def agt_recall_memory(spark, sf_dir):
     m = messages(spark, sf_dir)
-    known = A.memory(m.where("turn < 2 and conv_id % 3 = 0"), "conv_id", "turn", F.col("role"), _text())
+    known = A.memory(m.where("role = 'user'"), "conv_id", "turn", F.col("role"), _text())
     out = F.coalesce(F.concat(F.lit("Gespeicherter Kontext:\n"), "memory"), F.lit("Kein gespeicherter Kontext für diese Session."))
     return m.select("conv_id").distinct().join(known, "conv_id", "left").select("conv_id", out.alias("observation"))

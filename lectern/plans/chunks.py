@@ -11,13 +11,11 @@ from lectern.plans.registry import query
 from lectern.session import load
 
 # A Markdown file for each ten documents: a title, a section for each document, page anchors.
-MARKDOWN = "with p as (select doc_id // 10 as file_id, doc_id, '<!-- page:' || (doc_id % 10 + 1) || ' -->' || chr(10) || '## doc ' || doc_id || chr(10) || left(text, 400) as t from documents), m as (select file_id, '# file ' || file_id || chr(10) || string_agg(t, chr(10) order by doc_id) as md from p group by 1)"
+MARKDOWN = "with p as (select doc_id // 10 as file_id, doc_id, '<!-- page:' || (doc_id % 10 + 1) || ' -->' || chr(10) || '## doc ' || doc_id || chr(10) || text as t from documents), m as (select file_id, '# file ' || file_id || chr(10) || string_agg(t, chr(10) order by doc_id) as md from p group by 1)"
 
 
-def markdown(spark, sf_dir, whole=False):
-    """The files; queries with SQL take as much of each text as MARKDOWN does."""
-    text = F.col("text") if whole else F.left("text", F.lit(400))
-    part = F.concat(F.lit("<!-- page:"), (F.col("doc_id") % 10 + 1).cast("string"), F.lit(" -->\n## doc "), F.col("doc_id").cast("string"), F.lit("\n"), text)
+def markdown(spark, sf_dir):
+    part = F.concat(F.lit("<!-- page:"), (F.col("doc_id") % 10 + 1).cast("string"), F.lit(" -->\n## doc "), F.col("doc_id").cast("string"), F.lit("\n"), "text")
     rows = load(spark, sf_dir, "documents").select(F.expr("doc_id div 10").alias("file_id"), "doc_id", part.alias("t"))
     joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("doc_id", "t"))), lambda x: x["t"]), "\n")
     return rows.groupBy("file_id").agg(F.concat(F.lit("# file "), F.col("file_id").cast("string"), F.lit("\n"), joined).alias("md"))
@@ -36,7 +34,7 @@ def chk_boilerplate(spark, sf_dir):
 @query(
     "chk_split_pages",
     f"{MARKDOWN} select file_id, 0 as pos, null as page, md5('# file ' || file_id || chr(10)) as digest from m union all "
-    "select doc_id // 10, doc_id - min(doc_id) over (partition by doc_id // 10) + 1, doc_id % 10 + 1, md5(chr(10) || '## doc ' || doc_id || chr(10) || left(text, 400) || case when doc_id = max(doc_id) over (partition by doc_id // 10) then '' else chr(10) end) from documents",
+    "select doc_id // 10, doc_id - min(doc_id) over (partition by doc_id // 10) + 1, doc_id % 10 + 1, md5(chr(10) || '## doc ' || doc_id || chr(10) || text || case when doc_id = max(doc_id) over (partition by doc_id // 10) then '' else chr(10) end) from documents",
 )
 def chk_split_pages(spark, sf_dir):
     return P.split_pages(markdown(spark, sf_dir), "file_id", "md").select("file_id", "pos", "page", F.md5(F.col("text").cast("binary")).alias("digest"))
@@ -81,7 +79,7 @@ def chk_sentence_pack(spark, sf_dir):
 
 @query("chk_pipeline")
 def chk_pipeline(spark, sf_dir):
-    made = C.chunked(markdown(spark, sf_dir, whole=True), "file_id", F.concat(F.lit("file_"), F.col("file_id").cast("string"), F.lit(".md")), "md")
+    made = C.chunked(markdown(spark, sf_dir), "file_id", F.concat(F.lit("file_"), F.col("file_id").cast("string"), F.lit(".md")), "md")
     return made.select("chunk_id", "file_id", "page", "seq", "breadcrumb", "tokens", F.md5(F.col("text").cast("binary")).alias("digest"))
 
 
@@ -96,15 +94,14 @@ def chk_table_preview(spark, sf_dir):
     return C.row_chunks(load(spark, sf_dir, "nation"), ["n_name", "n_regionkey"], "n_nationkey").orderBy("row_index").limit(3)
 
 
-@query("chk_embed_text", "select doc_id, case when doc_id % 3 = 0 then '[f' || doc_id || ']' || chr(10) || chr(10) when doc_id % 3 = 1 then '[f' || doc_id || ' | A > B]' || chr(10) || chr(10) else '' end || left(text, 50) as text from documents")
+@query("chk_embed_text", "select doc_id, case when doc_id % 3 = 0 then '[f' || doc_id || ']' || chr(10) || chr(10) when doc_id % 3 = 1 then '[f' || doc_id || ' | A > B]' || chr(10) || chr(10) else '' end || text as text from documents")
 def chk_embed_text(spark, sf_dir):
     name = F.when(F.col("doc_id") % 3 != 2, F.concat(F.lit("f"), F.col("doc_id").cast("string"))).otherwise("")
-    return load(spark, sf_dir, "documents").select("doc_id", C.chunk_text(name, F.when(F.col("doc_id") % 3 == 1, "A > B"), F.left("text", F.lit(50))).alias("text"))
+    return load(spark, sf_dir, "documents").select("doc_id", C.chunk_text(name, F.when(F.col("doc_id") % 3 == 1, "A > B"), F.col("text")).alias("text"))
 
 
-@query("chk_strip_anchors", r"select doc_id, regexp_replace(left(text, 60), '^\s+|\s+$', '', 'g') as text from documents where left(text, 60) not like '%<!--%'")
+@query("chk_strip_anchors", r"select doc_id, regexp_replace(regexp_replace(text, '<!--\s*[Pp]age\s*[:.]?\s*(\d+)\s*-->', '', 'g'), '^\s+|\s+$', '', 'g') as text from documents")
 def chk_strip_anchors(spark, sf_dir):
     from lectern.functions.text import PAGE_ANCHOR
 
-    t = F.left("text", F.lit(60))
-    return load(spark, sf_dir, "documents").where(~t.contains("<!--")).select("doc_id", strip(F.regexp_replace(F.concat(F.lit("<!-- Page 3 -->"), t, F.lit("\n<!--page: 12-->")), PAGE_ANCHOR, "")).alias("text"))
+    return load(spark, sf_dir, "documents").select("doc_id", strip(F.regexp_replace(F.concat(F.lit("<!-- Page 3 -->"), F.col("text"), F.lit("\n<!--page: 12-->")), PAGE_ANCHOR, "")).alias("text"))

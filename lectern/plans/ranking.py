@@ -12,12 +12,13 @@ from lectern.plans.registry import query
 from lectern.session import load
 
 WORDS = "regexp_extract_all(lower({}), '([\\p{{L}}\\p{{N}}_]+)', 1)"
-#: Pools of the test data: the benchmark item with the number of a document's hundred asks for that hundred.
-POOL = "d as (select doc_id // 25 as query_id, doc_id, text, doc_id % 25 as pos, 1.0 / (1 + doc_id % 7) as score from documents), q as (select item_id as query_id, text as query from benchmark), p as (select d.* from d join q using (query_id))"
+#: Pools of the test data: documents are dealt out to the items of the benchmark, whose ids count from 0.
+POOL = "d as (select doc_id % (select count(*) from benchmark) as query_id, doc_id, text, doc_id // (select count(*) from benchmark) as pos, 1.0 / (1 + doc_id % 7) as score from documents), q as (select item_id as query_id, text as query from benchmark), p as (select d.* from d join q using (query_id))"
 
 
 def pool(spark, sf_dir):
-    d = load(spark, sf_dir, "documents").select(F.expr("doc_id div 25").alias("query_id"), "doc_id", "text", (F.col("doc_id") % 25).alias("pos"), (F.lit(1.0) / (1 + F.col("doc_id") % 7)).alias("score"))
+    n = load(spark, sf_dir, "benchmark").count()
+    d = load(spark, sf_dir, "documents").select(F.expr(f"doc_id % {max(n, 1)}").alias("query_id"), "doc_id", "text", F.expr(f"doc_id div {max(n, 1)}").alias("pos"), (F.lit(1.0) / (1 + F.col("doc_id") % 7)).alias("score"))
     q = load(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
     return d.join(q.select("query_id"), "query_id", "left_semi"), q
 
@@ -35,9 +36,9 @@ FUSED = f"""{BM25}, r as (select p.*, bm25, row_number() over (partition by quer
     f as (select *, round(1.0 / (60 + dense_rank) + 1.0 / (60 + sparse_rank), 9) as rrf from r), h as (select *, row_number() over (partition by query_id order by rrf desc, dense_rank) as fused_rank from f)"""
 
 
-@query("rnk_tokenize", f"select doc_id, len({WORDS.format('text')})::int as n_tokens, array_to_string({WORDS.format('left(text, 60)')}, ' ') as head from documents")
+@query("rnk_tokenize", f"select doc_id, len({WORDS.format('text')})::int as n_tokens, md5(array_to_string({WORDS.format('text')}, ' ')) as digest from documents")
 def rnk_tokenize(spark, sf_dir):
-    return load(spark, sf_dir, "documents").select("doc_id", F.size(R.tokens(F.col("text"))).alias("n_tokens"), F.array_join(R.tokens(F.left("text", F.lit(60))), " ").alias("head"))
+    return load(spark, sf_dir, "documents").select("doc_id", F.size(R.tokens(F.col("text"))).alias("n_tokens"), F.md5(F.array_join(R.tokens(F.col("text")), " ").cast("binary")).alias("digest"))
 
 
 @query("rnk_bm25", f"with {BM25} select query_id, doc_id, round(bm25, 4) as bm25 from b")
@@ -100,17 +101,16 @@ def rnk_pool_format(spark, sf_dir):
     return load(spark, sf_dir, "documents").select("doc_id", R.observation(F.col("doc_id"), F.col("source"), F.lit(None).cast("int"), F.col("text"), 400).alias("line"))
 
 
-@query("rnk_sufficiency", f"with {POOL}, n as (select query_id, count(*) filter (score >= 0.5) as n from p where pos % 25 < query_id % 9 group by 1) select query_id, n >= 2 as sufficient, case when n >= 2 then n || ' Chunks über Threshold 0.5' else 'Nur ' || n || case when n = 1 then ' Chunk' else ' Chunks' end || ' über Threshold 0.5, mindestens 2 benötigt' end as reason, case when n >= 2 then 'proceed' else 'refine_query' end as recommended_action from n")
+@query("rnk_sufficiency", "with n as (select conv_id, count(*) filter (length(text) / 1000.0 >= 0.5) as n from conversations group by 1) select conv_id, n >= 2 as sufficient, case when n >= 2 then n || ' Chunks über Threshold 0.5' else 'Nur ' || n || case when n = 1 then ' Chunk' else ' Chunks' end || ' über Threshold 0.5, mindestens 2 benötigt' end as reason, case when n >= 2 then 'proceed' else 'refine_query' end as recommended_action from n")
 def rnk_sufficiency(spark, sf_dir):
-    return R.sufficiency(pool(spark, sf_dir)[0].where("pos % 25 < query_id % 9"), "query_id")
+    # messages are the hits of their conversation, a long one scores well
+    return R.sufficiency(load(spark, sf_dir, "conversations").select("conv_id", (F.length("text") / 1000).alias("score")), "conv_id")
 
 
-@query("rnk_refine_hint", "with t as (select doc_id, list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> '')[1:5] as w, source from documents) select doc_id, array_to_string(w, ' ') || ' ' || source || ' bohren' as hint from t where not list_contains(w, source) and not list_contains(w, 'bohren') and len(w) > 0")
+@query("rnk_refine_hint", "with t as (select doc_id, list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> '')[1:5] as w, source from documents) select doc_id, array_to_string(w || list_filter([source, 'bohren'], lambda x: not list_contains(w, x)), ' ') as hint from t")
 def rnk_refine_hint(spark, sf_dir):
-    w = F.slice(F.filter(F.split("text", r"\s+"), lambda x: x != ""), 1, 5)
-    d = load(spark, sf_dir, "documents").where(~F.array_contains(w, F.col("source")) & ~F.array_contains(w, F.lit("bohren")) & (F.size(w) > 0))
     values = F.array("source", F.lit(None).cast("string"), F.lit("bohren"), "source")
-    return d.select("doc_id", R.refine_hint(F.col("text"), values).alias("hint"))
+    return load(spark, sf_dir, "documents").select("doc_id", R.refine_hint(F.col("text"), values).alias("hint"))
 
 
 @query(
@@ -135,9 +135,9 @@ def cit_strip_unresolved(spark, sf_dir):
     return load(spark, sf_dir, "conversations").select("conv_id", "turn", R.strip_unresolved(answer, F.array(F.lit(1), F.lit(2)).cast("array<long>")).alias("answer"))
 
 
-@query("cit_badges", "select conv_id, turn, regexp_replace(left(text, 30) || ' [' || (turn + 1) || ']', '\\[(\\d+)\\]', '<span class=\"cite\">\\1</span>', 'g') as html from conversations")
+@query("cit_badges", "select conv_id, turn, regexp_replace(text || ' [' || (turn + 1) || ']', '\\[(\\d+)\\]', '<span class=\"cite\">\\1</span>', 'g') as html from conversations")
 def cit_badges(spark, sf_dir):
-    t = F.concat(F.left("text", F.lit(30)), F.format_string(" [%d]", F.col("turn") + 1))
+    t = F.concat("text", F.format_string(" [%d]", F.col("turn") + 1))
     return load(spark, sf_dir, "conversations").select("conv_id", "turn", F.regexp_replace(t, r"\[(\d+)\]", '<span class="cite">$1</span>').alias("html"))
 
 
@@ -157,11 +157,10 @@ def diag_retrieval(spark, sf_dir):
     return rank.withColumn("verdict", F.when(F.col("rank").isNull(), "extraction").when(F.col("rank") > 7, "borderline").otherwise("ok"))
 
 
-@query("diag_extraction", "select doc_id, length(text) as chars, (length(text) - length(replace(lower(text), 'the', ''))) // 3 as keyword_hits, case when length(text) < 2000 then 'nothing_extracted' when lower(text) not like '%the%' then 'content_missing' else 'chunker_drops_it' end as verdict from documents where length(lower(text)) = length(text)")
+@query("diag_extraction", "select doc_id, length(text) as chars, (length(lower(text)) - length(replace(lower(text), 'the', ''))) // 3 as keyword_hits, case when length(text) < 2000 then 'nothing_extracted' when lower(text) not like '%the%' then 'content_missing' else 'chunker_drops_it' end as verdict from documents")
 def diag_extraction(spark, sf_dir):
     n = F.regexp_count(F.lower("text"), F.lit("the"))
-    d = load(spark, sf_dir, "documents").where("length(lower(text)) = length(text)")
-    return d.select("doc_id", F.length("text").cast("long").alias("chars"), n.cast("long").alias("keyword_hits"), F.when(F.length("text") < 2000, "nothing_extracted").when(n == 0, "content_missing").otherwise("chunker_drops_it").alias("verdict"))
+    return load(spark, sf_dir, "documents").select("doc_id", F.length("text").cast("long").alias("chars"), n.cast("long").alias("keyword_hits"), F.when(F.length("text") < 2000, "nothing_extracted").when(n == 0, "content_missing").otherwise("chunker_drops_it").alias("verdict"))
 
 
 @query("diag_similarity", "select item_id, gap > 0.2 and near > 0.5 as healthy from (select item_id, 1.0 as near, 1.0 as gap from benchmark)")

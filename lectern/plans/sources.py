@@ -53,13 +53,13 @@ def src_docx_blocks(spark, sf_dir):
     return r.select("r_regionkey", blocks(F.array("r_name", F.lit("  ")), F.array(table)).alias("text"))
 
 
-OCR = "select doc_id // 20 as file_id, doc_id % 5 as page_idx, doc_id, left(text, 40) as text, 'img/' || doc_id || '.png' as img_path from documents"
+OCR = "select doc_id // 20 as file_id, doc_id % 5 as page_idx, doc_id, text, 'img/' || doc_id || '.png' as img_path from documents"
 
 
 def ocr(spark, sf_dir):
     """OCR answers as JSON text: a list of items for each file."""
     d = load(spark, sf_dir, "documents")
-    item = F.struct("doc_id", (F.col("doc_id") % 5).cast("int").alias("page_idx"), F.left("text", F.lit(40)).alias("text"), F.concat(F.lit("img/"), F.col("doc_id").cast("string"), F.lit(".png")).alias("img_path"))
+    item = F.struct("doc_id", (F.col("doc_id") % 5).cast("int").alias("page_idx"), "text", F.concat(F.lit("img/"), F.col("doc_id").cast("string"), F.lit(".png")).alias("img_path"))
     return d.groupBy(F.expr("doc_id div 20").alias("file_id")).agg(F.to_json(F.array_sort(F.collect_list(item))).alias("content"))
 
 
@@ -125,9 +125,9 @@ def sink_content_address(spark, sf_dir):
     return load(spark, sf_dir, "documents").select("doc_id", digest.alias("file_hash"), T.stored_path(digest, F.lit("uc"), name).alias("path"))
 
 
-@query("sink_csv_quote", "select doc_id, case when regexp_matches(left(text, 80), '[\",\\n\\r]') then '\"' || replace(left(text, 80), '\"', '\"\"') || '\"' else left(text, 80) end as field from documents")
+@query("sink_csv_quote", "select doc_id, case when regexp_matches(text, '[\",\\n\\r]') then '\"' || replace(text, '\"', '\"\"') || '\"' else text end as field from documents")
 def sink_csv_quote(spark, sf_dir):
-    return load(spark, sf_dir, "documents").select("doc_id", T.csv_field(F.left("text", F.lit(80))).alias("field"))
+    return load(spark, sf_dir, "documents").select("doc_id", T.csv_field(F.col("text")).alias("field"))
 
 
 @query("sink_release_name", "select n_nationkey, n_name || '.x' || case when n_nationkey % 2 = 0 then '.released-anon' else '.released' end || '.csv' as name from nation")

@@ -89,11 +89,10 @@ def txt_generic_mask(spark, sf_dir):
     return load(spark, sf_dir, "customer").select("c_custkey", T.generic_mask(F.col("c_name")).alias("masked"))
 
 
-@query("txt_format_score", "select c_custkey, case when abs(c_acctbal / 100) >= 10 then printf('%.2f', c_acctbal / 100) else printf('%.3f', c_acctbal / 100) end as score from customer where round(c_acctbal * 1000) % 100 <> 50 and abs(c_acctbal) < 99000 and abs(c_acctbal / 100 * 1000 - floor(c_acctbal / 100 * 1000) - 0.5) > 0.01 and abs(c_acctbal / 100 * 100 - floor(c_acctbal / 100 * 100) - 0.5) > 0.01")
+@query("txt_format_score", "with x as (select c_custkey, (c_acctbal / 100)::varchar::decimal(38, 20) as v from customer) select c_custkey, case when abs(v) >= 10 then round(v, 2)::decimal(20, 2)::varchar else case when v < 0 and round(v, 3) = 0 then '-' else '' end || round(v, 3)::decimal(20, 3)::varchar end as score from x")
 def txt_format_score(spark, sf_dir):
-    # values right between two roundings are left out: engines round them differently
-    c = load(spark, sf_dir, "customer").where("round(c_acctbal * 1000) % 100 <> 50 and abs(c_acctbal) < 99000 and abs(c_acctbal / 100 * 1000 - floor(c_acctbal / 100 * 1000) - 0.5) > 0.01 and abs(c_acctbal / 100 * 100 - floor(c_acctbal / 100 * 100) - 0.5) > 0.01")
-    return c.select("c_custkey", T.format_score(F.col("c_acctbal") / 100).alias("score"))
+    # halves are rounded by the digits that a value is shown with, away from zero
+    return load(spark, sf_dir, "customer").select("c_custkey", T.format_score(F.col("c_acctbal") / 100).alias("score"))
 
 
 @query(
@@ -126,21 +125,25 @@ def txt_md_tables_inline(spark, sf_dir):
 
 @query(
     "txt_page_tags_stripped",
-    r"select page_id, md5(regexp_replace(regexp_replace(regexp_replace(html, '<[^>]+>', '', 'g'), '\s+', ' ', 'g'), '^\s+|\s+$', '', 'g')) as digest from pages where html not ilike '%<tr%'",
+    r"""with c as (select page_id, html, regexp_extract_all(html, '(?is)<tr[^>]*>(.*?)</tr>', 1) as rows from pages),
+    x as (select page_id, html, list_transform(rows, lambda r: list_transform(regexp_extract_all(r, '(?is)<t[hd][^>]*>(.*?)</t[hd]>', 1), lambda t: regexp_replace(regexp_replace(regexp_replace(t, '<[^>]+>', '', 'g'), '\s+', ' ', 'g'), '^\s+|\s+$', '', 'g'))) as cells from c),
+    l as (select page_id, html, list_transform(list_filter(cells, lambda r: len(list_filter(r, lambda t: t <> '')) > 0), lambda r: '| ' || array_to_string(r, ' | ') || ' |') as lines from x)
+    select page_id, md5(case when len(lines) > 0 then array_to_string(lines, chr(10)) else regexp_replace(regexp_replace(regexp_replace(html, '<[^>]+>', '', 'g'), '\s+', ' ', 'g'), '^\s+|\s+$', '', 'g') end) as digest from l""",
 )
 def txt_page_tags_stripped(spark, sf_dir):
-    p = load(spark, sf_dir, "pages").where(~F.lower("html").contains("<tr"))
-    return p.select("page_id", F.md5(T.html_table_to_pipe(F.col("html")).cast("binary")).alias("digest"))
+    return load(spark, sf_dir, "pages").select("page_id", F.md5(T.html_table_to_pipe(F.col("html")).cast("binary")).alias("digest"))
 
 
 @query(
     "txt_inject_page_anchors",
-    r"""select doc_id, md5(regexp_replace('<!-- page:1 -->' || chr(10) || 'Seite eins ' || doc_id || ' ' || left(text, 30) || ' ' || '<!-- page:3 -->' || chr(10) || 'Seite drei. Ende', '^\s+', '')) as digest from documents where text not like '%Seite%'""",
+    r"""with m as (select doc_id, 'Seite eins ' || doc_id || ' ' || text || ' Seite drei. Ende' as md from documents)
+    select doc_id, md5('<!-- page:1 -->' || chr(10) || left(md, strpos(md, 'Seite drei') - 1) || '<!-- page:3 -->' || chr(10) || substr(md, strpos(md, 'Seite drei'))) as digest from m where not regexp_matches(md, '(?i)<!--\s*Page\s+\d+\s*-->')
+    union all select doc_id, md5(md) from m where regexp_matches(md, '(?i)<!--\s*Page\s+\d+\s*-->')""",
 )
 def txt_inject_page_anchors(spark, sf_dir):
-    md = F.concat(F.lit("Seite eins "), F.col("doc_id").cast("string"), F.lit(" "), F.left("text", F.lit(30)), F.lit(" Seite drei. Ende"))
+    md = F.concat(F.lit("Seite eins "), F.col("doc_id").cast("string"), F.lit(" "), "text", F.lit(" Seite drei. Ende"))
     snippets = F.expr("array(named_struct('page', 1, 'snippet', concat('Seite eins ', doc_id)), named_struct('page', 2, 'snippet', 'fehlt ganz'), named_struct('page', 3, 'snippet', 'Seite drei'))")
-    return load(spark, sf_dir, "documents").where(~F.col("text").contains("Seite")).select("doc_id", F.md5(P.inject_anchors(md, snippets).cast("binary")).alias("digest"))
+    return load(spark, sf_dir, "documents").select("doc_id", F.md5(P.inject_anchors(md, snippets).cast("binary")).alias("digest"))
 
 
 @query(
@@ -157,7 +160,7 @@ def txt_batch_report(spark, sf_dir):
     "txt_image_alt_blocks",
     """with p as (select doc_id // 10 as file_id, doc_id % 10 + 1 as page, text from documents),
     i as (select file_id, page, 'Bild zu ' || left(text, 300)[1:20] as alt from p where page % 3 = 0)
-    select p.file_id, p.page, case when i.alt is null then left(p.text, 40) else left(p.text, 40) || chr(10) || chr(10) || '<!-- image page:' || p.page || ' -->' || chr(10) || '[Bild S.' || p.page || ']: ' || i.alt end as text from p left join i using (file_id, page)""",
+    select p.file_id, p.page, case when i.alt is null then p.text else p.text || chr(10) || chr(10) || '<!-- image page:' || p.page || ' -->' || chr(10) || '[Bild S.' || p.page || ']: ' || i.alt end as text from p left join i using (file_id, page)""",
 )
 def txt_image_alt_blocks(spark, sf_dir):
     from lectern.providers import describe_image
@@ -165,16 +168,16 @@ def txt_image_alt_blocks(spark, sf_dir):
     p = load(spark, sf_dir, "documents").selectExpr("doc_id div 10 as file_id", "doc_id % 10 + 1 as page", "text")
     images = p.where("page % 3 = 0").select("file_id", "page", describe_image(F.left("text", F.lit(300))).alias("alt"))
     block = F.concat(F.lit("\n\n<!-- image page:"), F.col("page").cast("string"), F.lit(" -->\n[Bild S."), F.col("page").cast("string"), F.lit("]: "), "alt")
-    return p.join(images, ["file_id", "page"], "left").select("file_id", "page", F.concat(F.left("text", F.lit(40)), F.coalesce(F.when(F.col("alt") != "", block), F.lit(""))).alias("text"))
+    return p.join(images, ["file_id", "page"], "left").select("file_id", "page", F.concat("text", F.coalesce(F.when(F.col("alt") != "", block), F.lit(""))).alias("text"))
 
 
-ANSWERS = """select conv_id, turn, case turn % 4 when 0 then 'FINAL_ANSWER({"answer": "' || left(text, 60) || '", "extras": {"a": 1}})'
-    when 1 then 'THOUGHT: x' || chr(10) || left(text, 60) || chr(10) || chr(10) || chr(10) || chr(10) || 'Ende' when 2 then 'ACTION: SEARCH' else '"' || left(text, 60) || '"' end as raw, text from conversations"""
+ANSWERS = """select conv_id, turn, case turn % 4 when 0 then 'FINAL_ANSWER({"answer": "' || text || '", "extras": {"a": 1}})'
+    when 1 then 'THOUGHT: x' || chr(10) || text || chr(10) || chr(10) || chr(10) || chr(10) || 'Ende' when 2 then 'ACTION: SEARCH' else '"' || text || '"' end as raw, text from conversations"""
 
 
 @query(
     "ans_cleanup",
-    r"""with a as (select conv_id, turn, left(text, 60) as t, case turn % 4 when 0 then left(text, 60) when 1 then left(text, 60) || chr(10) || chr(10) || 'Ende' when 2 then '' else left(text, 60) end as raw from conversations),
+    r"""with a as (select conv_id, turn, text as t, case turn % 4 when 0 then text when 1 then text || chr(10) || chr(10) || 'Ende' when 2 then '' else text end as raw from conversations),
     b as (select conv_id, turn, regexp_replace(regexp_replace(raw, '^\s+|\s+$', '', 'g'), '^[" \n]+|[" \n]+$', '', 'g') as x from a)
     select conv_id, turn, case when x = '' then 'Die Anfrage konnte nicht vollständig beantwortet werden. Bitte präzisieren Sie Ihre Frage.' else regexp_replace(x, '\n{3,}', chr(10) || chr(10), 'g') end as answer from b""",
 )
@@ -185,8 +188,8 @@ def ans_cleanup(spark, sf_dir):
 
 @query(
     "ans_clean_synth",
-    r"""select conv_id, turn, regexp_replace(regexp_replace(left(text, 80), '\s+$', ''), '^[" \n]+|[" \n]+$', '', 'g') as answer from conversations""",
+    r"""select conv_id, turn, regexp_replace(regexp_replace(text, '\s+$', ''), '^[" \n]+|[" \n]+$', '', 'g') as answer from conversations""",
 )
 def ans_clean_synth(spark, sf_dir):
-    raw = F.concat(F.lit("\n```markdown\nAntwort: \""), F.left("text", F.lit(80)), F.lit("\n```\n "))
+    raw = F.concat(F.lit("\n```markdown\nAntwort: \""), "text", F.lit("\n```\n "))
     return load(spark, sf_dir, "conversations").select("conv_id", "turn", T.clean_synthesized(raw).alias("answer"))
