@@ -66,6 +66,14 @@ def top_k(points: DataFrame, query: list[float], k: int = 5, id_column: str = "v
     return found.orderBy(F.desc("score"), id_column).limit(k)
 
 
+def matrix_of(vectors: pa.Array) -> np.ndarray:
+    """Vectors of one length as rows; straight from Arrow's values where none are null."""
+    flat = vectors.flatten()
+    if len(vectors) and not vectors.null_count and not flat.null_count and len(flat) % len(vectors) == 0:
+        return flat.to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(vectors), -1)
+    return np.array(vectors.to_pylist(), np.float64)
+
+
 def top_k_batch(points: DataFrame, queries: DataFrame, k: int, query_id: str, query_vector: str, id_column: str = "vec_id", vector: str = "embedding", per: list[str] | None = None, keep: list[str] | None = None) -> DataFrame:
     """query_id, id, score, rank (and the ``per`` and ``keep`` columns) of the k most similar points for each query and each value of ``per``.
 
@@ -91,7 +99,7 @@ def top_k_batch(points: DataFrame, queries: DataFrame, k: int, query_id: str, qu
             for batch in batches:
                 for lo in range(0, batch.num_rows, 2000):
                     part = batch.slice(lo, 2000)
-                    rows = np.array(part.column(part.num_columns - 1).to_pylist(), np.float64)
+                    rows = matrix_of(part.column(part.num_columns - 1))
                     rows /= np.maximum(np.linalg.norm(rows, axis=1, keepdims=True), 1e-300)
                     score = np.round(rows @ matrix.T, 6)
                     columns = [part.column(1 + i).to_pylist() for i in range(len(group))]
@@ -129,6 +137,30 @@ def upsert(batches: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     return batches.withColumn("_n", last).where("_n = 1").drop("_n")
 
 
+def upserted(points: DataFrame | None, batch: DataFrame, collection: str, embed_model: str | None = None) -> DataFrame:
+    """collection, point_id, chunk_id, vector, payload, seq: a store with a batch (chunk_id, vector, metadata, seq) written to it.
+
+    A missing collection is made by its first points, an empty batch changes nothing, and the last row of an id
+    stays. In a payload the model's stamp goes over the metadata, and the chunk id over both.
+    """
+    stamp = F.create_map(F.lit("_embed_model"), F.lit(embed_model)) if embed_model else F.create_map().cast("map<string,string>")
+    over = ["chunk_id"] + ["_embed_model"] * bool(embed_model)
+    own = F.map_filter(F.coalesce("metadata", F.create_map().cast("map<string,string>")), lambda k, v: ~k.isin(*over))
+    made = batch.select(F.lit(collection).alias("collection"), point_id(F.col("chunk_id")).alias("point_id"), "chunk_id", "vector", F.map_concat(own, stamp, F.create_map(F.lit("chunk_id"), F.col("chunk_id"))).alias("payload"), "seq")
+    if points is None:
+        return upsert(made, ["collection", "point_id"], ["seq"])
+    # what is written now is later than anything that is there
+    both = points.withColumn("_late", F.lit(0)).unionByName(made.withColumn("_late", F.lit(1)))
+    return upsert(both, ["collection", "point_id"], ["_late", "seq"]).drop("_late")
+
+
+def without_collection(points: DataFrame, name: str) -> DataFrame:
+    """The store without a collection; a missing one is an error."""
+    if points.where(F.col("collection") == name).limit(1).count() == 0:
+        raise ValueError(f"Collection '{name}' not found")
+    return points.where(F.col("collection") != name)
+
+
 def collections(points: DataFrame, vector: str = "embedding", model: str = "embed_model") -> DataFrame:
     """collection, count, dimension and a model of each collection."""
     return points.groupBy("collection").agg(F.count("*").alias("count"), F.max(F.size(vector)).alias("dimension"), F.min(model).alias("model"))
@@ -162,16 +194,18 @@ def resolve_collections(catalogue: DataFrame, wanted: Column, use_case: str) ->
     )
 
 
-def cross_search(points: DataFrame, primary: str, linked: list[str], query: list[float], link_key: str, k: int = 5, id_column: str = "vec_id", vector: str = "embedding") -> DataFrame:
-    """The top k of a collection, each with the best point of the same link key in every linked collection.
+def cross_search(points: DataFrame, primary: str, linked: list[str], query: list[float], link_key: str, k: int = 5, id_column: str = "vec_id", vector: str = "embedding", filters: dict | None = None, keep: list[str] | None = None) -> DataFrame:
+    """The top k of a collection (those that the filters leave), each with the best point of the same link key in every
+    linked collection, its score and the ``keep`` columns of its payload; null where there is no key, match or collection.
 
     A left lateral top-1 join: linked points are scored once and reduced by key before the join.
     """
-    hits = top_k(points.where(F.col("collection") == primary), query, k, id_column, vector).select(F.col(id_column).alias("primary_id"), F.col("score").alias("primary_score"), F.col(link_key).alias("_key"))
+    more = keep or []
+    hits = top_k(points.where(F.col("collection") == primary), query, k, id_column, vector, filters).select(F.col(id_column).alias("primary_id"), F.col("score").alias("primary_score"), F.col(link_key).alias("_key"))
     scored = points.where(F.col("collection").isin(*linked) & F.col(link_key).isNotNull()).withColumn("score", F.round(cosine(F.col(vector), F.array(*[F.lit(float(x)) for x in query])), 6))
-    best = scored.groupBy("collection", F.col(link_key).alias("_key")).agg(F.max_by(F.struct(F.col(id_column).alias("id"), "score"), F.struct("score", -F.col(id_column))).alias("hit"))
+    best = scored.groupBy("collection", F.col(link_key).alias("_key")).agg(F.max_by(F.struct(F.col(id_column).alias("id"), "score", *more), F.struct("score", -F.col(id_column))).alias("hit"))
     wide = best.groupBy("_key").pivot("collection", linked).agg(F.first("hit"))
-    return hits.join(wide, "_key", "left").select("primary_id", "primary_score", *[F.col(c)["id"].alias(f"{c}_id") for c in linked])
+    return hits.join(wide, "_key", "left").select("primary_id", "primary_score", *[F.col(c)[x].alias(f"{c}_{x}") for c in linked for x in ("id", "score", *more)])
 
 
 def orphans(catalogue: DataFrame, prefix_table: DataFrame) -> DataFrame:

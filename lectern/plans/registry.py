@@ -27,5 +27,5 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     return add
 
 
-for _part in ("sources", "texts", "chunks", "enrichment", "vectors", "ranking", "agent", "tables", "admin", "traces"):
+for _part in ("sources", "texts", "chunks", "enrichment", "vectors", "ranking", "agent", "tables", "admin", "traces", "records"):
     import_module(f"lectern.plans.{_part}")

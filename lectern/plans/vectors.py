@@ -102,14 +102,19 @@ def vec_model_guard(spark, sf_dir):
 
 
 CROSS = f"""{POINTS}, {Q0}, h as (select vec_id, link, {SCORE} as score from p, q where collection = 'gw_cnc_steps' order by score desc, vec_id limit 5),
-    l as (select collection, link, vec_id, row_number() over (partition by collection, link order by {SCORE} desc, vec_id) as rank from p, q where collection in ('gw_ruest_data', 'gw_material_info'))"""
+    l as (select collection, link, vec_id, {SCORE} as score, row_number() over (partition by collection, link order by {SCORE} desc, vec_id) as rank from p, q where collection in ('gw_ruest_data', 'gw_material_info'))"""
 
 
-@query("vec_cross_search", f"with {CROSS} select h.vec_id as primary_id, h.score as primary_score, a.vec_id as gw_ruest_data_id, b.vec_id as gw_material_info_id from h left join l a on a.link = h.link and a.rank = 1 and a.collection = 'gw_ruest_data' left join l b on b.link = h.link and b.rank = 1 and b.collection = 'gw_material_info'")
+@query("vec_cross_search", f"with {CROSS} select h.vec_id as primary_id, h.score as primary_score, a.vec_id as gw_ruest_data_id, a.score as gw_ruest_data_score, b.vec_id as gw_material_info_id, b.score as gw_material_info_score from h left join l a on a.link = h.link and a.rank = 1 and a.collection = 'gw_ruest_data' left join l b on b.link = h.link and b.rank = 1 and b.collection = 'gw_material_info'")
 def vec_cross_search(spark, sf_dir):
     return V.cross_search(points(spark, sf_dir), "gw_cnc_steps", ["gw_ruest_data", "gw_material_info"], first_vector(spark, sf_dir), "link")
 
 
+@query("vec_cross_filtered", f"with {CROSS.replace("where collection = 'gw_cnc_steps'", "where collection = 'gw_cnc_steps' and label = 10")} select h.vec_id as primary_id, h.score as primary_score, a.vec_id as gw_ruest_data_id, a.score as gw_ruest_data_score, a.embed_model as gw_ruest_data_embed_model from h left join (select l.*, p.embed_model from l join p using (vec_id)) a on a.link = h.link and a.rank = 1 and a.collection = 'gw_ruest_data'")
+def vec_cross_filtered(spark, sf_dir):
+    return V.cross_search(points(spark, sf_dir), "gw_cnc_steps", ["gw_ruest_data"], first_vector(spark, sf_dir), "link", filters={"label": 10}, keep=["embed_model"])
+
+
 @query("vec_cnc_search", f"with {CROSS}, n as (select h.*, row_number() over (order by h.score desc, h.vec_id) as i from h) select '[' || i || '] Op: op' || n.vec_id % 3 || coalesce(' | Rüst: text ' || a.vec_id, '') as line from n left join l a on a.link = n.link and a.rank = 1 and a.collection = 'gw_ruest_data'")
 def vec_cnc_search(spark, sf_dir):
     from pyspark.sql import Window as W
@@ -149,7 +154,7 @@ def vec_upsert_lww(spark, sf_dir):
 
 @query("vec_delete_collection", f"with {POINTS} select collection, count(*) as \"count\" from p where collection <> 'other_x' group by 1")
 def vec_delete_collection(spark, sf_dir):
-    return points(spark, sf_dir).where(F.col("collection") != "other_x").groupBy("collection").agg(F.count("*").alias("count"))
+    return V.without_collection(points(spark, sf_dir), "other_x").groupBy("collection").agg(F.count("*").alias("count"))
 
 
 @query("emb_dimension", "select vec_id, len(embedding)::int as dimension from embeddings")

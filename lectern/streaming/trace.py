@@ -19,6 +19,12 @@ def parsed(lines: DataFrame, column: str = "value") -> DataFrame:
     return lines.select(F.from_json(column, EVENT).alias("e")).select("e.*").where(F.col("request_id").isNotNull())
 
 
+def checked(events: DataFrame) -> DataFrame:
+    """The same events; one of the type ``error`` ends the query with its text."""
+    failed = F.when(F.col("type") == "error", F.raise_error(F.coalesce("text", F.lit("stream error"))).cast("boolean")).otherwise(F.lit(True))
+    return events.where(failed)
+
+
 def tagged(events: DataFrame, subagent: Column) -> DataFrame:
     """Events of sub-agents with their id; their inner begins and ends are left out."""
     return events.where(~F.col("type").isin(*INNER)).withColumn("subagent_id", subagent)

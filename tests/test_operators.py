@@ -160,3 +160,88 @@ def test_providers(spark):
     assert sum(one(spark, providers.hash_embed, "")) == 0
     with pytest.raises(ValueError, match="no provider"):
         providers.provider("fehlt")
+
+
+def test_retries_of_a_service(spark):
+    from lectern.sources import parsers
+
+    slept, left = [], [2]
+
+    def flaky():
+        if left[0]:
+            left[0] -= 1
+            raise TimeoutError("weg")
+        return "da"
+
+    assert parsers.waits() == [5, 10] and parsers.with_retries(flaky, sleep=slept.append) == "da" and slept == [5, 10]
+    left[0] = 9
+    with pytest.raises(RuntimeError, match="after 3 attempts"):
+        parsers.with_retries(flaky, sleep=slept.append)
+    with pytest.raises(ValueError):
+        parsers.with_retries(lambda: int("x"), sleep=slept.append)
+    files = spark.createDataFrame([("a.pdf", bytearray(b"eins\f\fdrei")), ("b.pdf", bytearray(b"x"))], "file_name string, content binary")
+
+    def call(name, content):
+        if name == "b.pdf":
+            raise KeyError("kaputt")
+        return f"{name}: {len(content)}"
+
+    assert [(r.file_name, r.answer, r.error is None) for r in parsers.ocr_answers(files, call).orderBy("file_name").collect()] == [("a.pdf", "a.pdf: 10", True), ("b.pdf", None, False)]
+    pages = parsers.parsed_pages(files, lambda c: c.decode().split("\f"))
+    from lectern.operators.pages import assemble_pages
+
+    made = {r.file_name: (r.total_pages, r.text) for r in assemble_pages(pages, "file_name", "page").collect()}
+    assert made == {"a.pdf": (3, "<!-- page:1 -->\neins\n\n<!-- page:3 -->\ndrei"), "b.pdf": (1, "<!-- page:1 -->\nx")}
+
+
+def test_logs_grow(spark, tmp_path):
+    from lectern.operators import records as R
+
+    for text in ("a", "b"):
+        R.append_lines(spark.createDataFrame([(text,)], "value string"), f"file://{tmp_path}/log")
+        R.append_rows(spark.createDataFrame([(text, True)], "id string, sufficient boolean"), "queries", f"file://{tmp_path}/queries")
+    assert sorted(r.value for r in spark.read.text(f"file://{tmp_path}/log").collect()) == ["a", "b"]
+    assert sorted((r.id, r.sufficient, r.role) for r in spark.read.parquet(f"file://{tmp_path}/queries").collect()) == [("a", True, None), ("b", True, None)]
+    with pytest.raises(ValueError, match="no column x"):
+        R.append_rows(spark.createDataFrame([(1,)], "x int"), "queries", f"file://{tmp_path}/queries")
+
+
+def test_settings_and_kept_values(spark):
+    from lectern.operators import records as R
+
+    raw = [None, "", "12", " -3 ", "1_000", "5.0", "5d", "abc", "1e3", ".5", "inf"]
+    df = spark.createDataFrame([(x,) for x in raw], "raw string")
+    assert [r[0] for r in df.select(R.whole_number(df.raw, 7)).collect()] == [7, 7, 12, -3, 1000, 7, 7, 7, 7, 7, 7]
+    assert [r[0] for r in df.select(R.real_number(df.raw, 0.25)).collect()] == [0.25, 0.25, 12, -3, 1000, 5, 0.25, 0.25, 1000, 0.5, float("inf")]
+    now, reads = [0.0], []
+    kept = R.Kept(lambda: reads.append(1) or len(reads), 60, lambda: now[0])
+    assert [kept.get(), kept.get()] == [1, 1]
+    now[0] = 60
+    assert kept.get() == 2
+    kept.forget()
+    assert kept.get() == 3
+
+
+def test_points_are_written_and_removed(spark):
+    from lectern.operators import vectors as V
+
+    batch = lambda rows: spark.createDataFrame(rows, "chunk_id string, vector array<double>, metadata map<string,string>, seq long")
+    first = V.upserted(None, batch([("a", [1.0], {"x": "1", "_embed_model": "alt", "chunk_id": "falsch"}, 9), ("b", [2.0], None, 1)]), "wl_x", "m1")
+    then = V.upserted(first, batch([("a", [3.0], {"x": "2"}, 1)]), "wl_x")
+    got = {r.chunk_id: (r.vector, r.payload) for r in then.collect()}
+    assert got == {"a": ([3.0], {"x": "2", "chunk_id": "a"}), "b": ([2.0], {"_embed_model": "m1", "chunk_id": "b"})}
+    assert first.where("chunk_id = 'a'").first().payload == {"x": "1", "_embed_model": "m1", "chunk_id": "a"}
+    assert V.upserted(then, batch([]), "wl_x").count() == 2
+    assert V.without_collection(then, "wl_x").count() == 0
+    with pytest.raises(ValueError, match="not found"):
+        V.without_collection(then, "fehlt")
+
+
+def test_error_events_end_the_stream(spark):
+    from lectern.streaming import trace as Z
+
+    lines = spark.createDataFrame([('{"request_id": "r", "type": "step", "seq": 1}',), ("kein json",), ('{"request_id": "r", "type": "error", "text": "vorbei"}',)], "value string")
+    events = Z.parsed(lines)
+    assert Z.checked(events.where("type <> 'error'")).count() == 1
+    with pytest.raises(Exception, match="vorbei"):
+        Z.checked(events).collect()
