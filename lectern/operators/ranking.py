@@ -19,26 +19,34 @@ def tokens(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(r"([\p{L}\p{N}_]+)"), 1)
 
 
-def bm25(pool: DataFrame, queries: DataFrame, pool_key: str = "query_id", id_column: str = "doc_id", text: str = "text", query_text: str = "query") -> DataFrame:
+def term_counts(texts: DataFrame, ids: list[str], text: str = "text") -> tuple[DataFrame, DataFrame]:
+    """(ids, dl) with the number of words of each text, and (ids, word, tf); a text is cut into words in its row."""
+    cut = texts.select(*ids, tokens(F.col(text)).alias("_t"))
+    return cut.select(*ids, F.size("_t").alias("dl")), cut.select(*ids, F.explode("_t").alias("word")).groupBy(*ids, "word").agg(F.count("*").alias("tf"))
+
+
+def bm25(pool: DataFrame, queries: DataFrame, pool_key: str = "query_id", id_column: str = "doc_id", text: str = "text", query_text: str = "query", texts: DataFrame | None = None) -> DataFrame:
     """pool_key, id, bm25: scores of each pool's candidates for its query.
 
     Statistics are per pool (a pool is the candidates of one query); negative idf
     values become EPSILON times the mean idf of the pool; query words count as often
     as they occur. Everything is grouped by (pool, word), so pools of any number work.
+    ``texts`` (id, text) has each id once where pools share candidates; without it a
+    pool's rows have their texts themselves.
     """
-    terms = pool.select(pool_key, id_column, tokens(F.col(text)).alias("_t")).withColumn("dl", F.size("_t"))
-    lengths = terms.select(pool_key, id_column, "dl")
+    if texts is None:
+        lengths, every = term_counts(pool, [pool_key, id_column], text)
+    else:
+        some = pool.select(pool_key, id_column)
+        lengths, every = (some.join(x, id_column) for x in term_counts(texts.join(some.select(id_column).distinct(), id_column, "left_semi"), [id_column], text))
     stats = lengths.groupBy(pool_key).agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
-    df = terms.select(pool_key, F.explode(F.array_distinct("_t")).alias("word")).groupBy(pool_key, "word").agg(F.count("*").alias("df"))
+    df = every.groupBy(pool_key, "word").agg(F.count("*").alias("df"))
     raw = df.join(stats, pool_key).withColumn("idf", F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
     mean = raw.groupBy(pool_key).agg((F.avg("idf") * EPSILON).alias("floor"))
     words = queries.select(pool_key, F.explode(tokens(F.col(query_text))).alias("word")).groupBy(pool_key, "word").agg(F.count("*").alias("times"))
     idf = raw.join(words, [pool_key, "word"]).join(mean, pool_key).select(pool_key, "word", "times", "avgdl", F.when(F.col("idf") < 0, F.col("floor")).otherwise(F.col("idf")).alias("idf"))
-    # only words of the queries are counted by document
-    every = terms.select(pool_key, id_column, "dl", F.explode("_t").alias("word")).join(idf, [pool_key, "word"])
-    part = every.groupBy(pool_key, id_column, "word").agg(F.count("*").alias("tf"), *[F.first(c).alias(c) for c in ("dl", "times", "avgdl", "idf")])
     score = F.col("times") * F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    found = part.groupBy(pool_key, id_column).agg(F.sum(score).alias("bm25"))
+    found = every.join(idf, [pool_key, "word"]).join(lengths, [pool_key, id_column]).groupBy(pool_key, id_column).agg(F.sum(score).alias("bm25"))
     return lengths.select(pool_key, id_column).join(found, [pool_key, id_column], "left").withColumn("bm25", F.round(F.coalesce("bm25", F.lit(0.0)), 6))
 
 
@@ -47,9 +55,9 @@ def rrf(rankings: DataFrame, key: str = "query_id", id_column: str = "doc_id", r
     return rankings.groupBy(key, id_column).agg(F.round(F.sum(1.0 / (RRF_K + F.col(rank))), 9).alias("rrf"))
 
 
-def hybrid_fuse(pool: DataFrame, queries: DataFrame, key: str = "query_id", id_column: str = "doc_id", text: str = "text", query_text: str = "query", score: str = "score", pos: str = "pos") -> DataFrame:
+def hybrid_fuse(pool: DataFrame, queries: DataFrame, key: str = "query_id", id_column: str = "doc_id", text: str = "text", query_text: str = "query", score: str = "score", pos: str = "pos", texts: DataFrame | None = None) -> DataFrame:
     """The pool with bm25, dense_rank, sparse_rank, rrf and fused_rank; ties keep the dense order."""
-    scored = pool.join(bm25(pool, queries, key, id_column, text, query_text), [key, id_column])
+    scored = pool.join(bm25(pool, queries, key, id_column, text, query_text, texts), [key, id_column])
     own = W.partitionBy(key)
     ranked = scored.withColumn("dense_rank", F.row_number().over(own.orderBy(F.desc(score), pos))).withColumn("sparse_rank", F.row_number().over(own.orderBy(F.desc("bm25"), pos)))
     fused = ranked.withColumn("rrf", F.round(1.0 / (RRF_K + F.col("dense_rank")) + 1.0 / (RRF_K + F.col("sparse_rank")), 9))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -11,19 +13,45 @@ from lectern.operators import ranking as R
 from lectern.operators import vectors as V
 
 
-def search(points: DataFrame, queries: DataFrame, collection: Column | None = None) -> DataFrame:
+def resolved(points: DataFrame, wanted: str, use_case: str) -> tuple[list[str], str]:
+    """The collections that a use case's search for one may read, and the message if there are none."""
+    catalogue = points.select("collection").distinct()
+    row = points.sparkSession.range(1).select(V.resolve_collections(catalogue, F.lit(wanted), use_case).alias("r")).first().r
+    return list(row.names), row.message
+
+
+def search(
+    points: DataFrame,
+    queries: DataFrame,
+    use_case: str | None = None,
+    wanted: str = "",
+    filters: dict | None = None,
+    scorer: Callable[[DataFrame], Column] | None = None,
+) -> DataFrame:
     """query_id, rank, doc_id, score, label, observation for each query, best first.
 
     ``points``: collection, doc_id, file_name, page, text, vector; ``queries``: query_id,
-    query. All queries are searched in one job; each step works on fewer rows than the
-    one before: 40 of each collection, 25 to the reranker, 15 out of it, 7 shown.
+    query.  With a use case only its own collections are read, the wanted one or, where
+    that is missing, all of them; a search that may read none gives one row for each query
+    with the message.  ``scorer`` reranks the best by a column of (query, text, score, bm25).
+
+    All queries are searched in one job; each step works on fewer rows than the one
+    before: 40 of each collection, 25 to the reranker, 15 out of it, 7 shown.  What is
+    found goes as ids and word counts; texts are joined to the rows that are reranked.
     """
-    own = points if collection is None else points.where(collection)
+    own = points.where(V.matching(filters or {}))
+    if use_case is not None:
+        names, message = resolved(points, wanted, use_case)
+        if message:
+            none = F.lit(None)
+            return queries.select("query_id", none.cast("int").alias("rank"), none.cast(points.schema["doc_id"].dataType).alias("doc_id"), *[none.cast("double").alias(c) for c in ("score", "bm25", "rrf")], none.cast("string").alias("label"), F.lit(message).alias("observation"))
+        own = own.where(F.col("collection").isin(*names))
     vectors = queries.select("query_id", providers.embed(F.col("query")).alias("qv"))
     found = V.top_k_batch(own.select("collection", "doc_id", "vector"), vectors, R.SEARCH_K, "query_id", "qv", "doc_id", "vector", per=["collection"])
-    placed = found.withColumn("pos", F.row_number().over(W.partitionBy("query_id").orderBy(F.col("collection"), F.col("rank")))).drop("rank")
-    # at most 40 rows for each query and collection, read several times below
-    pool = placed.join(own.select("doc_id", "file_name", "page", "text"), "doc_id").persist()
-    kept = R.dedup_prefix(R.rerank(R.hybrid_fuse(pool, queries), None))
+    pool = found.withColumn("pos", F.row_number().over(W.partitionBy("query_id").orderBy(F.col("collection"), F.col("rank")))).drop("rank")
+    # each text is cut into words once, however many queries find it
+    fused = R.hybrid_fuse(pool, queries, texts=own.select("doc_id", "text"))
+    few = fused.where(F.col("fused_rank") <= R.RERANK_IN).join(own.select("doc_id", "file_name", "page", "text"), "doc_id").join(queries.select("query_id", "query"), "query_id")
+    kept = R.dedup_prefix(R.rerank(few, scorer))
     shown = kept.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy("rerank_rank"))).where(F.col("rank") <= R.SHOWN)
-    return shown.select("query_id", "rank", "doc_id", "score", "bm25", "rrf", R.observation(F.col("rank"), F.col("file_name"), F.col("page"), F.col("text")).alias("observation"))
+    return shown.select("query_id", "rank", "doc_id", "score", "bm25", "rrf", F.col("relevance_label").alias("label"), R.observation(F.col("rank"), F.col("file_name"), F.col("page"), F.col("text")).alias("observation"))

@@ -38,13 +38,24 @@ def embed(text: Column) -> Column:
 
 #: Dimension of the default embedder.
 DIMENSION = 32
+#: char() has one letter for each of 0 to 255; those before are control characters and blanks.
+FIRST_LETTER = 33
 
 
 def hash_embed(text: Column, dimension: int = DIMENSION) -> Column:
-    """Feature hashing of words: a word adds 1 to the dimension that its crc32 gives. Native, the same everywhere."""
+    """Feature hashing of words: a word adds 1 to the dimension that its crc32 gives. Native, the same everywhere.
+
+    Each word becomes the letter of its dimension, and the letters of the text so made are counted, so the words
+    are hashed once and not once for each dimension.
+    """
     words = F.regexp_extract_all(F.lower(text), F.lit(r"([\p{L}\p{N}_]+)"), 1)
-    place = F.transform(words, lambda w: (F.crc32(w.cast("binary")) % dimension).cast("int"))
-    return F.transform(F.sequence(F.lit(0), F.lit(dimension - 1)), lambda i: F.size(F.filter(place, lambda p: p == i)).cast("double"))
+    letter = lambda i: F.char(i + FIRST_LETTER)
+    letters = F.array_join(F.transform(words, lambda w: letter(F.crc32(w.cast("binary")) % dimension)), "")
+    if dimension > 256 - FIRST_LETTER:
+        raise ValueError(f"a dimension of {256 - FIRST_LETTER} at most")
+    counts = lambda s: F.array(*[(F.length(s) - F.length(F.replace(s, letter(F.lit(i)), F.lit("")))).cast("double") for i in range(dimension)])
+    # inside a lambda the letters are made once
+    return F.transform(F.array(letters), counts)[0]
 
 
 provide("vision", lambda context: F.concat(F.lit("Bild zu "), F.left(context, F.lit(20))))

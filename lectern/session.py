@@ -22,5 +22,20 @@ def session(cores: int | str = "*", **settings: str) -> SparkSession:
     return builder.getOrCreate()
 
 
+#: Bytes of a table that are dealt to all cores at once if they lie in fewer files than there are cores.
+SPREAD_BYTES = 64 << 20
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """A table as it is, but a small one in few files is dealt to all cores, which its one or two row groups would not be.
+
+    Larger tables, and those in many files, are read as Spark cuts them, without a shuffle.
+    """
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if size < SPREAD_BYTES and len(df.inputFiles()) < cores else df
+
+
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(df) if name == "documents" else df
