@@ -15,7 +15,9 @@ Viterbi run over all of it.
 Rows: a null or empty text is a message without lines; null roles are recovered like
 others but not learned from; messages with the same turn are ordered by their text;
 repeated rows are messages each; rows with a null conv_id are one conversation; a null
-turn comes first; without any recorded role all are "user"; other columns are not read.
+turn comes first; without any recorded role all are "user"; a long text is its lines, a
+long conversation is spread over segments; an empty table gives no rows; other columns,
+whatever their names, are not read.
 """
 
 from __future__ import annotations

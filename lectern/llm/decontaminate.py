@@ -14,7 +14,8 @@ mean, and in more than 23 with a probability below 1e-5.
 
 Rows: null and empty texts match nothing, nor do items without words; an item of under
 five words is one shingle; of equally similar windows the first counts; repeated rows
-give repeated results; other columns are not read.  Items are taken in blocks of
+give repeated results; long texts are worked off by themselves; an empty table, or a benchmark
+without items, gives no rows; other columns, whatever their names, are not read.  Items are taken in blocks of
 BLOCK_ITEMS, each searched against all documents, so the benchmark may grow.
 """
 

@@ -7,11 +7,13 @@ of bounded size; each range owns the members that begin in it.  A member is read
 offset; if that fails, it alone is read again from a newly opened file.
 
 Writing goes through the data source too: a task's archives count only once the job has
-committed a manifest that names them, so lost executors and retried tasks leave nothing.
+committed a manifest that names them.  Archives of executors that were lost and of tasks
+that were tried again stay in the directory, but no manifest names them and none is read.
 
 Rows: null and empty texts are one row of spaces; a text of any length is one image;
-equal texts give equal values; repeated rows are members each; a null doc_id is kept;
-an empty table gives an empty directory; other columns are not stored.
+equal texts give equal values; repeated rows, and rows of one doc_id (ties), are members
+each; a null doc_id is kept; an empty table gives an empty directory; other columns,
+whatever their names, are not stored.
 """
 
 from __future__ import annotations
