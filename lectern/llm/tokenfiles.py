@@ -293,8 +293,8 @@ def write_token_files(docs: DataFrame, tokenizer: str, path: str, end: int = 0)
     spark = docs.sparkSession
     kind = encoder(tokenizer).kind
     tokens_path = fresh_path(spark, "tokens")
-    tokenized(docs, tokenizer, end).write.option("compression", "zstd").parquet(tokens_path)
-    tokens = spark.read.schema(TOKENS).parquet(tokens_path)
+    tokenized(docs, tokenizer, end).withColumn("tie", F.xxhash64("ids")).write.option("compression", "zstd").parquet(tokens_path)
+    tokens = spark.read.schema(f"{TOKENS}, tie long").parquet(tokens_path)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -341,9 +341,9 @@ def write_token_files(docs: DataFrame, tokenizer: str, path: str, end: int = 0)
         if held:
             yield made()
 
-    # ranges are sampled from the written table; what the ids are orders rows of one doc_id, and spreads them
+    # ranges are sampled from two columns of the written table; what the ids are orders rows of one doc_id, and spreads them
     order = ["doc_id", "tie"]
-    tokens.where("ids is not null").select("doc_id", "ids", F.xxhash64("ids").alias("tie")).repartitionByRange(partitions(spark), *order).sortWithinPartitions(*order).mapInArrow(blocks, BLOCKS).write.parquet(f"{path}/blocks")
+    tokens.where("counts is null").select("doc_id", "ids", "tie").repartitionByRange(partitions(spark), *order).sortWithinPartitions(*order).mapInArrow(blocks, BLOCKS).write.parquet(f"{path}/blocks")
     removed(spark, tokens_path)
 
 
