@@ -9,7 +9,7 @@ from lectern.operators import records as R
 from lectern.operators import vectors as V
 from lectern.plans.registry import query
 from lectern.plans.sources import KNOWN, NAMED
-from lectern.session import load
+from lectern.session import fresh_path, load
 from lectern.sources import files as S
 
 
@@ -44,10 +44,8 @@ def sink_resolve_path(spark, sf_dir):
 @query("log_query_append", "select 'uc' as use_case, role, text as query_text, true as sufficient, conv_id || ':' || turn as id from conversations where role = 'user' union all select 'uc', role, text, false, conv_id || ':' || turn from conversations where role <> 'user'")
 def log_query_append(spark, sf_dir):
     """Two appends to the query log, read back as one table."""
-    import uuid
-
     c = load(spark, sf_dir, "conversations").select(F.lit("uc").alias("use_case"), "role", F.col("text").alias("query_text"), (F.col("role") == "user").alias("sufficient"), F.concat_ws(":", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("id"))
-    path = f"{S.shared_folder(spark)}/queries-{uuid.uuid4().hex}"
+    path = fresh_path(spark, "queries")
     for own in (F.col("role") == "user", F.col("role") != "user"):
         R.append_rows(c.where(own), "queries", path)
     return spark.read.schema(R.SCHEMAS["queries"]).parquet(path).select("use_case", "role", "query_text", "sufficient", "id")

@@ -46,19 +46,6 @@ def resolved_path(wanted: DataFrame, stored: DataFrame, path: str = "path") -> D
     return wanted.join(known, path, "left")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that all executors share, from ``spark.checkpoint.dir``; only a local session without it has one of its own."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        import tempfile
-
-        found = "file://" + tempfile.mkdtemp(prefix="lectern-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
 def read_text(spark: SparkSession, path: str) -> DataFrame:
     """Text and Markdown files: one page each, bytes that are no UTF-8 become U+FFFD."""
     text = F.expr("make_valid_utf8(cast(content as string))")
