@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -13,7 +11,10 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lectern.session import fresh_path as fresh_path
+from lectern.session import removed as removed
 from lectern.session import spread
+from lectern.session import written as written_table
 
 MASK = (1 << 64) - 1
 
@@ -31,37 +32,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that all executors share, from ``spark.checkpoint.dir``.
-
-    Only a local session without that setting (tests) gets a temporary folder of its own.
-    """
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        found = "file://" + tempfile.mkdtemp(prefix="lectern-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
-def fresh_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-
-
 def written(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     """Write ``df`` to the shared folder and read it back: lineage ends, lost executors cost nothing."""
     spark = df.sparkSession
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
-    path = fresh_path(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path), path
-
-
-def removed(spark: SparkSession, path: str) -> None:
-    """Delete a table that nothing reads any more."""
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+    return written_table(df, name)
 
 
 def free_name(df: DataFrame, name: str) -> str:
@@ -118,6 +93,34 @@ def kept(key: tuple, make: Callable[[], object]) -> object:
     return _kept[key]
 
 
+def group_ids(table: pa.Table, keys: list[str]) -> np.ndarray:
+    """Numbers of the runs of equal keys in a table sorted by them; null equals null."""
+    new = np.zeros(table.num_rows, bool)
+    for c in keys:
+        codes = table.column(c).combine_chunks().dictionary_encode(null_encoding="encode").indices.to_numpy(zero_copy_only=False)
+        new[1:] |= codes[1:] != codes[:-1]
+    return np.cumsum(new)
+
+
+def whole_groups(batches: Iterator[pa.RecordBatch], keys: list[str], rows: int) -> Iterator[pa.Table]:
+    """Tables of some ``rows`` rows, or of one larger group, that hold whole groups of a partition sorted by ``keys``."""
+    held: list[pa.RecordBatch] = []
+    size, least = 0, rows
+    for batch in batches:
+        held.append(batch)
+        size += batch.num_rows
+        if size < least:
+            continue
+        table = pa.Table.from_batches(held)
+        cut = int(np.searchsorted(ids := group_ids(table, keys), ids[-1]))
+        if cut:
+            yield table.slice(0, cut)
+        held, size = table.slice(cut).to_batches(), size - cut
+        least = max(rows, 2 * size)
+    if size:
+        yield pa.Table.from_batches(held)
+
+
 def by_text(make: Callable[[list[str]], dict[str, list]], schema: pa.Schema, column: str = "text") -> Callable:
     """An Arrow batch function: ``make`` gets the texts of a batch (null: empty) and returns new columns.
 

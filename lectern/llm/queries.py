@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, decontaminate, jaccard, media, quality, secrets, suffixes, tokenfiles, toxicity
+from . import bpe, chat, decontaminate, jaccard, media, merkle, quality, rolling, secrets, sql, suffixes, tokenfiles, toxicity
 from .common import documents, fresh_path, table
 
 
@@ -63,6 +63,14 @@ def op10_chat_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.recovered_turns(table(spark, sf_dir, "conversations"))
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.verified_documents(documents(spark, sf_dir))
+
+
+def op13_rolling_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rolling.rolling_features(documents(spark, sf_dir))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontaminate": op1_decontaminate,
     "op2_bpe": op2_bpe,
@@ -74,6 +82,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_secret_scan": op8_secret_scan,
     "op9_jaccard_join": op9_jaccard_join,
     "op10_chat_turns": op10_chat_turns,
+    "op11_merkle_manifest": op11_merkle_manifest,
+    "op13_rolling_features": op13_rolling_features,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op11_merkle_manifest": sql.OP11, "op13_rolling_features": sql.OP13}
