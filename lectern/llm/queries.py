@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, decontaminate, jaccard, media, merkle, quality, rolling, secrets, sql, suffixes, tokenfiles, toxicity
+from . import bpe, chat, decontaminate, jaccard, media, merkle, personal, quality, rolling, secrets, sql, suffixes, tokenfiles, toxicity
 from .common import documents, fresh_path, table
 
 
@@ -67,6 +67,10 @@ def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.verified_documents(documents(spark, sf_dir))
 
 
+def op12_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return personal.personal_data(documents(spark, sf_dir))
+
+
 def op13_rolling_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rolling.rolling_features(documents(spark, sf_dir))
 
@@ -83,6 +87,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_jaccard_join": op9_jaccard_join,
     "op10_chat_turns": op10_chat_turns,
     "op11_merkle_manifest": op11_merkle_manifest,
+    "op12_personal_data": op12_personal_data,
     "op13_rolling_features": op13_rolling_features,
 }
 
