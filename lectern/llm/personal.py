@@ -43,7 +43,7 @@ PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 CARD_DIGITS, PHONE_DIGITS, PART = (14, 19), (10, 15), 255
 
 #: A word with a digit or at sign, with the words of digits behind it; what of it is an identifier.
-SLOT = re.compile(r"(?<!\S)(?=\S*?[0-9@]|\S*?[(\[]at[)\]])\S++(?:\x20[0-9()./-]*[0-9][0-9()./-]*(?!\S))*")
+SLOT = re.compile(r"(?<!\S)(?=\S*?[0-9@]|\S*?[(\[]at[)\]])\S++(?:\x20[0-9()./-]*[0-9][0-9()./-]*(?=[\s,;:!?]|\Z))*")
 AROUND = ".,;:!?\"'|*#$%&<>{}"
 LEAST_DIGITS, AT = 5, re.compile(r"@|[(\[]at[)\]]", re.I)
 #: Characters on either side in which the words of a context are looked for.
@@ -215,7 +215,8 @@ class Extraction:
         """doc_id, counts of base spans, base_sha256, spans, n_found: one row for each row of the corpus."""
         base = F.transform(F.filter("slots", lambda s: s.kind.isNotNull()), lambda s: F.struct(s.start.alias("start"), s.kind.alias("kind"), s.end.alias("end")))
         rows = self.slots.select("row", "doc_id", base.alias("base")).join(self.added(), "row", "left").withColumn("added", F.coalesce("added", F.expr("cast(array() as array<struct<start:int,kind:int,end:int>>)")))
-        n = [F.size(F.filter("base", lambda s, k=k: s.kind == k)).cast("long").alias(f"n_{name}") for k, name in enumerate(KINDS)]
+        of = lambda k: F.filter("base", lambda s: s.kind == k)
+        n = [F.size(of(k)).cast("long").alias(f"n_{name}") for k, name in enumerate(KINDS)]
         return rows.select("doc_id", *n, F.sha2(shown(F.col("base")), 256).alias("base_sha256"), shown(F.array_sort(F.concat("base", "added"))).alias("spans"), F.size("added").cast("long").alias("n_found"))
 
 
