@@ -19,35 +19,46 @@ def tokens(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(r"([\p{L}\p{N}_]+)"), 1)
 
 
-def term_counts(texts: DataFrame, ids: list[str], text: str = "text") -> tuple[DataFrame, DataFrame]:
-    """(ids, dl) with the number of words of each text, and (ids, word, tf); a text is cut into words in its row."""
-    cut = texts.select(*ids, tokens(F.col(text)).alias("_t"))
-    return cut.select(*ids, F.size("_t").alias("dl")), cut.select(*ids, F.explode("_t").alias("word")).groupBy(*ids, "word").agg(F.count("*").alias("tf"))
+def word_hashes(text: Column) -> Column:
+    """The words of a text in order, as 64-bit hashes."""
+    return F.transform(tokens(F.coalesce(text, F.lit(""))), lambda w: F.xxhash64(w))
 
 
-def bm25(pool: DataFrame, queries: DataFrame, pool_key: str = "query_id", id_column: str = "doc_id", text: str = "text", query_text: str = "query", texts: DataFrame | None = None) -> DataFrame:
-    """pool_key, id, bm25: scores of each pool's candidates for its query.
+def bm25(pool: DataFrame, queries: DataFrame, pool_key: str = "query_id", occurrence: str = "doc_id", text: str = "text", query_text: str = "query", texts: DataFrame | None = None, text_key: list[str] | None = None) -> DataFrame:
+    """pool_key, occurrence, bm25: scores of each pool's candidates for its query.
 
-    Statistics are per pool (a pool is the candidates of one query); negative idf
-    values become EPSILON times the mean idf of the pool; query words count as often
-    as they occur. Everything is grouped by (pool, word), so pools of any number work.
-    ``texts`` (id, text) has each id once where pools share candidates; without it a
-    pool's rows have their texts themselves.
+    Statistics are per pool (a pool is the candidates of one query), and each of its rows
+    counts as a text of its own; negative idf values become EPSILON times the mean idf of
+    the pool; query words count as often as they occur. ``occurrence`` tells the rows of a
+    pool apart. ``texts`` (text_key, text) has each text once where pools share them;
+    without it a pool's rows have their texts themselves. Only document frequencies need a
+    row for each word; words of a text are counted for the query in the text's own row.
     """
+    own = [pool_key, occurrence]
     if texts is None:
-        lengths, every = term_counts(pool, [pool_key, id_column], text)
+        cut = pool.select(*own, word_hashes(F.col(text)).alias("_w"))
     else:
-        some = pool.select(pool_key, id_column)
-        lengths, every = (some.join(x, id_column) for x in term_counts(texts.join(some.select(id_column).distinct(), id_column, "left_semi"), [id_column], text))
-    stats = lengths.groupBy(pool_key).agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
-    df = every.groupBy(pool_key, "word").agg(F.count("*").alias("df"))
-    raw = df.join(stats, pool_key).withColumn("idf", F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
-    mean = raw.groupBy(pool_key).agg((F.avg("idf") * EPSILON).alias("floor"))
-    words = queries.select(pool_key, F.explode(tokens(F.col(query_text))).alias("word")).groupBy(pool_key, "word").agg(F.count("*").alias("times"))
-    idf = raw.join(words, [pool_key, "word"]).join(mean, pool_key).select(pool_key, "word", "times", "avgdl", F.when(F.col("idf") < 0, F.col("floor")).otherwise(F.col("idf")).alias("idf"))
-    score = F.col("times") * F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    found = every.join(idf, [pool_key, "word"]).join(lengths, [pool_key, id_column]).groupBy(pool_key, id_column).agg(F.sum(score).alias("bm25"))
-    return lengths.select(pool_key, id_column).join(found, [pool_key, id_column], "left").withColumn("bm25", F.round(F.coalesce("bm25", F.lit(0.0)), 6))
+        some = pool.select(*own, *text_key)
+        cut = some.join(texts.join(some.select(*text_key).distinct(), text_key, "left_semi").select(*text_key, word_hashes(F.col(text)).alias("_w")), text_key).select(*own, "_w")
+    stats = cut.groupBy(pool_key).agg(F.count("*").alias("_n"), F.avg(F.size("_w")).alias("_avgdl"))
+    df = cut.select(pool_key, F.explode(F.array_distinct("_w")).alias("_word")).groupBy(pool_key, "_word").agg(F.count("*").alias("_df"))
+    raw = df.join(stats, pool_key).withColumn("_idf", F.log(F.col("_n") - F.col("_df") + 0.5) - F.log(F.col("_df") + 0.5))
+    floor = raw.groupBy(pool_key).agg((F.avg("_idf") * EPSILON).alias("_floor"))
+    asked = queries.select(pool_key, word_hashes(F.col(query_text)).alias("_q"))
+    words = asked.select(pool_key, F.explode(F.array_distinct("_q")).alias("_word"))
+    of = raw.join(words, [pool_key, "_word"]).groupBy(pool_key, "_avgdl").agg(F.map_from_entries(F.collect_list(F.struct("_word", "_idf"))).alias("_idfs"))
+    known = of.join(floor, pool_key).join(asked, pool_key)
+    hits = F.filter("_w", lambda w: F.array_contains("_q", w))
+    norm = K1 * (1 - B + B * F.size("_w") / F.col("_avgdl"))
+
+    def part(w: Column) -> Column:
+        tf = F.size(F.filter("_hits", lambda x: x == w))
+        idf = F.element_at("_idfs", w)
+        return F.when(tf > 0, F.when(idf < 0, F.col("_floor")).otherwise(idf) * tf * (K1 + 1) / (tf + F.col("_norm"))).otherwise(0.0)
+
+    scored = cut.join(known, pool_key, "left").select(*own, "_q", "_idfs", "_floor", hits.alias("_hits"), norm.alias("_norm"))
+    score = F.aggregate("_q", F.lit(0.0), lambda s, w: s + part(w))
+    return scored.select(*own, F.round(F.coalesce(score, F.lit(0.0)), 6).alias("bm25"))
 
 
 def rrf(rankings: DataFrame, key: str = "query_id", id_column: str = "doc_id", rank: str = "rank") -> DataFrame:
@@ -55,13 +66,22 @@ def rrf(rankings: DataFrame, key: str = "query_id", id_column: str = "doc_id", r
     return rankings.groupBy(key, id_column).agg(F.round(F.sum(1.0 / (RRF_K + F.col(rank))), 9).alias("rrf"))
 
 
-def hybrid_fuse(pool: DataFrame, queries: DataFrame, key: str = "query_id", id_column: str = "doc_id", text: str = "text", query_text: str = "query", score: str = "score", pos: str = "pos", texts: DataFrame | None = None) -> DataFrame:
-    """The pool with bm25, dense_rank, sparse_rank, rrf and fused_rank; ties keep the dense order."""
-    scored = pool.join(bm25(pool, queries, key, id_column, text, query_text, texts), [key, id_column])
+def hybrid_fuse(pool: DataFrame, queries: DataFrame, key: str = "query_id", id_column: str = "doc_id", text: str = "text", query_text: str = "query", score: str = "score", pos: str = "pos", texts: DataFrame | None = None, text_key: list[str] | None = None) -> DataFrame:
+    """One row for each id of a pool, with bm25, dense_rank, sparse_rank, rrf and fused_rank.
+
+    Rows are ranked by score and by bm25, ties in the pool's order (``pos`` tells its rows
+    apart). An id that stands in several rows, such as a chunk that lies in two collections,
+    adds up what all its places give in both rankings; its columns are those of its last
+    row, its ranks its best. Ties of the sum keep the dense order.
+    """
+    scored = pool.join(bm25(pool, queries, key, pos, text, query_text, texts, text_key), [key, pos])
     own = W.partitionBy(key)
     ranked = scored.withColumn("dense_rank", F.row_number().over(own.orderBy(F.desc(score), pos))).withColumn("sparse_rank", F.row_number().over(own.orderBy(F.desc("bm25"), pos)))
-    fused = ranked.withColumn("rrf", F.round(1.0 / (RRF_K + F.col("dense_rank")) + 1.0 / (RRF_K + F.col("sparse_rank")), 9))
-    return fused.withColumn("fused_rank", F.row_number().over(own.orderBy(F.desc("rrf"), "dense_rank")))
+    rest = [c for c in ranked.columns if c not in (key, id_column, "dense_rank", "sparse_rank")]
+    both = 1.0 / (RRF_K + F.col("dense_rank")) + 1.0 / (RRF_K + F.col("sparse_rank"))
+    found = ranked.groupBy(key, id_column).agg(F.max_by(F.struct(*rest), pos).alias("_last"), F.min("dense_rank").alias("dense_rank"), F.min("sparse_rank").alias("sparse_rank"), F.round(F.sum(both), 9).alias("rrf"))
+    one = found.select(key, id_column, *[F.col("_last")[c].alias(c) for c in rest], "dense_rank", "sparse_rank", "rrf")
+    return one.withColumn("fused_rank", F.row_number().over(own.orderBy(F.desc("rrf"), "dense_rank")))
 
 
 def relevance(score: Column) -> Column:

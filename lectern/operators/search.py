@@ -28,12 +28,14 @@ def search(
     filters: dict | None = None,
     scorer: Callable[[DataFrame], Column] | None = None,
 ) -> DataFrame:
-    """query_id, rank, doc_id, score, label, observation for each query, best first.
+    """query_id, rank, doc_id, collection, score, bm25, rrf, label, observation for each query, best first.
 
-    ``points``: collection, doc_id, file_name, page, text, vector; ``queries``: query_id,
-    query.  With a use case only its own collections are read, the wanted one or, where
-    that is missing, all of them; a search that may read none gives one row for each query
-    with the message.  ``scorer`` reranks the best by a column of (query, text, score, bm25).
+    ``points``: collection, doc_id, file_name, page, text, vector, each (collection, doc_id)
+    once, as an upsert leaves them; ``queries``: query_id, query. A doc_id that lies in
+    several collections is one candidate whose ranks add up. With a use case only its own
+    collections are read, the wanted one or, where that is missing, all of them; a search
+    that may read none gives one row for each query with the message. ``scorer`` reranks the
+    best by a column of (query, text, score, bm25).
 
     All queries are searched in one job; each step works on fewer rows than the one
     before: 40 of each collection, 25 to the reranker, 15 out of it, 7 shown.  What is
@@ -44,14 +46,15 @@ def search(
         names, message = resolved(points, wanted, use_case)
         if message:
             none = F.lit(None)
-            return queries.select("query_id", none.cast("int").alias("rank"), none.cast(points.schema["doc_id"].dataType).alias("doc_id"), *[none.cast("double").alias(c) for c in ("score", "bm25", "rrf")], none.cast("string").alias("label"), F.lit(message).alias("observation"))
+            return queries.select("query_id", none.cast("int").alias("rank"), none.cast(points.schema["doc_id"].dataType).alias("doc_id"), none.cast("string").alias("collection"), *[none.cast("double").alias(c) for c in ("score", "bm25", "rrf")], none.cast("string").alias("label"), F.lit(message).alias("observation"))
         own = own.where(F.col("collection").isin(*names))
+    place = ["collection", "doc_id"]
     vectors = queries.select("query_id", providers.embed(F.col("query")).alias("qv"))
     found = V.top_k_batch(own.select("collection", "doc_id", "vector"), vectors, R.SEARCH_K, "query_id", "qv", "doc_id", "vector", per=["collection"])
     pool = found.withColumn("pos", F.row_number().over(W.partitionBy("query_id").orderBy(F.col("collection"), F.col("rank")))).drop("rank")
     # each text is cut into words once, however many queries find it
-    fused = R.hybrid_fuse(pool, queries, texts=own.select("doc_id", "text"))
-    few = fused.where(F.col("fused_rank") <= R.RERANK_IN).join(own.select("doc_id", "file_name", "page", "text"), "doc_id").join(queries.select("query_id", "query"), "query_id")
+    fused = R.hybrid_fuse(pool, queries, texts=own.select(*place, "text"), text_key=place)
+    few = fused.where(F.col("fused_rank") <= R.RERANK_IN).join(own.select(*place, "file_name", "page", "text"), place).join(queries.select("query_id", "query"), "query_id")
     kept = R.dedup_prefix(R.rerank(few, scorer))
     shown = kept.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy("rerank_rank"))).where(F.col("rank") <= R.SHOWN)
-    return shown.select("query_id", "rank", "doc_id", "score", "bm25", "rrf", F.col("relevance_label").alias("label"), R.observation(F.col("rank"), F.col("file_name"), F.col("page"), F.col("text")).alias("observation"))
+    return shown.select("query_id", "rank", "doc_id", "collection", "score", "bm25", "rrf", F.col("relevance_label").alias("label"), R.observation(F.col("rank"), F.col("file_name"), F.col("page"), F.col("text")).alias("observation"))

@@ -173,13 +173,83 @@ def diag_similarity(spark, sf_dir):
     return b.select("item_id", ((near > 0.5) & (near - far > 0.2)).alias("healthy"))
 
 
+#: Fusion of ids that stand in several rows of a pool: three rows in four of an id's block of ten share it with others.
+REPEATED = FUSED.split(", f as (select", 1)[0] + """, g as (select query_id, pos // 10 * 10 + case when pos % 4 = 0 then pos % 10 else 1 end as chunk_id, max(pos) as pos, min(dense_rank) as dense_rank, min(sparse_rank) as sparse_rank, round(sum(1.0 / (60 + dense_rank) + 1.0 / (60 + sparse_rank)), 9) as rrf from r group by 1, 2)"""
+
+
+@query(
+    "rnk_fuse_repeated",
+    f"with {REPEATED} select g.query_id, g.chunk_id, r.doc_id, g.dense_rank, g.sparse_rank, g.rrf, row_number() over (partition by g.query_id order by g.rrf desc, g.dense_rank) as fused_rank from g join r using (query_id, pos)",
+)
+def rnk_fuse_repeated(spark, sf_dir):
+    """Candidates that share an id: one row for each id, with what all its places add up to and the document of the last."""
+    p, q = pool(spark, sf_dir)
+    p = p.withColumn("chunk_id", F.expr("pos div 10 * 10 + if(pos % 4 = 0, pos % 10, 1)"))
+    return R.hybrid_fuse(p, q, id_column="chunk_id").select("query_id", "chunk_id", "doc_id", "dense_rank", "sparse_rank", "rrf", "fused_rank")
+
+
+# The default embedder in SQL: crc32 of the UTF-8 bytes of each word, modulo its dimension.
+_SHIFTED = "range(256)"
+for _ in range(8):
+    _SHIFTED = f"list_transform({_SHIFTED}, lambda x: case when x & 1 = 1 then xor(x >> 1, 3988292384) else x >> 1 end)"
+_BYTES = "list_transform(range(octet_length(encode(word))), lambda i: ('0x' || substr(hex(encode(word)), 2 * i::int + 1, 2))::bigint)"
+_CRC = f"xor(list_reduce(list_prepend(4294967295::bigint, {_BYTES}), lambda a, b: xor(a >> 8, c.t[(xor(a, b) & 255) + 1])), 4294967295::bigint)"
+EMBEDDED = f"""crc_table as (select {_SHIFTED}::bigint[] as t),
+    dw as (select doc_id, unnest({WORDS.format('text')}) as word from documents), qw as (select item_id, unnest({WORDS.format('text')}) as word from benchmark),
+    voc as (select word, {_CRC} % {providers.DIMENSION} as d from (select word from dw union select word from qw), crc_table c),
+    dn as (select doc_id, d, count(*) as n from dw join voc using (word) group by all), qn as (select item_id, d, count(*) as n from qw join voc using (word) group by all),
+    dv as (select i.doc_id, list(coalesce(n, 0)::double order by d) as v from (select doc_id, unnest(range({providers.DIMENSION})) as d from documents) i left join dn using (doc_id, d) group by 1),
+    qv as (select i.item_id, list(coalesce(n, 0)::double order by d) as v from (select item_id, unnest(range({providers.DIMENSION})) as d from benchmark) i left join qn using (item_id, d) group by 1)"""
+
+
+def search_sql(points: str, scored: bool = False) -> str:
+    """The whole search over ``points``: SQL of (collection, doc_id, file_name, page, text)."""
+    rerank = "row_number() over (partition by query_id order by bm25 desc, fused_rank)" if scored else "fused_rank"
+    label = "case when bm25 >= 3 then 'highly_relevant' when bm25 >= 0 then 'relevant' when bm25 >= -3 then 'marginally_relevant' else 'not_relevant' end" if scored else "'unranked'"
+    return f"""with {EMBEDDED}, pts as ({points}),
+    s as (select qv.item_id as query_id, collection, doc_id, coalesce(round(case when isnan(list_cosine_similarity(dv.v, qv.v)) then 0 else list_cosine_similarity(dv.v, qv.v) end, 6), 0) as score from pts join dv using (doc_id), qv),
+    o as (select *, row_number() over (partition by query_id, collection order by score desc, doc_id) as rank from s),
+    p as (select query_id, collection, doc_id, score, row_number() over (partition by query_id order by collection, rank) as pos from o where rank <= 40),
+    dl as (select doc_id, len({WORDS.format('text')}) as dl from documents), dt as (select doc_id, word, count(*) as tf from dw group by all),
+    st as (select query_id, count(*) as n, avg(dl) as avgdl from p join dl using (doc_id) group by 1),
+    tf as (select query_id, pos, doc_id, word, tf from p join dt using (doc_id)),
+    df as (select query_id, word, count(*) as df from tf group by all),
+    i as (select query_id, word, avgdl, ln(n - df + 0.5) - ln(df + 0.5) as idf from df join st using (query_id)),
+    fl as (select query_id, avg(idf) * 0.25 as fl from i group by 1), w as (select item_id as query_id, word, count(*) as times from qw group by all),
+    z as (select tf.query_id, tf.pos, sum(times * case when idf < 0 then fl else idf end * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))) as b from tf join w using (query_id, word) join i using (query_id, word) join fl using (query_id) join dl using (doc_id) group by all),
+    r as (select p.*, round(coalesce(z.b, 0), 6) as bm25 from p left join z using (query_id, pos)),
+    k as (select *, row_number() over (partition by query_id order by score desc, pos) as dense_rank, row_number() over (partition by query_id order by bm25 desc, pos) as sparse_rank from r),
+    g as (select query_id, doc_id, max(pos) as pos, min(dense_rank) as dense_rank, round(sum(1.0 / (60 + dense_rank) + 1.0 / (60 + sparse_rank)), 9) as rrf from k group by 1, 2),
+    h as (select g.query_id, g.doc_id, g.rrf, k.collection, k.score, k.bm25, row_number() over (partition by g.query_id order by g.rrf desc, g.dense_rank) as fused_rank from g join k using (query_id, pos)),
+    x as (select *, {rerank} as place, {label} as label from h where fused_rank <= 25),
+    y as (select x.*, pts.file_name, pts.page, pts.text, regexp_replace(left(pts.text, 150), '^\s+|\s+$', '', 'g') as k from x join pts using (collection, doc_id) where place <= 15),
+    u as (select *, row_number() over (partition by query_id, k order by place) as first from y),
+    v as (select *, row_number() over (partition by query_id order by place)::int as rank from u where first = 1 or k = '')
+    select query_id, rank, doc_id, collection, score, round(bm25, 4) as bm25, rrf, label, '[' || rank || '] (' || file_name || case when page <> 0 then ', S. ' || page else '' end || ') ' || left(text, 300) as observation from v where rank <= 7"""
+
+
 def search_points(spark, sf_dir):
     """Documents as points of a collection for each language, with the default embedder."""
     d = load(spark, sf_dir, "documents")
     return d.select(F.concat(F.lit("wl_"), "lang").alias("collection"), "doc_id", F.col("source").alias("file_name"), (F.col("doc_id") % 5).alias("page"), "text", providers.embed(F.col("text")).alias("vector"))
 
 
-@query("search_pipeline")
+def item_queries(spark, sf_dir):
+    return load(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
+
+
+@query("search_pipeline", search_sql("select 'wl_' || lang as collection, doc_id, source as file_name, doc_id % 5 as page, text from documents"))
 def search_pipeline(spark, sf_dir):
-    queries = load(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
-    return search(search_points(spark, sf_dir), queries)
+    return search(search_points(spark, sf_dir), item_queries(spark, sf_dir)).withColumn("bm25", F.round("bm25", 4))
+
+
+@query(
+    "search_use_case",
+    search_sql("select case when doc_id % 7 = 0 then 'neumann_' else 'wl_' end || lang as collection, doc_id, source as file_name, doc_id % 5 as page, text from documents where doc_id % 7 <> 0 union all select 'wl_all', doc_id, source, doc_id % 5, text from documents where doc_id % 3 = 0", True),
+)
+def search_use_case(spark, sf_dir):
+    """A use case asks for a collection that is missing, so all its own are searched, and no others; a third of the documents lies in two of them; the best are reranked by a scorer."""
+    p = search_points(spark, sf_dir)
+    other = p.withColumn("collection", F.when(F.col("doc_id") % 7 == 0, F.concat(F.lit("neumann_"), F.substring("collection", 4, 100))).otherwise(F.col("collection")))
+    both = other.unionByName(p.where("doc_id % 3 = 0").withColumn("collection", F.lit("wl_all")))
+    return search(both, item_queries(spark, sf_dir), "wiener_linien", "wl_fehlt", scorer=lambda df: F.col("bm25")).withColumn("bm25", F.round("bm25", 4))
