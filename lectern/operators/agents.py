@@ -34,6 +34,19 @@ NO_INFO = (
 PUNCTUATION = ".,;:!?\"'()[]„"
 CONTEXT_HEAD = "Kontext aus dem Gespräch – der Benutzer hat folgende Nachrichten gesendet:\n"
 CONTEXT_TAIL = "\n\nBeantworte die Frage basierend auf dem gesamten Kontext."
+CORRECTED_SEARCH = "[Auto-Korrektur: SEARCH erzwungen, bevor eine Antwort gegeben wird.]"
+CORRECTED_REFINE = "[Auto-Korrektur: breitere Suche erzwungen, bevor 'keine Information' zurückgegeben wird.]"
+BROADER = "Erste Suche ohne belastbaren Treffer – breitere Formulierung"
+NO_REFINED_QUERY = "REFINE_QUERY benötigt eine neue Query im 'query'-Feld."
+NO_RESULTS = "Keine Ergebnisse in der Datenbank gefunden."
+ASK_AGAIN = "Können Sie Ihre Frage präzisieren?"
+NO_MEMORY = "Kein gespeicherter Kontext für diese Session."
+NO_SOURCES = "Keine Collections für diesen Use Case gefunden."
+FOUND_HEAD = "Basierend auf den gefundenen Dokumenten:\n\n"
+NOTHING_SUPPORTED = "Es konnten keine belastbaren Informationen gefunden werden."
+NO_DOCUMENTS = "Zu dieser Anfrage wurden keine passenden Dokumente gefunden."
+REFUSED = "Die Antwort konnte nicht belegbar formuliert werden. Bitte präzisieren Sie Ihre Frage oder laden Sie zusätzliche Dokumente hoch."
+MAX_STEPS, ROLE_STEPS, FALLBACK_CHUNKS = 5, 3, 5
 NOTHING_FOUND = "Zu dieser Anfrage wurden keine passenden Dokumente gefunden. Versuchen Sie eine andere Formulierung oder laden Sie relevante Dokumente hoch."
 FALLBACK_FOCUS = "Direkte Beantwortung der Originalfrage."
 FALLBACK_RATIONALE = "Fallback: Manager-LLM lieferte keinen verwertbaren Plan."

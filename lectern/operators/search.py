@@ -20,7 +20,7 @@ def resolved(points: DataFrame, wanted: str, use_case: str) -> tuple[list[str],
     return list(row.names), row.message
 
 
-def search(
+def found_chunks(
     points: DataFrame,
     queries: DataFrame,
     use_case: str | None = None,
@@ -28,7 +28,7 @@ def search(
     filters: dict | None = None,
     scorer: Callable[[DataFrame], Column] | None = None,
 ) -> DataFrame:
-    """query_id, rank, doc_id, collection, score, bm25, rrf, label, observation for each query, best first.
+    """query_id, rank, doc_id, collection, file_name, page, text, score, bm25, rrf, rerank_score, label, observation, best first.
 
     ``points``: collection, doc_id, file_name, page, text, vector, each (collection, doc_id)
     once, as an upsert leaves them; ``queries``: query_id, query. A doc_id that lies in
@@ -46,7 +46,8 @@ def search(
         names, message = resolved(points, wanted, use_case)
         if message:
             none = F.lit(None)
-            return queries.select("query_id", none.cast("int").alias("rank"), none.cast(points.schema["doc_id"].dataType).alias("doc_id"), none.cast("string").alias("collection"), *[none.cast("double").alias(c) for c in ("score", "bm25", "rrf")], none.cast("string").alias("label"), F.lit(message).alias("observation"))
+            of = lambda c: none.cast(points.schema[c].dataType).alias(c)
+            return queries.select("query_id", none.cast("int").alias("rank"), *[of(c) for c in ("doc_id", "collection", "file_name", "page", "text")], *[none.cast("double").alias(c) for c in ("score", "bm25", "rrf", "rerank_score")], none.cast("string").alias("label"), F.lit(message).alias("observation"))
         own = own.where(F.col("collection").isin(*names))
     place = ["collection", "doc_id"]
     vectors = queries.select("query_id", providers.embed(F.col("query")).alias("qv"))
@@ -57,4 +58,10 @@ def search(
     few = fused.where(F.col("fused_rank") <= R.RERANK_IN).join(own.select(*place, "file_name", "page", "text"), place).join(queries.select("query_id", "query"), "query_id")
     kept = R.dedup_prefix(R.rerank(few, scorer))
     shown = kept.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy("rerank_rank"))).where(F.col("rank") <= R.SHOWN)
-    return shown.select("query_id", "rank", "doc_id", "collection", "score", "bm25", "rrf", F.col("relevance_label").alias("label"), R.observation(F.col("rank"), F.col("file_name"), F.col("page"), F.col("text")).alias("observation"))
+    line = R.observation(F.col("rank"), F.col("file_name"), F.col("page"), F.col("text"))
+    return shown.select("query_id", "rank", "doc_id", "collection", "file_name", "page", "text", "score", "bm25", "rrf", F.col("rerank_score").cast("double").alias("rerank_score"), F.col("relevance_label").alias("label"), line.alias("observation"))
+
+
+def search(points: DataFrame, queries: DataFrame, use_case: str | None = None, wanted: str = "", filters: dict | None = None, scorer: Callable[[DataFrame], Column] | None = None) -> DataFrame:
+    """query_id, rank, doc_id, collection, score, bm25, rrf, label, observation of ``found_chunks``."""
+    return found_chunks(points, queries, use_case, wanted, filters, scorer).select("query_id", "rank", "doc_id", "collection", "score", "bm25", "rrf", "label", "observation")

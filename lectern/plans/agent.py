@@ -6,8 +6,13 @@ from pyspark.sql import functions as F
 
 from lectern.functions.text import strip
 from lectern.operators import agents as A
+from lectern.operators.loop import run_loop, sources_text
+from lectern.operators.manager import fan_out, run_manager, subtasks
+from lectern.operators.search import found_chunks, search
+from lectern.plans.ranking import search_points, search_sql
 from lectern.plans.registry import query
-from lectern.session import load
+from lectern.providers import attempted
+from lectern.session import load, written
 
 STRIP = r"regexp_replace({}, '^\s+|\s+$', '', 'g')"
 
@@ -175,18 +180,102 @@ def agt_flatten_steps(spark, sf_dir):
     return size.select("conv_id", F.lit(0).cast("long").alias("step"), F.lit("MANAGER_PLAN").alias("action")).unionByName(steps).unionByName(size.select("conv_id", (F.col("n") + 1).alias("step"), F.lit("SYNTHESIZE").alias("action")))
 
 
-@query("agt_fanout")
+PARTS = "select item_id * 3 + n as item_id, case n when 2 then substr(text, 1 + 2 * (length(text) // 3)) else substr(text, 1 + n * (length(text) // 3), length(text) // 3) end as text from benchmark, unnest([0, 1, 2]) t(n)"
+LANGUAGES = "select 'wl_' || lang as collection, doc_id, source as file_name, doc_id % 5 as page, text from documents"
+
+
+def thirds(spark, sf_dir):
+    """Items cut into three parts, as subtasks of a plan."""
+    size = "length(text) div 3"
+    part = lambda n: F.expr(f"substring(text, 1 + {n} * ({size}), {size})" if n < 2 else f"substring(text, 1 + 2 * ({size}))")
+    tasks = F.array(*[F.struct(F.lit(r).alias("role"), part(i).alias("sub_query"), F.lit("").alias("focus")) for i, r in enumerate(A.ROLE_LABELS)])
+    return load(spark, sf_dir, "benchmark").select("item_id", "text", tasks.alias("subtasks"))
+
+
+@query("agt_fanout", f"select item_id // 3 as item_id, item_id % 3 as subtask, rank, doc_id, score from (select query_id as item_id, * exclude (query_id) from ({search_sql(LANGUAGES, queries=PARTS)}))")
 def agt_fanout(spark, sf_dir):
     """Subtasks of all questions searched together: a row for each hit of each (question, subtask)."""
-    from lectern.operators.search import search
-    from lectern.plans.ranking import search_points
-
-    b = load(spark, sf_dir, "benchmark")
-    part = lambda n: F.expr(f"substring(text, 1 + {n} * length(text) div 3, length(text) div 3)")
-    tasks = F.array(*[F.struct(F.lit(r).alias("role"), part(i).alias("query")) for i, r in enumerate(A.ROLE_LABELS)])
-    sub = b.select("item_id", F.posexplode(tasks).alias("n", "t")).select((F.col("item_id") * 3 + F.col("n")).alias("query_id"), "t.query")
-    hits = search(search_points(spark, sf_dir), sub)
-    return hits.select((F.col("query_id").cast("long") / 3).cast("long").alias("item_id"), (F.col("query_id") % 3).alias("subtask"), "rank", "doc_id", "score")
+    each = thirds(spark, sf_dir).select("item_id", F.posexplode("subtasks").alias("n", "t"))
+    hits = search(search_points(spark, sf_dir), each.select((F.col("item_id") * 3 + F.col("n")).alias("query_id"), F.col("t.sub_query").alias("query")))
+    return hits.select(F.expr("query_id div 3").alias("item_id"), (F.col("query_id") % 3).alias("subtask"), "rank", "doc_id", "score")
+
+
+def scripted(messages):
+    """A model that knows five manners, chosen by the length of the question, and says what its step asks for."""
+    n = F.size(F.filter(messages, lambda m: m["role"] == "assistant"))
+    question = F.element_at(F.filter(messages, lambda m: m["role"] == "user"), 1)["content"]
+    words = F.array_join(F.slice(F.split(F.regexp_replace(question, r'["\\\\]', " "), r"\s+"), 1, 3), " ")
+    say = lambda action, args: F.concat(F.lit(f"THOUGHT: Schritt\nACTION: {action}("), args, F.lit(")"))
+    search_for = say("SEARCH", F.concat(F.lit('{"query": "'), words, F.lit('"}')))
+    final = lambda text: say("FINAL_ANSWER", F.lit(f'{{"answer": "{text}", "extras": {{}}}}'))
+    manner = F.length(question) % 5
+    hasty = final("Das steht in [1] und (siehe [99]).")
+    unsure = F.when(n == 0, search_for).when(n == 1, final("Dazu liegen keine Angaben vor.")).otherwise(final("Es ist so [2], siehe [30] ."))
+    curious = F.when(n == 0, say("RECALL_MEMORY", F.lit("{}"))).when(n == 1, say("LOOKUP_SOURCES", F.lit("{}"))).otherwise(search_for)
+    asking = F.when(n == 0, search_for).otherwise(say("CLARIFY", F.lit('{"question": "Welches Modell?"}')))
+    return F.when(manner == 0, hasty).when(manner == 1, unsure).when(manner == 2, curious).when(manner == 3, asking).otherwise(F.lit("Ohne Form gesagt [1]."))
+
+
+def looked_up(points):
+    """A search of the loop, over the collections of a use case."""
+    return lambda q: found_chunks(points, q, "wiener_linien", "wl_fehlt")
+
+
+def written_points(spark, sf_dir):
+    """Points with their vectors, written once for all searches of a run."""
+    return written(search_points(spark, sf_dir), "points")[0]
+
+
+@query("agt_loop")
+def agt_loop(spark, sf_dir):
+    """Every item as a question to the loop of actions, with three steps: a row for each step."""
+    points = written_points(spark, sf_dir)
+    questions = load(spark, sf_dir, "benchmark").select(F.col("item_id").alias("question_id"), F.col("text").alias("query"), F.when(F.col("item_id") % 2 == 0, F.concat(F.lit("Q: "), "text")).alias("memory"))
+    run = run_loop(questions, scripted, looked_up(points), "wiener_linien", sources_text(points, "wiener_linien"), max_steps=3)
+    return run.steps.select("question_id", "step", "action", "thought", "search_query", "observation")
+
+
+def faulty(texts):
+    """A model of a service that fails on some texts."""
+    out = []
+    for m in texts:
+        question = [x["content"] for x in m if x["role"] == "user"][0]
+        if len(question) % 7 == 3:
+            raise RuntimeError(f"Modell nicht erreichbar ({len(question)})")
+        out.append(f'THOUGHT: t\nACTION: FINAL_ANSWER({{"answer": "Teil {len(question)} [1]"}})')
+    return out
+
+
+def thirds_plan(query):
+    """A plan as JSON: a subtask for each third of the question."""
+    size = F.floor(F.length(query) / 3).cast("int")
+    part = lambda n: F.substring(query, 1 + n * size, size) if n < 2 else F.substring(query, 1 + 2 * size, F.length(query))
+    tasks = F.array(*[F.struct(F.lit(r).alias("role"), part(i).alias("sub_query"), F.lit("").alias("focus")) for i, r in enumerate(A.ROLE_LABELS)])
+    return F.to_json(F.struct(F.lit("weil").alias("rationale"), F.lit("comparative").alias("merge_strategy"), tasks.alias("subtasks")))
+
+
+PART_SQL = f"p as (select item_id // 3 as question_id, item_id % 3 as n, {STRIP.format('text')} as q from ({PARTS}))"
+
+
+@query(
+    "agt_isolated_errors",
+    f"with {PART_SQL} select question_id, n, case when length(q) % 7 = 3 then '' else 'Teil ' || length(q) || ' [1]' end as answer, length(q) % 7 <> 3 as sufficient, case when length(q) % 7 = 3 then 0 else 7 end as n_chunks, case when length(q) % 7 = 3 then 'Modell nicht erreichbar (' || length(q) || ')' end as error from p where q <> ''",
+)
+def agt_isolated_errors(spark, sf_dir):
+    """Specialists of all questions with a model that fails on some: those are empty results with their error, the others stay."""
+    plans = load(spark, sf_dir, "benchmark").select(F.col("item_id").alias("question_id"), A.normalise_plan(thirds_plan(F.col("text")), F.col("text")).alias("plan"))
+    subs, _ = fan_out(subtasks(plans), attempted(faulty, "string"), looked_up(written_points(spark, sf_dir)), "wiener_linien")
+    return subs.select("question_id", "n", "answer", "sufficient", F.least("n_chunks", F.lit(7)).cast("int").alias("n_chunks"), "error")
+
+
+@query("agt_manager")
+def agt_manager(spark, sf_dir):
+    """Every item planned, answered by three specialists, put together and judged."""
+    questions = load(spark, sf_dir, "benchmark").select(F.col("item_id").alias("question_id"), F.col("text").alias("query"))
+    comply = lambda pool, answer: F.when(F.length(answer) % 3 == 0, '{"verdict": "REFUSE"}').when(F.length(answer) % 3 == 1, '{"verdict": "REWRITE", "guidance": "kürzer"}').otherwise("kein json")
+    put = lambda q, fragments, pool: F.concat(F.lit("ANTWORT: "), F.left(fragments, F.lit(60)), F.when(fragments.contains("KORREKTUR"), " (neu)").otherwise(""), F.lit(" [1] [500]"))
+    made = run_manager(questions, thirds_plan, scripted, looked_up(written_points(spark, sf_dir)), "wiener_linien", put, comply)
+    return made.answers.select("question_id", "answer", "sufficient", "verdict", "n_pool", "merge_strategy")
 
 
 MEMORY = "with e as (select conv_id, turn, role as q, 'Q: ' || role || chr(10) || 'A: ' || left(text, 500) as e from conversations) "

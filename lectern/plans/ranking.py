@@ -195,18 +195,19 @@ for _ in range(8):
 _BYTES = "list_transform(range(octet_length(encode(word))), lambda i: ('0x' || substr(hex(encode(word)), 2 * i::int + 1, 2))::bigint)"
 _CRC = f"xor(list_reduce(list_prepend(4294967295::bigint, {_BYTES}), lambda a, b: xor(a >> 8, c.t[(xor(a, b) & 255) + 1])), 4294967295::bigint)"
 EMBEDDED = f"""crc_table as (select {_SHIFTED}::bigint[] as t),
-    dw as (select doc_id, unnest({WORDS.format('text')}) as word from documents), qw as (select item_id, unnest({WORDS.format('text')}) as word from benchmark),
+    dw as (select doc_id, unnest({WORDS.format('text')}) as word from documents), qs as (QUERIES), qw as (select item_id, unnest({WORDS.format('text')}) as word from qs),
     voc as (select word, {_CRC} % {providers.DIMENSION} as d from (select word from dw union select word from qw), crc_table c),
     dn as (select doc_id, d, count(*) as n from dw join voc using (word) group by all), qn as (select item_id, d, count(*) as n from qw join voc using (word) group by all),
     dv as (select i.doc_id, list(coalesce(n, 0)::double order by d) as v from (select doc_id, unnest(range({providers.DIMENSION})) as d from documents) i left join dn using (doc_id, d) group by 1),
-    qv as (select i.item_id, list(coalesce(n, 0)::double order by d) as v from (select item_id, unnest(range({providers.DIMENSION})) as d from benchmark) i left join qn using (item_id, d) group by 1)"""
+    qv as (select i.item_id, list(coalesce(n, 0)::double order by d) as v from (select item_id, unnest(range({providers.DIMENSION})) as d from qs) i left join qn using (item_id, d) group by 1)"""
 
 
-def search_sql(points: str, scored: bool = False) -> str:
+def search_sql(points: str, scored: bool = False, queries: str = "select item_id, text from benchmark") -> str:
     """The whole search over ``points``: SQL of (collection, doc_id, file_name, page, text)."""
+    embedded = EMBEDDED.replace("QUERIES", queries)
     rerank = "row_number() over (partition by query_id order by bm25 desc, fused_rank)" if scored else "fused_rank"
     label = "case when bm25 >= 3 then 'highly_relevant' when bm25 >= 0 then 'relevant' when bm25 >= -3 then 'marginally_relevant' else 'not_relevant' end" if scored else "'unranked'"
-    return f"""with {EMBEDDED}, pts as ({points}),
+    return f"""with {embedded}, pts as ({points}),
     s as (select qv.item_id as query_id, collection, doc_id, coalesce(round(case when isnan(list_cosine_similarity(dv.v, qv.v)) then 0 else list_cosine_similarity(dv.v, qv.v) end, 6), 0) as score from pts join dv using (doc_id), qv),
     o as (select *, row_number() over (partition by query_id, collection order by score desc, doc_id) as rank from s),
     p as (select query_id, collection, doc_id, score, row_number() over (partition by query_id order by collection, rank) as pos from o where rank <= 40),

@@ -6,8 +6,9 @@ real model an Arrow-batched UDF.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -27,6 +28,41 @@ def provider(role: str) -> Provider:
         raise ValueError(f"no provider for {role!r}; known: {', '.join(sorted(_providers))}") from None
 
 
+#: Items that a batched provider is called with at a time.
+BATCH = 50
+
+
+def attempted(call: Callable[[list], list], kind: str, size: int = BATCH) -> Provider:
+    """A provider from a function on lists: struct(value, error) for each item.
+
+    The function gets slices of ``size`` items of an Arrow batch. Where a slice fails, each
+    of its items is tried alone, and one that fails has its error and no value; the others
+    are not lost. A null item is not sent and has neither.
+    """
+
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            items = [None if isinstance(x, float) and x != x else x for x in batch]
+            values: list = [None] * len(items)
+            errors: list = [None] * len(items)
+            there = [i for i, x in enumerate(items) if x is not None]
+            for lo in range(0, len(there), size):
+                part = there[lo : lo + size]
+                try:
+                    for i, v in zip(part, call([items[i] for i in part]), strict=True):
+                        values[i] = v
+                except Exception:
+                    for i in part:
+                        try:
+                            values[i] = call([items[i]])[0]
+                        except Exception as e:
+                            errors[i] = str(e) or type(e).__name__
+            yield pd.DataFrame({"value": pd.Series(values, dtype=object), "error": pd.Series(errors, dtype=object)})
+
+    # the annotations say what kind of Arrow function this is
+    return F.pandas_udf(run, f"struct<value:{kind},error:string>")
+
+
 def describe_image(context: Column) -> Column:
     """Alternative text of an image, given the text around it."""
     return provider("vision")(context)
