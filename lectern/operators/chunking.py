@@ -7,6 +7,7 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lectern.functions.text import strip
@@ -32,24 +33,41 @@ def boilerplate(text: Column) -> Column:
     )
 
 
-def headings(text: Column) -> Column:
-    """array(struct(off, level, title)) of the headings of a Markdown text, by lines; offsets count characters from 0."""
-    lines = F.split(text, "\n")
-    start = F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<struct<off:int,level:int,title:string>>)").alias("all"))
+#: Levels of Markdown headings; where a line begins that is one (a line ends at a line feed alone).
+LEVELS = 6
+HEADING_STARTS = r"(?md)(?=^#{1,6}[^\S\n]+\S)"
 
-    def step(acc: Column, line: Column) -> Column:
-        mark = F.length(F.regexp_extract(line, r"^(#{1,6})\s+\S", 1))
-        found = F.struct(acc["at"].alias("off"), mark.alias("level"), F.regexp_extract(line, r"^#{1,6}\s+(.+?)\s*$", 1).alias("title"))
-        return F.struct((acc["at"] + F.length(line) + 1).alias("at"), F.when(mark > 0, F.concat(acc["all"], F.array(found))).otherwise(acc["all"]).alias("all"))
 
-    return F.aggregate(lines, start, step, lambda acc: acc["all"])
+def heading_rows(markdown: DataFrame, doc: str, text: str = "text", keep: list[str] | None = None) -> DataFrame:
+    """doc, off, level, title (and the ``keep`` columns): a row for each heading, and one of level 0 for what stands before the first.
 
-
-def breadcrumb(heads: Column, offset: Column, depth: int = 3) -> Column:
-    """Titles above an offset: a heading ends those of its level and below."""
-    empty = F.expr("cast(array() as array<struct<off:int,level:int,title:string>>)")
-    stack = F.aggregate(F.filter(heads, lambda h: h["off"] <= offset), empty, lambda s, h: F.concat(F.filter(s, lambda x: x["level"] < h["level"]), F.array(h)))
-    return F.array_join(F.slice(F.transform(stack, lambda x: x["title"]), 1, depth), " > ")
+    A text is cut where its headings begin; offsets (characters from 0) are running sums of
+    the lengths of the pieces, over rows that hold a length and a title and no text.
+    """
+    more = keep or []
+    line = lambda s: F.substring_index(s, "\n", 1)
+    piece = lambda s: F.struct(F.length(s).alias("n"), F.length(F.regexp_extract(line(s), r"^(#{1,6})\s+\S", 1)).alias("level"), F.regexp_extract(line(s), r"^#{1,6}\s+(.+?)\s*$", 1).alias("title"))
+    # a text that begins with a heading has an empty piece before it
+    every = F.concat(F.array(F.lit("")), F.split(text, HEADING_STARTS, -1))
+    cut = markdown.select(doc, *more, F.posexplode(F.transform(every, piece)).alias("_pos", "_s"))
+    off = F.sum("_s.n").over(W.partitionBy(doc).orderBy("_pos").rowsBetween(W.unboundedPreceding, -1))
+    rows = cut.select(doc, *more, "_pos", F.coalesce(off, F.lit(0)).cast("int").alias("off"), F.col("_s.level").alias("level"), F.col("_s.title").alias("title"))
+    return rows.where((F.col("level") > 0) | (F.col("_pos") == 0)).drop("_pos")
+
+
+def breadcrumbs(rows: DataFrame, doc: str, off: str = "off", order: str = "kind", depth: int = 3) -> DataFrame:
+    """``rows`` with ``breadcrumb``: the titles above each row's offset; a heading ends those of its level and below.
+
+    An as-of join by window: rows with a level are headings, and each row looks up the last
+    heading of each level at or before it. That of a level still stands if none of a higher
+    level came after it. ``order`` puts headings before other rows of the same offset.
+    """
+    before = W.partitionBy(doc).orderBy(off, order).rowsBetween(W.unboundedPreceding, 0)
+    last = [F.last(F.when(F.col("level") == n, F.struct(F.col(off).alias("off"), "title")), ignorenulls=True).over(before).alias(f"_h{n}") for n in range(1, LEVELS + 1)]
+    at = lambda n: F.coalesce(F.col(f"_h{n}.off"), F.lit(-1))
+    higher = lambda n: F.greatest(*[at(m) for m in range(1, n)], F.lit(-1)) if n > 1 else F.lit(-1)
+    stack = F.array_compact(F.array(*[F.when(at(n) > higher(n), F.col(f"_h{n}.title")) for n in range(1, LEVELS + 1)]))
+    return rows.select("*", *last).withColumn("breadcrumb", F.array_join(F.slice(stack, 1, depth), " > ")).drop(*[f"_h{n}" for n in range(1, LEVELS + 1)])
 
 
 def page_at(anchors: Column, offset: Column) -> Column:
@@ -124,19 +142,20 @@ def chunked(markdown: DataFrame, doc: str, file_name: Column, text: str = "text"
     """
     from lectern.operators.pages import split_pages
 
-    base = markdown.select(doc, file_name.alias("_file"), headings(F.col(text)).alias("_heads"))
+    heads = heading_rows(markdown.withColumn("_file", file_name), doc, text, ["_file"]).withColumn("kind", F.lit(0))
     # only a section's first chunk begins behind white space: sentences end with what follows them
     lead = F.length(F.regexp_extract("text", r"^[\s\p{Z}\x1c-\x1f\x85]*", 0))
     sections = split_pages(markdown, doc, text).withColumn("lead", lead)
     made = sentence_chunks(sections, [doc, "pos", "page", "base", "lead"])
     kept = made.where(~boilerplate(F.col("chunk")))
-    # columns of their own, or a lambda works them out for each heading
     at = F.col("base") + F.col("offset") + F.when(F.col("offset") == 0, F.col("lead")).otherwise(0)
-    joined = kept.join(base, doc).withColumn("_at", at).withColumn("_crumb", breadcrumb(F.col("_heads"), F.col("_at")))
-    crumb = F.col("_crumb")
-    return joined.select(
+    chunks = kept.select(doc, at.alias("off"), F.lit(1).alias("kind"), "pos", "seq", "page", "chunk", "tokens")
+    lined = breadcrumbs(chunks.unionByName(heads, allowMissingColumns=True), doc)
+    before = W.partitionBy(doc).orderBy("off", "kind").rowsBetween(W.unboundedPreceding, 0)
+    found = lined.withColumn("_name", F.last("_file", ignorenulls=True).over(before)).where("kind = 1")
+    return found.select(
         F.sha2(F.concat_ws("|", F.col(doc).cast("string"), F.coalesce(F.col("page").cast("string"), F.lit("")), "pos", "seq", "chunk"), 256).alias("chunk_id"),
-        doc, "page", "pos", "seq", crumb.alias("breadcrumb"), chunk_text(F.col("_file"), crumb, F.col("chunk")).alias("text"), "tokens",
+        doc, "page", "pos", "seq", "breadcrumb", chunk_text(F.col("_name"), F.col("breadcrumb"), F.col("chunk")).alias("text"), "tokens",
     )
 
 

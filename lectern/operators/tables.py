@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lectern.functions.text import PII
+from lectern.operators.places import placed
 
 # Types of personal data by a model's labels.
 LABELS = {"private_person": "NAME", "private_email": "EMAIL", "private_phone": "PHONE", "private_address": "ADDRESS", "private_url": "URL", "private_date": "DATE", "account_number": "ACCOUNT", "secret": "SECRET"}
@@ -78,12 +79,11 @@ def placeholders(approved: DataFrame) -> DataFrame:
     """(type, key, placeholder): numbers by type in the order in which cells are rewritten.
 
     That order is rows, columns, and spans from right to left in a cell.  Values are
-    reduced to one row each before they are numbered.
+    reduced to one row each before they are numbered, by a range sort over all partitions.
     """
-    place = F.struct("row_idx", "col_idx", -F.col("start"))
-    first = approved.groupBy("type", F.lower("text").alias("key")).agg(F.min(place).alias("_p"))
-    n = F.row_number().over(W.partitionBy("type").orderBy("_p"))
-    return first.select("type", "key", F.concat(F.lit("["), "type", F.lit("_"), n.cast("string"), F.lit("]")).alias("placeholder"))
+    place = F.struct("row_idx", "col_idx", (-F.col("start")).alias("back"))
+    first = approved.groupBy("type", F.lower("text").alias("key")).agg(F.min(place).alias("_p")).select("type", "key", "_p.*")
+    return placed(first, ["type"], ["row_idx", "col_idx", "back", "key"], "n").select("type", "key", F.concat(F.lit("["), "type", F.lit("_"), (F.col("n") + 1).cast("string"), F.lit("]")).alias("placeholder"))
 
 
 def rewritten(found: DataFrame, approved: DataFrame) -> DataFrame:

@@ -47,13 +47,14 @@ HEADS = f"""{MARKDOWN}, l as (select file_id, unnest(string_split(md, chr(10)))
 
 @query("chk_heading_index", f"{HEADS} select file_id, off::bigint as off, level::bigint as level, title from h")
 def chk_heading_index(spark, sf_dir):
-    return markdown(spark, sf_dir).select("file_id", F.explode(C.headings(F.col("md"))).alias("h")).select("file_id", F.col("h.off").cast("long").alias("off"), F.col("h.level").cast("long").alias("level"), "h.title")
+    found = C.heading_rows(markdown(spark, sf_dir), "file_id", "md").where("level > 0")
+    return found.select("file_id", F.col("off").cast("long").alias("off"), F.col("level").cast("long").alias("level"), "title")
 
 
 @query("chk_breadcrumb", f"{HEADS} select file_id, off::bigint as off, case when level = 1 then title else 'file ' || file_id || ' > ' || title end as breadcrumb from h")
 def chk_breadcrumb(spark, sf_dir):
-    m = markdown(spark, sf_dir).select("file_id", C.headings(F.col("md")).alias("heads"))
-    return m.select("file_id", "heads", F.explode("heads").alias("h")).select("file_id", F.col("h.off").cast("long").alias("off"), C.breadcrumb(F.col("heads"), F.col("h.off")).alias("breadcrumb"))
+    rows = C.heading_rows(markdown(spark, sf_dir), "file_id", "md").withColumn("kind", F.lit(0))
+    return C.breadcrumbs(rows, "file_id").where("level > 0").select("file_id", F.col("off").cast("long").alias("off"), "breadcrumb")
 
 
 @query(
