@@ -7,15 +7,18 @@ go by id, so that results are the same on any plan.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from lectern.session import written
+
 # Fixed value: the DNS name space of version-5 identifiers.
 DNS = "6ba7b8109dad11d180b400c04fd430c8"
 UUID = r"^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$"
@@ -74,12 +77,50 @@ def matrix_of(vectors: pa.Array) -> np.ndarray:
     return np.array(vectors.to_pylist(), np.float64)
 
 
-def top_k_batch(points: DataFrame, queries: DataFrame, k: int, query_id: str, query_vector: str, id_column: str = "vec_id", vector: str = "embedding", per: list[str] | None = None, keep: list[str] | None = None) -> DataFrame:
+def unit_rows(rows: np.ndarray) -> np.ndarray:
+    return rows / np.maximum(np.linalg.norm(rows, axis=1, keepdims=True), 1e-300)
+
+
+def query_blocks(queries: DataFrame, columns: list[str]) -> Iterator[list[tuple]]:
+    """Query rows in blocks of QUERY_BLOCK; the driver holds one block at a time."""
+    held: list[tuple] = []
+    for row in queries.select(*columns).toLocalIterator():
+        held.append(tuple(row))
+        if len(held) == QUERY_BLOCK:
+            yield held
+            held = []
+    if held:
+        yield held
+
+
+def by_block(queries: DataFrame, columns: list[str], search: Callable[[list[tuple]], tuple[DataFrame, Broadcast]], empty: Callable[[], DataFrame]) -> DataFrame:
+    """One table of what a search gives for each block of queries.
+
+    One block is left to run with the caller's plan. Of more, each is written to the shared
+    folder before the next is read, and its broadcast is given up.
+    """
+    done: list[DataFrame] = []
+    blocks = query_blocks(queries, columns)
+    now = next(blocks, None)
+    while now is not None:
+        found, sent = search(now)
+        now = next(blocks, None)
+        if now is None and not done:
+            return found
+        done.append(written(found, "searched")[0])
+        sent.destroy()
+    return reduce(DataFrame.unionByName, done) if done else empty()
+
+
+def top_k_batch(
+    points: DataFrame, queries: DataFrame, k: int, query_id: str, query_vector: str, id_column: str = "vec_id", vector: str = "embedding", per: list[str] | None = None, keep: list[str] | None = None, match: tuple[str, str] | None = None
+) -> DataFrame:
     """query_id, id, score, rank (and the ``per`` and ``keep`` columns) of the k most similar points for each query and each value of ``per``.
 
     Queries are sent to all points in blocks of QUERY_BLOCK rows.  A batch of points is
     scored by one matrix product, and only its best k (and ties) for each query go on to
-    the shuffle.  Vectors without length score 0.
+    the shuffle.  Vectors without length score 0.  ``match`` names a column of the points
+    and one of the queries that must be equal; a query without a value takes all points.
     """
     group, more = per or [], keep or []
     types = {f.name: f.dataType.simpleString() for f in points.schema} | {query_id: queries.schema[query_id].dataType.simpleString()}
@@ -87,21 +128,22 @@ def top_k_batch(points: DataFrame, queries: DataFrame, k: int, query_id: str, qu
     schema = ", ".join(f"{n} {types[n]}" for n in names) + ", score double"
     kind = pa.int64() if types[query_id] in ("int", "bigint") else pa.string()
     schema = schema.replace(f"{query_id} int,", f"{query_id} bigint,")
-    out, ids, held = None, [], []
+    compared = [match[0]] if match else []
 
-    def searched() -> DataFrame:
-        wanted = np.array(held, np.float64)
-        wanted /= np.maximum(np.linalg.norm(wanted, axis=1, keepdims=True), 1e-300)
-        shared = points.sparkSession.sparkContext.broadcast((list(ids), wanted))
+    def searched(block: list[tuple]) -> tuple[DataFrame, Broadcast]:
+        wanted = unit_rows(np.array([r[1] for r in block], np.float64))
+        shared = points.sparkSession.sparkContext.broadcast(([r[0] for r in block], wanted, [r[2] for r in block] if match else None))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            of, matrix = shared.value
+            of, matrix, values = shared.value
             for batch in batches:
                 for lo in range(0, batch.num_rows, 2000):
                     part = batch.slice(lo, 2000)
-                    rows = matrix_of(part.column(part.num_columns - 1))
-                    rows /= np.maximum(np.linalg.norm(rows, axis=1, keepdims=True), 1e-300)
-                    score = np.round(rows @ matrix.T, 6)
+                    score = np.round(unit_rows(matrix_of(part.column(part.num_columns - 1))) @ matrix.T, 6)
+                    if values is not None:
+                        own = np.array(part.column(part.num_columns - 2).to_pylist(), object)
+                        apart = own[:, None] != np.array(values, object)[None, :]
+                        score[apart & np.array([v is not None for v in values])[None, :]] = -np.inf
                     columns = [part.column(1 + i).to_pylist() for i in range(len(group))]
                     members: dict[tuple, list[int]] = {}
                     for i, g in enumerate(zip(*columns, strict=True) if group else [()] * part.num_rows):
@@ -109,26 +151,16 @@ def top_k_batch(points: DataFrame, queries: DataFrame, k: int, query_id: str, qu
                     for at in members.values():
                         s = score[at]
                         least = np.partition(s, -k, axis=0)[-k] if len(at) > k else np.full(len(of), -np.inf)
-                        r, q = np.nonzero(s >= least)
+                        r, q = np.nonzero((s >= least) & (s > -np.inf))
                         take = pa.array(np.array(at)[r])
-                        yield pa.RecordBatch.from_arrays([pa.array([of[i] for i in q], kind), *(part.column(i).take(take) for i in range(part.num_columns - 1)), pa.array(s[r, q])], names=[*names, "score"])
+                        yield pa.RecordBatch.from_arrays([pa.array([of[i] for i in q], kind), *(part.column(i).take(take) for i in range(1 + len(group) + len(more))), pa.array(s[r, q])], names=[*names, "score"])
 
-        found = points.select(id_column, *group, *more, vector).mapInArrow(run, schema)
+        found = points.select(id_column, *group, *more, *compared, vector).mapInArrow(run, schema)
         rank = F.row_number().over(W.partitionBy(query_id, *group).orderBy(F.desc("score"), id_column))
-        return found.withColumn("rank", rank).where(F.col("rank") <= k)
-
-    for row in queries.select(query_id, query_vector).toLocalIterator():
-        ids.append(row[0])
-        held.append(row[1])
-        if len(ids) == QUERY_BLOCK:
-            found = searched()
-            out, ids, held = found if out is None else out.unionByName(found), [], []
-    if ids or out is None:
-        if not ids:
-            return points.sparkSession.createDataFrame([], schema + ", rank int")
-        found = searched()
-        out = found if out is None else out.unionByName(found)
-    return out
+        return found.withColumn("rank", rank).where(F.col("rank") <= k), shared
+
+    columns = [query_id, query_vector] + ([match[1]] if match else [])
+    return by_block(queries, columns, searched, lambda: points.sparkSession.createDataFrame([], schema + ", rank int"))
 
 
 def upsert(batches: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
@@ -208,6 +240,91 @@ def cross_search(points: DataFrame, primary: str, linked: list[str], query: list
     return hits.join(wide, "_key", "left").select("primary_id", "primary_score", *[F.col(c)[x].alias(f"{c}_{x}") for c in linked for x in ("id", "score", *more)])
 
 
+def cross_search_batch(
+    points: DataFrame, queries: DataFrame, primary: str, linked: list[str], link_key: str, k: int = 5, query_id: str = "query_id", query_vector: str = "qv",
+    id_column: str = "vec_id", vector: str = "embedding", keep: list[str] | None = None, match: tuple[str, str] | None = None,
+) -> DataFrame:
+    """``cross_search`` for a table of queries: query_id, rank, primary_id, primary_score, and for each linked collection the best point of the same link key.
+
+    A batched lateral top-1 join. A block of queries is first searched in the primary
+    collection (with ``match``, see ``top_k_batch``); its hits, k for each query, are sent to
+    the linked points, of which a batch is scored key by key for those queries alone that
+    hit the key; one row for each (query, collection, key) and batch goes on to the shuffle.
+    """
+    spark, more = points.sparkSession, keep or []
+    types = {f.name: f.dataType.simpleString() for f in points.schema}
+    kind = queries.schema[query_id].dataType.simpleString().replace("int", "bigint").replace("bigbigint", "bigint")
+    id_kind = pa.int64() if kind == "bigint" else pa.string()
+    first = points.where(F.col("collection") == primary)
+    others = points.where(F.col("collection").isin(*linked) & F.col(link_key).isNotNull())
+    schema = f"{query_id} {kind}, collection string, {link_key} {types[link_key]}, {id_column} {types[id_column]}, " + "".join(f"{c} {types[c]}, " for c in more) + "score double"
+
+    def searched(block: list[tuple]) -> tuple[DataFrame, Broadcast]:
+        asked = spark.createDataFrame(block, queries.select(*columns).schema)
+        hits, _ = written(top_k_batch(first, asked, k, query_id, query_vector, id_column, vector, keep=[link_key], match=match), "primary")
+        by_key: dict = {}
+        for r in hits.select(query_id, link_key).where(F.col(link_key).isNotNull()).distinct().collect():  # k rows for each query of the block
+            by_key.setdefault(r[1], []).append(r[0])
+        place = {r[0]: i for i, r in enumerate(block)}
+        shared = spark.sparkContext.broadcast(({key: [place[q] for q in qs] for key, qs in by_key.items()}, [r[0] for r in block], unit_rows(np.array([r[1] for r in block], np.float64))))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            keys, of, matrix = shared.value
+            for batch in batches:
+                members: dict[tuple, list[int]] = {}
+                for i, (c, key) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)):
+                    if key in keys:
+                        members.setdefault((c, key), []).append(i)
+                if not members:
+                    continue
+                rows = unit_rows(matrix_of(batch.column(batch.num_columns - 1)))
+                at, who, scores = [], [], []
+                for (_, key), some in members.items():
+                    asked_by = keys[key]
+                    score = np.round(rows[some] @ matrix[asked_by].T, 6)
+                    # all that tie for the best go on; ids decide behind the shuffle
+                    r, q = np.nonzero(score >= score.max(axis=0))
+                    at += [some[i] for i in r]
+                    who += [of[asked_by[i]] for i in q]
+                    scores += score[r, q].tolist()
+                take = pa.array(at, pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array(who, id_kind), *(batch.column(i).take(take) for i in range(batch.num_columns - 1)), pa.array(scores, pa.float64())], names=[query_id, *batch.schema.names[:-1], "score"])
+
+        found = others.select("collection", link_key, id_column, *more, vector).mapInArrow(run, schema)
+        best = found.groupBy(query_id, link_key, "collection").agg(F.max_by(F.struct(F.col(id_column).alias("id"), "score", *more), F.struct("score", -F.col(id_column))).alias("hit"))
+        wide = best.groupBy(query_id, link_key).pivot("collection", linked).agg(F.first("hit"))
+        joined = hits.join(wide, [query_id, link_key], "left")
+        return joined.select(query_id, "rank", F.col(id_column).alias("primary_id"), F.col("score").alias("primary_score"), *[F.col(c)[x].alias(f"{c}_{x}") for c in linked for x in ("id", "score", *more)]), shared
+
+    columns = [query_id, query_vector] + ([match[1]] if match else [])
+    named = ", ".join(f"{c}_{x} {'double' if x == 'score' else types[id_column if x == 'id' else x]}" for c in linked for x in ("id", "score", *more))
+    return by_block(queries, columns, searched, lambda: spark.createDataFrame([], f"{query_id} {kind}, rank int, primary_id {types[id_column]}, primary_score double, {named}"))
+
+
+# The collections of a search for machining steps, the key that links them, and how many are shown.
+CNC_STEPS, CNC_LINKED, CNC_KEY, CNC_SHOWN = "gw_cnc_steps", ("gw_ruest_data", "gw_material_info"), "cnc_step_id", 5
+CNC_NONE = "Keine CNC-Schritte gefunden."
+
+
+def cnc_observations(points: DataFrame, asked: DataFrame, embed: Callable[[Column], Column]) -> DataFrame:
+    """query_id and observation of machining-step searches (query_id, ruest_id, missing_tool), all in one job.
+
+    ``points``: collection, point_id, vector, cnc_step_id, ruest_map_id, operation_type,
+    cutting_speed, text. A question that names a set-up map takes only its steps; one
+    without hits says so.
+    """
+    text = F.concat(F.lit("CNC Rüstung "), F.coalesce("ruest_id", F.lit("")), F.lit(" "), F.coalesce("missing_tool", F.lit("")))
+    queries = asked.select("query_id", embed(text).alias("qv"), F.nullif("ruest_id", F.lit("")).alias("ruest"))
+    found = cross_search_batch(points, queries, CNC_STEPS, list(CNC_LINKED), CNC_KEY, CNC_SHOWN, id_column="point_id", vector="vector", keep=["text"], match=("ruest_map_id", "ruest"))
+    about = points.where(F.col("collection") == CNC_STEPS).select(F.col("point_id").alias("primary_id"), "operation_type", "cutting_speed")
+    known = found.join(about, "primary_id")
+    part = lambda label, c: F.coalesce(F.concat(F.lit(f" | {label}: "), F.left(F.when(F.col(f"{c}_id").isNotNull(), F.coalesce(f"{c}_text", F.lit(""))), F.lit(80))), F.lit(""))
+    line = F.concat(F.format_string("[%d] Op: %s, Speed: %s", "rank", F.coalesce("operation_type", F.lit("?")), F.coalesce(F.col("cutting_speed").cast("string"), F.lit("?"))), part("Rüst", CNC_LINKED[0]), part("Material", CNC_LINKED[1]))
+    lines = F.transform(F.array_sort(F.collect_list(F.struct("rank", line.alias("line")))), lambda x: x["line"])
+    shown = known.groupBy("query_id").agg(F.array_join(F.concat(F.array(F.format_string("Gefunden: %d ähnliche CNC-Schritte", F.count("*"))), lines), "\n").alias("observation"))
+    return asked.select("query_id").join(shown, "query_id", "left").select("query_id", F.coalesce("observation", F.lit(CNC_NONE)).alias("observation"))
+
+
 def orphans(catalogue: DataFrame, prefix_table: DataFrame) -> DataFrame:
     """Collections that belong to no use case."""
     return catalogue.join(F.broadcast(prefix_table), F.expr("startswith(collection, prefix)"), "left_anti")

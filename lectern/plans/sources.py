@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lectern.functions import text as T
+from lectern.operators.protocol import protocol
 from lectern.plans.registry import query
-from lectern.session import load
+from lectern.session import fresh_path, load
 from lectern.sources import files as S
 
 NAMED = "n as (select doc_id, text, 'doc_' || doc_id || list_extract(['.csv', '.DOCX', '.md', '.Pdf', '.txt', '.xyz', ''], doc_id % 7 + 1) as file_name from documents)"
@@ -29,9 +30,29 @@ def src_text_pages(spark, sf_dir):
     return load(spark, sf_dir, "documents").select("doc_id", F.lit(1).alias("page"), F.md5(valid.cast("binary")).alias("digest"))
 
 
-@query("src_csv_markdown", "select 'n_nationkey | n_name | n_regionkey' || chr(10) || '---' || chr(10) || string_agg(n_nationkey || ' | ' || n_name || ' | ' || n_regionkey, chr(10) order by n_nationkey) as text, count(*) as row_count, 'n_nationkey, n_name, n_regionkey' as columns from nation")
+@query("src_csv_markdown", "select 1 as line, 'n_nationkey | n_name | n_regionkey' as text union all select 2, '--- | --- | ---' union all select n_nationkey + 3, n_nationkey || ' | ' || n_name || ' | ' || n_regionkey from nation")
 def src_csv_markdown(spark, sf_dir):
-    return S.csv_markdown(load(spark, sf_dir, "nation"), ["n_nationkey", "n_name", "n_regionkey"], "n_nationkey")
+    return S.csv_lines(load(spark, sf_dir, "nation"), ["n_nationkey", "n_name", "n_regionkey"], "n_nationkey")
+
+
+@query(
+    "src_csv_files",
+    """with c as (select c_nationkey as nation, c_custkey, c_name || case when c_custkey % 3 = 0 then ' "neu"' else '' end as name, case when c_custkey % 5 = 0 then 'a,' || chr(10) || 'b' else c_mktsegment end as note, row_number() over (partition by c_nationkey order by c_custkey) as n from customer)
+    select nation, 0 as page, null as text, count(*) as row_count, 'name,note,key' as columns from c group by 1 union all select distinct nation, 1, 'name | note | key', null, null from c union all select nation, n::int + 1, name || ' | ' || note || ' | ' || c_custkey, null, null from c""",
+)
+def src_csv_files(spark, sf_dir):
+    """Customers written as a CSV file for each nation, with marks, quotes and line breaks, and read back as pages."""
+    quoted = lambda c: F.concat(F.lit('"'), F.replace(c, F.lit('"'), F.lit('""')), F.lit('"'))
+    name = F.concat("c_name", F.when(F.col("c_custkey") % 3 == 0, ' "neu"').otherwise(""))
+    note = F.when(F.col("c_custkey") % 5 == 0, "a,\nb").otherwise(F.col("c_mktsegment"))
+    line = F.concat_ws(",", T.csv_field(name), quoted(note), F.col("c_custkey").cast("string"))
+    # rows of a file are put in order by a sort in its partition; the writer makes a file for each nation
+    head = load(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("nation")).distinct().select("nation", F.lit(-1).cast("long").alias("k"), F.lit("\ufeffname,note,key").alias("value"))
+    rows = load(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("nation"), F.col("c_custkey").cast("long").alias("k"), line.alias("value"))
+    path = fresh_path(spark, "csv")
+    head.unionByName(rows).repartition("nation").sortWithinPartitions("nation", "k").select("nation", "value").write.partitionBy("nation").text(path)
+    read = S.read_csv_files(spark, f"{path}/nation=*/*.txt")
+    return read.select(F.regexp_extract("path", r"nation=(\d+)", 1).cast("long").alias("nation"), "page", "text", "row_count", F.array_join("columns", ",").alias("columns"))
 
 
 @query("src_csv_pages", "select 1 as page, 'n_name | n_regionkey' as text union all select n_nationkey + 2, n_name || ' | ' || n_regionkey from nation")
@@ -137,11 +158,28 @@ def sink_release_name(spark, sf_dir):
     return load(spark, sf_dir, "nation").select("n_nationkey", F.concat(F.regexp_replace(name, r"\.[^.]+$", ""), suffix, F.lit(".csv")).alias("name"))
 
 
-@query("sink_protocol_export", """select conv_id, turn, '{"role":"' || role || '"' || case when turn % 2 = 0 then ',"turn":' || turn else '' end || '}' as line from conversations""")
+@query(
+    "sink_protocol_export",
+    """with m as (select conv_id, turn, '{"index":' || turn || ',"role":"' || role || '","text":' || to_json(text) || case when role = 'assistant' then ',"duration_ms":' || turn * 10 else '' end
+        || case when turn % 4 = 1 then ',"sub_agents":[{"subagent_id":"sub-1-facts","sub_query":' || to_json(text) || ',"sufficient":true,"agent_steps":[{"step":1,"action":"SEARCH","args":{"query":' || to_json(text) || '},"chunks":[{"n":' || turn || '}]},{"step":2,"action":"FINAL_ANSWER"}]}]'
+                when turn % 4 = 3 then ',"agent_steps":[{"step":1,"action":"SEARCH","args":{"query":' || to_json(text) || '},"chunks":[{"n":' || turn || '}],"subagent_id":"x"},{"step":2,"action":"FINAL_ANSWER","subagent_id":"x"}]' else '' end
+        || case when turn % 2 = 1 then ',"compliance":{"phase":"done","detail":{"deep":[{"x":1},{}]}}' else '' end || case when turn % 5 = 4 then ',"error":true' else '' end || '}' as j from conversations)
+    select conv_id, count(*) as message_count, '{"schema_version":1,"use_case":"uc","message_count":' || count(*) || ',"messages":[' || string_agg(j, ',' order by turn) || ']}' as document from m group by 1""",
+)
 def sink_protocol_export(spark, sf_dir):
-    # null fields are left out
-    row = F.struct("role", F.when(F.col("turn") % 2 == 0, F.col("turn")).alias("turn"), F.nullif(F.lit(""), F.lit("")).alias("empty"))
-    return load(spark, sf_dir, "conversations").select("conv_id", "turn", F.to_json(row).alias("line"))
+    """A protocol for each conversation, whose messages have nested steps with nulls and empty things at every depth."""
+    none = lambda kind: F.lit(None).cast(kind)
+    empty = F.expr("cast(array() as array<struct<n:int>>)")
+    first = F.struct(F.lit(1).alias("step"), none("string").alias("thought"), F.lit("SEARCH").alias("action"), F.create_map(F.lit("query"), F.col("text"), F.lit("leer"), none("string")).alias("args"), none("string").alias("observation"), F.array(F.struct(F.col("turn").cast("int").alias("n"))).alias("chunks"), F.lit("roh").alias("llm_response"), F.lit("x").alias("subagent_id"))
+    second = F.struct(F.lit(2).alias("step"), none("string").alias("thought"), F.lit("FINAL_ANSWER").alias("action"), F.create_map(F.lit("leer"), none("string")).alias("args"), none("string").alias("observation"), empty.alias("chunks"), F.lit("roh").alias("llm_response"), F.lit("x").alias("subagent_id"))
+    steps = F.array(first, second)
+    sub = F.struct(F.lit("sub-1-facts").alias("subagent_id"), none("string").alias("role"), F.col("text").alias("sub_query"), F.lit(True).alias("sufficient"), F.expr("cast(array() as array<string>)").alias("searched_collections"), steps.alias("agent_steps"), empty.alias("chunks"))
+    deep = F.struct(F.lit("done").alias("phase"), F.struct(F.array(F.struct(F.lit(1).alias("x"), none("int").alias("y")), F.struct(none("int").alias("x"), none("int").alias("y"))).alias("deep"), F.struct(none("int").alias("z")).alias("gone")).alias("detail"))
+    m = load(spark, sf_dir, "conversations").select(
+        "conv_id", F.col("turn").alias("index"), "role", "text", (F.col("turn") * 10).alias("duration_ms"), F.col("text").alias("enriched_query"), F.when(F.col("turn") % 4 == 1, F.array(sub)).alias("sub_agents"),
+        F.when(F.col("turn") % 2 == 1, steps).alias("agent_steps"), F.when(F.col("turn") % 2 == 1, deep).alias("compliance"), F.when(F.col("turn") % 5 == 4, F.lit("Fehler")).alias("error"),
+    )
+    return protocol(m, "conv_id", {"schema_version": F.lit(1), "use_case": F.lit("uc"), "gone": none("string")})
 
 
 @query("cat_use_cases", "select * from (values ('gw_stpoelten', 'gw_cnc_steps', 1), ('neumann', 'neumann_machines', 1), ('ustp', 'ustp_default', 1), ('wiener_linien', 'wl_default', 2)) t(use_case, default_collection, roles)")

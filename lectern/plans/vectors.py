@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from lectern.operators import vectors as V
 from lectern.plans.registry import query
+from lectern.providers import batch_report, embedded_batch
 from lectern.session import load
 
 # Labels of the test embeddings stand for collections.
@@ -115,6 +116,24 @@ def vec_cross_filtered(spark, sf_dir):
     return V.cross_search(points(spark, sf_dir), "gw_cnc_steps", ["gw_ruest_data"], first_vector(spark, sf_dir), "link", filters={"label": 10}, keep=["embed_model"])
 
 
+BATCH = f"""{POINTS}, q as (select vec_id as query_id, embedding as qv, case when vec_id % 40 = 0 then 10 end as wanted from embeddings where vec_id % 20 = 0),
+    s as (select query_id, vec_id as primary_id, link, {SCORE} as primary_score from p, q where collection = 'gw_cnc_steps' and (wanted is null or label = wanted)),
+    h as (select *, row_number() over (partition by query_id order by primary_score desc, primary_id) as rank from s),
+    t as (select h.query_id, h.link, collection, vec_id, embed_model, {SCORE} as score from (select distinct query_id, link from h where rank <= 5) h join q using (query_id) join p using (link) where collection in ('gw_ruest_data', 'gw_material_info')),
+    l as (select *, row_number() over (partition by query_id, link, collection order by score desc, vec_id) as best from t)"""
+
+
+@query(
+    "vec_cross_batch",
+    f"with {BATCH} select h.query_id, h.rank::int as rank, h.primary_id, h.primary_score, a.vec_id as gw_ruest_data_id, a.score as gw_ruest_data_score, a.embed_model as gw_ruest_data_embed_model, b.vec_id as gw_material_info_id, b.score as gw_material_info_score, b.embed_model as gw_material_info_embed_model from h left join l a on a.query_id = h.query_id and a.link = h.link and a.best = 1 and a.collection = 'gw_ruest_data' left join l b on b.query_id = h.query_id and b.link = h.link and b.best = 1 and b.collection = 'gw_material_info' where h.rank <= 5",
+)
+def vec_cross_batch(spark, sf_dir):
+    """Every twentieth vector as a query to linked collections, half of them with a filter of their own."""
+    p = points(spark, sf_dir)
+    q = p.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("qv"), F.when(F.col("vec_id") % 40 == 0, F.lit(10)).cast(p.schema["label"].dataType).alias("wanted"))
+    return V.cross_search_batch(p, q, "gw_cnc_steps", ["gw_ruest_data", "gw_material_info"], "link", keep=["embed_model"], match=("label", "wanted"))
+
+
 @query("vec_cnc_search", f"with {CROSS}, n as (select h.*, row_number() over (order by h.score desc, h.vec_id) as i from h) select '[' || i || '] Op: op' || n.vec_id % 3 || coalesce(' | Rüst: text ' || a.vec_id, '') as line from n left join l a on a.link = n.link and a.rank = 1 and a.collection = 'gw_ruest_data'")
 def vec_cnc_search(spark, sf_dir):
     from pyspark.sql import Window as W
@@ -162,17 +181,29 @@ def emb_dimension(spark, sf_dir):
     return load(spark, sf_dir, "embeddings").select("vec_id", F.size("embedding").alias("dimension"))
 
 
-@query("emb_batch_assign", "select doc_id, doc_id // 50 as batch_id, 'chunk_' || doc_id % 50 as chunk_id from documents")
+def sized(texts):
+    """A provider of vectors that fails on some texts, and with them on the whole of what it was given."""
+    if any(len(t) % 11 == 3 for t in texts):
+        raise ValueError("zu schwer")
+    return [[float(len(t)), float(t.count(" "))] for t in texts]
+
+
+BATCHED = "b as (select doc_id, text, row_number() over (order by doc_id) - 1 as i from documents)"
+
+
+@query(
+    "emb_batch_assign",
+    f"with {BATCHED} select doc_id, i // 50 as batch_id, 'chunk_' || i as chunk_id, case when length(text) % 11 <> 3 then length(text) end as first, case when length(text) % 11 = 3 then 'Missing vector for chunk chunk_' || i || ': zu schwer' end as error from b",
+)
 def emb_batch_assign(spark, sf_dir):
-    # ids of the test documents number them from 0, so that no global order is needed
-    return load(spark, sf_dir, "documents").select("doc_id", F.expr("doc_id div 50").alias("batch_id"), F.concat(F.lit("chunk_"), (F.col("doc_id") % 50).cast("string")).alias("chunk_id"))
+    made = embedded_batch(load(spark, sf_dir, "documents").select("doc_id", "text"), sized, ["doc_id"])
+    return made.select("doc_id", "batch_id", "chunk_id", F.col("vector")[0].cast("long").alias("first"), "error")
 
 
-@query("emb_batch_report", "select doc_id // 50 as batch_id, count(*) as total, count(*) filter (doc_id % 11 <> 0) as success, count(*) filter (doc_id % 11 = 0) as failed from documents group by 1")
+@query("emb_batch_report", f"with {BATCHED} select i // 50 as batch_id, count(*) as total, count(*) filter (length(text) % 11 <> 3) as success, count(*) filter (length(text) % 11 = 3) as failed, coalesce(string_agg('Missing vector for chunk chunk_' || i || ': zu schwer', ';' order by i) filter (length(text) % 11 = 3), '') as errors from b group by 1")
 def emb_batch_report(spark, sf_dir):
-    d = load(spark, sf_dir, "documents").select("doc_id", F.expr("doc_id div 50").alias("batch_id"))
-    made = d.where("doc_id % 11 <> 0").select("doc_id", F.lit(True).alias("made"))
-    return d.join(made, "doc_id", "left").groupBy("batch_id").agg(F.count("*").alias("total"), F.count("made").alias("success"), F.count_if(F.col("made").isNull()).alias("failed"))
+    made = embedded_batch(load(spark, sf_dir, "documents").select("doc_id", "text"), sized, ["doc_id"])
+    return batch_report(made).select("batch_id", "total", "success", "failed", F.array_join("errors", ";").alias("errors"))
 
 
 @query("emb_cosine_pairs", "select a.vec_id as a, b.vec_id as b, round(list_cosine_similarity(a.embedding::double[], b.embedding::double[]), 6) as similarity from embeddings a join embeddings b on a.vec_id + 1 = b.vec_id")

@@ -9,9 +9,11 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lectern.operators.places import placed
+
 Provider = Callable[..., Column]
 
 _providers: dict[str, Provider] = {}
@@ -63,6 +65,26 @@ def attempted(call: Callable[[list], list], kind: str, size: int = BATCH) -> Pro
     return F.pandas_udf(run, f"struct<value:{kind},error:string>")
 
 
+def embedded_batch(chunks: DataFrame, call: Callable[[list], list], order: list[str], chunk_id: Column | None = None, text: str = "text", size: int = BATCH) -> DataFrame:
+    """The chunks with their place (``i``, from 0), batch_id, chunk_id, vector, dimension and error.
+
+    Places count in the order given over all chunks, by a range sort; a batch is ``size``
+    of them. ``call`` makes vectors of a list of texts (``attempted``); a chunk without a
+    vector is a row of its own with an error, and its batch's others are not lost.
+    """
+    lined = placed(chunks, [], order, "i")
+    named = F.concat(F.lit("chunk_"), F.col("i").cast("string"))
+    made = lined.withColumns({"batch_id": F.floor(F.col("i") / size).cast("long"), "chunk_id": F.coalesce(chunk_id, named) if chunk_id is not None else named, "_v": attempted(call, "array<double>", size)(F.col(text))})
+    missing = F.concat(F.lit("Missing vector for chunk "), F.col("chunk_id"), F.when(F.col("_v.error").isNotNull(), F.concat(F.lit(": "), "_v.error")).otherwise(""))
+    return made.select(*chunks.columns, "i", "batch_id", "chunk_id", F.col("_v.value").alias("vector"), F.size("_v.value").alias("dimension"), F.when(F.col("_v.value").isNull(), missing).alias("error"))
+
+
+def batch_report(embedded: DataFrame) -> DataFrame:
+    """batch_id, total, success, failed, and the errors of each batch in order."""
+    errors = F.transform(F.array_sort(F.collect_list(F.when(F.col("error").isNotNull(), F.struct("i", "error")))), lambda x: x["error"])
+    return embedded.groupBy("batch_id").agg(F.count("*").alias("total"), F.count_if(F.col("error").isNull()).alias("success"), F.count("error").alias("failed"), errors.alias("errors"))
+
+
 def describe_image(context: Column) -> Column:
     """Alternative text of an image, given the text around it."""
     return provider("vision")(context)

@@ -47,12 +47,19 @@ def ocr_answers(files: DataFrame, call: Callable[[str, bytes], str], attempts: i
 
 
 def parsed_pages(files: DataFrame, parse: Callable[[bytes], list[str]]) -> DataFrame:
-    """file_name, page (from 1), text of every page that a parser finds in (file_name, content); blank pages are rows too."""
+    """file_name, page (from 1), text, error of every page that a parser finds in (file_name, content).
+
+    Blank pages are rows too; a file that fails is one row with its error and fails no other.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for name, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                pages = parse(content)
-                yield pa.RecordBatch.from_arrays([pa.array([name] * len(pages), pa.string()), pa.array(range(1, len(pages) + 1), pa.int32()), pa.array(pages, pa.string())], names=["file_name", "page", "text"])
+                try:
+                    pages = parse(content)
+                    made = [[name] * len(pages), list(range(1, len(pages) + 1)), pages, [None] * len(pages)]
+                except Exception as e:  # one file's error is its row's
+                    made = [[name], [None], [None], [f"{type(e).__name__}: {e}"]]
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(made, (pa.string(), pa.int32(), pa.string(), pa.string()), strict=True)], names=["file_name", "page", "text", "error"])
 
-    return files.select("file_name", "content").mapInArrow(run, "file_name string, page int, text string")
+    return files.select("file_name", "content").mapInArrow(run, "file_name string, page int, text string, error string")
