@@ -8,7 +8,9 @@ more.  A run is decoded from each of its first four characters on, since what st
 before the code may be of its alphabet too, and runs on adjacent lines are decoded as one
 besides.  Each character of a layer knows the span of the original text that it came from,
 so hits in a layer are reported as spans of the original.  A layer seen before over the
-same span is not entered again, which ends cycles.
+same span is not entered again, which ends cycles.  Escapes of escapes are layers of their
+own four deep; deeper chains are decoded to the end in one layer, and of stream heads that
+lead to the same data the first counts, so that time follows the text's length.
 
 Rows: null and empty texts have no hits; texts are scanned whole, long ones by themselves;
 equal texts and repeated rows have equal hits, each row its own; of hits that start at one
@@ -70,12 +72,12 @@ def hits(text: str) -> list[Span]:
 
 
 class Layer:
-    """Decoded text; ``at`` gives for each character the (start, end) in the original."""
+    """Decoded text; ``at`` gives for each character the (start, end) in the original, ``escapes`` in how many escapes it lay."""
 
-    __slots__ = ("text", "at")
+    __slots__ = ("text", "at", "escapes")
 
-    def __init__(self, text: str, at: Callable[[int], tuple[int, int]]):
-        self.text, self.at = text, at
+    def __init__(self, text: str, at: Callable[[int], tuple[int, int]], escapes: int = 0):
+        self.text, self.at, self.escapes = text, at, escapes
 
 
 def _decode_units(text: str, at, unit: re.Pattern, raw) -> Layer | None:
@@ -97,6 +99,43 @@ def _decode_units(text: str, at, unit: re.Pattern, raw) -> Layer | None:
     return Layer("".join(chars), spans.__getitem__)
 
 
+#: An escape of an escape character, and what it takes to be one again; a chain of them is as long as it is deep.
+CHAIN = re.compile(r"%(?:25)+(?=[0-9A-Fa-f]{2})|\\\\(?:u005[Cc]|x5[Cc])+(?=u[0-9A-Fa-f]{4}|x[0-9A-Fa-f]{2})")
+#: Layers of escapes inside each other that are decoded one by one; what lies deeper is decoded to the end at once.
+DEEP = 4
+ESCAPE = re.compile(r"%([0-7][0-9A-Fa-f])|\\u(00[0-7][0-9A-Fa-f])|\\x([0-7][0-9A-Fa-f])")
+
+
+def _to_the_end(text: str, at) -> Layer | None:
+    """The text with its escapes of ASCII characters decoded until none is left, in one pass; other escapes stay.
+
+    A decoded percent sign or backslash stands before the text that follows, and may begin
+    an escape again.
+    """
+    chars: list[str] = []
+    spans: list[tuple[int, int]] = []
+    i, size, changed = 0, len(text), False
+    while i < size:
+        c = text[i]
+        if c not in "%\\":
+            j = i + 1
+            while j < size and text[j] not in "%\\":
+                j += 1
+            chars.append(text[i:j])
+            spans += [at(k) for k in range(i, j)]
+            i = j
+            continue
+        start, i = i, i + 1
+        while c in "%\\":
+            m = ESCAPE.match(c + text[i : i + 5])
+            if not m:
+                break
+            c, i, changed = chr(int(m[1] or m[2] or m[3], 16)), i + m.end() - 1, True
+        chars.append(c)
+        spans.append((at(start)[0], at(i - 1)[1]))
+    return Layer("".join(chars), spans.__getitem__) if changed else None
+
+
 def _from_url(m: re.Match) -> str:
     return bytes.fromhex(m[0].replace("%", "")).decode("utf-8", "replace")
 
@@ -114,6 +153,48 @@ def _plain(raw: bytes) -> str:
 HEADS = re.compile(rb"\x78[\x01\x5e\x9c\xda]|\x1f\x8b\x08|BZh[1-9]|\xfd7zXZ\0")
 
 
+#: What follows a head of bz2, and the length of a gzip head without its optional parts.
+BZ2_BLOCKS, GZIP_HEAD = (b"1AY&SY", b"\x17rE8P\x90"), 10
+
+
+def _heads(raw: bytes) -> Iterator[int]:
+    """Places where a compressed stream may begin: its head is whole, and its data do not begin where others' that came before do."""
+    seen: set[int] = set()
+    nul = -1
+    for m in HEADS.finditer(raw):
+        at = m.start()
+        kind = raw[at]
+        if kind == 0x1F:
+            if len(raw) < at + GZIP_HEAD or raw[at + 3] & 0xE0:
+                continue
+            flags, data = raw[at + 3], at + GZIP_HEAD
+            if flags & 4:
+                data += 2 + int.from_bytes(raw[data : data + 2], "little")
+            for part in (8, 16):
+                # a name ends with a zero byte; one that lies behind many heads is looked for once
+                if flags & part and data >= 0:
+                    if nul < data:
+                        nul = raw.find(b"\0", data)
+                        nul = len(raw) if nul < 0 else nul
+                    data = nul + 1 if nul < len(raw) else -1
+            if data < 0:
+                continue
+            data += 2 * bool(flags & 2)
+        elif kind == 0x78:
+            data = at + 2
+        elif kind == 0x42:
+            if not raw.startswith(BZ2_BLOCKS, at + 4):
+                continue
+            data = at
+        else:
+            data = at
+        # a deflate block has no fourth type
+        if data >= len(raw) or (kind in (0x78, 0x1F) and raw[data] >> 1 & 3 == 3) or data in seen:
+            continue
+        seen.add(data)
+        yield at
+
+
 def _decompressor(head: bytes):
     if head[:1] in (b"\x78", b"\x1f"):
         return zlib.decompressobj(47)
@@ -151,7 +232,7 @@ def _unfolded(raw: bytes) -> Iterator[tuple[int, str]]:
         outer, raw = work.pop()
         view = memoryview(raw)
         # a bare stream has no head to be found by, so it is one only from the first byte on
-        for bare, at in [*((False, m.start()) for m in HEADS.finditer(raw)), (True, 0)]:
+        for bare, at in [*((False, at) for at in _heads(raw)), (True, 0)]:
             place, held, over = at if outer is None else outer, b"", False
             try:
                 for piece in _inflated(view[at:], bare):
@@ -202,12 +283,17 @@ def _from_base64(code: str, at) -> Iterator[Layer]:
             yield Layer(plain, lambda i, whole=whole: whole)
 
 
-def unwrapped(text: str, at) -> Iterator[Layer]:
+def unwrapped(text: str, at, escapes: int = 0) -> Iterator[Layer]:
     """The layers directly inside this text."""
-    if "%" in text and (x := _decode_units(text, at, URL_UNIT, _from_url)):
-        yield x
-    if ("\\u" in text or "\\x" in text) and (x := _decode_units(text, at, UNICODE_UNIT, _from_unicode)):
+    if escapes >= DEEP and ("%" in text or "\\" in text) and (x := _to_the_end(text, at)):
         yield x
+    elif escapes < DEEP:
+        if "%" in text and (x := _decode_units(text, at, URL_UNIT, _from_url)):
+            x.escapes = escapes + 1
+            yield x
+        if ("\\u" in text or "\\x" in text) and (x := _decode_units(text, at, UNICODE_UNIT, _from_unicode)):
+            x.escapes = escapes + 1
+            yield x
     for m in BASE64_RUN.finditer(text):
         yield from _from_base64(m[0], lambda i, start=m.start(): at(start + i))
     if "\n" in text:
@@ -238,7 +324,7 @@ def scan(text: str) -> tuple[list[Span], list[Span]]:
         seen.add(key)
         for start, kind, end in hits(layer.text):
             found.add((at(start)[0], kind, at(end - 1)[1]))
-        work.append(unwrapped(layer.text, at))
+        work.append(unwrapped(layer.text, at, layer.escapes))
     return base, sorted(found)
 
 
