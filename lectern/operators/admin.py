@@ -46,6 +46,12 @@ def prompt(rows: DataFrame, use_case: str, defaults: DataFrame) -> DataFrame:
     return defaults.join(own, "prompt_key", "left").select("prompt_key", F.coalesce("_own", "content").alias("content"), F.col("_own").isNotNull().alias("is_override"))
 
 
+def role_prompts(asked: DataFrame, prompts: DataFrame, key: str, default: str = "default") -> DataFrame:
+    """key, role, prompt for every (key, role) asked for: the role's own prompt (key, role, prompt), else that of the default role."""
+    first = prompts.where(F.col("role") == default).select(key, F.col("prompt").alias("_default"))
+    return asked.join(prompts, [key, "role"], "left").join(first, key, "left").select(key, "role", F.coalesce("prompt", "_default").alias("prompt"))
+
+
 def last_prompts(changes: DataFrame) -> DataFrame:
     """What is left of changes in order: the last content of each key; an empty one deletes."""
     return changes.groupBy("use_case", "prompt_key").agg(F.max_by("content", "seq").alias("content")).where("content <> ''")

@@ -18,6 +18,20 @@ USE_CASES = {
     "ustp": {"roles": ("default",), "actions": tuple(a for a in ACTIONS if a != "SEARCH_CNC"), "default_collection": "ustp_default"},
     "wiener_linien": {"roles": ("default", "trainee"), "actions": tuple(a for a in ACTIONS if a != "SEARCH_CNC"), "default_collection": "wl_default"},
 }
+# How a model is told to call each action, and the head of a use case's rules.
+SIGNATURES = {
+    "SEARCH": 'SEARCH({"query": "...", "collection": "...", "filters": {}})',
+    "SEARCH_CNC": 'SEARCH_CNC({"ruest_id": "...", "missing_tool": "..."})',
+    "REFINE_QUERY": 'REFINE_QUERY({"query": "umformulierte Suchanfrage", "reason": "warum die vorherige Suche nicht reichte"})',
+    "CLARIFY": 'CLARIFY({"question": "..."})',
+    "RECALL_MEMORY": "RECALL_MEMORY({})",
+    "LOOKUP_SOURCES": "LOOKUP_SOURCES({})",
+    "FINAL_ANSWER": 'FINAL_ANSWER({"answer": "...", "extras": {}})',
+}
+RULES_HEAD = (
+    "# Zusätzliche Regeln\n\nBeachte die folgenden Regeln bei jeder Anfrage. Wenn eine Regel greift, passe deinen Workflow entsprechend an "
+    "(erweitere Schritte, brich ab, oder ändere die Antwort).\n\n"
+)
 ROLE_LABELS = {"facts": "Fakten", "procedure": "Prozedur", "context": "Kontext"}
 ROLE_ACTIONS = ("SEARCH", "REFINE_QUERY", "FINAL_ANSWER")
 DEFAULT_ROLE, SUBTASKS, SHORT_QUERY, HISTORY = "facts", 3, 8, 6
@@ -130,6 +144,15 @@ def filter_actions(enabled: Column) -> Column:
     return F.array_union(kept, F.array(F.lit("FINAL_ANSWER")))
 
 
+def system_prompt(prompt: Column, actions: Column, skills: Column, suffix: Column) -> Column:
+    """A use case's prompt, the signatures of its actions, its rules if there are any (array of struct(name, overview, task)), and the suffix."""
+    signature = F.create_map(*[F.lit(x) for kv in SIGNATURES.items() for x in kv])
+    lines = F.array_join(F.transform(F.filter(actions, lambda a: a.isin(*SIGNATURES)), lambda a: F.concat(F.lit("- "), F.element_at(signature, a))), "\n")
+    rules = F.array_join(F.transform(skills, lambda s: F.concat(F.lit("## "), s["name"], F.lit(" — "), s["overview"], F.lit("\n"), strip(s["task"]), F.lit("\n\n"))), "")
+    block = F.when(F.coalesce(F.size(skills), F.lit(0)) > 0, F.concat(F.lit(RULES_HEAD), F.regexp_replace(rules, r"\s+$", ""), F.lit("\n\n"))).otherwise("")
+    return F.concat(prompt, F.lit("\n\nVerfügbare Actions (immer als JSON-Argument):\n"), lines, F.lit("\n\n"), block, suffix)
+
+
 def verdict(raw: Column) -> Column:
     """OK, REWRITE or REFUSE from a checker's JSON; anything else passes."""
     v = F.get_json_object(raw, "$.verdict")

@@ -54,43 +54,60 @@ def adm_redact_secret(spark, sf_dir):
     return load(spark, sf_dir, "nation").select("n_nationkey", redact_secret(key).alias("shown"))
 
 
-CONFIG = [("neumann", "openai", None, "", "http://a", "", None, "k1"), ("ustp", "", "ollama", "x", None, None, "k2", "")]
+#: A configuration for each user of the log: a column is set, empty or missing by user and column.
+STORED = "s as (select distinct user_id::varchar as use_case, " + ", ".join(f"case (user_id + {n}) % 3 when 0 then 'v{n}_' || user_id when 1 then '' end as {c}" for n, c in enumerate(A.MERGED)) + " from events)"
+OVERLAID = ", ".join(f"coalesce(nullif({c}, ''), 'env_{c}') as {c}" for c in A.MERGED)
 
 
-def config(spark):
-    return spark.createDataFrame(CONFIG, "use_case string, " + ", ".join(f"{c} string" for c in A.MERGED))
+def stored(spark, sf_dir):
+    u = F.col("user_id")
+    cell = lambda n, c: F.when((u + n) % 3 == 0, F.concat(F.lit(f"v{n}_"), u.cast("string"))).when((u + n) % 3 == 1, "").alias(c)
+    return load(spark, sf_dir, "events").select("user_id").distinct().select(u.cast("string").alias("use_case"), *[cell(n, c) for n, c in enumerate(A.MERGED)])
 
 
-def values(rows, names):
-    show = lambda v: "null" if v is None else repr(v) if isinstance(v, str) else str(v).lower()
-    return "(values " + ", ".join("(" + ", ".join(show(v) for v in r) + ")" for r in rows) + f") t({', '.join(names)})"
-
-
-@query("cfg_resolve", f"select use_case, {', '.join(f'''coalesce(nullif({c}, ''), 'env_{c}') as {c}''' for c in A.MERGED)} from {values(CONFIG, ['use_case', *A.MERGED])}")
+@query("cfg_resolve", f"with {STORED} select use_case, {OVERLAID} from s")
 def cfg_resolve(spark, sf_dir):
     base = spark.createDataFrame([tuple(f"env_{c}" for c in A.MERGED)], ", ".join(f"{c} string" for c in A.MERGED))
-    return A.resolved(base, config(spark))
+    return A.resolved(base, stored(spark, sf_dir))
 
 
-@query("cfg_upsert", "select * from (values ('neumann', 'neu', null), ('ustp', '', 'k2'), ('wiener_linien', 'w', 'k3')) t(use_case, chat_provider, chat_key)")
+@query(
+    "cfg_upsert",
+    f"with {STORED} select use_case, case when use_case::bigint % 2 = 0 then 'neu' || use_case else chat_provider end as chat_provider, case when use_case::bigint % 4 = 0 then null when use_case::bigint % 4 = 2 then 'k' || use_case else chat_key end as chat_key from s union all select 'neu_' || r_regionkey, r_name, null from region",
+)
 def cfg_upsert(spark, sf_dir):
-    rows = spark.createDataFrame([("neumann", "openai", "k1"), ("ustp", "", "k2")], "use_case string, chat_provider string, chat_key string")
-    patch = spark.createDataFrame([("neumann", "neu", ""), ("wiener_linien", "w", "k3")], "use_case string, chat_provider string, chat_key string")
-    return A.patched(rows, patch, "use_case", ("chat_key",))
+    """Patches of half of the users' rows, whose empty keys clear what is stored, and of new ones."""
+    rows = stored(spark, sf_dir).select("use_case", "chat_provider", "chat_key")
+    n = F.col("use_case").cast("long")
+    patch = rows.where(n % 2 == 0).select("use_case", F.concat(F.lit("neu"), "use_case").alias("chat_provider"), F.when(n % 4 == 0, "").otherwise(F.concat(F.lit("k"), "use_case")).alias("chat_key"))
+    new = load(spark, sf_dir, "region").select(F.concat(F.lit("neu_"), F.col("r_regionkey").cast("string")).alias("use_case"), F.col("r_name").alias("chat_provider"), F.lit("").alias("chat_key"))
+    return A.patched(rows, patch.unionByName(new), "use_case", ("chat_key",))
+
+
+#: Prompts: one for each kind of event of user 1, some of them empty, and one for all of those kinds that begin early in the alphabet.
+PROMPTS = "r as (select '1' as use_case, event_type as prompt_key, case when max(event_id) % 2 = 0 then '' else 'eigener ' || max(event_id) end as content from events where user_id = 1 group by 2 union all select '*', event_type, 'alle ' || max(event_id) from events where event_type < 'm' group by 2), d as (select event_type as prompt_key, 'd_' || min(event_id) as content from events group by 1)"
+
+
+def stored_prompts(spark, sf_dir):
+    e = load(spark, sf_dir, "events")
+    key, last = F.col("event_type").alias("prompt_key"), F.max("event_id")
+    own = e.where("user_id = 1").groupBy(key).agg(F.when(last % 2 == 0, "").otherwise(F.concat(F.lit("eigener "), last.cast("string"))).alias("content")).withColumn("use_case", F.lit("1"))
+    every = e.where("event_type < 'm'").groupBy(key).agg(F.concat(F.lit("alle "), last.cast("string")).alias("content")).withColumn("use_case", F.lit("*"))
+    return own.unionByName(every), e.groupBy(key).agg(F.concat(F.lit("d_"), F.min("event_id").cast("string")).alias("content"))
 
 
-PROMPTS = [("neumann", "synth", "eigener"), ("*", "synth", "für alle"), ("*", "plan", "plan für alle"), ("ustp", "plan", "anderer"), ("neumann", "check", "")]
-DEFAULTS = [("synth", "d1"), ("plan", "d2"), ("check", "d3")]
+FOUND = "select d.prompt_key, coalesce(nullif(o.content, ''), a.content, d.content) as content, coalesce(nullif(o.content, ''), a.content) is not null as is_override from d left join r o on o.prompt_key = d.prompt_key and o.use_case = '1' left join r a on a.prompt_key = d.prompt_key and a.use_case = '*'"
 
 
-@query("cfg_prompt_resolve", "select * from (values ('synth', 'eigener'), ('plan', 'plan für alle'), ('check', 'd3')) t(prompt_key, content)")
+@query("cfg_prompt_resolve", f"with {PROMPTS} select prompt_key, content from ({FOUND})")
 def cfg_prompt_resolve(spark, sf_dir):
     return cfg_prompt_overrides(spark, sf_dir).select("prompt_key", "content")
 
 
-@query("cfg_prompt_overrides", "select * from (values ('synth', 'eigener', true), ('plan', 'plan für alle', true), ('check', 'd3', false)) t(prompt_key, content, is_override)")
+@query("cfg_prompt_overrides", f"with {PROMPTS} {FOUND}")
 def cfg_prompt_overrides(spark, sf_dir):
-    return A.prompt(spark.createDataFrame(PROMPTS, "use_case string, prompt_key string, content string"), "neumann", spark.createDataFrame(DEFAULTS, "prompt_key string, content string"))
+    rows, defaults = stored_prompts(spark, sf_dir)
+    return A.prompt(rows, "1", defaults)
 
 
 @query("cfg_prompt_upsert", "with c as (select user_id as u, event_type as k, case when event_id % 5 = 0 then '' else 'c' || event_id end as content, event_id from events) select u::varchar as use_case, k as prompt_key, arg_max(content, event_id) as content from c group by u, k having arg_max(content, event_id) <> ''")
@@ -112,8 +129,10 @@ def cfg_skill_patch(spark, sf_dir):
     return A.patched(n, patch, "id").join(n.where("id % 7 = 0").select("id"), "id", "left_anti")
 
 
-@query("cfg_role_prompt", "select * from (values ('neumann', 'default', 'P1'), ('wiener_linien', 'trainee', 'P3'), ('wiener_linien', 'fremd', 'P2')) t(use_case, role, prompt)")
+@query("cfg_role_prompt", "with p as (select conv_id, role, arg_min(text, turn) as prompt from conversations group by 1, 2), a as (select distinct conv_id, unnest(['user', 'assistant', 'trainee']) as role from conversations) select a.conv_id, a.role, coalesce(p.prompt, d.prompt) as prompt from a left join p on p.conv_id = a.conv_id and p.role = a.role left join p d on d.conv_id = a.conv_id and d.role = 'user'")
 def cfg_role_prompt(spark, sf_dir):
-    prompts = spark.createDataFrame([("neumann", {"default": "P1"}), ("wiener_linien", {"default": "P2", "trainee": "P3"})], "use_case string, prompts map<string,string>")
-    asked = spark.createDataFrame([("neumann", "default"), ("wiener_linien", "trainee"), ("wiener_linien", "fremd")], "use_case string, role string")
-    return asked.join(prompts, "use_case").select("use_case", "role", F.coalesce(F.try_element_at("prompts", F.col("role")), F.try_element_at("prompts", F.lit("default"))).alias("prompt"))
+    """A prompt for each role of a conversation; a role without one has that of the default role."""
+    c = load(spark, sf_dir, "conversations")
+    prompts = c.groupBy("conv_id", "role").agg(F.min_by("text", "turn").alias("prompt"))
+    asked = c.select("conv_id").distinct().select("conv_id", F.explode(F.array(*[F.lit(r) for r in ("user", "assistant", "trainee")])).alias("role"))
+    return A.role_prompts(asked, prompts, "conv_id", "user")

@@ -107,27 +107,44 @@ def agt_guard_decision(spark, sf_dir):
     return messages(spark, sf_dir).select("conv_id", "turn", A.guard(a, answer, F.col("turn") > 1, F.col("conv_id") % 2 == 0).alias("action"))
 
 
-ENABLED = "u(use_case, actions) as (values " + ", ".join(f"('{k}', {list(v['actions'])!r})" for k, v in A.USE_CASES.items()) + ")"
+#: Users are of a use case; what it enables, less one action that differs from user to user.
+ENABLED = "u(use_case, actions) as (values " + ", ".join(f"('{k}', {list(v['actions'])!r})" for k, v in A.USE_CASES.items()) + f"), e as (select distinct user_id, use_case, list_filter(actions, lambda a: a <> list_extract({list(A.ACTIONS)!r}, (user_id % 7)::int + 1)) as actions from events join u on use_case = list_extract(['neumann', 'gw_stpoelten', 'wiener_linien', 'ustp'], (user_id % 4)::int + 1))"
 
 
-def use_cases(spark):
-    return spark.createDataFrame([(k, list(v["actions"])) for k, v in A.USE_CASES.items()], "use_case string, actions array<string>")
+def enabled_actions(spark, sf_dir):
+    """user_id, use_case and the actions that are enabled."""
+    from lectern.plans.admin import log
 
+    every = spark.createDataFrame([(k, list(v["actions"])) for k, v in A.USE_CASES.items()], "use_case string, actions array<string>")
+    off = F.element_at(F.array(*[F.lit(a) for a in A.ACTIONS]), (F.col("user_id") % 7 + 1).cast("int"))
+    return log(spark, sf_dir).select("user_id", "use_case").distinct().join(every, "use_case").select("user_id", "use_case", F.array_except("actions", F.array(off)).alias("actions"))
 
-@query("agt_filter_actions", f"with {ENABLED} select use_case, 'SEARCH,REFINE_QUERY,FINAL_ANSWER' as actions from u")
+
+@query("agt_filter_actions", f"with {ENABLED} select user_id, array_to_string(list_filter(['SEARCH', 'REFINE_QUERY', 'FINAL_ANSWER'], lambda a: a = 'FINAL_ANSWER' or list_contains(actions, a)), ',') as actions from e")
 def agt_filter_actions(spark, sf_dir):
-    return use_cases(spark).select("use_case", F.array_join(A.filter_actions(F.filter("actions", lambda a: a != "FINAL_ANSWER")), ",").alias("actions"))
+    return enabled_actions(spark, sf_dir).select("user_id", F.array_join(A.filter_actions(F.col("actions")), ",").alias("actions"))
 
 
-@query("cat_actions_enabled", f"with {ENABLED} select use_case, unnest(actions) as action from u")
+@query("cat_actions_enabled", f"with {ENABLED} select user_id, use_case, unnest(actions) as action from e")
 def cat_actions_enabled(spark, sf_dir):
-    return use_cases(spark).select("use_case", F.explode("actions").alias("action"))
+    return enabled_actions(spark, sf_dir).select("user_id", "use_case", F.explode("actions").alias("action"))
+
+
+SIGNED = "case a " + " ".join(f"when '{k}' then {sql_text(v)}" for k, v in A.SIGNATURES.items()) + " end"
 
 
-@query("agt_system_prompt", f"with {ENABLED} select use_case, 'Prompt ' || use_case || chr(10) || chr(10) || '- ' || array_to_string(actions, '(...)' || chr(10) || '- ') || '(...)' as prompt from u")
+@query(
+    "agt_system_prompt",
+    f"""with {ENABLED}, s as (select user_id, string_agg('## ' || event_type || ' — ' || event_id || chr(10) || event_type || chr(10) || chr(10), '' order by event_id) as skills from events where event_id % 10 = 0 group by 1)
+    select user_id, 'Prompt ' || use_case || chr(10) || chr(10) || 'Verfügbare Actions (immer als JSON-Argument):' || chr(10) || array_to_string(list_transform(actions, lambda a: '- ' || {SIGNED}), chr(10)) || chr(10) || chr(10)
+        || coalesce({sql_text(A.RULES_HEAD)} || rtrim(skills, chr(10)) || chr(10) || chr(10), '') || 'ENDE' as prompt from e left join s using (user_id)""",
+)
 def agt_system_prompt(spark, sf_dir):
-    lines = F.array_join(F.transform("actions", lambda a: F.concat(F.lit("- "), a, F.lit("(...)"))), "\n")
-    return use_cases(spark).select("use_case", F.concat(F.lit("Prompt "), "use_case", F.lit("\n\n"), lines).alias("prompt"))
+    """A prompt for each user: the use case's, the signatures of its actions, its enabled skills, the suffix."""
+    skill = F.struct("event_id", F.struct(F.col("event_type").alias("name"), F.col("event_id").cast("string").alias("overview"), F.concat(F.lit("  "), "event_type", F.lit("\n")).alias("task")).alias("s"))
+    skills = load(spark, sf_dir, "events").where("event_id % 10 = 0").groupBy("user_id").agg(F.transform(F.array_sort(F.collect_list(skill)), lambda x: x["s"]).alias("skills"))
+    made = A.system_prompt(F.concat(F.lit("Prompt "), "use_case"), F.col("actions"), F.col("skills"), F.lit("ENDE"))
+    return enabled_actions(spark, sf_dir).join(skills, "user_id", "left").select("user_id", made.alias("prompt"))
 
 
 @query(

@@ -132,6 +132,12 @@ def ingest_payload(spark, sf_dir):
     return docs(spark, sf_dir).select("doc_id", F.left("text", F.lit(500)).alias("text"), digest.alias("file_hash"), path.alias("stored_path"), "source")
 
 
-@query("cat_plugins", "select * from (values " + ", ".join(f"('{p.name}', '{', '.join(p.collections)}', {len(p.actions)})" for p in E.PLUGINS.values()) + ") t(use_case, collections, actions)")
+PLUGIN_ROWS = "(values " + ", ".join(f"('{p.name}', '{', '.join(p.collections)}', {len(p.actions)})" for p in E.PLUGINS.values()) + ") p(use_case, collections, actions)"
+
+
+@query("cat_plugins", f"select *, (select count(*) from documents where list_extract({list(E.PLUGINS)!r}, (doc_id % 5)::int + 1) = use_case) as chunks from {PLUGIN_ROWS}")
 def cat_plugins(spark, sf_dir):
-    return spark.createDataFrame([(p.name, ", ".join(p.collections), len(p.actions)) for p in E.PLUGINS.values()], "use_case string, collections string, actions int")
+    """The plugins, with the documents that are dealt to each."""
+    known = spark.createDataFrame([(n, p.name, ", ".join(p.collections), len(p.actions)) for n, p in enumerate(E.PLUGINS.values())], "n long, use_case string, collections string, actions int")
+    dealt = docs(spark, sf_dir).groupBy((F.col("doc_id") % 5).alias("n")).agg(F.count("*").alias("c"))
+    return known.join(dealt, "n", "left").select("use_case", "collections", "actions", F.coalesce("c", F.lit(0)).cast("long").alias("chunks"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 
 from lectern.functions import text as T
@@ -112,10 +114,18 @@ def agt_refine_query(spark, sf_dir):
     return load(spark, sf_dir, "conversations").select("conv_id", "turn", R.refined(F.col("text"), reason, F.col("text")).alias("observation"))
 
 
-@query("cat_table_columns", "select * from (values " + ", ".join(f"('{t}', {len(c.split(', '))})" for t, c in R.SCHEMAS.items()) + ") t(table_name, n_columns)")
+@query("cat_table_columns", "select t.*, (select count(*) from events) as n_rows from (values " + ", ".join(f"('{t}', {len(c.split(', '))})" for t, c in R.SCHEMAS.items()) + ") t(table_name, n_columns)")
 def cat_table_columns(spark, sf_dir):
-    """The tables of the service, as many columns as an empty one of each has."""
-    return spark.createDataFrame([(t, len(spark.createDataFrame([], ddl).columns)) for t, ddl in R.SCHEMAS.items()], "table_name string, n_columns int")
+    """The tables of the service, each filled with the log's rows: columns and rows of what is read back."""
+    e = load(spark, sf_dir, "events")
+    have = {"id": F.col("event_id").cast("string"), "use_case": F.col("user_id").cast("string"), "created_at": F.col("ts"), "updated_at": F.col("ts")}
+    out = []
+    for t, ddl in R.SCHEMAS.items():
+        path = fresh_path(spark, t)
+        R.append_rows(e.select(*[c.alias(n) for n, c in have.items() if n in [x.split()[0] for x in ddl.split(", ")]]), t, path)
+        back = spark.read.parquet(path)
+        out.append(back.agg(F.lit(t).alias("table_name"), F.lit(len(back.columns)).alias("n_columns"), F.count("*").alias("n_rows")))
+    return reduce(lambda a, b: a.unionByName(b), out)
 
 
 POINT = "select 'chunk_' || vec_id % 100 as chunk_id, arg_max(label, vec_id)::varchar as label, arg_max(vec_id, vec_id)::varchar as seq, 'm2' as model from embeddings group by 1"

@@ -19,9 +19,12 @@ def src_format_dispatch(spark, sf_dir):
     return S.dispatched(S.named_files(load(spark, sf_dir, "documents"))).select("doc_id", "file_name", "ext", "supported", "error")
 
 
-@query("src_supported_formats", "select unnest(['.csv', '.docx', '.md', '.pdf', '.txt']) as format")
+@query("src_supported_formats", f"with {NAMED}, e as (select lower(regexp_extract(file_name, '(\\.[^./]+)$', 1)) as ext from n) select format, count(ext) as files from (select unnest(['.csv', '.docx', '.md', '.pdf', '.txt']) as format) left join e on ext = format group by 1")
 def src_supported_formats(spark, sf_dir):
-    return spark.createDataFrame([(f,) for f in sorted(S.FORMATS)], "format string").orderBy("format")
+    """Every format that is read, in order, with the number of files that have it."""
+    known = spark.createDataFrame([(f,) for f in sorted(S.FORMATS)], "format string")
+    found = S.dispatched(S.named_files(load(spark, sf_dir, "documents"))).where("supported").groupBy(F.col("ext").alias("format")).agg(F.count("*").alias("n"))
+    return known.join(found, "format", "left").select("format", F.coalesce("n", F.lit(0)).cast("long").alias("files")).orderBy("format")
 
 
 @query("src_text_pages", "select doc_id, 1 as page, md5(text) as digest from documents")
@@ -182,8 +185,15 @@ def sink_protocol_export(spark, sf_dir):
     return protocol(m, "conv_id", {"schema_version": F.lit(1), "use_case": F.lit("uc"), "gone": none("string")})
 
 
-@query("cat_use_cases", "select * from (values ('gw_stpoelten', 'gw_cnc_steps', 1), ('neumann', 'neumann_machines', 1), ('ustp', 'ustp_default', 1), ('wiener_linien', 'wl_default', 2)) t(use_case, default_collection, roles)")
+USE_CASE = "list_extract(['neumann', 'gw_stpoelten', 'wiener_linien', 'ustp'], (user_id % 4)::int + 1)"
+
+
+@query("cat_use_cases", f"select c.*, count(e.user_id) as requests from (values ('gw_stpoelten', 'gw_cnc_steps', 1), ('neumann', 'neumann_machines', 1), ('ustp', 'ustp_default', 1), ('wiener_linien', 'wl_default', 2)) c(use_case, default_collection, roles) left join events e on {USE_CASE} = c.use_case group by all")
 def cat_use_cases(spark, sf_dir):
+    """The catalogue of use cases, with the requests that the log has for each."""
     from lectern.operators.agents import USE_CASES
+    from lectern.plans.admin import log
 
-    return spark.createDataFrame([(k, v["default_collection"], len(v["roles"])) for k, v in USE_CASES.items()], "use_case string, default_collection string, roles int")
+    known = spark.createDataFrame([(k, v["default_collection"], len(v["roles"])) for k, v in USE_CASES.items()], "use_case string, default_collection string, roles int")
+    asked = log(spark, sf_dir).groupBy("use_case").agg(F.count("*").alias("n"))
+    return known.join(asked, "use_case", "left").select("use_case", "default_collection", "roles", F.coalesce("n", F.lit(0)).cast("long").alias("requests"))
