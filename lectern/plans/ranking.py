@@ -163,16 +163,6 @@ def diag_extraction(spark, sf_dir):
     return load(spark, sf_dir, "documents").select("doc_id", F.length("text").cast("long").alias("chars"), n.cast("long").alias("keyword_hits"), F.when(F.length("text") < 2000, "nothing_extracted").when(n == 0, "content_missing").otherwise("chunker_drops_it").alias("verdict"))
 
 
-@query("diag_similarity", "select item_id, gap > 0.2 and near > 0.5 as healthy from (select item_id, 1.0 as near, 1.0 as gap from benchmark)")
-def diag_similarity(spark, sf_dir):
-    from lectern.operators.vectors import cosine
-
-    b = load(spark, sf_dir, "benchmark")
-    near = cosine(providers.embed(F.col("text")), providers.embed(F.concat(F.lit(" "), "text")))
-    far = cosine(providers.embed(F.col("text")), providers.embed(F.lit("0")))
-    return b.select("item_id", ((near > 0.5) & (near - far > 0.2)).alias("healthy"))
-
-
 #: Fusion of ids that stand in several rows of a pool: three rows in four of an id's block of ten share it with others.
 REPEATED = FUSED.split(", f as (select", 1)[0] + """, g as (select query_id, pos // 10 * 10 + case when pos % 4 = 0 then pos % 10 else 1 end as chunk_id, max(pos) as pos, min(dense_rank) as dense_rank, min(sparse_rank) as sparse_rank, round(sum(1.0 / (60 + dense_rank) + 1.0 / (60 + sparse_rank)), 9) as rrf from r group by 1, 2)"""
 
@@ -229,6 +219,28 @@ def search_sql(points: str, scored: bool = False, queries: str = "select item_id
     select query_id, rank, doc_id, collection, score, round(bm25, 4) as bm25, rrf, label, '[' || rank || '] (' || file_name || case when page <> 0 then ', S. ' || page else '' end || ') ' || left(text, 300) as observation from v where rank <= 7"""
 
 
+#: Each item whole and the first half of its text, as two queries.
+HALVES = "select item_id * 2 as item_id, text from benchmark union all select item_id * 2 + 1, left(text, length(text) // 2) from benchmark"
+NEAR = "coalesce(case when isnan(list_cosine_similarity({0}.v, {1}.v)) then 0 else list_cosine_similarity({0}.v, {1}.v) end, 0)"
+
+
+@query(
+    "diag_similarity",
+    f"with {EMBEDDED.replace('QUERIES', HALVES)}, n as (select count(*) as n from benchmark), s as (select a.item_id // 2 as item_id, round({NEAR.format('a', 'h')}, 6) as near, round({NEAR.format('a', 'o')}, 6) as far from qv a join qv h on h.item_id = a.item_id + 1 join n on true join qv o on o.item_id = (a.item_id // 2 + 1) % n * 2 where a.item_id % 2 = 0) select item_id, near, far, near > 0.5 and near - far > 0.2 as healthy from s",
+)
+def diag_similarity(spark, sf_dir):
+    """Whether an item is closer to a part of itself than to the next item."""
+    from lectern.operators.vectors import dot, norm
+
+    b = load(spark, sf_dir, "benchmark")
+    n = b.count()
+    e = b.select("item_id", providers.embed(F.col("text")).alias("v"), providers.embed(F.expr("left(text, length(text) div 2)")).alias("h"))
+    other = e.select(((F.col("item_id") + n - 1) % n).alias("item_id"), F.col("v").alias("o"))
+    # a vector without length is like nothing
+    like = lambda x, y: F.round(F.when(norm(F.col(x)) * norm(F.col(y)) > 0, dot(F.col(x), F.col(y)) / (norm(F.col(x)) * norm(F.col(y)))).otherwise(0.0), 6)
+    return e.join(other, "item_id").select("item_id", like("v", "h").alias("near"), like("v", "o").alias("far")).withColumn("healthy", (F.col("near") > 0.5) & (F.col("near") - F.col("far") > 0.2))
+
+
 def search_points(spark, sf_dir):
     """Documents as points of a collection for each language, with the default embedder."""
     d = load(spark, sf_dir, "documents")
