@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from lectern.functions import text as T
 from lectern.operators import pages as P
+from lectern.operators.cleaning import cleaned_documents
 from lectern.plans.registry import query
 from lectern.session import load
 
@@ -55,16 +56,33 @@ def src_page_anchor_assemble(spark, sf_dir):
 
 @query(
     "txt_degenerate_guard",
-    f"with {ASSEMBLED.replace('from documents', 'from (select doc_id, left(text, 10 * (doc_id // 50 % 3)::int) as text from documents)')} "
+    f"with {ASSEMBLED.replace('doc_id // 50 as file_id, doc_id as page, text from documents', 'd.doc_id // 5 as file_id, d.doc_id as page, case when l.doc_id is null then chr(32) else text end as text from documents d left join labels l using (doc_id)')} "
     "select file_id, total_pages >= 1 and (text_pages = 0 or (total_pages >= 5 and length(text) < 15 * total_pages)) as degenerate from made",
 )
 def txt_degenerate_guard(spark, sf_dir):
-    # a third of the files has no text, a third has little
-    cut = file_pages(spark, sf_dir).withColumn("text", F.expr("left(text, cast(10 * (file_id % 3) as int))"))
-    made = P.assemble_pages(cut, "file_id", "page")
+    """Files of five pages, of which those without a label are blank."""
+    known = load(spark, sf_dir, "labels").select(F.col("doc_id").alias("page"), F.lit(True).alias("known"))
+    p = load(spark, sf_dir, "documents").select(F.expr("doc_id div 5").alias("file_id"), F.col("doc_id").alias("page"), "text").join(known, "page", "left")
+    made = P.assemble_pages(p.select("file_id", "page", F.when(F.col("known"), F.col("text")).otherwise(" ").alias("text")), "file_id", "page")
     return made.select("file_id", P.degenerate(F.col("total_pages"), F.col("text_pages"), F.length("text")).alias("degenerate"))
 
 
+REDACTED = r"""regexp_replace(regexp_replace(regexp_replace(text, '[a-zA-Z0-9_.+-]+@[a-zA-Z0-9-]+\.[a-zA-Z0-9-.]+', '[EMAIL_REMOVED]', 'g'),
+    '(?:\+43|0043|0)[\s\-/]?\d{1,4}[\s\-/]?\d{3,10}', '[PHONE_REMOVED]', 'g'), '\b\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}\b', '[IP_REMOVED]', 'g')"""
+
+
+@query(
+    "txt_clean_options",
+    f"""with d as (select doc_id, doc_id % 4 in (1, 3) as hide, doc_id % 4 < 2 as pictures, text, {REDACTED} as hidden from documents), t as (select *, case when hide then hidden else text end as t from d)
+    select doc_id, t || case when pictures then chr(10) || chr(10) || '<!-- image page:' || doc_id || ' -->' || chr(10) || '[Bild S.' || doc_id || ']: Bild zu ' || left(left(t, 300), 20) else '' end as markdown, t as page_text, case when pictures then 1 else 0 end as n_images from t""",
+)
+def txt_clean_options(spark, sf_dir):
+    """Documents cleaned as their requests say: with or without images, with or without personal data."""
+    ask = F.element_at(F.array(*[F.lit(x) for x in ("{}", '{"pii_removal": true}', '{"extract_images": false}', '{"extract_images": false, "pii_removal": true}')]), (F.col("doc_id") % 4 + 1).cast("int"))
+    d = load(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("markdown"), F.array(F.struct(F.col("doc_id").alias("page"), F.col("text").alias("text"))).alias("pages"), F.array(F.struct(F.col("doc_id").alias("page"), F.lit("b.png").alias("name"))).alias("images"), ask.alias("config"))
+    return cleaned_documents(d).select("doc_id", "markdown", F.col("pages")[0]["text"].alias("page_text"), F.size("images").alias("n_images"))
+
+
 @query(
     "txt_pii_redact",
     r"""select doc_id, md5(regexp_replace(regexp_replace(regexp_replace(text, '[a-zA-Z0-9_.+-]+@[a-zA-Z0-9-]+\.[a-zA-Z0-9-.]+', '[EMAIL_REMOVED]', 'g'),

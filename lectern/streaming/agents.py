@@ -18,10 +18,12 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from lectern.operators.agents import DEFAULT_ROLE, ROLE_LABELS
+from lectern.operators.manager import Managed
 
 EVENT = (
     "request_id string, ts timestamp, seq long, type string, subagent_id string, subagent_role string, role_label string, sub_query string, focus string, inner_type string, "
@@ -103,6 +105,40 @@ def folded(events: DataFrame) -> DataFrame:
     return _finished(merged.drop("_known", "_seeded", "_any").join(lists, key, "left"))
 
 
+def events_of(made: Managed, started: Column | None = None) -> DataFrame:
+    """The events (``EVENT``) that a run of the manager sends: a request for each question, seq counting from 1.
+
+    In the order of a request: its plan, each specialist's start, for each of its steps the
+    action and then the whole step, its end, and last ``final``. Specialists follow one
+    another; rows of a request are numbered by a window over its own events.
+    """
+    at = started if started is not None else F.current_timestamp()
+    request = F.col("question_id").cast("string").alias("request_id")
+    place = lambda a, b, c: F.array(*[(x if isinstance(x, Column) else F.lit(x)).cast("int") for x in (a, b, c)]).alias("_at")
+    kinds = dict(x.split(" ", 1) for x in EVENT.split(", "))
+
+    def rows(df: DataFrame, kind: str, where: Column, **given: Column) -> DataFrame:
+        return df.select(request, where, F.lit(kind).alias("type"), *[given.get(n, F.lit(None)).cast(t).alias(n) for n, t in kinds.items() if n not in ("request_id", "ts", "seq", "type")])
+
+    sub, n = F.col("subagent_id"), F.col("n")
+    out = rows(made.plans, "manager_plan", place(0, 0, 0), subtasks=F.col("plan.subtasks"))
+    out = out.unionByName(rows(made.subagents, "subagent_started", place(1, n, 0), subagent_id=sub, subagent_role=F.col("role"), role_label=label_of(F.col("role"), F.lit(UNKNOWN_LABEL)), sub_query=F.col("sub_query"), focus=F.col("focus")))
+    who = made.subagents.select("question_id", "n", "subagent_id", "role")
+    steps = made.steps.join(who, ["question_id", "n"])
+    same = {"subagent_id": sub, "subagent_role": F.col("role"), "step": F.col("step"), "action": F.col("action"), "thought": F.col("thought"), "args": F.col("args")}
+    out = out.unionByName(rows(steps, "subagent_step", place(1, n, F.col("step") * 2 - 1), inner_type=F.lit("action"), **same))
+    out = out.unionByName(rows(steps, "subagent_step", place(1, n, F.col("step") * 2), inner_type=F.lit("step"), observation=F.col("observation"), **same))
+    out = out.unionByName(rows(made.subagents, "subagent_done", place(1, n, 1 << 20), subagent_id=sub, subagent_role=F.col("role"), answer_preview=F.left("answer", F.lit(200)), sufficient=F.col("sufficient"), error=F.col("error")))
+    out = out.unionByName(rows(made.answers, "final", place(2, 0, 0), answer_preview=F.col("answer"), sufficient=F.col("sufficient")))
+    seq = F.row_number().over(W.partitionBy("request_id").orderBy("_at")).cast("long")
+    return out.select("request_id", at.alias("ts"), seq.alias("seq"), *[c for c in out.columns if c not in ("request_id", "_at")])
+
+
+def ndjson(events: DataFrame) -> DataFrame:
+    """value: a line of JSON for each event, without what is null."""
+    return events.select(F.to_json(F.struct(*events.columns)).alias("value"))
+
+
 class SubAgents(StatefulProcessor):
     """State of one sub-agent: where each field was set last, and a record for each step.
 

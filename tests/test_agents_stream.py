@@ -100,3 +100,25 @@ def test_stream_is_the_batch_and_its_state_expires(spark, tmp_path):
     kept = start()
     assert rows(out) == want | fold_by_hand(later)
     assert kept[-1] < kept[0]
+
+
+def test_a_run_is_told_and_read_back(spark, tmp_path):
+    """The events of a manager's run, written as lines and folded, give its specialists and their steps."""
+    from lectern.operators.manager import run_manager
+
+    hit = "query_id string, rank int, doc_id int, collection string, file_name string, page int, text string, score double, bm25 double, rrf double, rerank_score double, label string, observation string"
+    search = lambda q: q.sparkSession.createDataFrame([(r.query_id, 1, 1, "c", "f", 1, r.query, 1.0, 1.0, 1.0, 1.0, "", f"[1] (f, S. 1) {r.query}") for r in q.collect()], hit)
+    plan = json.dumps({"subtasks": [{"role": "facts", "sub_query": "eins"}, {"role": "context", "sub_query": "zwei", "focus": "F"}]})
+    n = lambda m: F.size(F.filter(m, lambda x: x["role"] == "assistant"))
+    chat = lambda m: F.when(n(m) == 0, 'THOUGHT: t\nACTION: SEARCH({"query": "x"})').otherwise("Fertig [1].")
+    q = spark.createDataFrame([(1, "a"), (2, "b")], "question_id long, query string")
+    made = run_manager(q, lambda c: F.lit(plan), chat, search, "uc")
+    S.ndjson(S.events_of(made)).write.text(f"file://{tmp_path}/lines")
+    events = parsed(spark.read.text(f"file://{tmp_path}/lines"))
+    assert [r.type for r in events.where("request_id = '1'").orderBy("seq").collect()] == ["manager_plan", *(["subagent_started"] + ["subagent_step"] * 4 + ["subagent_done"]) * 2, "final"]
+    got = rows(S.folded(events).collect())
+    subs = {(str(r.question_id), r.subagent_id): r for r in made.subagents.collect()}
+    assert set(got) == set(subs) == {(r, s) for r in ("1", "2") for s in ("sub-1-facts", "sub-2-context")}
+    for k, v in got.items():
+        assert v[:5] == (subs[k].role, ROLE_LABELS[subs[k].role], subs[k].sub_query, subs[k].focus, subs[k].answer) and v[7] == "done"
+        assert [(s[0], s[1]) for s in v[8]] == [(1, "SEARCH"), (2, "FINAL_ANSWER")] and v[8][0][4].startswith("[1] (f, S. 1) x")
