@@ -17,7 +17,8 @@ have it as their minimiser.  For the starts of such suffixes these runs are comp
 hash, which leaves no case out; runs of a start that very many suffixes have are salted by
 document, so that a passage found everywhere is dealt over all tasks.
 
-Links: a row is a passage and another document that has all of it.  Of a start with few
+Links: a row is a passage and another document that has every run of LEAST words of it; where
+that document has two overlapping cuts of it in two places, in none of these all of it.  Of a start with few
 suffixes every other document is named; of one with many, the neighbours that
 match furthest, and where runs were compared the smallest doc_id that has the run (for
 that document itself, the largest), which is the representative of the run's class.
@@ -295,7 +296,7 @@ def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def repeated_passages(docs: DataFrame) -> DataFrame:
-    """doc_id, first_word, n_words of the passages of LEAST words or more that another document has too, and that document."""
+    """doc_id, first_word, n_words of the passages of LEAST words or more that another document has too, and that document: it has every run of LEAST words of the passage, though not always in one piece."""
     spark = docs.sparkSession
     wide = partitions(spark)
     starts, starts_path = written(_starts(docs), "starts")
