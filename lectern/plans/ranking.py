@@ -192,6 +192,13 @@ EMBEDDED = f"""crc_table as (select {_SHIFTED}::bigint[] as t),
     qv as (select i.item_id, list(coalesce(n, 0)::double order by d) as v from (select item_id, unnest(range({providers.DIMENSION})) as d from qs) i left join qn using (item_id, d) group by 1)"""
 
 
+@query("emb_hash_embed", f"with {EMBEDDED.replace('QUERIES', 'select item_id, text from benchmark')} select item_id, len(v)::int as dimension, array_to_string(list_transform(v, lambda x: x::bigint), ',') as counts from qv")
+def emb_hash_embed(spark, sf_dir):
+    """The default embedder: how many words of a text fall in each dimension."""
+    v = load(spark, sf_dir, "benchmark").select("item_id", providers.embed(F.col("text")).alias("v"))
+    return v.select("item_id", F.size("v").alias("dimension"), F.array_join(F.transform("v", lambda x: x.cast("long").cast("string")), ",").alias("counts"))
+
+
 def search_sql(points: str, scored: bool = False, queries: str = "select item_id, text from benchmark") -> str:
     """The whole search over ``points``: SQL of (collection, doc_id, file_name, page, text)."""
     embedded = EMBEDDED.replace("QUERIES", queries)

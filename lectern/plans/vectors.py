@@ -212,10 +212,3 @@ def emb_cosine_pairs(spark, sf_dir):
     a, b = e.select(F.col("vec_id").alias("a"), F.col("embedding").alias("x"), (F.col("vec_id") + 1).alias("b")), e.select(F.col("vec_id").alias("b"), F.col("embedding").alias("y"))
     score = V.dot(F.col("x"), F.col("y")) / (V.norm(F.col("x")) * V.norm(F.col("y")) + 1e-12)
     return a.join(b, "b").select("a", "b", F.round(score, 6).alias("similarity"))
-
-
-@query("emb_hash_embed")
-def emb_hash_embed(spark, sf_dir):
-    from lectern.providers import embed
-
-    return load(spark, sf_dir, "benchmark").select("item_id", embed(F.col("text")).alias("vector"))
