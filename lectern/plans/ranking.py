@@ -220,7 +220,7 @@ def search_sql(points: str, scored: bool = False, queries: str = "select item_id
     g as (select query_id, doc_id, max(pos) as pos, min(dense_rank) as dense_rank, round(sum(1.0 / (60 + dense_rank) + 1.0 / (60 + sparse_rank)), 9) as rrf from k group by 1, 2),
     h as (select g.query_id, g.doc_id, g.rrf, k.collection, k.score, k.bm25, row_number() over (partition by g.query_id order by g.rrf desc, g.dense_rank) as fused_rank from g join k using (query_id, pos)),
     x as (select *, {rerank} as place, {label} as label from h where fused_rank <= 25),
-    y as (select x.*, pts.file_name, pts.page, pts.text, regexp_replace(left(pts.text, 150), '^\s+|\s+$', '', 'g') as k from x join pts using (collection, doc_id) where place <= 15),
+    y as (select x.*, pts.file_name, pts.page, pts.text, regexp_replace(left(pts.text, 150), '^\\s+|\\s+$', '', 'g') as k from x join pts using (collection, doc_id) where place <= 15),
     u as (select *, row_number() over (partition by query_id, k order by place) as first from y),
     v as (select *, row_number() over (partition by query_id order by place)::int as rank from u where first = 1 or k = '')
     select query_id, rank, doc_id, collection, score, round(bm25, 4) as bm25, rrf, label, '[' || rank || '] (' || file_name || case when page <> 0 then ', S. ' || page else '' end || ') ' || left(text, 300) as observation from v where rank <= 7"""
