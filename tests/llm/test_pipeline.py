@@ -35,5 +35,5 @@ def test_stages_keep_columns(spark, sf_dir):
 
 
 def test_one_query_for_each_operator(spark, sf_dir):
-    assert sorted(int(q[2:].split("_")[0]) for q in QUERIES) == list(range(1, 11))
+    assert sorted(int(q[2:].split("_")[0]) for q in QUERIES) == list(range(1, 14))
     assert set(ORACLES) <= set(QUERIES)
