@@ -223,7 +223,7 @@ def search_sql(points: str, scored: bool = False, queries: str = "select item_id
     y as (select x.*, pts.file_name, pts.page, pts.text, regexp_replace(left(pts.text, 150), '^\\s+|\\s+$', '', 'g') as k from x join pts using (collection, doc_id) where place <= 15),
     u as (select *, row_number() over (partition by query_id, k order by place) as first from y),
     v as (select *, row_number() over (partition by query_id order by place)::int as rank from u where first = 1 or k = '')
-    select query_id, rank, doc_id, collection, score, round(bm25, 4) as bm25, rrf, label, '[' || rank || '] (' || file_name || case when page <> 0 then ', S. ' || page else '' end || ') ' || left(text, 300) as observation from v where rank <= 7"""
+    select query_id, rank, doc_id, collection, score, bm25, rrf, label, '[' || rank || '] (' || file_name || case when page <> 0 then ', S. ' || page else '' end || ') ' || left(text, 300) as observation from v where rank <= 7"""
 
 
 #: Each item whole and the first half of its text, as two queries.
@@ -260,7 +260,7 @@ def item_queries(spark, sf_dir):
 
 @query("search_pipeline", search_sql("select 'wl_' || lang as collection, doc_id, source as file_name, doc_id % 5 as page, text from documents"))
 def search_pipeline(spark, sf_dir):
-    return search(search_points(spark, sf_dir), item_queries(spark, sf_dir)).withColumn("bm25", F.round("bm25", 4))
+    return search(search_points(spark, sf_dir), item_queries(spark, sf_dir))
 
 
 @query(
@@ -272,4 +272,4 @@ def search_use_case(spark, sf_dir):
     p = search_points(spark, sf_dir)
     other = p.withColumn("collection", F.when(F.col("doc_id") % 7 == 0, F.concat(F.lit("neumann_"), F.substring("collection", 4, 100))).otherwise(F.col("collection")))
     both = other.unionByName(p.where("doc_id % 3 = 0").withColumn("collection", F.lit("wl_all")))
-    return search(both, item_queries(spark, sf_dir), "wiener_linien", "wl_fehlt", scorer=lambda df: F.col("bm25")).withColumn("bm25", F.round("bm25", 4))
+    return search(both, item_queries(spark, sf_dir), "wiener_linien", "wl_fehlt", scorer=lambda df: F.col("bm25"))
