@@ -11,7 +11,10 @@ PII = (
     ("PHONE", r"(?:\+43|0043|0)[\s\-/]?\d{1,4}[\s\-/]?\d{3,10}"),
     ("IP", r"\b\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}\b"),
 )
+# A page's anchor, and what is a table, a row, a cell and a tag in HTML.
 PAGE_ANCHOR = r"<!--\s*[Pp]age\s*[:.]?\s*(\d+)\s*-->"
+HTML_TABLE = r"(?is)(<table\b[^>]*>.*?</table>)"
+HTML_ROW, HTML_CELL, HTML_TAG = r"(?is)<tr[^>]*>(.*?)</tr>", r"(?is)<t[hd][^>]*>(.*?)</t[hd]>", r"<[^>]+>"
 MARK = "\u0001"
 
 
@@ -59,10 +62,10 @@ def chunk_summary(c: Column) -> Column:
 
 def html_table_to_pipe(c: Column) -> Column:
     """Rows of an HTML table as pipe rows; without rows the text without tags."""
-    plain = collapse(F.regexp_replace(c, r"<[^>]+>", ""))
+    plain = collapse(F.regexp_replace(c, HTML_TAG, ""))
     rows = F.transform(
-        F.regexp_extract_all(c, F.lit(r"(?is)<tr[^>]*>(.*?)</tr>"), 1),
-        lambda r: F.transform(F.regexp_extract_all(r, F.lit(r"(?is)<t[hd][^>]*>(.*?)</t[hd]>"), 1), lambda x: collapse(F.regexp_replace(x, r"<[^>]+>", ""))),
+        F.regexp_extract_all(c, F.lit(HTML_ROW), 1),
+        lambda r: F.transform(F.regexp_extract_all(r, F.lit(HTML_CELL), 1), lambda x: collapse(F.regexp_replace(x, HTML_TAG, ""))),
     )
     full = F.filter(rows, lambda r: F.exists(r, lambda x: x != ""))
     lines = F.transform(full, lambda r: F.concat(F.lit("| "), F.array_join(r, " | "), F.lit(" |")))
@@ -71,7 +74,7 @@ def html_table_to_pipe(c: Column) -> Column:
 
 def convert_html_tables(c: Column) -> Column:
     """Every table inside a text as pipe rows; the rest stays."""
-    marked = F.regexp_replace(c, r"(?is)(<table\b[^>]*>.*?</table>)", f"{MARK}$1{MARK}")
+    marked = F.regexp_replace(c, HTML_TABLE, f"{MARK}$1{MARK}")
     parts = F.transform(F.split(marked, MARK), lambda p: F.when(F.lower(p).startswith("<table"), html_table_to_pipe(p)).otherwise(p))
     return F.when(F.lower(c).contains("<table"), F.array_join(parts, "")).otherwise(c)
 

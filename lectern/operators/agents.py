@@ -45,6 +45,8 @@ NO_INFO = (
     r"|(?:handlungsempfehlung|empfehlung|aussage|antwort)\s+nicht\s+möglich"
     r"|wurden\s+keine\s+.*gefunden)"
 )
+# Where a response has its thought and its action.
+THOUGHT, ACTION = r"(?s)THOUGHT:\s*(.*?)(?=ACTION:|$)", r"ACTION:\s*(\w+)\("
 PUNCTUATION = ".,;:!?\"'()[]„"
 CONTEXT_HEAD = "Kontext aus dem Gespräch – der Benutzer hat folgende Nachrichten gesendet:\n"
 CONTEXT_TAIL = "\n\nBeantworte die Frage basierend auf dem gesamten Kontext."
@@ -110,9 +112,9 @@ def balanced_json(text: Column, after: Column) -> Column:
 
 def parse_action(response: Column) -> Column:
     """struct(thought, action, args) of a model's response; without an action all of it is the final answer."""
-    thought = strip(F.regexp_extract(response, r"(?s)THOUGHT:\s*(.*?)(?=ACTION:|$)", 1))
-    name = F.regexp_extract(response, r"ACTION:\s*(\w+)\(", 1)
-    at = F.regexp_instr(response, F.lit(r"ACTION:\s*(\w+)\("))
+    thought = strip(F.regexp_extract(response, THOUGHT, 1))
+    name = F.regexp_extract(response, ACTION, 1)
+    at = F.regexp_instr(response, F.lit(ACTION))
     args = balanced_json(response, F.greatest(at, F.lit(1)))
     return F.when(name != "", F.struct(thought.alias("thought"), name.alias("action"), F.coalesce(args, F.lit("{}")).alias("args"))).otherwise(
         F.struct(F.when(thought != "", thought).otherwise(response).alias("thought"), F.lit("FINAL_ANSWER").alias("action"), F.to_json(F.struct(response.alias("answer"))).alias("args"))

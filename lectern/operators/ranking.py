@@ -150,10 +150,14 @@ def citations(answers: DataFrame, pool: DataFrame, key: str, answer: str = "answ
     return refs.join(pool.withColumnRenamed(rank, "_ref"), [key, "_ref"]).withColumn("ref", F.format_string("[%d]", "_ref")).drop("_ref")
 
 
+# What a removed number leaves open, and how it is closed up.
+EMPTY_PAREN, BEFORE_PUNCTUATION, BLANKS = r"\(\s*(?:Quelle|Quellen|siehe|vgl\.?)?\s*\)", r"\s+([,.;:!?])", r"[ \t]{2,}"
+
+
 def strip_unresolved(answer: Column, valid: Column) -> Column:
     """Without the numbers in brackets that are not in ``valid`` (array<long>); what that leaves open is closed up."""
     bad = F.filter(F.array_distinct(F.regexp_extract_all(answer, F.lit(r"(\[\d+])"), 1)), lambda r: ~F.array_contains(valid, F.regexp_extract(r, r"\d+", 0).cast("long")))
     cut = F.aggregate(bad, answer, lambda s, r: F.replace(s, r, F.lit("")))
-    tidy = F.regexp_replace(cut, r"\(\s*(?:Quelle|Quellen|siehe|vgl\.?)?\s*\)", "")
-    tidy = F.regexp_replace(F.regexp_replace(tidy, r"\s+([,.;:!?])", "$1"), r"[ \t]{2,}", " ")
+    tidy = F.regexp_replace(cut, EMPTY_PAREN, "")
+    tidy = F.regexp_replace(F.regexp_replace(tidy, BEFORE_PUNCTUATION, "$1"), BLANKS, " ")
     return F.when(F.size(bad) > 0, strip(tidy)).otherwise(answer)
