@@ -74,14 +74,16 @@ def hybrid_fuse(pool: DataFrame, queries: DataFrame, key: str = "query_id", id_c
     adds up what all its places give in both rankings; its columns are those of its last
     row, its ranks its best. Ties of the sum keep the dense order.
     """
-    scored = pool.join(bm25(pool, queries, key, pos, text, query_text, texts, text_key), [key, pos])
+    # ranks are made of narrow rows; what else a pool's row has is joined to the rows that are left
+    scored = pool.select(key, id_column, pos, score).join(bm25(pool, queries, key, pos, text, query_text, texts, text_key), [key, pos])
     own = W.partitionBy(key)
     ranked = scored.withColumn("dense_rank", F.row_number().over(own.orderBy(F.desc(score), pos))).withColumn("sparse_rank", F.row_number().over(own.orderBy(F.desc("bm25"), pos)))
-    rest = [c for c in ranked.columns if c not in (key, id_column, "dense_rank", "sparse_rank")]
     both = 1.0 / (RRF_K + F.col("dense_rank")) + 1.0 / (RRF_K + F.col("sparse_rank"))
-    found = ranked.groupBy(key, id_column).agg(F.max_by(F.struct(*rest), pos).alias("_last"), F.min("dense_rank").alias("dense_rank"), F.min("sparse_rank").alias("sparse_rank"), F.round(F.sum(both), 9).alias("rrf"))
-    one = found.select(key, id_column, *[F.col("_last")[c].alias(c) for c in rest], "dense_rank", "sparse_rank", "rrf")
-    return one.withColumn("fused_rank", F.row_number().over(own.orderBy(F.desc("rrf"), "dense_rank")))
+    last = [F.max(pos).alias(pos), *[F.max_by(c, pos).alias(c) for c in (score, "bm25")]]
+    found = ranked.groupBy(key, id_column).agg(*last, F.min("dense_rank").alias("dense_rank"), F.min("sparse_rank").alias("sparse_rank"), F.round(F.sum(both), 9).alias("rrf"))
+    placed = found.withColumn("fused_rank", F.row_number().over(own.orderBy(F.desc("rrf"), "dense_rank")))
+    rest = [c for c in pool.columns if c not in (key, id_column, pos, score)]
+    return placed.join(pool.select(key, pos, *rest), [key, pos]) if rest else placed
 
 
 def relevance(score: Column) -> Column:
