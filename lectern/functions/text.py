@@ -52,6 +52,7 @@ def redact_secret(c: Column) -> Column:
 
 
 def format_score(c: Column) -> Column:
+    c = F.when(c == 0, 0.0).otherwise(c)  # zero has no sign; what is rounded to it keeps its own
     return F.when(c.isNull(), "–").when(F.abs(c) >= 10, F.format_string("%.2f", c)).otherwise(F.format_string("%.3f", c))
 
 
