@@ -33,9 +33,15 @@ def src_text_pages(spark, sf_dir):
     return load(spark, sf_dir, "documents").select("doc_id", F.lit(1).alias("page"), F.md5(valid.cast("binary")).alias("digest"))
 
 
-@query("src_csv_markdown", "select 1 as line, 'n_nationkey | n_name | n_regionkey' as text union all select 2, '--- | --- | ---' union all select n_nationkey + 3, n_nationkey || ' | ' || n_name || ' | ' || n_regionkey from nation")
+@query(
+    "src_csv_markdown",
+    """with r as (select *, row_number() over (order by n_nationkey, n_name, n_regionkey) as i from nation),
+    l as (select 1 as line, 'n_nationkey | n_name | n_regionkey' as text union all select 2, '--- | --- | ---' union all select i + 2, coalesce(n_nationkey::varchar, '') || ' | ' || coalesce(n_name, '') || ' | ' || coalesce(n_regionkey::varchar, '') from r)
+    select line, text, (select count(*) from nation) as row_count, 'n_nationkey, n_name, n_regionkey' as columns from l""",
+)
 def src_csv_markdown(spark, sf_dir):
-    return S.csv_lines(load(spark, sf_dir, "nation"), ["n_nationkey", "n_name", "n_regionkey"], "n_nationkey")
+    """A table as a document: its lines in order, and beside each the number of rows and the columns."""
+    return S.csv_lines(load(spark, sf_dir, "nation"), ["n_nationkey", "n_name", "n_regionkey"], ["n_nationkey", "n_name", "n_regionkey"])
 
 
 @query(

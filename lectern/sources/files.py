@@ -11,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lectern.operators.places import placed
+
 # The formats that are read, and the media types that are shown inline.
 FORMATS = (".csv", ".docx", ".md", ".pdf", ".txt")
 INLINE = {".pdf": "application/pdf", ".txt": "text/plain", ".md": "text/markdown", ".csv": "text/csv"}
@@ -101,11 +103,18 @@ def read_csv_files(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(run, CSV_FILE)
 
 
-def csv_lines(rows: DataFrame, columns: list[str], order: str) -> DataFrame:
-    """line (from 1) and text of a table as pipe text: the header, a rule, and a line for each row. Nulls are empty cells; ``order`` must hold 0, 1, 2 and so on."""
+def csv_lines(rows: DataFrame, columns: list[str], order: list[str]) -> DataFrame:
+    """line (from 1) and text of a table as pipe text, with its row_count and columns beside each: the header, a rule, and a line for each row.
+
+    Lines joined in order by line feeds are the whole text. Nulls are empty cells. Rows are
+    numbered in ``order``, whatever values that holds, by a range sort; rows that tie in it must be equal.
+    """
     cells = F.array_join(F.array(*[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns]), " | ")
     head = rows.sparkSession.createDataFrame([(1, " | ".join(columns)), (2, " | ".join("---" for _ in columns))], "line long, text string")
-    return head.unionByName(rows.select((F.col(order) + 3).cast("long").alias("line"), cells.alias("text")))
+    body = placed(rows, [], order, "_place").select((F.col("_place") + 3).alias("line"), cells.alias("text"))
+    # one row, there for an empty table too
+    size = rows.agg(F.count("*").alias("row_count"))
+    return head.unionByName(body).crossJoin(F.broadcast(size)).withColumn("columns", F.lit(", ".join(columns)))
 
 
 def csv_pages(rows: DataFrame, columns: list[str], order: str) -> DataFrame:
