@@ -11,6 +11,8 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lectern.batches import BATCH_ROWS
+from lectern.batches import slices as slices
 from lectern.session import fresh_path as fresh_path
 from lectern.session import removed as removed
 from lectern.session import spread
@@ -19,10 +21,6 @@ from lectern.session import written as written_table
 MASK = (1 << 64) - 1
 
 
-#: Rows of an Arrow batch: some 7 MB of documents.
-BATCH_ROWS = "2000"
-
-
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
     return spread(spark.read.parquet(f"{sf_dir}/documents.parquet"))
@@ -52,23 +50,6 @@ def partitions(spark: SparkSession, factor: int = 1) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions", "200")) * factor)
 
 
-#: Rows, and bytes of text, that an operator works on at a time; a longer text is a slice of its own.
-SLICE_ROWS, SLICE_BYTES = 1000, 4 << 20
-
-
-def slices(batch: pa.RecordBatch, column: str | int = "text", rows: int = SLICE_ROWS) -> Iterator[pa.RecordBatch]:
-    """A batch in slices, so that memory follows a slice and not how long the texts of a batch are."""
-    if not batch.num_rows:
-        return
-    size = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
-    lo = 0
-    while lo < len(size):
-        before = int(size[lo - 1]) if lo else 0
-        hi = max(lo + 1, min(lo + rows, int(np.searchsorted(size, before + SLICE_BYTES, "right"))))
-        yield batch.slice(lo, hi - lo)
-        lo = hi
-
-
 def filtered(keep: Callable[[str], bool]) -> Callable:
     """An Arrow batch function that keeps the rows whose text (null: empty) ``keep`` accepts."""
 

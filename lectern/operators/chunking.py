@@ -3,21 +3,46 @@
 from __future__ import annotations
 
 import re
+import sys
 from collections.abc import Iterator
+from functools import cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from lectern.batches import slices, small_batches
 from lectern.functions.text import strip
 
 # Limits of the chunker, in tokens and characters.
 CHUNK_TOKENS, OVERLAP_TOKENS = 256, 32
 LEAST_CHARS, TABLE_PIPES, TABLE_LETTERS, LEAST_LETTERS = 30, 4, 40, 0.3
 
-SENTENCE = re.compile(r".+?(?:[.!?]+(?=\s)|\n{2,}|\Z)\s*", re.S)
-TOKEN = re.compile(r"\w+|[^\w\s]")
+#: What ends a sentence that has begun: punctuation before white space, or two line feeds; white space behind it belongs to it.
+END = re.compile(r"[.!?\n](?:(?<=[.!?])[.!?]*(?=\s)|(?<=\n)\n+)\s*")
+# A token is a run of word characters, or one character that is neither word nor white space.
+WORD, OTHER = 1, 2
+
+
+@cache
+def character_kinds() -> np.ndarray:
+    """The kind of every code point; 0 is white space."""
+    every = "".join(map(chr, range(sys.maxunicode + 1)))
+    kinds = np.zeros(len(every), np.uint8)
+    for kind, pattern in ((WORD, r"\w+"), (OTHER, r"[^\w\s]+")):
+        for m in re.finditer(pattern, every):
+            kinds[m.start() : m.end()] = kind
+    return kinds
+
+
+def token_starts(text: str) -> np.ndarray:
+    """Where the tokens of a text begin, in order."""
+    kind = character_kinds()[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)]
+    first = kind != 0
+    first[1:] &= (kind[1:] == OTHER) | (kind[:-1] != WORD)
+    return np.flatnonzero(first)
 
 
 def boilerplate(text: Column) -> Column:
@@ -82,15 +107,21 @@ def chunk_text(file_name: Column, crumb: Column, text: Column) -> Column:
 
 def sentences(text: str) -> list[tuple[int, str, int]]:
     """(offset, sentence, tokens); a sentence over the limit is cut at tokens."""
+    ends, lo = [0], 0
+    while lo < len(text):
+        m = END.search(text, lo + 1)
+        lo = m.end() if m else len(text)
+        ends.append(lo)
+    starts = token_starts(text)
+    # no token lies across two sentences: each ends behind white space or with the text
+    upto = np.searchsorted(starts, ends).tolist()
     out = []
-    for m in SENTENCE.finditer(text):
-        found = list(TOKEN.finditer(m[0]))
-        if not found:
-            continue
-        for lo in range(0, len(found), CHUNK_TOKENS):
-            first = 0 if lo == 0 else found[lo].start()
-            last = found[lo + CHUNK_TOKENS].start() if lo + CHUNK_TOKENS < len(found) else len(m[0])
-            out.append((m.start() + first, m[0][first:last], len(found[lo : lo + CHUNK_TOKENS])))
+    for lo, hi, i, j in zip(ends, ends[1:], upto, upto[1:]):
+        if j - i > CHUNK_TOKENS:
+            cuts = [lo, *starts[i + CHUNK_TOKENS : j : CHUNK_TOKENS].tolist(), hi]
+            out += [(a, text[a:b], min(CHUNK_TOKENS, j - i - n * CHUNK_TOKENS)) for n, (a, b) in enumerate(zip(cuts, cuts[1:]))]
+        elif j > i:
+            out.append((lo, text[lo:hi], j - i))
     return out
 
 
@@ -118,20 +149,22 @@ def packed(text: str, limit: int = CHUNK_TOKENS, overlap: int = OVERLAP_TOKENS)
 
 
 def sentence_chunks(pages: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
-    """keys, seq, offset, chunk, tokens. Sequential over the sentences of a page, hence Arrow batches."""
+    """keys, seq, offset, chunk, tokens. Sequential over the sentences of a page, hence Arrow batches, worked off in slices."""
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in pages.select(*keys).schema) + ", seq int, offset int, chunk string, tokens int"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            at, made = [], []
-            for i, t in enumerate(batch.column(len(keys)).to_pylist()):
-                for n, c in enumerate(packed(t or "")):
-                    at.append(i)
-                    made.append((n, *c))
-            cols = list(zip(*made, strict=True)) or [[]] * 4
-            kinds = [pa.int32(), pa.int32(), pa.string(), pa.int32()]
-            yield pa.RecordBatch.from_arrays([*(batch.column(i).take(pa.array(at, pa.int64())) for i in range(len(keys))), *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))], names=[*keys, "seq", "offset", "chunk", "tokens"])
-
+            for part in slices(batch, len(keys)):
+                at, made = [], []
+                for i, t in enumerate(part.column(len(keys)).to_pylist()):
+                    for n, c in enumerate(packed(t or "")):
+                        at.append(i)
+                        made.append((n, *c))
+                cols = list(zip(*made, strict=True)) or [[]] * 4
+                kinds = [pa.int32(), pa.int32(), pa.string(), pa.int32()]
+                yield pa.RecordBatch.from_arrays([*(part.column(i).take(pa.array(at, pa.int64())) for i in range(len(keys))), *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))], names=[*keys, "seq", "offset", "chunk", "tokens"])
+
+    small_batches(pages.sparkSession)
     return pages.select(*keys, text).mapInArrow(run, schema)
 
 
