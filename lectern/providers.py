@@ -12,6 +12,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lectern.batches import small_batches
 from lectern.operators.places import placed
 
 Provider = Callable[..., Column]
@@ -72,6 +73,7 @@ def embedded_batch(chunks: DataFrame, call: Callable[[list], list], order: list[
     of them. ``call`` makes vectors of a list of texts (``attempted``); a chunk without a
     vector is a row of its own with an error, and its batch's others are not lost.
     """
+    small_batches(chunks.sparkSession)
     lined = placed(chunks, [], order, "i")
     named = F.concat(F.lit("chunk_"), F.col("i").cast("string"))
     made = lined.withColumns({"batch_id": F.floor(F.col("i") / size).cast("long"), "chunk_id": F.coalesce(chunk_id, named) if chunk_id is not None else named, "_v": attempted(call, "array<double>", size)(F.col(text))})
