@@ -47,15 +47,17 @@ def token_starts(text: str) -> np.ndarray:
 
 def boilerplate(text: Column) -> Column:
     """Whether a chunk is too short, has few letters, or is filled with dots; tables with letters stay."""
-    t = strip(text)
-    letters = F.length(F.regexp_replace(t, r"[^\p{L}]", ""))
-    pipes = F.length(t) - F.length(F.replace(t, F.lit("|"), F.lit("")))
-    return (
+    # inside a lambda a value is made once, outside it once for each place that it stands in
+    once = lambda value, use: F.transform(F.array(value), use)[0]
+    letters = lambda t: F.length(F.regexp_replace(t, r"[^\p{L}]+", ""))
+    pipes = lambda t: F.length(t) - F.length(F.replace(t, F.lit("|"), F.lit("")))
+    judged = lambda t, n: (
         F.when(F.length(t) < LEAST_CHARS, True)
-        .when((pipes >= TABLE_PIPES) & (letters >= TABLE_LETTERS), False)
-        .when(letters / F.length(t) < LEAST_LETTERS, True)
+        .when((n >= TABLE_LETTERS) & (pipes(t) >= TABLE_PIPES), False)
+        .when(n / F.length(t) < LEAST_LETTERS, True)
         .otherwise(F.length(F.regexp_replace(t, r"\.{5,}", "")) < F.length(t) * 0.5)
     )
+    return once(strip(text), lambda t: once(letters(t), lambda n: judged(t, n)))
 
 
 #: Levels of Markdown headings; where a line begins that is one (a line ends at a line feed alone).
