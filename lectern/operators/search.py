@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from lectern import providers
 from lectern.operators import ranking as R
 from lectern.operators import vectors as V
+from lectern.session import written
 
 
 def resolved(points: DataFrame, wanted: str, use_case: str) -> tuple[list[str], str]:
@@ -20,6 +21,16 @@ def resolved(points: DataFrame, wanted: str, use_case: str) -> tuple[list[str],
     return list(row.names), row.message
 
 
+#: Places of points that are sent to all tasks, some 20 MB; of more, texts are joined to them by a shuffle.
+SENT_PLACES = 200_000
+
+
+def those(points: DataFrame, places: DataFrame, place: list[str]) -> DataFrame:
+    """The points at some places: where they are few, all points are passed by once and only these are moved."""
+    places, _ = written(places, "places")
+    return points.join(F.broadcast(places) if places.count() <= SENT_PLACES else places, place, "left_semi")
+
+
 def found_chunks(
     points: DataFrame,
     queries: DataFrame,
@@ -39,7 +50,8 @@ def found_chunks(
 
     All queries are searched in one job; each step works on fewer rows than the one
     before: 40 of each collection, 25 to the reranker, 15 out of it, 7 shown.  What is
-    found goes as ids and word counts; texts are joined to the rows that are reranked.
+    found goes as ids and word counts; its texts are taken out of the points once, and joined
+    to the rows that are reranked.
     """
     own = points.where(V.matching(filters or {}))
     if use_case is not None:
@@ -52,10 +64,12 @@ def found_chunks(
     place = ["collection", "doc_id"]
     vectors = queries.select("query_id", providers.embed(F.col("query")).alias("qv"))
     found = V.top_k_batch(own.select("collection", "doc_id", "vector"), vectors, R.SEARCH_K, "query_id", "qv", "doc_id", "vector", per=["collection"])
-    pool = found.withColumn("pos", F.row_number().over(W.partitionBy("query_id").orderBy(F.col("collection"), F.col("rank")))).drop("rank")
+    # narrow rows, written since the ranking reads them several times and all points are searched for them
+    pool, _ = written(found.withColumn("pos", F.row_number().over(W.partitionBy("query_id").orderBy(F.col("collection"), F.col("rank")))).drop("rank"), "found")
+    texts, _ = written(those(own.select(*place, "file_name", "page", "text"), pool.select(*place).distinct(), place), "texts")
     # each text is cut into words once, however many queries find it
-    fused = R.hybrid_fuse(pool, queries, texts=own.select(*place, "text"), text_key=place)
-    few = fused.where(F.col("fused_rank") <= R.RERANK_IN).join(own.select(*place, "file_name", "page", "text"), place).join(queries.select("query_id", "query"), "query_id")
+    fused = R.hybrid_fuse(pool, queries, texts=texts.select(*place, "text"), text_key=place)
+    few = fused.where(F.col("fused_rank") <= R.RERANK_IN).join(texts, place).join(queries.select("query_id", "query"), "query_id")
     kept = R.dedup_prefix(R.rerank(few, scorer))
     shown = kept.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy("rerank_rank"))).where(F.col("rank") <= R.SHOWN)
     line = R.observation(F.col("rank"), F.col("file_name"), F.col("page"), F.col("text"))

@@ -25,6 +25,9 @@ UUID = r"^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F
 #: Query rows that are sent to all tasks at a time; their vectors are some 10 MB at a thousand dimensions.
 QUERY_BLOCK = 1000
 
+#: Values of ``per`` whose best scores a task remembers; what it forgets costs rows of the shuffle, no results.
+GROUPS = 100
+
 # Prefixes of the collections of each use case.
 PREFIXES = {"neumann": ("neumann_",), "gw_stpoelten": ("gw_",), "wiener_linien": ("wl_",), "ustp": ("ustp_",)}
 
@@ -112,14 +115,23 @@ def by_block(queries: DataFrame, columns: list[str], search: Callable[[list[tupl
     return reduce(DataFrame.unionByName, done) if done else empty()
 
 
+def among_best(best: dict[tuple, np.ndarray], group: tuple, scores: np.ndarray, k: int) -> np.ndarray:
+    """Which scores (points by queries) are among the k best of their query in what the group has had so far, ties included; ``best`` keeps those k."""
+    if len(best) == GROUPS and group not in best:
+        best.clear()
+    top = np.concatenate([best[group], scores]) if group in best else scores
+    best[group] = top = np.partition(top, -k, axis=0)[-k:] if len(top) > k else top
+    return (scores >= (top.min(axis=0) if len(top) == k else -np.inf)) & (scores > -np.inf)
+
+
 def top_k_batch(
     points: DataFrame, queries: DataFrame, k: int, query_id: str, query_vector: str, id_column: str = "vec_id", vector: str = "embedding", per: list[str] | None = None, keep: list[str] | None = None, match: tuple[str, str] | None = None
 ) -> DataFrame:
     """query_id, id, score, rank (and the ``per`` and ``keep`` columns) of the k most similar points for each query and each value of ``per``.
 
     Queries are sent to all points in blocks of QUERY_BLOCK rows.  A batch of points is
-    scored by one matrix product, and only its best k (and ties) for each query go on to
-    the shuffle.  Vectors without length score 0.  ``match`` names a column of the points
+    scored by one matrix product, and only what is among the best k (and ties) for a query
+    of all that its task has seen goes on to the shuffle.  Vectors without length score 0.  ``match`` names a column of the points
     and one of the queries that must be equal; a query without a value takes all points.
     """
     group, more = per or [], keep or []
@@ -136,6 +148,7 @@ def top_k_batch(
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             of, matrix, values = shared.value
+            best: dict[tuple, np.ndarray] = {}
             for batch in batches:
                 for lo in range(0, batch.num_rows, 2000):
                     part = batch.slice(lo, 2000)
@@ -148,10 +161,11 @@ def top_k_batch(
                     members: dict[tuple, list[int]] = {}
                     for i, g in enumerate(zip(*columns, strict=True) if group else [()] * part.num_rows):
                         members.setdefault(g, []).append(i)
-                    for at in members.values():
+                    for g, at in members.items():
                         s = score[at]
-                        least = np.partition(s, -k, axis=0)[-k] if len(at) > k else np.full(len(of), -np.inf)
-                        r, q = np.nonzero((s >= least) & (s > -np.inf))
+                        r, q = np.nonzero(among_best(best, g, s, k))
+                        if not len(r):
+                            continue
                         take = pa.array(np.array(at)[r])
                         yield pa.RecordBatch.from_arrays([pa.array([of[i] for i in q], kind), *(part.column(i).take(take) for i in range(1 + len(group) + len(more))), pa.array(s[r, q])], names=[*names, "score"])
 
