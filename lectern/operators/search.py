@@ -38,6 +38,7 @@ def found_chunks(
     wanted: str = "",
     filters: dict | None = None,
     scorer: Callable[[DataFrame], Column] | None = None,
+    vectors: DataFrame | None = None,
 ) -> DataFrame:
     """query_id, rank, doc_id, collection, file_name, page, text, score, bm25, rrf, rerank_score, label, observation, best first.
 
@@ -46,27 +47,29 @@ def found_chunks(
     several collections is one candidate whose ranks add up. With a use case only its own
     collections are read, the wanted one or, where that is missing, all of them; a search
     that may read none gives one row for each query with the message. ``scorer`` reranks the
-    best by a column of (query, text, score, bm25).
+    best by a column of (query, text, score, bm25). ``vectors`` are the points without their
+    texts, where these are written for several searches: ``points`` are then read for texts alone.
 
     All queries are searched in one job; each step works on fewer rows than the one
     before: 40 of each collection, 25 to the reranker, 15 out of it, 7 shown.  What is
     found goes as ids and word counts; its texts are taken out of the points once, and joined
     to the rows that are reranked.
     """
-    own = points.where(V.matching(filters or {}))
+    stored = points if vectors is None else vectors
+    own = stored.where(V.matching(filters or {}))
     if use_case is not None:
-        names, message = resolved(points, wanted, use_case)
+        names, message = resolved(stored, wanted, use_case)
         if message:
             none = F.lit(None)
             of = lambda c: none.cast(points.schema[c].dataType).alias(c)
             return queries.select("query_id", none.cast("int").alias("rank"), *[of(c) for c in ("doc_id", "collection", "file_name", "page", "text")], *[none.cast("double").alias(c) for c in ("score", "bm25", "rrf", "rerank_score")], none.cast("string").alias("label"), F.lit(message).alias("observation"))
         own = own.where(F.col("collection").isin(*names))
     place = ["collection", "doc_id"]
-    vectors = queries.select("query_id", providers.embed(F.col("query")).alias("qv"))
-    found = V.top_k_batch(own.select("collection", "doc_id", "vector"), vectors, R.SEARCH_K, "query_id", "qv", "doc_id", "vector", per=["collection"])
+    asked = queries.select("query_id", providers.embed(F.col("query")).alias("qv"))
+    found = V.top_k_batch(own.select("collection", "doc_id", "vector"), asked, R.SEARCH_K, "query_id", "qv", "doc_id", "vector", per=["collection"])
     # narrow rows, written since the ranking reads them several times and all points are searched for them
     pool, _ = written(found.withColumn("pos", F.row_number().over(W.partitionBy("query_id").orderBy(F.col("collection"), F.col("rank")))).drop("rank"), "found")
-    texts, _ = written(those(own.select(*place, "file_name", "page", "text"), pool.select(*place).distinct(), place), "texts")
+    texts, _ = written(those(points.select(*place, "file_name", "page", "text"), pool.select(*place).distinct(), place), "texts")
     # each text is cut into words once, however many queries find it
     fused = R.hybrid_fuse(pool, queries, texts=texts.select(*place, "text"), text_key=place)
     few = fused.where(F.col("fused_rank") <= R.RERANK_IN).join(texts, place).join(queries.select("query_id", "query"), "query_id")

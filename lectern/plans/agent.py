@@ -233,22 +233,23 @@ def scripted(messages):
     return F.when(manner == 0, hasty).when(manner == 1, unsure).when(manner == 2, curious).when(manner == 3, asking).otherwise(F.lit("Ohne Form gesagt [1]."))
 
 
-def looked_up(points):
+def looked_up(points, vectors):
     """A search of the loop, over the collections of a use case."""
-    return lambda q: found_chunks(points, q, "wiener_linien", "wl_fehlt")
+    return lambda q: found_chunks(points, q, "wiener_linien", "wl_fehlt", vectors=vectors)
 
 
-def written_points(spark, sf_dir):
-    """Points with their vectors, written once for all searches of a run."""
-    return written(search_points(spark, sf_dir), "points")[0]
+def written_vectors(spark, sf_dir):
+    """The points, and what all searches of a run read of them, written once; texts stay in the documents."""
+    points = search_points(spark, sf_dir)
+    return points, written(points.drop("text"), "points")[0]
 
 
 @query("agt_loop")
 def agt_loop(spark, sf_dir):
     """Every item as a question to the loop of actions, with three steps: a row for each step."""
-    points = written_points(spark, sf_dir)
+    points, vectors = written_vectors(spark, sf_dir)
     questions = load(spark, sf_dir, "benchmark").select(F.col("item_id").alias("question_id"), F.col("text").alias("query"), F.when(F.col("item_id") % 2 == 0, F.concat(F.lit("Q: "), "text")).alias("memory"))
-    run = run_loop(questions, scripted, looked_up(points), "wiener_linien", sources_text(points, "wiener_linien"), max_steps=3)
+    run = run_loop(questions, scripted, looked_up(points, vectors), "wiener_linien", sources_text(vectors, "wiener_linien"), max_steps=3)
     return run.steps.select("question_id", "step", "action", "thought", "search_query", "observation")
 
 
@@ -281,7 +282,7 @@ PART_SQL = f"p as (select item_id // 3 as question_id, item_id % 3 as n, {STRIP.
 def agt_isolated_errors(spark, sf_dir):
     """Specialists of all questions with a model that fails on some: those are empty results with their error, the others stay."""
     plans = load(spark, sf_dir, "benchmark").select(F.col("item_id").alias("question_id"), A.normalise_plan(thirds_plan(F.col("text")), F.col("text")).alias("plan"))
-    subs, _ = fan_out(subtasks(plans), attempted(faulty, "string"), looked_up(written_points(spark, sf_dir)), "wiener_linien")
+    subs, _ = fan_out(subtasks(plans), attempted(faulty, "string"), looked_up(*written_vectors(spark, sf_dir)), "wiener_linien")
     return subs.select("question_id", "n", "answer", "sufficient", F.least("n_chunks", F.lit(7)).cast("int").alias("n_chunks"), "error")
 
 
@@ -291,7 +292,7 @@ def agt_manager(spark, sf_dir):
     questions = load(spark, sf_dir, "benchmark").select(F.col("item_id").alias("question_id"), F.col("text").alias("query"))
     comply = lambda pool, answer: F.when(F.length(answer) % 3 == 0, '{"verdict": "REFUSE"}').when(F.length(answer) % 3 == 1, '{"verdict": "REWRITE", "guidance": "kürzer"}').otherwise("kein json")
     put = lambda q, fragments, pool: F.concat(F.lit("ANTWORT: "), F.left(fragments, F.lit(60)), F.when(fragments.contains("KORREKTUR"), " (neu)").otherwise(""), F.lit(" [1] [500]"))
-    made = run_manager(questions, thirds_plan, scripted, looked_up(written_points(spark, sf_dir)), "wiener_linien", put, comply)
+    made = run_manager(questions, thirds_plan, scripted, looked_up(*written_vectors(spark, sf_dir)), "wiener_linien", put, comply)
     return made.answers.select("question_id", "answer", "sufficient", "verdict", "n_pool", "merge_strategy")
 
 

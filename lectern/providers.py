@@ -1,18 +1,22 @@
 """Model-backed steps behind small interfaces, with deterministic defaults.
 
-Each provider maps columns to a column, so a default can be a native expression and a
-real model an Arrow-batched UDF.
+Each provider maps columns to a column, so a default can be a native expression or, as the
+embedder's, an Arrow-batched UDF, which a real model is too.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lectern.batches import small_batches
+from lectern.batches import slices, small_batches
 from lectern.operators.places import placed
 
 Provider = Callable[..., Column]
@@ -98,24 +102,35 @@ def embed(text: Column) -> Column:
 
 #: Dimension of the default embedder.
 DIMENSION = 32
-#: char() has one letter for each of 0 to 255; those before are control characters and blanks.
-FIRST_LETTER = 33
+#: What each byte of a text becomes when its words are cut: those of ASCII that are in no word are blanks.
+WORD_BYTES = np.array([c if c > 127 or chr(c).isalnum() or chr(c) == "_" else 32 for c in range(256)], np.uint8)
+
+
+def word_counts(texts: pa.Array, dimension: int) -> np.ndarray:
+    """How many words of each text fall in each dimension, which the word's crc32 gives; a word is letters, numbers and underscores."""
+    kept = pc.replace_substring_regex(pc.fill_null(texts, ""), r"[^\x00-\x7F\p{L}\p{N}]+", " ")
+    _, offsets, data = kept.buffers()
+    blanked = pa.py_buffer(WORD_BYTES[np.frombuffer(data, np.uint8)]) if data is not None and data.size else data
+    words = pc.ascii_split_whitespace(pa.Array.from_buffers(kept.type, len(kept), [None, offsets, blanked], offset=kept.offset))
+    # each word of a slice is hashed once; an end of blanks is an empty word, which counts in a column of its own
+    known = words.flatten().dictionary_encode()
+    place = np.array([zlib.crc32(w) % dimension if w else dimension for w in known.dictionary.cast(pa.binary()).to_numpy(zero_copy_only=False)], np.int64)
+    at = pc.list_parent_indices(words).to_numpy() * (dimension + 1) + place[known.indices.to_numpy()]
+    return np.bincount(at, minlength=len(words) * (dimension + 1)).reshape(-1, dimension + 1)[:, :dimension]
 
 
 def hash_embed(text: Column, dimension: int = DIMENSION) -> Column:
-    """Feature hashing of words: a word adds 1 to the dimension that its crc32 gives. Native, the same everywhere.
+    """Feature hashing of words: a word adds 1 to the dimension that its crc32 gives. A null text has no words.
 
-    Each word becomes the letter of its dimension, and the letters of the text so made are counted, so the words
-    are hashed once and not once for each dimension.
+    Words are cut, hashed and counted in Arrow batches, a slice of bounded bytes at a time.
     """
-    words = F.regexp_extract_all(F.lower(text), F.lit(r"([\p{L}\p{N}_]+)"), 1)
-    letter = lambda i: F.char(i + FIRST_LETTER)
-    letters = F.array_join(F.transform(words, lambda w: letter(F.crc32(w.cast("binary")) % dimension)), "")
-    if dimension > 256 - FIRST_LETTER:
-        raise ValueError(f"a dimension of {256 - FIRST_LETTER} at most")
-    counts = lambda s: F.array(*[(F.length(s) - F.length(F.replace(s, letter(F.lit(i)), F.lit("")))).cast("double") for i in range(dimension)])
-    # inside a lambda the letters are made once
-    return F.transform(F.array(letters), counts)[0]
+
+    def vectors(texts: pa.Array) -> pa.Array:
+        parts = [word_counts(s.column(0), dimension) for s in slices(pa.RecordBatch.from_arrays([texts], names=["text"]))]
+        counts = np.concatenate([np.zeros((0, dimension)), *parts])
+        return pa.ListArray.from_arrays(pa.array(np.arange(len(counts) + 1) * dimension, pa.int32()), pa.array(counts.ravel()))
+
+    return F.arrow_udf(vectors, "array<double>")(F.lower(text))
 
 
 provide("vision", lambda context: F.concat(F.lit("Bild zu "), F.left(context, F.lit(20))))
