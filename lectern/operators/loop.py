@@ -135,7 +135,9 @@ def run_loop(
         parsed = asked.withColumn("_p", A.parse_action(F.coalesce("response", F.lit("")))).select("*", "_p.*").drop("_p")
         acted, _ = written(guarded(parsed.withColumn("step", F.lit(n))), "acted")
         good = acted.where("error is null")
-        hits, _ = written(search(good.where("search_query is not null").select(F.col("question_id").alias("query_id"), F.col("search_query").alias("query"))).withColumn("step", F.lit(n)), "hits")
+        asks = good.where("search_query is not null").select(F.col("question_id").alias("query_id"), F.col("search_query").alias("query"))
+        # a step that asks for nothing does not read the points
+        hits = chunks[0].where("false") if chunks and asks.isEmpty() else written(search(asks).withColumn("step", F.lit(n)), "hits")[0]
         steps_cnc = cnc(good.where("action = 'SEARCH_CNC'").select(F.col("question_id").alias("query_id"), "args")) if cnc else None
         seen = observed(acted, hits, sources, use_case, steps_cnc).withColumn("ends", F.col("error").isNotNull() | F.col("action").isin("FINAL_ANSWER", "CLARIFY"))
         after = F.concat("messages", F.array(message("assistant", F.col("response")), message("user", F.concat(F.lit("OBSERVATION: "), "observation"))))

@@ -12,6 +12,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -27,6 +28,8 @@ QUERY_BLOCK = 1000
 
 #: Values of ``per`` whose best scores a task remembers; what it forgets costs rows of the shuffle, no results.
 GROUPS = 100
+#: Bytes of candidates that a task holds back; of more, those that are among the best so far are sent on.
+HELD_BYTES = 32 << 20
 
 # Prefixes of the collections of each use case.
 PREFIXES = {"neumann": ("neumann_",), "gw_stpoelten": ("gw_",), "wiener_linien": ("wl_",), "ustp": ("ustp_",)}
@@ -124,15 +127,25 @@ def among_best(best: dict[tuple, np.ndarray], group: tuple, scores: np.ndarray,
     return (scores >= (top.min(axis=0) if len(top) == k else -np.inf)) & (scores > -np.inf)
 
 
+def best_rows(parts: list[pa.RecordBatch], k: int, id_column: str) -> pa.Table:
+    """The k best rows of each ``_at`` (a group and a query) by score, ties by id."""
+    rows = pa.Table.from_batches(parts)
+    rows = rows.take(pc.sort_indices(rows, [("_at", "ascending"), ("score", "descending"), (id_column, "ascending")], null_placement="at_start"))
+    at = rows["_at"].to_numpy()
+    return rows.filter(pa.array(np.arange(len(at)) - np.searchsorted(at, at) < k))
+
+
 def top_k_batch(
     points: DataFrame, queries: DataFrame, k: int, query_id: str, query_vector: str, id_column: str = "vec_id", vector: str = "embedding", per: list[str] | None = None, keep: list[str] | None = None, match: tuple[str, str] | None = None
 ) -> DataFrame:
     """query_id, id, score, rank (and the ``per`` and ``keep`` columns) of the k most similar points for each query and each value of ``per``.
 
     Queries are sent to all points in blocks of QUERY_BLOCK rows.  A batch of points is
-    scored by one matrix product, and only what is among the best k (and ties) for a query
-    of all that its task has seen goes on to the shuffle.  Vectors without length score 0.  ``match`` names a column of the points
-    and one of the queries that must be equal; a query without a value takes all points.
+    scored by one matrix product, and what is among the best k for a query of all that its
+    task has seen is held back until the task ends (HELD_BYTES): k rows for each query and
+    group go on to the shuffle, however many points tie.  Vectors without length score 0.
+    ``match`` names a column of the points and one of the queries that must be equal; a
+    query without a value takes all points.
     """
     group, more = per or [], keep or []
     types = {f.name: f.dataType.simpleString() for f in points.schema} | {query_id: queries.schema[query_id].dataType.simpleString()}
@@ -149,6 +162,14 @@ def top_k_batch(
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             of, matrix, values = shared.value
             best: dict[tuple, np.ndarray] = {}
+            codes: dict[tuple, int] = {}
+            held: list[pa.RecordBatch] = []
+            size = 0
+
+            def sent(rows: pa.Table) -> Iterator[pa.RecordBatch]:
+                asked = pa.array(of, kind).take(pa.array(rows["_at"].to_numpy() % len(of)))
+                yield from pa.table([asked, *rows.columns[1:]], names=[*names, "score"]).to_batches(max_chunksize=10_000)
+
             for batch in batches:
                 for lo in range(0, batch.num_rows, 2000):
                     part = batch.slice(lo, 2000)
@@ -167,7 +188,17 @@ def top_k_batch(
                         if not len(r):
                             continue
                         take = pa.array(np.array(at)[r])
-                        yield pa.RecordBatch.from_arrays([pa.array([of[i] for i in q], kind), *(part.column(i).take(take) for i in range(1 + len(group) + len(more))), pa.array(s[r, q])], names=[*names, "score"])
+                        place = codes.setdefault(g, len(codes)) * len(of) + q
+                        held.append(pa.RecordBatch.from_arrays([pa.array(place), *(part.column(i).take(take) for i in range(1 + len(group) + len(more))), pa.array(s[r, q])], names=["_at", *names[1:], "score"]))
+                        size += held[-1].nbytes
+                        if size > HELD_BYTES:
+                            rows = best_rows(held, k, id_column)
+                            held, size = rows.to_batches(), rows.nbytes
+                            if size > HELD_BYTES // 2:
+                                yield from sent(rows)
+                                held, size = [], 0
+            if held:
+                yield from sent(best_rows(held, k, id_column))
 
         found = points.select(id_column, *group, *more, *compared, vector).mapInArrow(run, schema)
         rank = F.row_number().over(W.partitionBy(query_id, *group).orderBy(F.desc("score"), id_column))

@@ -102,21 +102,48 @@ def embed(text: Column) -> Column:
 
 #: Dimension of the default embedder.
 DIMENSION = 32
-#: What each byte of a text becomes when its words are cut: those of ASCII that are in no word are blanks.
-WORD_BYTES = np.array([c if c > 127 or chr(c).isalnum() or chr(c) == "_" else 32 for c in range(256)], np.uint8)
+#: Which bytes are part of words: of ASCII letters, digits and underscores; others are not ASCII and were cut before.
+IN_WORD = np.array([c > 127 or chr(c).isalnum() or chr(c) == "_" for c in range(256)])
+#: Table of the crc32, and bytes of words that are hashed together; longer ones are hashed one by one.
+CRC, LONG_WORD = np.arange(256, dtype=np.uint32), 64
+for _ in range(8):
+    CRC = np.where(CRC & 1, CRC >> 1 ^ np.uint32(0xEDB88320), CRC >> 1)
+
+
+def crc32s(data: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> np.ndarray:
+    """crc32 of many stretches of bytes, one byte of all that are long enough at a time."""
+    sizes = np.minimum(stops - starts, LONG_WORD + 1).astype(np.uint8)
+    order = np.argsort(sizes, kind="stable")[::-1]
+    at, crc = starts[order], np.full(len(order), 0xFFFFFFFF, np.uint32)
+    # how many are longer than p, which stand first
+    longer = len(order) - np.searchsorted(sizes[order][::-1], np.arange(LONG_WORD + 1), "right")
+    for p, n in enumerate(longer[:LONG_WORD]):
+        if not n:
+            break
+        crc[:n] = CRC.take(crc[:n].astype(np.uint8) ^ data.take(at[:n] + p)) ^ crc[:n] >> 8
+    out = np.empty_like(crc)
+    out[order] = ~crc
+    for i in order[: longer[LONG_WORD]]:
+        out[i] = zlib.crc32(data[starts[i] : stops[i]])
+    return out
 
 
 def word_counts(texts: pa.Array, dimension: int) -> np.ndarray:
     """How many words of each text fall in each dimension, which the word's crc32 gives; a word is letters, numbers and underscores."""
     kept = pc.replace_substring_regex(pc.fill_null(texts, ""), r"[^\x00-\x7F\p{L}\p{N}]+", " ")
-    _, offsets, data = kept.buffers()
-    blanked = pa.py_buffer(WORD_BYTES[np.frombuffer(data, np.uint8)]) if data is not None and data.size else data
-    words = pc.ascii_split_whitespace(pa.Array.from_buffers(kept.type, len(kept), [None, offsets, blanked], offset=kept.offset))
-    # each word of a slice is hashed once; an end of blanks is an empty word, which counts in a column of its own
-    known = words.flatten().dictionary_encode()
-    place = np.array([zlib.crc32(w) % dimension if w else dimension for w in known.dictionary.cast(pa.binary()).to_numpy(zero_copy_only=False)], np.int64)
-    at = pc.list_parent_indices(words).to_numpy() * (dimension + 1) + place[known.indices.to_numpy()]
-    return np.bincount(at, minlength=len(words) * (dimension + 1)).reshape(-1, dimension + 1)[:, :dimension]
+    _, offsets, bytes_ = kept.buffers()
+    ends = np.frombuffer(offsets, np.int32)[kept.offset : kept.offset + len(kept) + 1]
+    data = np.frombuffer(bytes_, np.uint8)[ends[0] : ends[-1]] if bytes_ is not None and bytes_.size else np.zeros(0, np.uint8)
+    ends = ends - ends[0]
+    inside = np.zeros(len(data) + 2, bool)
+    inside[1:-1] = IN_WORD.take(data)
+    edges = np.flatnonzero(inside[1:] != inside[:-1]).astype(np.int32)
+    # a word also ends where its text does
+    cut = np.unique(ends)
+    cut = cut[inside[cut] & inside[cut + 1]]
+    starts, stops = (np.sort(np.concatenate([x, cut]), kind="stable") for x in (edges[::2], edges[1::2]))
+    of = np.repeat(np.arange(len(kept)), np.diff(np.searchsorted(starts, ends)))
+    return np.bincount(of * dimension + crc32s(data, starts, stops) % np.uint32(dimension), minlength=len(kept) * dimension).reshape(-1, dimension)
 
 
 def hash_embed(text: Column, dimension: int = DIMENSION) -> Column:
