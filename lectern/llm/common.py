@@ -11,8 +11,8 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.batches import BATCH_ROWS
 from lectern.batches import slices as slices
+from lectern.batches import small_batches
 from lectern.session import fresh_path as fresh_path
 from lectern.session import removed as removed
 from lectern.session import spread
@@ -21,8 +21,15 @@ from lectern.session import written as written_table
 MASK = (1 << 64) - 1
 
 
+def bounded(spark: SparkSession) -> None:
+    """From now on Arrow batches are small, and Parquet's column chunks are not read whole into memory beside the heap,
+    so that an executor's memory does not follow the size of files and partitions."""
+    small_batches(spark)
+    spark.conf.set("parquet.hadoop.vectored.io.enabled", "false")
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+    bounded(spark)
     return spread(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
@@ -32,8 +39,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def written(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     """Write ``df`` to the shared folder and read it back: lineage ends, lost executors cost nothing."""
-    spark = df.sparkSession
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+    bounded(df.sparkSession)
     return written_table(df, name)
 
 

@@ -37,7 +37,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bitmap_of, free_name, in_bitmap, lower_words, mixed, partitions, removed, shingle_hashes, slices, word_hashes, written
+from .common import bitmap_of, bounded, free_name, in_bitmap, lower_words, mixed, partitions, removed, shingle_hashes, slices, word_hashes, written
 from .components import connected_components, roots
 
 #: Parts beyond those that a difference can touch; more are added where many parts of a set are empty by chance.
@@ -54,6 +54,8 @@ COMMON_MOST = 200_000
 BLOCK_DOCS, BLOCK_TOKENS = 256, 1_000_000
 #: Keys, and edges, that a task holds before it sends them on or shrinks them to a forest.
 HELD_KEYS, HELD_EDGES = 600_000, 400_000
+#: Bytes of token sets in a batch that goes on to the shuffle, beyond one set.
+SHIP_BYTES = 4 << 20
 #: Bits of a node's bitmap, and children of a node.
 BITS, FAN = 1024, 8
 
@@ -211,23 +213,28 @@ def _keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _chained(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows sorted by key: neighbours with the same key are an edge; each partition gives a spanning forest."""
-    a = np.zeros(0, np.int64)
-    b = np.zeros(0, np.int64)
+    held = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
+    size, most = 0, HELD_EDGES
     carry: tuple[int, int] | None = None
+
+    def forest() -> tuple[np.ndarray, np.ndarray]:
+        nodes, root = roots(np.concatenate([h[0] for h in held]), np.concatenate([h[1] for h in held]))
+        return nodes[nodes != root], root[nodes != root]
+
     for batch in batches:
         key, node = batch.column(0).to_numpy(), batch.column(1).to_numpy()
         if carry is not None:
             key, node = np.concatenate([[carry[0]], key]), np.concatenate([[carry[1]], node])
         same = np.flatnonzero((key[1:] == key[:-1]) & (node[1:] != node[:-1]))
-        a, b = np.concatenate([a, node[same]]), np.concatenate([b, node[same + 1]])
+        held.append((node[same], node[same + 1]))
+        size += len(same)
         if len(key):
             carry = int(key[-1]), int(node[-1])
-        if len(a) > HELD_EDGES:
-            nodes, root = roots(a, b)
-            a, b = nodes[nodes != root], root[nodes != root]
-    if len(a):
-        nodes, root = roots(a, b)
-        a, b = nodes[nodes != root], root[nodes != root]
+        if size > most:
+            held = [forest()]
+            size = len(held[0][0])
+            most = max(HELD_EDGES, 2 * size)  # a forest that stays large is not shrunk again for each batch
+    a, b = forest()
     yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
 
@@ -349,29 +356,41 @@ JOINED = pa.schema([("node", pa.int64()), ("root", pa.int64()), ("links", pa.int
 
 
 def _shipper(k: int):
-    """Members of clusters with their token sets, once for each pair of blocks that they are in."""
+    """Members of clusters with their token sets, once for each pair of blocks that they are in.
+
+    A member goes to as many pairs as its cluster has blocks, so batches are cut by what is made of the members.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows: list[tuple] = []
+        size = 0
+
+        def made() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), SHIPPED, strict=True)], schema=SHIPPED)
+
         for batch in batches:
             for part in slices(batch, "text", 200):
-                rows = []
                 for r in part.to_pylist():
                     s = token_set(r["text"] or "", k)
                     if digest(s) != (r["s1"], r["s2"]):
                         continue  # another row with this doc_id
                     raw = s.tobytes()
-                    rows += [(r["cluster"], min(r["block"], j), max(r["block"], j), r["block"], r["node"], r["s1"], r["s2"], r["copies"], raw) for j in range(r["blocks"])]
-                if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), SHIPPED, strict=True)], schema=SHIPPED)
+                    for j in range(r["blocks"]):
+                        if rows and size + len(raw) > SHIP_BYTES:
+                            yield made()
+                            rows, size = [], 0
+                        rows.append((r["cluster"], min(r["block"], j), max(r["block"], j), r["block"], r["node"], r["s1"], r["s2"], r["copies"], raw))
+                        size += len(raw) + 64  # the other columns
+        if rows:
+            yield made()
 
     return run
 
 
 def _joiner(num: int, den: int):
-    """Rows sorted by cluster and pair of blocks; each such group is joined when it is complete."""
+    """Rows sorted by cluster and pair of blocks; each such group is joined when it is complete, its sets held once."""
 
-    def joined(group: list[tuple]) -> list[tuple[int, int, int]]:
-        rows = list({(r[5], r[6]): r for r in group}.values())
+    def joined(rows: list[tuple]) -> list[tuple[int, int, int]]:
         own = rows[0][1] == rows[0][2]
         sets = [np.frombuffer(r[8], np.uint64) for r in rows]
         blocks = None if own else np.array([int(r[3] == r[2]) for r in rows])
@@ -389,20 +408,22 @@ def _joiner(num: int, den: int):
         return [(r[4], of[r[4]], int(n)) for r, n in zip(rows, links, strict=True) if r[4] in of]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        group: list[tuple] = []
+        group: dict[tuple[int, int], tuple] = {}
+        last: tuple | None = None
         out: list[tuple[int, int, int]] = []
         for batch in batches:
-            columns = [c.to_pylist() for c in batch.columns]
-            for row in zip(*columns, strict=True):
-                if group and group[0][:3] != row[:3]:
-                    out += joined(group)
-                    group = []
-                group.append(row)
+            columns = [c.to_pylist() for c in batch.columns[:8]]
+            for row, raw in zip(zip(*columns, strict=True), batch.column(8), strict=True):
+                if last != row[:3]:
+                    out += joined(list(group.values())) if group else []
+                    group, last = {}, row[:3]
+                if row[5:7] not in group:
+                    group[row[5:7]] = *row, raw.as_py()
             if len(out) > 10_000:
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), JOINED, strict=True)], schema=JOINED)
                 out = []
         if group:
-            out += joined(group)
+            out += joined(list(group.values()))
         if out:
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), JOINED, strict=True)], schema=JOINED)
 
@@ -417,6 +438,7 @@ def _linked(docs: DataFrame, k: int, num: int, den: int, apart: bool) -> tuple[D
     each gets a node of its own, a negative hash of what it is.
     """
     spark = docs.sparkSession
+    bounded(spark)
     wide = partitions(spark)
     signed, signed_path = written(_signed(docs, k, num, den, common_shingles(docs, k)), "signed")
     edges, edges_path = written(signed.select("keys", "s1").mapInArrow(_keyed, "key long, node long").repartition(wide, "key").sortWithinPartitions("key", "node").mapInArrow(_chained, "a long, b long"), "chained")
